@@ -9,13 +9,24 @@ a third of all documents reaches a range as one entry per block.
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .tokens import chunks, mix
 
 _ZIP = zstandard.ZstdCompressor(level=1)
 #: Windows sorted and packed at a time by a map task.
 BLOCK = 1_000_000
+#: UTF-8 bytes hashed at a time.
+CHUNK = 1_000_000
+_SENT = "bucket int, doc_id long, known boolean, blob binary"
+_TOLD = "doc_id long, spans binary"
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -79,3 +90,141 @@ def by_hash(hashes: np.ndarray, *second: np.ndarray) -> tuple[np.ndarray, np.nda
         part = order[at]
         order[at] = part[np.lexsort((*(k[part] for k in reversed(second)), h[at]))]
     return order, np.flatnonzero(new)
+
+
+def to_spans(positions: np.ndarray) -> bytes:
+    """Ascending positions, as (first, number) of each run of consecutive ones."""
+    cut = np.flatnonzero(np.r_[True, positions[1:] != positions[:-1] + 1])
+    sizes = np.diff(np.r_[cut, len(positions)])
+    return _ZIP.compress(np.r_[positions[cut], sizes].astype("<u4").tobytes())
+
+
+def from_spans(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    unzip = zstandard.ZstdDecompressor()
+    got = [np.frombuffer(unzip.decompress(b), "<u4").reshape(2, -1).astype(np.int64) for b in blobs]
+    both = np.concatenate(got, 1)
+    return both[0], both[1]
+
+
+def covered(n: int, blobs: list[bytes] | None, window: int) -> np.ndarray:
+    """Which of n places a window that starts at one of the positions covers."""
+    change = np.zeros(n + 1, np.int64)
+    if blobs:
+        first, size = from_spans(blobs)
+        np.add.at(change, np.minimum(first, n), 1)
+        np.add.at(change, np.minimum(first + size - 1 + window, n), -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def split_by(keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
+    """(key, values of that key) for ascending keys."""
+    if not len(keys):
+        return []
+    cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return list(zip(keys[cut].tolist(), *(np.split(v, cut[1:]) for v in values)))
+
+
+def _several(order: np.ndarray, heads: np.ndarray, owner: np.ndarray, apart: bool) -> np.ndarray:
+    """By run of equal hashes: are there several windows, or, if apart, several documents?"""
+    if not len(order):
+        return np.zeros(0, bool)
+    if apart:
+        own = owner[order]
+        return np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads)
+    return np.diff(np.r_[heads, len(order)]) > 1
+
+
+def bucket_of(doc_id: int, buckets: int) -> int:
+    return int(mix(np.array([doc_id], np.int64).view(np.uint64))[0] % np.uint64(buckets))
+
+
+def _sender(extract: Callable, buckets: int, apart: bool):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes: list[np.ndarray] = []
+        ids: list[int] = []
+        sizes: list[np.ndarray] = []
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            h = np.concatenate(hashes)
+            counts = np.concatenate(sizes)
+            starts = np.cumsum(counts) - counts
+            own = np.array(ids, np.int64)
+            order, heads = by_hash(h)
+            several = _several(order, heads, np.repeat(own, counts), apart)
+            h = h[order]
+            again = np.repeat(several, np.diff(np.r_[heads, len(h)]))
+            rows = []
+            if again.any():  # repeated in this block: told at once, and the range gets one entry
+                at = np.sort(order[again])
+                k = np.searchsorted(starts, at, side="right") - 1
+                for doc, positions in split_by(k, at - starts[k]):
+                    rows.append((bucket_of(int(own[doc]), buckets), int(own[doc]), None, to_spans(positions)))
+            for known, some, at in ((False, h[~again], order[~again]), (True, h[heads[several]], None)):
+                edges = bucket_edges(some, buckets)
+                for b in range(buckets):
+                    a, e = edges[b], edges[b + 1]
+                    if a == e:
+                        continue
+                    if known:
+                        blob = pack(some[a:e], np.zeros(e - a, np.int64), own[:0], None)
+                    else:
+                        blob = pack(some[a:e], at[a:e], own, starts)
+                    rows.append((b, None, known, blob))
+            hashes.clear()
+            ids.clear()
+            sizes.clear()
+            columns = zip(*rows) if rows else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], names=["bucket", "doc_id", "known", "blob"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                own = part.column(0).to_pylist()
+                texts = [t.encode() for t in part.column(1).to_pylist()]
+                for a, b in chunks(texts, CHUNK):
+                    h, counts = extract(texts[a:b])
+                    if len(h):
+                        some = np.flatnonzero(counts)
+                        hashes.append(h)
+                        ids += [own[a + k] for k in some]
+                        sizes.append(counts[some])
+                        total += len(h)
+                    if total >= BLOCK:
+                        yield flush()
+                        total = 0
+        if total:
+            yield flush()
+
+    return send
+
+
+def _teller(apart: bool):
+    def tell(rows: pd.DataFrame) -> pd.DataFrame:
+        """One range: the source coordinates of its windows that occur more than once."""
+        direct = rows[rows["doc_id"].notna()]
+        out = [(int(i), bytes(b)) for i, b in zip(direct["doc_id"], direct["blob"])]
+        rest = rows[rows["doc_id"].isna()]
+        known = rest["known"].astype(bool)
+        flagged = np.concatenate([unpack(b)[0] for b in rest["blob"][known]]) if known.any() else np.zeros(0, np.uint64)
+        got = [unpack(b) for b in rest["blob"][~known]]
+        if got:
+            h, d, p = (np.concatenate([g[k] for g in got]) for k in range(3))
+            del got
+            order, heads = by_hash(h)
+            several = _several(order, heads, d, apart)
+            again = np.repeat(several | np.isin(h[order][heads], flagged), np.diff(np.r_[heads, len(h)]))
+            at = order[again]
+            d, p = d[at], p[at]
+            order = np.lexsort((p, d))
+            out += [(i, to_spans(np.unique(s))) for i, s in split_by(d[order], p[order])]
+        return pd.DataFrame(out, columns=["doc_id", "spans"]).astype({"doc_id": "int64"})
+
+    return tell
+
+
+def repeated(rows: DataFrame, extract: Callable, buckets: int, *, apart: bool = False) -> DataFrame:
+    """rows: (doc_id, text). extract: texts to the hashes of their windows, in order, and the number of each text's. Returns (doc_id,
+    spans): the positions of windows whose hash occurs more than once or, if apart, in more than one document, as blobs for from_spans()."""
+    told = rows.mapInArrow(_sender(extract, buckets, apart), _SENT).groupBy("bucket").applyInPandas(_teller(apart), _TOLD)
+    return told.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))

@@ -12,137 +12,24 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import keyed, real_id, shuffle_partitions, table
-from .exchange import BLOCK, bucket_edges, by_hash, pack, unpack
-from .tokens import chunks, mix, rolling, words
+from .exchange import covered, repeated
+from .tokens import rolling, words
 
 WINDOW = 35
-CHUNK = 1_000_000
-_SENT = "bucket int, doc_id long, known boolean, blob binary"
-_TOLD = "doc_id long, spans binary"
-
-
-def to_spans(positions: np.ndarray) -> bytes:
-    """Ascending positions, as (first, number) of each run of consecutive ones."""
-    cut = np.flatnonzero(np.r_[True, positions[1:] != positions[:-1] + 1])
-    sizes = np.diff(np.r_[cut, len(positions)])
-    return zstandard.ZstdCompressor(level=1).compress(np.r_[positions[cut], sizes].astype("<u4").tobytes())
-
-
-def from_spans(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    unzip = zstandard.ZstdDecompressor()
-    got = [np.frombuffer(unzip.decompress(b), "<u4").reshape(2, -1).astype(np.int64) for b in blobs]
-    both = np.concatenate(got, 1)
-    return both[0], both[1]
-
-
-def covered(n: int, blobs: list[bytes] | None, window: int) -> np.ndarray:
-    """Which of n places a window that starts at one of the positions covers."""
-    change = np.zeros(n + 1, np.int64)
-    if blobs:
-        first, size = from_spans(blobs)
-        np.add.at(change, np.minimum(first, n), 1)
-        np.add.at(change, np.minimum(first + size - 1 + window, n), -1)
-    return np.cumsum(change[:-1]) > 0
-
-
-def split_by(keys: np.ndarray, *values: np.ndarray) -> list[tuple]:
-    """(key, values of that key) for ascending keys."""
-    if not len(keys):
-        return []
-    cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return list(zip(keys[cut].tolist(), *(np.split(v, cut[1:]) for v in values)))
-
-
-def _sender(buckets: int, window: int):
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes: list[np.ndarray] = []
-        ids: list[int] = []
-        sizes: list[np.ndarray] = []
-        total = 0
-
-        def flush() -> pa.RecordBatch:
-            h = np.concatenate(hashes)
-            counts = np.concatenate(sizes)
-            starts = np.cumsum(counts) - counts
-            own = np.array(ids, np.int64)
-            order, heads = by_hash(h)
-            h = h[order]
-            runs = np.diff(np.r_[heads, len(h)])
-            again = np.repeat(runs > 1, runs)
-            rows = []
-            if again.any():  # repeated in this block: told at once, and the range gets one entry
-                at = np.sort(order[again])
-                k = np.searchsorted(starts, at, side="right") - 1
-                for doc, positions in split_by(k, at - starts[k]):
-                    rows.append((int(mix(own[doc : doc + 1].view(np.uint64))[0] % np.uint64(buckets)), int(own[doc]), None, to_spans(positions)))
-            for known, some, at in ((False, h[~again], order[~again]), (True, h[heads[runs > 1]], None)):
-                edges = bucket_edges(some, buckets)
-                for b in range(buckets):
-                    a, e = edges[b], edges[b + 1]
-                    if a == e:
-                        continue
-                    if known:
-                        blob = pack(some[a:e], np.zeros(e - a, np.int64), own[:0], None)
-                    else:
-                        blob = pack(some[a:e], at[a:e], own, starts)
-                    rows.append((b, None, known, blob))
-            hashes.clear()
-            ids.clear()
-            sizes.clear()
-            columns = zip(*rows) if rows else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], names=["bucket", "doc_id", "known", "blob"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                own = part.column(0).to_pylist()
-                texts = [t.encode() for t in part.column(1).to_pylist()]
-                for a, b in chunks(texts, CHUNK):
-                    w, _, _, firsts = words(texts[a:b])
-                    counts = np.maximum(np.diff(firsts) - window + 1, 0)
-                    skip = np.repeat(firsts[:-1] - (np.cumsum(counts) - counts), counts)
-                    start = np.arange(int(counts.sum())) + skip
-                    if len(start):
-                        hashes.append(rolling(w, start, start + window))
-                        some = np.flatnonzero(counts)
-                        ids += [own[a + k] for k in some]
-                        sizes.append(counts[some])
-                        total += len(start)
-                    if total >= BLOCK:
-                        yield flush()
-                        total = 0
-        if total:
-            yield flush()
-
-    return send
-
-
-def _tell(rows: pd.DataFrame) -> pd.DataFrame:
-    """One range: the source coordinates of its edges that occur more than once."""
-    direct = rows[rows["doc_id"].notna()]
-    out = [(int(i), bytes(b)) for i, b in zip(direct["doc_id"], direct["blob"])]
-    rest = rows[rows["doc_id"].isna()]
-    known = rest["known"].astype(bool)
-    repeated = np.concatenate([unpack(b)[0] for b in rest["blob"][known]]) if known.any() else np.zeros(0, np.uint64)
-    got = [unpack(b) for b in rest["blob"][~known]]
-    if got:
-        h, d, p = (np.concatenate([g[k] for g in got]) for k in range(3))
-        del got
-        order, heads = by_hash(h)
-        h, d, p = h[order], d[order], p[order]
-        runs = np.diff(np.r_[heads, len(h)])
-        again = np.repeat((runs > 1) | np.isin(h[heads], repeated), runs)
-        d, p = d[again], p[again]
-        order = np.lexsort((p, d))
-        out += [(i, to_spans(np.unique(s))) for i, s in split_by(d[order], p[order])]
-    return pd.DataFrame(out, columns=["doc_id", "spans"]).astype({"doc_id": "int64"})
+
+def _edges(window: int):
+    def extract(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        w, _, _, firsts = words(texts)
+        counts = np.maximum(np.diff(firsts) - window + 1, 0)
+        start = np.arange(int(counts.sum())) + np.repeat(firsts[:-1] - (np.cumsum(counts) - counts), counts)
+        return (rolling(w, start, start + window) if len(start) else np.zeros(0, np.uint64)), counts
+
+    return extract
 
 
 _KEPT = "doc_id long, text string, n_words long, n_removed long, kept_sha256 string"
@@ -178,8 +65,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc
     """
     buckets = shuffle_partitions(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
-    told = rows.mapInArrow(_sender(buckets, window), _SENT).groupBy("bucket").applyInPandas(_tell, _TOLD)
-    spans = told.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    spans = repeated(rows, _edges(window), buckets)
     return rows.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remover(window), _KEPT)
 
 
