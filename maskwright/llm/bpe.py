@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -65,8 +67,8 @@ class Bpe:
         self.length = {i: len(t) for i, t in self.bytes_of.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pattern = regex.compile(PATTERN)
-        self.new: dict[str, tuple[int, str, bytes]] = {}
-        self.old: dict[str, tuple[int, str, bytes]] = {}
+        self.new: dict[str, tuple[int, str, bytes, bytes]] = {}
+        self.old: dict[str, tuple[int, str, bytes, bytes]] = {}
 
     def _merge(self, ids: list[int]) -> list[int]:
         """Merges by rank, for single tokens when the tables are built."""
@@ -126,25 +128,25 @@ class Bpe:
             at -= length[last[at]]
         return out[::-1]
 
-    def piece(self, text: str) -> tuple[int, str, bytes]:
-        """Number of ids, the ids in decimal, each with a comma after it, and what they decode to."""
+    def piece(self, text: str) -> tuple[int, str, bytes, bytes]:
+        """Number of ids, the ids in decimal, each with a comma after it, what they decode to, and the ids in 4 bytes each."""
         got = self.new.get(text) or self.old.get(text)
         if got is None:
             ids = self.encode_piece(text.encode())
-            got = len(ids), "".join(f"{i}," for i in ids), b"".join(map(self.decoded.__getitem__, ids))
+            got = len(ids), "".join(f"{i}," for i in ids), b"".join(map(self.decoded.__getitem__, ids)), struct.pack(f"<{len(ids)}I", *ids)
         if len(text) <= LONGEST:
             if len(self.new) >= REMEMBERED:
                 self.old, self.new = self.new, {}
             self.new[text] = got
         return got
 
-    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
+    def pieces(self, text: str) -> list[tuple[int, str, bytes, bytes]]:
         """Added tokens are cut out first; the rest is cut by the pattern."""
         out, known = [], self.new
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
                 i = self.added[part]
-                out.append((1, f"{i},", self.decoded[i]))
+                out.append((1, f"{i},", self.decoded[i], struct.pack("<I", i)))
             elif part:
                 for p in self.pattern.findall(part):
                     got = known.get(p)
@@ -155,7 +157,7 @@ class Bpe:
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split(",")[:-1]]
+        return [int(i) for _, ids, _, _ in self.pieces(text) for i in ids.split(",")[:-1]]
 
     def decode(self, ids: list[int]) -> str:
         """As the library does with skip_special_tokens=False; bytes that aren't UTF-8 become U+FFFD."""
@@ -177,8 +179,6 @@ _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encode_decode(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 and, if
     asked for, ids. Null texts are empty texts: no ids. Rows are independent, so nothing is shuffled; an empty table gives an empty result."""
-    kind = pa.list_(pa.int32())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(tokenizer)
         for batch in batches:
@@ -190,9 +190,9 @@ def encode_decode(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", te
                 ids_sha.append(hashlib.sha256(listed.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(b"".join([p[2] for p in pieces]).decode("utf-8", "replace").encode()).hexdigest())
                 if with_ids:
-                    ids.append([int(i) for i in listed.split(",")] if listed else [])
+                    ids.append(b"".join([p[3] for p in pieces]))
             out = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
-            yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(ids, kind)} if with_ids else {}))
+            yield pa.RecordBatch.from_pydict(out | ({"ids": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))} if with_ids else {}))
 
     found = keyed(docs, id_col, text_col).mapInArrow(run, _OUT + ", ids array<int>" * with_ids)
     return found.withColumn("doc_id", real_id())

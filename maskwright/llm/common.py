@@ -56,11 +56,14 @@ def write_once(frame: DataFrame, tag: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Just (doc_id, text): null ids become NULL_ID, null texts the empty text; other columns can't clash."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
+    """Just (doc_id, text): null ids become NULL_ID, null texts the empty text; other columns can't clash. With carry also
+    carried, a struct of the columns it names (at least of their number)."""
+    more = [] if carry is None else [F.struct(F.lit(len(carry)).alias("columns"), *(F.col(f"`{c}`") for c in carry)).alias("carried")]
     return docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
+        *more,
     )
 
 

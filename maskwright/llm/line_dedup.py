@@ -25,7 +25,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 MIN_CODE_POINTS = 10
 SLOTS, MAX_KICKS, LOAD = 4, 400, 0.84
 _LINES = "doc_id long, h1 long, h2 long, n long"
-_KEPT = "doc_id long, text string, n_lines long, n_dropped long, kept_sha256 string"
+_KEPT = "doc_id long, text string, carried %s, n_lines long, n_dropped long, kept_sha256 string"
 
 
 # --- keys ---------------------------------------------------------------------------------------
@@ -75,7 +75,8 @@ def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = text if kept is None else "\n".join(kept)
             for column, value in zip(out, (i, left, len(lines), 0 if kept is None else len(lines) - len(kept), hashlib.sha256(left.encode()).hexdigest())):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.string())], names=["doc_id", "text", "n_lines", "n_dropped", "kept_sha256"])
+        done = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))]
+        yield pa.RecordBatch.from_arrays([*done[:2], batch.column(3), *done[2:]], names=["doc_id", "text", "carried", "n_lines", "n_dropped", "kept_sha256"])
 
 
 # --- cuckoo filter ------------------------------------------------------------------------------
@@ -229,16 +230,17 @@ class LineIndex:
             good.unionByName(again).write.parquet(to)
         self.filters = to
 
-    def insert(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Adds the documents. Returns them as (doc_id, text, n_lines, n_dropped, kept_sha256): a line whose key has
+    def insert(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+        """Adds the documents. Returns them as (doc_id, text, carried, n_lines, n_dropped, kept_sha256): a line whose key has
         at least 10 code points and is held by a document with a smaller id, of this batch or before, is gone from text.
+        carried: a struct of the columns named in carry.
 
         Null ids are one document that sorts first; a null text is one empty line. Rows that repeat an id are one document.
         Hot keys meet only as partial counts; the join of postings with keys is one that Spark splits when it is skewed.
         """
-        rows = keyed(docs, id_col, text_col)
+        rows = keyed(docs, id_col, text_col, carry)
         at = f"{self.path}/postings-{len(self.generations)}"
-        rows.mapInArrow(_extract, _LINES).write.parquet(at)
+        rows.select("doc_id", "text").mapInArrow(_extract, _LINES).write.parquet(at)
         lines = self.spark.read.schema(_LINES).parquet(at)
         fresh = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         probed = self._probe_and_add(fresh)
@@ -254,7 +256,7 @@ class LineIndex:
         self._commit_filters()
         drops = lines.join(new, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
         # The smaller side is built into hash tables, so the texts needn't be sorted.
-        return rows.join(drops.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "drops").mapInArrow(_drop_lines, _KEPT)
+        return rows.join(drops.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "drops", "carried").mapInArrow(_drop_lines, _KEPT % rows.schema["carried"].dataType.simpleString())
 
     def delete(self, ids: DataFrame) -> None:
         """Takes out the documents whose id is in the first column of ids. Their postings are cancelled; keys that no document

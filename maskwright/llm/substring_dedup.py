@@ -71,3 +71,17 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("text").withColumn("doc_id", real_id())
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+pos AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 33, 1))) AS i FROM w),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM pos),
+rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM win JOIN rep USING (h)),
+word AS (SELECT doc_id, unnest(ws) AS t, generate_subscripts(ws, 1) AS k FROM w),
+judged AS (SELECT word.doc_id, word.t, word.k, hit.k IS NOT NULL AS gone FROM word LEFT JOIN hit ON word.doc_id = hit.doc_id AND word.k = hit.k),
+done AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(t, ' ' ORDER BY k) FILTER (WHERE NOT gone) AS kept FROM judged GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN done USING (doc_id)
+"""
