@@ -1,0 +1,4 @@
+"""The queries of this engine and their SQL."""
+
+QUERIES: dict = {}
+SQL: dict = {}
