@@ -16,17 +16,18 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .tokens import chunks, mix
 
 _ZIP = zstandard.ZstdCompressor(level=1)
 #: Windows sorted and packed at a time by a map task.
 BLOCK = 1_000_000
+#: Hash ranges for each shuffle partition: one range is in memory at a time.
+RANGES = 2
 #: UTF-8 bytes hashed at a time.
 CHUNK = 1_000_000
 _SENT = "bucket int, doc_id long, known boolean, blob binary"
-_TOLD = "doc_id long, spans binary"
+_TOLD = "bucket int, blob binary"
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -93,24 +94,21 @@ def by_hash(hashes: np.ndarray, *second: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def to_spans(positions: np.ndarray) -> bytes:
-    """Ascending positions, as (first, number) of each run of consecutive ones."""
+    """Ascending positions, as (first, number) of each run of consecutive ones. Such bytes can be joined."""
     cut = np.flatnonzero(np.r_[True, positions[1:] != positions[:-1] + 1])
-    sizes = np.diff(np.r_[cut, len(positions)])
-    return _ZIP.compress(np.r_[positions[cut], sizes].astype("<u4").tobytes())
+    return np.stack((positions[cut], np.diff(np.r_[cut, len(positions)])), 1).astype("<u4").tobytes()
 
 
-def from_spans(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    unzip = zstandard.ZstdDecompressor()
-    got = [np.frombuffer(unzip.decompress(b), "<u4").reshape(2, -1).astype(np.int64) for b in blobs]
-    both = np.concatenate(got, 1)
-    return both[0], both[1]
+def from_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(raw, "<u4").reshape(-1, 2).astype(np.int64)
+    return both[:, 0], both[:, 1]
 
 
-def covered(n: int, blobs: list[bytes] | None, window: int) -> np.ndarray:
+def covered(n: int, spans: bytes | None, window: int) -> np.ndarray:
     """Which of n places a window that starts at one of the positions covers."""
     change = np.zeros(n + 1, np.int64)
-    if blobs:
-        first, size = from_spans(blobs)
+    if spans:
+        first, size = from_spans(spans)
         np.add.at(change, np.minimum(first, n), 1)
         np.add.at(change, np.minimum(first + size - 1 + window, n), -1)
     return np.cumsum(change[:-1]) > 0
@@ -134,11 +132,43 @@ def _several(order: np.ndarray, heads: np.ndarray, owner: np.ndarray, apart: boo
     return np.diff(np.r_[heads, len(order)]) > 1
 
 
-def bucket_of(doc_id: int, buckets: int) -> int:
-    return int(mix(np.array([doc_id], np.int64).view(np.uint64))[0] % np.uint64(buckets))
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(np.asarray(ids, np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _sender(extract: Callable, buckets: int, apart: bool):
+def bundle(items: list[tuple[int, bytes]], buckets: int) -> pd.DataFrame:
+    """(document, bytes for it): one row per bucket of documents, however many documents there are."""
+    ids = np.array([i for i, _ in items], np.int64)
+    bucket = bucket_of(ids, buckets)
+    order = np.argsort(bucket, kind="stable")
+    rows = []
+    for b, k in split_by(bucket[order], order):
+        parts = [items[j][1] for j in k.tolist()]
+        sizes = np.array([len(x) for x in parts], "<u4")
+        rows.append((b, _ZIP.compress(struct.pack("<I", len(k)) + planes(ids[k]) + planes(sizes) + b"".join(parts))))
+    return pd.DataFrame(rows, columns=["bucket", "blob"]).astype({"bucket": "int32"})
+
+
+def unbundle(rows: pd.DataFrame) -> pd.DataFrame:
+    """All bytes for each document, joined."""
+    got: dict[int, list[bytes]] = {}
+    for blob in rows["blob"]:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        (n,) = struct.unpack_from("<I", raw)
+        ids, at = unplanes(raw, 4, n, "<i8")
+        sizes, at = unplanes(raw, at, n, "<u4")
+        for i, size in zip(ids.tolist(), sizes.tolist()):
+            got.setdefault(i, []).append(raw[at : at + size])
+            at += size
+    return pd.DataFrame({"doc_id": np.array(list(got), np.int64), "told": [b"".join(x) for x in got.values()]})
+
+
+def gathered(told: DataFrame) -> DataFrame:
+    """Bundles to (doc_id, told), a row per document."""
+    return told.groupBy("bucket").applyInPandas(unbundle, "doc_id long, told binary")
+
+
+def _sender(extract: Callable, ranges: int, apart: bool):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
         ids: list[int] = []
@@ -159,10 +189,10 @@ def _sender(extract: Callable, buckets: int, apart: bool):
                 at = np.sort(order[again])
                 k = np.searchsorted(starts, at, side="right") - 1
                 for doc, positions in split_by(k, at - starts[k]):
-                    rows.append((bucket_of(int(own[doc]), buckets), int(own[doc]), None, to_spans(positions)))
+                    rows.append((int(bucket_of(own[doc : doc + 1], ranges)[0]), int(own[doc]), None, to_spans(positions)))
             for known, some, at in ((False, h[~again], order[~again]), (True, h[heads[several]], None)):
-                edges = bucket_edges(some, buckets)
-                for b in range(buckets):
+                edges = bucket_edges(some, ranges)
+                for b in range(ranges):
                     a, e = edges[b], edges[b + 1]
                     if a == e:
                         continue
@@ -199,7 +229,7 @@ def _sender(extract: Callable, buckets: int, apart: bool):
     return send
 
 
-def _teller(apart: bool):
+def _teller(apart: bool, buckets: int):
     def tell(rows: pd.DataFrame) -> pd.DataFrame:
         """One range: the source coordinates of its windows that occur more than once."""
         direct = rows[rows["doc_id"].notna()]
@@ -209,7 +239,7 @@ def _teller(apart: bool):
         flagged = np.concatenate([unpack(b)[0] for b in rest["blob"][known]]) if known.any() else np.zeros(0, np.uint64)
         got = [unpack(b) for b in rest["blob"][~known]]
         if got:
-            h, d, p = (np.concatenate([g[k] for g in got]) for k in range(3))
+            h, d, p = (np.concatenate([g[k] for g in got]).astype(kind, copy=False) for k, kind in enumerate((np.uint64, np.int64, np.uint32)))
             del got
             order, heads = by_hash(h)
             several = _several(order, heads, d, apart)
@@ -218,13 +248,13 @@ def _teller(apart: bool):
             d, p = d[at], p[at]
             order = np.lexsort((p, d))
             out += [(i, to_spans(np.unique(s))) for i, s in split_by(d[order], p[order])]
-        return pd.DataFrame(out, columns=["doc_id", "spans"]).astype({"doc_id": "int64"})
+        return bundle(out, buckets)
 
     return tell
 
 
 def repeated(rows: DataFrame, extract: Callable, buckets: int, *, apart: bool = False) -> DataFrame:
     """rows: (doc_id, text). extract: texts to the hashes of their windows, in order, and the number of each text's. Returns (doc_id,
-    spans): the positions of windows whose hash occurs more than once or, if apart, in more than one document, as blobs for from_spans()."""
-    told = rows.mapInArrow(_sender(extract, buckets, apart), _SENT).groupBy("bucket").applyInPandas(_teller(apart), _TOLD)
-    return told.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
+    told): the positions of windows whose hash occurs more than once or, if apart, in more than one document, for from_spans()."""
+    sent = rows.mapInArrow(_sender(extract, RANGES * buckets, apart), _SENT)
+    return gathered(sent.groupBy("bucket").applyInPandas(_teller(apart, buckets), _TOLD))

@@ -21,14 +21,17 @@ from pyspark.sql import functions as F
 
 from .common import keyed, real_id, shuffle_partitions, table, write_once
 from .components import connected_components
-from .exchange import BLOCK, bucket_edges, by_hash, pack, unpack
+from .exchange import BLOCK, RANGES, bucket_edges, bucket_of, bundle, by_hash, gathered, pack, unpack
 from .tokens import chunks, mix, shingles
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Shingles in this many documents or more are of one class: the most frequent.
 FREQUENT = 64
 CHUNK = 1_000_000
-_SENT = "bucket int, doc_id long, n long, node long, blob binary"
+_SENT = "bucket int, doc_id long, often boolean, blob binary"
+#: A shingle and its frequency class; with the last two classes, the size of the set and the node.
+_LISTED = np.dtype([("h", "<u8"), ("c", "u1")])
+_SIZE, _NODE = 254, 255
 
 
 def _sender(buckets: int, size: int):
@@ -47,7 +50,7 @@ def _sender(buckets: int, size: int):
             n = np.bincount(d, minlength=len(ids))
             node = np.zeros(len(ids), np.uint64)
             np.add.at(node, d, mix(h ^ np.uint64(0xA5A5A5A5)))
-            node = mix(node + n.astype(np.uint64)).view(np.int64)
+            node = mix(node + n.astype(np.uint64))
             # Shingles of many documents of this block: the documents are told here, and the range gets one entry.
             heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
             runs = np.diff(np.r_[heads, len(h)])
@@ -59,23 +62,26 @@ def _sender(buckets: int, size: int):
                 od, oh = od[o], oh[o]
                 cut = np.flatnonzero(np.r_[True, od[1:] != od[:-1]])
                 told = {int(od[a]): part for a, part in zip(cut, np.split(oh, cut[1:]))}
-            rows = [(int(mix(np.array([i], np.int64).view(np.uint64))[0] % np.uint64(buckets)), i, int(n[k]), int(node[k]), _listed(told.get(k, h[:0]), 6)) for k, i in enumerate(ids)]
+            table_ = np.array(ids, np.int64)
+            rows = [
+                (b, i, None, _listed(np.array([n[k]]), _SIZE) + _listed(node[k : k + 1], _NODE) + _listed(told.get(k, h[:0]), 6))
+                for k, (i, b) in enumerate(zip(ids, bucket_of(table_, buckets).tolist()))
+            ]
             sent, owner = h[~often], d[~often]
             edges = bucket_edges(sent, buckets)
-            table_ = np.array(ids, np.int64)
             for b in range(buckets):
                 if edges[b] < edges[b + 1]:
                     part = slice(edges[b], edges[b + 1])
                     used, local = np.unique(owner[part], return_inverse=True)
-                    rows.append((b, None, None, None, pack(sent[part], local, table_[used], None)))
+                    rows.append((b, None, False, pack(sent[part], local, table_[used], None)))
             many = h[heads[runs >= FREQUENT]]
             edges = bucket_edges(many, buckets)
             for b in range(buckets):
                 if edges[b] < edges[b + 1]:
-                    rows.append((b, None, -1, None, pack(many[edges[b] : edges[b + 1]], np.zeros(edges[b + 1] - edges[b], np.int64), np.zeros(0, np.int64), None)))
+                    rows.append((b, None, True, pack(many[edges[b] : edges[b + 1]], np.zeros(edges[b + 1] - edges[b], np.int64), np.zeros(0, np.int64), None)))
             held.clear()
             ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "doc_id", "n", "node", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], names=["bucket", "doc_id", "often", "blob"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -97,36 +103,36 @@ def _sender(buckets: int, size: int):
 
 
 def _listed(hashes: np.ndarray, level: int | np.ndarray) -> bytes:
-    """Hashes with their frequency classes."""
-    return hashes.astype("<u8").tobytes() + np.broadcast_to(np.asarray(level, np.uint8), len(hashes)).tobytes()
-
-
-def _unlisted(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = [len(r) // 9 for r in raws]
-    h = np.concatenate([np.frombuffer(r, "<u8", n) for r, n in zip(raws, sizes)])
-    c = np.concatenate([np.frombuffer(r, np.uint8, n, 8 * n) for r, n in zip(raws, sizes)])
-    return h, c
+    out = np.empty(len(hashes), _LISTED)
+    out["h"], out["c"] = hashes, level
+    return out.tobytes()
 
 
-_TOLD = "doc_id long, n long, node long, listed binary"
+def _teller(buckets: int):
+    return lambda rows: bundle(_tell(rows), buckets)
 
 
-def _tell(rows: pd.DataFrame) -> pd.DataFrame:
+def _tell(rows: pd.DataFrame) -> list[tuple[int, bytes]]:
     """One range: to each document, its shingles that are shared, with their classes. Rows of documents pass."""
     own = rows[rows["doc_id"].notna()]
-    out = [(int(i), int(n), int(v), bytes(b)) for i, n, v, b in zip(own["doc_id"], own["n"], own["node"], own["blob"])] if len(own) else []
+    out = [(int(i), bytes(b)) for i, b in zip(own["doc_id"], own["blob"])]
     rest = rows[rows["doc_id"].isna()]
-    flagged = rest["n"].notna()
+    flagged = rest["often"].astype(bool)
     hot = np.unique(np.concatenate([unpack(b)[0] for b in rest["blob"][flagged]])) if flagged.any() else np.zeros(0, np.uint64)
     if (~flagged).any():
         got = [unpack(b)[:2] for b in rest["blob"][~flagged]]
         h, d = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
         del got
-        order, _ = by_hash(h, d)
+        order, heads = by_hash(h, d)
         h, d = h[order], d[order]
-        once = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
+        # Most shingles are in one document only; they go before the rest is looked at.
+        several = np.repeat(np.diff(np.r_[heads, len(h)]) > 1, np.diff(np.r_[heads, len(h)]))
+        if len(hot):
+            several |= np.isin(h, hot)
+        h, d = h[several], d[several]
+        once = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])][: len(h)]
         h, d = h[once], d[once]
-        heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
         runs = np.diff(np.r_[heads, len(h)])
         level = np.minimum(np.log2(runs).astype(np.int64), 6)
         level[np.isin(h[heads], hot)] = 6
@@ -137,9 +143,8 @@ def _tell(rows: pd.DataFrame) -> pd.DataFrame:
         h, d, level = h[order], d[order], level[order]
         cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else []
         ends = [*cut[1:], len(d)] if len(d) else []
-        out += [(int(d[a]), None, None, _listed(h[a:b], level[a:b])) for a, b in zip(cut, ends)]
-    i, n, v, b = zip(*out) if out else ((), (), (), ())
-    return pd.DataFrame({"doc_id": pd.array(i, "Int64"), "n": pd.array(n, "Int64"), "node": pd.array(v, "Int64"), "listed": list(b)})
+        out += [(int(d[a]), _listed(h[a:b], level[a:b])) for a, b in zip(cut, ends)]
+    return out
 
 
 def least(n: np.ndarray | int):
@@ -148,18 +153,17 @@ def least(n: np.ndarray | int):
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, node, shared shingles, rarest first) ; null for documents of which too few are shared."""
+    """(doc_id, n, node, shared shingles, rarest first); shared is null for documents of which too few are shared."""
     for batch in batches:
         out = []
-        for i, n, node, lists in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            h, c = _unlisted(lists) if lists else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
-            if len(lists) > 1:
-                h, first = np.unique(h, return_index=True)
-                c = c[first]
+        for i, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            got = np.frombuffer(told, _LISTED)
+            n = int(got["h"][got["c"] == _SIZE].max())
+            node = int(got["h"][got["c"] == _NODE].max().view(np.int64))
+            got = np.unique(got[got["c"] < _SIZE])
             raw = None
-            if n and len(h) >= least(n):
-                order = np.lexsort((h, c))
-                raw = h[order].tobytes()
+            if n and len(got) >= least(n):
+                raw = got["h"][np.lexsort((got["h"], got["c"]))].tobytes()
             out.append((i, n, node, raw))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n", "node", "shared"])
 
@@ -286,10 +290,9 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     An empty table gives an empty result.
     """
     buckets = shuffle_partitions(docs.sparkSession)
-    sent = keyed(docs, id_col, text_col).mapInArrow(_sender(buckets, words), _SENT)
-    told = sent.groupBy("bucket").applyInPandas(_tell, _TOLD)
-    lists = told.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("node").alias("node"), F.collect_list("listed").alias("lists"))
-    sets = write_once(lists.mapInArrow(_gather, "doc_id long, n long, node long, shared binary"), "jaccard-sets")
+    sent = keyed(docs, id_col, text_col).mapInArrow(_sender(RANGES * buckets, words), _SENT)
+    told = sent.groupBy("bucket").applyInPandas(_teller(buckets), "bucket int, blob binary")
+    sets = write_once(gathered(told).mapInArrow(_gather, "doc_id long, n long, node long, shared binary"), "jaccard-sets")
     near = sets.where("shared is not null").select("node", "n", "shared")
     # Nodes that share a rare shingle are connected to the smallest of them.
     held = near.mapInArrow(_prefixes, "node long, shingle long").distinct()

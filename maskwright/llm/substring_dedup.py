@@ -39,11 +39,11 @@ def _remover(window: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for i, text, blobs in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for i, text, spans in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 own = text.encode().split()
                 n, gone = len(own), 0
-                if blobs:
-                    cover = covered(n, blobs, window)
+                if spans:
+                    cover = covered(n, spans, window)
                     gone = int(cover.sum())
                     own = [w for w, c in zip(own, cover.tolist()) if not c]
                 kept = b" ".join(own)
@@ -66,7 +66,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc
     buckets = shuffle_partitions(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     spans = repeated(rows, _edges(window), buckets)
-    return rows.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remover(window), _KEPT)
+    return rows.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "told").mapInArrow(_remover(window), _KEPT)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,9 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import keyed, real_id, shuffle_partitions, table
-from .exchange import CHUNK, bucket_of, by_hash, covered, from_spans, planes, repeated, split_by, to_spans, unplanes
+from .exchange import CHUNK, bucket_of, bundle, by_hash, covered, from_spans, gathered, planes, repeated, split_by, to_spans, unplanes
 from .induced_sort import suffix_order
 from .tokens import chunks, mix, powers, rolling
 
@@ -158,7 +157,7 @@ def _told(ids: np.ndarray, at: np.ndarray, counts: np.ndarray, buckets: int) ->
     order = np.lexsort((at, ids))
     ids, at, counts = ids[order], at[order], counts[order]
     places = np.repeat(at - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    return [(bucket_of(i, buckets), i, to_spans(np.unique(p))) for i, p in split_by(np.repeat(ids, counts), places)]
+    return [(int(bucket_of(np.array([i]), buckets)[0]), i, to_spans(np.unique(p))) for i, p in split_by(np.repeat(ids, counts), places)]
 
 
 def duplicate_windows(text: np.ndarray, offsets: np.ndarray, counts: np.ndarray, ids: np.ndarray, length: int, budget: int = 64_000_000) -> np.ndarray:
@@ -193,7 +192,7 @@ def duplicate_windows(text: np.ndarray, offsets: np.ndarray, counts: np.ndarray,
     return out
 
 
-def _solver(length: int, buckets: int):
+def _solver(length: int, shards: int, buckets: int):
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         direct = rows[rows["doc_id"].notna()]
         out = [(int(i), bytes(b)) for i, b in zip(direct["doc_id"], direct["blob"])]
@@ -210,7 +209,7 @@ def _solver(length: int, buckets: int):
             least = np.empty(len(ids), np.int64)
             least[order] = np.repeat(ids[order[heads]], runs)
             later = ids > least
-            out += [(i, b) for _, i, b in _told(ids[later], at[later], counts[later], buckets)]
+            out += [(i, b) for _, i, b in _told(ids[later], at[later], counts[later], shards)]
             ids, at, counts, offset, sizes = (x[~later] for x in (ids, at, counts, offset, sizes))
             text = _join(text, offset, sizes)
             offset = np.cumsum(sizes) - sizes
@@ -219,7 +218,7 @@ def _solver(length: int, buckets: int):
             places = (np.repeat(at - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum())))[gone]
             order = np.lexsort((places, owner))
             out += [(i, to_spans(np.unique(p))) for i, p in split_by(owner[order], places[order])]
-        return pd.DataFrame(out, columns=["doc_id", "spans"]).astype({"doc_id": "int64"})
+        return bundle(out, buckets)
 
     return solve
 
@@ -260,9 +259,9 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id
     buckets = shuffle_partitions(docs.sparkSession)
     rows = keyed(docs, id_col, text_col)
     near = repeated(rows, _minimizers(length), buckets, apart=True)
-    sent = rows.join(near.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "spans").mapInArrow(_sender(length, SHARDS * buckets), _SENT)
-    gone = sent.groupBy("bucket").applyInPandas(_solver(length, SHARDS * buckets), "doc_id long, spans binary").groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    return rows.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remover(length), _KEPT)
+    sent = rows.join(near.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "told").mapInArrow(_sender(length, SHARDS * buckets), _SENT)
+    gone = gathered(sent.groupBy("bucket").applyInPandas(_solver(length, SHARDS * buckets, buckets), "bucket int, blob binary"))
+    return rows.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "told").mapInArrow(_remover(length), _KEPT)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
