@@ -21,9 +21,9 @@ from .tokens import chunks, mix
 
 _ZIP = zstandard.ZstdCompressor(level=1)
 #: Windows sorted and packed at a time by a map task.
-BLOCK = 1_000_000
+BLOCK = 600_000
 #: Hash ranges for each shuffle partition: one range is in memory at a time.
-RANGES = 2
+RANGES = 3
 #: UTF-8 bytes hashed at a time.
 CHUNK = 1_000_000
 _SENT = "bucket int, doc_id long, known boolean, blob binary"
