@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, table, write_once
 
-#: Rows that one sorted range of a source holds on average.
-ROWS_PER_RANGE = 20_000
-
 
 def cycling_weight(rank: Column) -> Column:
     """Weights 1, 2, 3, repeating, by the source's rank from 0."""
@@ -32,7 +29,8 @@ def mix_to_weights(docs: DataFrame, *, weight=cycling_weight, total: float | Non
     and, in the last one, all of it, none, or, for the document at the cut, its first words; per source it sums to the rounded target.
     The keys depend on seed, id and size only, so reruns agree. Empty tables give an empty result.
 
-    The table per source has a row for each source. It is made in one task, as are the sums per range (a row for each 20,000 rows).
+    The table per source has a row for each source. It is made in one task, as are the sums per range of a source:
+    it has as many ranges as rows in each, so neither grows faster than the root of its rows.
     """
     sizes = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
@@ -53,6 +51,8 @@ def mix_to_weights(docs: DataFrame, *, weight=cycling_weight, total: float | Non
     # Keys are uniform, so ranges of equal width hold about as many rows each, however large the source.
     share = (F.shiftrightunsigned("key", 11).cast("double") / F.lit(float(2**53)))
     ranged = planned.withColumn("range", F.least(F.floor(share * F.col("n_ranges")), F.col("n_ranges") - 1).cast("long"))
+    # Dealt by range as well: else the windows below would take the join's partitioning, with a whole source in one task.
+    ranged = ranged.repartition("no_source", "name", "range")
     sums = ranged.groupBy("no_source", "name", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("no_source", "name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("no_source", "name", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_start"))
@@ -83,7 +83,7 @@ def _targets(by_source: DataFrame, weight, total: float | None, max_epochs: int)
     return filled.select(
         "no_source", "name", "source_size", "target", epochs.alias("epochs"),
         (budget - epochs * F.col("source_size")).alias("rest"),
-        F.greatest(F.lit(1), F.ceil(F.col("n_rows") / ROWS_PER_RANGE)).cast("long").alias("n_ranges"),
+        F.greatest(F.lit(1), F.ceil(F.sqrt("n_rows"))).cast("long").alias("n_ranges"),
     )
 
 
