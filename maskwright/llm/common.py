@@ -15,8 +15,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 NULL_ID = -(2**63)
 
 
+#: Rows that go to a Python worker at a time. Texts may be long, so the default of 10,000 would be much memory.
+ROWS_PER_BATCH = "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

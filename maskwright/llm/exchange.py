@@ -136,36 +136,67 @@ def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(np.asarray(ids, np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def bundle(items: list[tuple[int, bytes]], buckets: int) -> pd.DataFrame:
-    """(document, bytes for it): one row per bucket of documents, however many documents there are."""
-    ids = np.array([i for i, _ in items], np.int64)
-    bucket = bucket_of(ids, buckets)
-    order = np.argsort(bucket, kind="stable")
+def rows_of(rows: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (doc_id, blob of records) as (document of each record, records)."""
+    sizes = [len(b) // width for b in rows["blob"]]
+    return np.repeat(rows["doc_id"].to_numpy(np.int64), sizes), np.frombuffer(b"".join(rows["blob"]), np.uint8).reshape(-1, width)
+
+
+def spans_of(docs: np.ndarray, firsts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans as records of 8 bytes; those of a document that follow each other become one."""
+    if not len(docs):
+        return docs, np.zeros((0, 8), np.uint8)
+    order = np.lexsort((firsts, docs))
+    docs, firsts, counts = docs[order], firsts[order].astype(np.int64), counts[order].astype(np.int64)
+    head = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (firsts[1:] != firsts[:-1] + counts[:-1])])
+    both = np.stack((firsts[head], np.add.reduceat(counts, head)), 1).astype("<u4")
+    return docs[head], both.view(np.uint8).reshape(-1, 8)
+
+
+def merged(docs: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    both = np.ascontiguousarray(records).view("<u4").reshape(-1, 2)
+    return spans_of(docs, both[:, 0], both[:, 1])
+
+
+def bundle(docs: np.ndarray, records: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Records for documents: one row per bucket of documents, however many documents there are."""
+    bucket = bucket_of(docs, buckets)
+    order = np.lexsort((docs, bucket))
     rows = []
     for b, k in split_by(bucket[order], order):
-        parts = [items[j][1] for j in k.tolist()]
-        sizes = np.array([len(x) for x in parts], "<u4")
-        rows.append((b, _ZIP.compress(struct.pack("<I", len(k)) + planes(ids[k]) + planes(sizes) + b"".join(parts))))
+        own, cut = np.unique(docs[k], return_index=True)
+        sizes = np.diff(np.r_[cut, len(k)]).astype("<u4")
+        body = np.ascontiguousarray(records[k].T).tobytes()
+        rows.append((b, _ZIP.compress(struct.pack("<I", len(own)) + planes(np.diff(own, prepend=0)) + planes(sizes) + body)))
     return pd.DataFrame(rows, columns=["bucket", "blob"]).astype({"bucket": "int32"})
 
 
-def unbundle(rows: pd.DataFrame) -> pd.DataFrame:
-    """All bytes for each document, joined."""
-    got: dict[int, list[bytes]] = {}
-    for blob in rows["blob"]:
-        raw = zstandard.ZstdDecompressor().decompress(blob)
-        (n,) = struct.unpack_from("<I", raw)
-        ids, at = unplanes(raw, 4, n, "<i8")
-        sizes, at = unplanes(raw, at, n, "<u4")
-        for i, size in zip(ids.tolist(), sizes.tolist()):
-            got.setdefault(i, []).append(raw[at : at + size])
-            at += size
-    return pd.DataFrame({"doc_id": np.array(list(got), np.int64), "told": [b"".join(x) for x in got.values()]})
-
-
-def gathered(told: DataFrame) -> DataFrame:
+def _unbundler(width: int, merge: Callable | None):
+    def unbundle(rows: pd.DataFrame) -> pd.DataFrame:
+        docs, records = [], []
+        for blob in rows["blob"]:
+            raw = zstandard.ZstdDecompressor().decompress(blob)
+            (n,) = struct.unpack_from("<I", raw)
+            ids, at = unplanes(raw, 4, n, "<i8")
+            sizes, at = unplanes(raw, at, n, "<u4")
+            docs.append(np.repeat(np.cumsum(ids), sizes))
+            records.append(np.frombuffer(raw, np.uint8, offset=at).reshape(width, -1).T)
+        d, r = np.concatenate(docs), np.concatenate(records)
+        if merge:
+            d, r = merge(d, r)
+        else:
+            order = np.argsort(d, kind="stable")
+            d, r = d[order], r[order]
+        own, cut = np.unique(d, return_index=True)
+        raw, ends = r.tobytes(), [*cut[1:].tolist(), len(d)]
+        return pd.DataFrame({"doc_id": own, "told": [raw[a * width : b * width] for a, b in zip(cut.tolist(), ends)]})
+
+    return unbundle
+
+
+def gathered(told: DataFrame, width: int = 8, merge: Callable | None = merged) -> DataFrame:
     """Bundles to (doc_id, told), a row per document."""
-    return told.groupBy("bucket").applyInPandas(unbundle, "doc_id long, told binary")
+    return told.groupBy("bucket").applyInPandas(_unbundler(width, merge), "doc_id long, told binary")
 
 
 def _sender(extract: Callable, ranges: int, apart: bool):
@@ -232,8 +263,7 @@ def _sender(extract: Callable, ranges: int, apart: bool):
 def _teller(apart: bool, buckets: int):
     def tell(rows: pd.DataFrame) -> pd.DataFrame:
         """One range: the source coordinates of its windows that occur more than once."""
-        direct = rows[rows["doc_id"].notna()]
-        out = [(int(i), bytes(b)) for i, b in zip(direct["doc_id"], direct["blob"])]
+        docs, records = rows_of(rows[rows["doc_id"].notna()], 8)
         rest = rows[rows["doc_id"].isna()]
         known = rest["known"].astype(bool)
         flagged = np.concatenate([unpack(b)[0] for b in rest["blob"][known]]) if known.any() else np.zeros(0, np.uint64)
@@ -245,10 +275,9 @@ def _teller(apart: bool, buckets: int):
             several = _several(order, heads, d, apart)
             again = np.repeat(several | np.isin(h[order][heads], flagged), np.diff(np.r_[heads, len(h)]))
             at = order[again]
-            d, p = d[at], p[at]
-            order = np.lexsort((p, d))
-            out += [(i, to_spans(np.unique(s))) for i, s in split_by(d[order], p[order])]
-        return bundle(out, buckets)
+            own, found = spans_of(d[at], p[at], np.ones(len(at), np.int64))
+            docs, records = np.concatenate((docs, own)), np.concatenate((records, found))
+        return bundle(docs, records, buckets)
 
     return tell
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import keyed, real_id, shuffle_partitions, table, write_once
 from .components import connected_components
-from .exchange import BLOCK, RANGES, bucket_edges, bucket_of, bundle, by_hash, gathered, pack, unpack
+from .exchange import BLOCK, RANGES, bucket_edges, bucket_of, bundle, by_hash, gathered, pack, rows_of, unpack
 from .tokens import chunks, mix, shingles
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -109,13 +109,12 @@ def _listed(hashes: np.ndarray, level: int | np.ndarray) -> bytes:
 
 
 def _teller(buckets: int):
-    return lambda rows: bundle(_tell(rows), buckets)
+    return lambda rows: bundle(*_tell(rows), buckets)
 
 
-def _tell(rows: pd.DataFrame) -> list[tuple[int, bytes]]:
+def _tell(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """One range: to each document, its shingles that are shared, with their classes. Rows of documents pass."""
-    own = rows[rows["doc_id"].notna()]
-    out = [(int(i), bytes(b)) for i, b in zip(own["doc_id"], own["blob"])]
+    docs, records = rows_of(rows[rows["doc_id"].notna()], _LISTED.itemsize)
     rest = rows[rows["doc_id"].isna()]
     flagged = rest["often"].astype(bool)
     hot = np.unique(np.concatenate([unpack(b)[0] for b in rest["blob"][flagged]])) if flagged.any() else np.zeros(0, np.uint64)
@@ -139,12 +138,8 @@ def _tell(rows: pd.DataFrame) -> list[tuple[int, bytes]]:
         level = np.repeat(level, runs)
         shared = level > 0
         h, d, level = h[shared], d[shared], level[shared]
-        order = np.argsort(d, kind="stable")
-        h, d, level = h[order], d[order], level[order]
-        cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else []
-        ends = [*cut[1:], len(d)] if len(d) else []
-        out += [(int(d[a]), _listed(h[a:b], level[a:b])) for a, b in zip(cut, ends)]
-    return out
+        docs, records = np.concatenate((docs, d)), np.concatenate((records, np.frombuffer(_listed(h, level), np.uint8).reshape(-1, _LISTED.itemsize)))
+    return docs, records
 
 
 def least(n: np.ndarray | int):
@@ -292,7 +287,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     buckets = shuffle_partitions(docs.sparkSession)
     sent = keyed(docs, id_col, text_col).mapInArrow(_sender(RANGES * buckets, words), _SENT)
     told = sent.groupBy("bucket").applyInPandas(_teller(buckets), "bucket int, blob binary")
-    sets = write_once(gathered(told).mapInArrow(_gather, "doc_id long, n long, node long, shared binary"), "jaccard-sets")
+    sets = write_once(gathered(told, _LISTED.itemsize, None).mapInArrow(_gather, "doc_id long, n long, node long, shared binary"), "jaccard-sets")
     near = sets.where("shared is not null").select("node", "n", "shared")
     # Nodes that share a rare shingle are connected to the smallest of them.
     held = near.mapInArrow(_prefixes, "node long, shingle long").distinct()

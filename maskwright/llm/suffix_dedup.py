@@ -19,13 +19,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import keyed, real_id, shuffle_partitions, table
-from .exchange import CHUNK, bucket_of, bundle, by_hash, covered, from_spans, gathered, planes, repeated, split_by, to_spans, unplanes
+from .exchange import CHUNK, bucket_of, bundle, by_hash, covered, from_spans, gathered, planes, repeated, rows_of, spans_of, split_by, unplanes
 from .induced_sort import suffix_order
 from .tokens import chunks, mix, powers, rolling
 
 LENGTH, SEED = 50, 20
 #: Shards for each shuffle partition, and bytes of stretches that a map task packs at a time.
-SHARDS, BLOCK = 4, 4_000_000
+SHARDS, BLOCK = 4, 3_000_000
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 2**64)
 
@@ -61,7 +61,8 @@ def stretches(texts: list[bytes], length: int, seed: int = SEED) -> tuple[np.nda
     first = np.flatnonzero(begin)
     stop = np.r_[np.flatnonzero(begin | ~valid), len(h)]
     count = stop[np.searchsorted(stop, first, side="right")] - first
-    return data, first, count, h[first], np.searchsorted(starts, first, side="right") - 1
+    # Least hashes are small numbers; mixed again, they are dealt evenly.
+    return data, first, count, mix(h[first] + np.uint64(1)), np.searchsorted(starts, first, side="right") - 1
 
 
 def _minimizers(length: int):
@@ -77,17 +78,18 @@ def _join(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return data[np.repeat(skip, sizes) + np.arange(int(sizes.sum()))]
 
 
-def _pack(ids: np.ndarray, at: np.ndarray, counts: np.ndarray, text: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(ids)) + planes(ids.astype("<i8")) + planes(at.astype("<u4")) + planes(counts.astype("<u4")) + text.tobytes())
+def _pack(ids: np.ndarray, at: np.ndarray, counts: np.ndarray, h: np.ndarray, text: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(ids)) + planes(ids.astype("<i8")) + planes(at.astype("<u4")) + planes(counts.astype("<u4")) + planes(h.astype("<u4")) + text.tobytes())
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     (n,) = struct.unpack_from("<I", raw)
     ids, at = unplanes(raw, 4, n, "<i8")
     starts, at = unplanes(raw, at, n, "<u4")
     counts, at = unplanes(raw, at, n, "<u4")
-    return ids, starts.astype(np.int64), counts.astype(np.int64), np.frombuffer(raw, np.uint8, offset=at)
+    h, at = unplanes(raw, at, n, "<u4")
+    return ids, starts.astype(np.int64), counts.astype(np.int64), h, np.frombuffer(raw, np.uint8, offset=at)
 
 
 _SENT = "bucket int, doc_id long, blob binary"
@@ -116,7 +118,7 @@ def _sender(length: int, buckets: int):
             shard = ((h[go] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             for b, k in split_by(shard[order], go[order]):
-                rows.append((b, None, _pack(ids[k], at[k], counts[k], _join(text, offset[k], sizes[k]))))
+                rows.append((b, None, _pack(ids[k], at[k], counts[k], h[k] & np.uint64(0xFFFFFFFF), _join(text, offset[k], sizes[k]))))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "doc_id", "blob"])
 
         for batch in batches:
@@ -152,12 +154,10 @@ def _sender(length: int, buckets: int):
 
 def _told(ids: np.ndarray, at: np.ndarray, counts: np.ndarray, buckets: int) -> list[tuple]:
     """Whole stretches that go, by document."""
-    if not len(ids):
-        return []
-    order = np.lexsort((at, ids))
-    ids, at, counts = ids[order], at[order], counts[order]
-    places = np.repeat(at - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    return [(int(bucket_of(np.array([i]), buckets)[0]), i, to_spans(np.unique(p))) for i, p in split_by(np.repeat(ids, counts), places)]
+    docs, spans = spans_of(ids, at, counts)
+    parts = split_by(docs, spans)
+    to = bucket_of(np.array([i for i, _ in parts], np.int64), buckets).tolist()
+    return [(b, i, p.tobytes()) for b, (i, p) in zip(to, parts)]
 
 
 def duplicate_windows(text: np.ndarray, offsets: np.ndarray, counts: np.ndarray, ids: np.ndarray, length: int, budget: int = 64_000_000) -> np.ndarray:
@@ -167,17 +167,19 @@ def duplicate_windows(text: np.ndarray, offsets: np.ndarray, counts: np.ndarray,
     sizes = counts + length - 1
     # Symbols: 0 the end, 1 behind each stretch, 2 and up the bytes.
     t = np.ones(len(text) + m + 1, np.uint16)
-    place = np.repeat(np.arange(m), sizes) + np.arange(len(text))
-    t[place] = text.astype(np.uint16) + 2
+    place = np.ones(len(t), bool)
+    place[np.cumsum(sizes + 1) - 1] = False
+    place[-1] = False
+    t[place] = text.astype(np.uint16) + np.uint16(2)
     t[-1] = 0
     order = suffix_order(t, length, budget)
     begin = offsets + np.arange(m)
-    window = np.full(len(t), -1, np.int64)  # number of the window that starts here
+    window = np.full(len(t), -1, np.int32)  # number of the window that starts here
     starts = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    window[starts] = np.arange(len(starts))
+    window[starts] = np.arange(len(starts), dtype=np.int32)
     order = order[window[order] >= 0]
     raw = np.zeros(len(t) + 8, np.uint8)
-    raw[place] = text
+    raw[: len(t)][place] = text
     eight = np.ndarray((len(t),), "<u8", raw, strides=(1,))
     a, b = order[1:], order[:-1]
     # The common prefix with the neighbour counts up to length.
@@ -192,13 +194,12 @@ def duplicate_windows(text: np.ndarray, offsets: np.ndarray, counts: np.ndarray,
     return out
 
 
-def _solver(length: int, shards: int, buckets: int):
+def _solver(length: int, buckets: int):
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        direct = rows[rows["doc_id"].notna()]
-        out = [(int(i), bytes(b)) for i, b in zip(direct["doc_id"], direct["blob"])]
+        told = [rows_of(rows[rows["doc_id"].notna()], 8)]
         got = [_unpack(b) for b in rows["blob"][rows["doc_id"].isna()]]
         if got:
-            ids, at, counts, text = (np.concatenate([g[k] for g in got]) for k in range(4))
+            ids, at, counts, h, text = (np.concatenate([g[k] for g in got]) for k in range(5))
             del got
             sizes = counts + length - 1
             offset = np.cumsum(sizes) - sizes
@@ -209,16 +210,21 @@ def _solver(length: int, shards: int, buckets: int):
             least = np.empty(len(ids), np.int64)
             least[order] = np.repeat(ids[order[heads]], runs)
             later = ids > least
-            out += [(i, b) for _, i, b in _told(ids[later], at[later], counts[later], shards)]
-            ids, at, counts, offset, sizes = (x[~later] for x in (ids, at, counts, offset, sizes))
-            text = _join(text, offset, sizes)
-            offset = np.cumsum(sizes) - sizes
-            gone = duplicate_windows(text, offset, counts, ids, length)
-            owner = np.repeat(ids, counts)[gone]
-            places = (np.repeat(at - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum())))[gone]
-            order = np.lexsort((places, owner))
-            out += [(i, to_spans(np.unique(p))) for i, p in split_by(owner[order], places[order])]
-        return bundle(out, buckets)
+            told.append(spans_of(ids[later], at[later], counts[later]))
+            # Equal windows have equal minimizers: where all stretches of a minimizer are one text, nothing is left to find.
+            order, heads = by_hash(h[~later].astype(np.uint64), content[~later])
+            runs = np.diff(np.r_[heads, len(order)])
+            own = content[~later][order]
+            several = np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads)
+            stay = np.flatnonzero(~later)[order[np.repeat(several, runs)]]
+            ids, at, counts, offset, sizes = (x[stay] for x in (ids, at, counts, offset, sizes))
+            if len(stay):
+                text = _join(text, offset, sizes)
+                offset = np.cumsum(sizes) - sizes
+                gone = np.flatnonzero(duplicate_windows(text, offset, counts, ids, length))
+                k = np.repeat(np.arange(len(ids)), counts)[gone]
+                told.append(spans_of(ids[k], at[k] + gone - (np.cumsum(counts) - counts)[k], np.ones(len(k), np.int64)))
+        return bundle(*(np.concatenate(x) for x in zip(*told)), buckets)
 
     return solve
 
@@ -260,7 +266,7 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id
     rows = keyed(docs, id_col, text_col)
     near = repeated(rows, _minimizers(length), buckets, apart=True)
     sent = rows.join(near.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "told").mapInArrow(_sender(length, SHARDS * buckets), _SENT)
-    gone = gathered(sent.groupBy("bucket").applyInPandas(_solver(length, SHARDS * buckets, buckets), "bucket int, blob binary"))
+    gone = gathered(sent.groupBy("bucket").applyInPandas(_solver(length, buckets), "bucket int, blob binary"))
     return rows.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "told").mapInArrow(_remover(length), _KEPT)
 
 
