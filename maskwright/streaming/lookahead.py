@@ -1,0 +1,77 @@
+"""Streams cut anywhere: text is held back while it may be the start of a placeholder, then restored."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+#: The buffer's limit and the longest placeholder.
+LIMIT, LONGEST = 512, 64
+_OPEN = re.compile(r"\[(?:[A-Z][A-Z0-9_]*)?\Z")
+
+
+def cut(buffer: str, limit: int = LIMIT) -> tuple[str, str]:
+    """(safe to emit, held back). An oversized buffer keeps its last 64 characters only; else everything from the
+    last bracket that may still become a placeholder is held."""
+    if len(buffer) > limit:
+        return buffer[:-LONGEST], buffer[-LONGEST:]
+    found = _OPEN.search(buffer, max(0, len(buffer) - LONGEST))
+    return (buffer[: found.start()], buffer[found.start() :]) if found else (buffer, "")
+
+
+def restore(text: str, known: dict[str, str]) -> str:
+    for token in sorted(known, key=len, reverse=True):
+        text = text.replace(f"[{token}]", known[token])
+    return text
+
+
+def restored_stream(chunks: DataFrame, known: dict[str, str]) -> DataFrame:
+    """chunks: stream_id, seq, chunk, last. Emits (stream_id, seq, text): per chunk what is safe, with placeholders restored;
+    the last chunk of a stream flushes what is held. Works on streams and, with the same code, on each micro-batch."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get[0] if state.exists else ""
+        rows = pd.concat(list(frames)).sort_values("seq")
+        out = []
+        for seq, chunk, last in zip(rows["seq"], rows["chunk"], rows["last"]):
+            safe, held = cut(held + (chunk or ""))
+            if last:
+                safe, held = safe + held, ""
+            out.append((key[0], int(seq), restore(safe, known)))
+        state.update((held,))
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
+
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, text string", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
+def restored_batch(chunks: DataFrame, known: dict[str, str]) -> DataFrame:
+    """The same over a finite table: a stream's chunks are one group."""
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        held, out = "", []
+        for sid, seq, chunk, last in rows.sort_values("seq")[["stream_id", "seq", "chunk", "last"]].itertuples(index=False):
+            safe, held = cut(held + (chunk or ""))
+            if last:
+                safe, held = safe + held, ""
+            out.append((sid, int(seq), restore(safe, known)))
+        return pd.DataFrame(out, columns=["stream_id", "seq", "text"])
+
+    return chunks.groupBy("stream_id").applyInPandas(whole, "stream_id string, seq long, text string")
+
+
+def sse_events(chunks: DataFrame) -> DataFrame:
+    """stream_id, seq, chunk to server-sent events: (stream_id, n, event_type, data). Blank lines end events; \\r\\n counts as \\n."""
+    whole = chunks.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda c: c["chunk"]), "").alias("body"))
+    events = F.filter(F.split(F.regexp_replace("body", "\r\n", "\n"), "\n\n"), lambda e: F.length(F.trim(e)) > 0)
+    each = whole.select("stream_id", F.posexplode(events).alias("n", "event"))
+    return each.select("stream_id", "n", F.regexp_extract("event", r"(?m)^event:\s*(.*)$", 1).alias("event_type"), F.array_join(F.regexp_extract_all("event", F.lit(r"(?m)^data:\s?(.*)$"), F.lit(1)), "\n").alias("data"))
+
+
+def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Events per window and type, with a watermark for late ones."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
