@@ -11,10 +11,14 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .detect import detect
 
-FIELD = "array<struct<location:string,scan_field:string,text:string,is_scannable:boolean,is_unscannable:boolean,is_unknown:boolean,gap_reason:string>>"
+_FLAGS = ("is_scannable", "is_unscannable", "is_unknown")
+_NAMES = ("location", "scan_field", "text", *_FLAGS, "gap_reason")
+FIELD = T.ArrayType(T.StructType([T.StructField(n, T.BooleanType() if n in _FLAGS else T.StringType()) for n in _NAMES]))
+LEAF = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("location", "text")]))
 
 
 def provider_of(path: Column) -> Column:
@@ -187,11 +191,10 @@ def _fields(provider: str | None, payload: str | None) -> list[tuple]:
 @F.pandas_udf(FIELD)
 def fields(provider: pd.Series, payload: pd.Series) -> pd.Series:
     """The text, unscannable and unknown fields of a request, in visiting order. What isn't JSON is one unknown field."""
-    names = ["location", "scan_field", "text", "is_scannable", "is_unscannable", "is_unknown", "gap_reason"]
-    return pd.Series([[dict(zip(names, r)) for r in _fields(p, x)] for p, x in zip(provider, payload)])
+    return pd.Series([[dict(zip(_NAMES, r)) for r in _fields(p, x)] for p, x in zip(provider, payload)])
 
 
-@F.pandas_udf("array<struct<location:string,text:string>>")
+@F.pandas_udf(LEAF)
 def json_string_leaves(payload: pd.Series) -> pd.Series:
     def one(x: str | None) -> list[dict]:
         try:
@@ -260,7 +263,7 @@ def coverage_alarms(deltas: DataFrame, action: str = "block") -> DataFrame:
     return deltas.withColumn("alarm_type", F.lit("unknown_fields")).withColumn("should_block", F.lit(action == "block"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def rehydrate_json(payload: pd.Series, restoration: pd.Series) -> pd.Series:
     """Placeholders in every string of a JSON document to originals, longer tokens first; other text is restored as it is."""
 

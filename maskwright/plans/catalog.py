@@ -1,4 +1,480 @@
-"""The queries of this engine and their SQL."""
+"""The queries of this engine and, where SQL can express them, their SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+The tables hold no Korean identifiers and few secrets, so such values are made from key columns, in the query and in its SQL alike.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.patterns import RULES
+from ..functions.spans import spans
+from ..operators import detect as D
+from ..operators import evaluate as E
+from ..operators import payloads as P
+from ..operators import policy as Pol
+from ..operators import tokens as K
+from ..operators import training as Tr
+from ..sources import ledger as L
+from ..streaming import lookahead as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+RULE = {r.rule_id: r for r in RULES}
+KEY = b"a key for examples only, of 32 bytes and more"
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def found(docs: DataFrame, dets: Column, *keys: str) -> DataFrame:
+    """A row per detection. The outer form keeps Spark from testing the array's size first, which would detect twice."""
+    return docs.select(*keys, dets.alias("dets")).select(*keys, F.explode_outer("dets").alias("d")).where(F.col("d").isNotNull())
+
+
+# --- single rules over documents ------------------------------------------------------------------
+
+def _rule_query(name: str, rule_id: str, sql: str, check: str = "") -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = found(read(spark, sf_dir, "documents"), spans(F.col("text"), RULE[rule_id]), "doc_id").select("doc_id", F.col("d.start").alias("start_at"), F.col("d.value").alias("value"))
+        return rows.where(T.CHECKS[check](F.col("value"))) if check else rows
+
+    QUERIES[name], SQL[name] = run, sql
+
+
+def _guarded(core: str, left: str, right: str = "", where: str = "true", flags: str = "") -> str:
+    """Matches and their offsets in RE2, which has no look-around: the guards are matched too, and taken off again."""
+    whole = f"{flags}{left}(?:{core}){right}"
+    return f"""
+WITH m AS (SELECT doc_id, regexp_extract_all(text, '{whole}') AS ms, string_split_regex(text, '{whole}') AS gs, text FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, unnest(range(1, len(ms) + 1)) AS k, ms, gs, text FROM m WHERE len(ms) > 0),
+p AS (SELECT doc_id, text, ms[k] AS m, list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS before FROM e),
+v AS (SELECT doc_id, text, m, before, regexp_extract(m, '{flags}{left}({core}){right}$', 1) AS value FROM p)
+SELECT doc_id, CAST(before + position(value IN m) - 1 AS INTEGER) AS start_at, value FROM v WHERE {where}
+"""
+
+
+_rule_query("pii_email", "email_rfc5322", _guarded(r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", r"(?:^|[^/@\w])"))
+_rule_query("pii_phone_intl", "phone_intl", _guarded(r"\+[0-9]{1,3}[\s\-.]?\(?[0-9]{1,4}\)?[\s\-.]?[0-9]{3,4}[\s\-.]?[0-9]{4}", ""))
+_rule_query("pii_phone_us", "phone_us", _guarded(r"\(?[0-9]{3}\)?[-.\s][0-9]{3}[-.\s][0-9]{4}", "(?:^|[^0-9])"))
+_rule_query("pii_apikey_hex32", "apikey_hex32", _guarded(r"[0-9a-fA-F]{32,64}", r"(?:key|token|secret|api)[_\-]?\s*[:=]\s*[''\"]?", flags="(?i)"))
+_rule_query("pii_ipv4", "ipv4", r"""
+WITH m AS (SELECT doc_id, regexp_extract_all(text, '[0-9.]+') AS ms, string_split_regex(text, '[0-9.]+') AS gs FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, unnest(range(1, len(ms) + 1)) AS k, ms, gs FROM m WHERE len(ms) > 0),
+p AS (SELECT doc_id, ms[k] AS value, list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) AS before FROM e)
+SELECT doc_id, CAST(before AS INTEGER) AS start_at, value FROM p
+WHERE regexp_full_match(value, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])')
+""")
+LUHN = "(list_sum(list_transform(range(1, len(d) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(d[len(d) + 1 - k] AS INT) ELSE (2 * CAST(d[len(d) + 1 - k] AS INT)) % 10 + (2 * CAST(d[len(d) + 1 - k] AS INT)) // 10 END)) % 10 = 0)"
+_rule_query("pii_card", "card_pan", "WITH c AS (" + _guarded(r"(?:4[0-9]{3}|5[1-5][0-9]{2}|2(?:2[2-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)|3[47][0-9]{2}|3(?:0[0-5]|[68][0-9])[0-9]|6(?:011|5[0-9]{2})|2131|1800|35[0-9]{3})(?:[-\s]?[0-9]{4}){2}[-\s]?[0-9]{3,4}", "(?:^|[^0-9])", where="NOT regexp_matches(substr(text, before + length(m) + 1, 1), '[0-9]')") + f"), d AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM c) SELECT doc_id, start_at, value FROM d WHERE len(d) >= 13 AND {LUHN}", "luhn")
+
+
+# --- checksums and scalars over made-up values ----------------------------------------------------
+
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+
+
+@query(f"WITH v AS (SELECT c_custkey AS id, CAST(4000000000000 + c_custkey * 7919 AS VARCHAR) AS d FROM customer) SELECT id, d AS value, {LUHN} AS valid FROM v")
+def luhn_check(spark, sf_dir):
+    v = keys(spark, sf_dir).withColumn("value", (F.lit(4000000000000) + F.col("id") * 7919).cast("string"))
+    return v.withColumn("valid", T.luhn_valid(F.col("value")))
+
+
+def _digits_sql(weights: list[int], extra: str = "") -> str:
+    return " + ".join(f"CAST(value[{k + 1}] AS INT) * {w}" for k, w in enumerate(weights)) + extra
+
+
+@query(f"WITH v AS (SELECT c_custkey AS id, lpad(CAST(c_custkey * 104729 % 10000000000000 AS VARCHAR), 13, '0') AS value FROM customer) SELECT id, value, (11 - ({_digits_sql([2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5])}) % 11) % 10 = CAST(value[13] AS INT) AS valid FROM v")
+def rrn_checksum(spark, sf_dir):
+    v = keys(spark, sf_dir).withColumn("value", F.lpad((F.col("id") * 104729 % 10000000000000).cast("string"), 13, "0"))
+    return v.withColumn("valid", T.rrn_valid(F.col("value")))
+
+
+@query(f"WITH v AS (SELECT c_custkey AS id, lpad(CAST(c_custkey * 15485863 % 10000000000 AS VARCHAR), 10, '0') AS value FROM customer) SELECT id, value, (10 - ({_digits_sql([1, 3, 7, 1, 3, 7, 1, 3, 5], ' + CAST(value[9] AS INT) * 5 // 10')}) % 10) % 10 = CAST(value[10] AS INT) AS valid FROM v")
+def biz_checksum(spark, sf_dir):
+    v = keys(spark, sf_dir).withColumn("value", F.lpad((F.col("id") * 15485863 % 10000000000).cast("string"), 10, "0"))
+    return v.withColumn("valid", T.biz_valid(F.col("value")))
+
+
+@query("SELECT c_custkey AS id, length(replace(replace(c_phone, '-', ''), ' ', '')) BETWEEN 9 AND 14 AS ok FROM (SELECT c_custkey, CAST(c_custkey * c_custkey * c_custkey AS VARCHAR) || '-' || c_custkey AS c_phone FROM customer)")
+def acct_len(spark, sf_dir):
+    v = keys(spark, sf_dir).withColumn("v", F.concat((F.col("id") * F.col("id") * F.col("id")).cast("string"), F.lit("-"), F.col("id").cast("string")))
+    return v.select("id", T.account_length_ok(F.col("v")).alias("ok"))
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN length(n_name) <= 4 THEN '***' ELSE left(n_name, CAST(least(2, greatest(1, length(n_name) // 4)) AS INT)) || '***' || right(n_name, CAST(least(2, greatest(1, length(n_name) // 4)) AS INT)) END AS masked FROM nation")
+def mask_partial(spark, sf_dir):
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), T.partial_mask(F.col("n_name")).alias("masked"))
+
+
+_PLAIN = "left(regexp_replace(text, '[^ -~]', '', 'g'), 60)"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', '0', 'g') AS masked FROM documents WHERE text IS NOT NULL")
+def mask_format_preserving(spark, sf_dir):
+    plain = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60)
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.format_preserving_mask(plain).alias("masked"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[^A-Za-z0-9]', chr(1), 'g'), '[A-Z]', 'U', 'g'), '[a-z]', 'l', 'g'), '[0-9]', 'd', 'g') AS c FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(translate(c, chr(1), 's'), 'U+|l+|d+|s+'), lambda r: r[1] || CASE WHEN length(r) > 1 THEN CAST(length(r) AS VARCHAR) ELSE '' END), '') AS signature FROM s""")
+def char_class_signature(spark, sf_dir):
+    plain = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60)
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.char_class_signature(plain).alias("signature"))
+
+
+@query("SELECT c_custkey AS id, sha256(from_hex('" + bytes(b ^ 0x5C for b in KEY.ljust(64, b"\0")).hex() + "') || from_hex(sha256(from_hex('" + bytes(b ^ 0x36 for b in KEY.ljust(64, b"\0")).hex() + "') || encode('value ' || c_custkey)))) AS digest FROM customer")
+def keyed_hash(spark, sf_dir):
+    return keys(spark, sf_dir).select("id", T.keyed_hash(F.concat(F.lit("  Value "), F.col("id").cast("string"), F.lit(" ")), KEY).alias("digest"))
+
+
+_NAMES = ["김민수는", "삼성전자에서", "API_KEY", "AWS", "주석", "rotate", "John Smith", "example.com", "QWxhZGRpbjpvcGVuIHNlc2FtZQ", "이은", "  ", "서울로"]
+
+
+def _names(spark, sf_dir):
+    return keys(spark, sf_dir).withColumn("name", F.element_at(F.array(*(F.lit(n) for n in _NAMES)), (F.col("id") % len(_NAMES) + 1).cast("int")))
+
+
+_SQL_NAMES = "(SELECT c_custkey AS id, [" + ", ".join(f"'{n}'" for n in _NAMES) + f"][c_custkey % {len(_NAMES)} + 1] AS name FROM customer)"
+
+
+@query(f"SELECT id, name, name IN ('API_KEY', 'AWS', '주석', 'rotate', 'example.com', 'QWxhZGRpbjpvcGVuIHNlc2FtZQ', '  ') AS wrong FROM {_SQL_NAMES}")
+def ner_fp_filter(spark, sf_dir):
+    return _names(spark, sf_dir).withColumn("wrong", T.ner_false_positive(F.lit("PERSON"), F.col("name")))
+
+
+@query(f"SELECT id, CASE name WHEN '김민수는' THEN '김민수' WHEN '삼성전자에서' THEN '삼성전자' WHEN '서울로' THEN '서울' ELSE name END AS bare FROM {_SQL_NAMES}")
+def ko_particle_strip(spark, sf_dir):
+    return _names(spark, sf_dir).select("id", T.strip_particle(F.col("name")).alias("bare"))
+
+
+@query("SELECT doc_id, sha1(trim(regexp_replace(lower(t), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS print FROM (SELECT doc_id, regexp_replace(text, '[^ -~\\n]', '', 'g') AS t FROM documents WHERE text IS NOT NULL)".replace("\\\\", "\\"))
+def fingerprints_of_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.fingerprint(F.regexp_replace("text", "[^ -~\n]", "")).alias("print"))
+
+
+# --- spans ------------------------------------------------------------------------------------------
+
+def _made_spans(spark, sf_dir):
+    """Three overlapping spans per order, with categories by key."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    names = F.array(F.lit("EMAIL"), F.lit("API_KEY"), F.lit("PHONE"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")
+    rows = o.select("id", k).withColumn("start", ((F.col("id") * (F.col("k") + 3)) % 17).cast("int")).withColumn("end", (F.col("start") + 1 + (F.col("id") + F.col("k") * 5) % 9).cast("int"))
+    return rows.withColumn("category", F.element_at(names, ((F.col("id") + F.col("k")) % 3 + 1).cast("int")))
+
+
+_SQL_SPANS = "(SELECT o_orderkey AS id, k, CAST((o_orderkey * (k + 3)) % 17 AS INT) AS s, CAST((o_orderkey * (k + 3)) % 17 + 1 + (o_orderkey + k * 5) % 9 AS INT) AS e, ['EMAIL', 'API_KEY', 'PHONE'][(o_orderkey + k) % 3 + 1] AS category FROM orders, (SELECT unnest([0, 1, 2]) AS k))"
+
+
+def _as_dets(rows: DataFrame) -> DataFrame:
+    d = F.struct(
+        "category", F.lit("pii").alias("category_class"), F.lit("block").alias("action"), F.lit("tokenize").alias("mask_style"), "start", "end", F.lit("x").alias("original"),
+        F.lit("stage1_regex_checksum").alias("detection_stage"), F.col("k").cast("string").alias("rule_id"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("placeholder_token"),
+    )
+    seq = F.array_sort(F.collect_list(F.struct("k", d.alias("d"))))
+    return rows.groupBy("id").agg(F.transform(seq, lambda x: x["d"]).alias("dets"))
+
+
+def _greedy_sql(order: str) -> str:
+    return f"""
+WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {order}) AS n FROM {_SQL_SPANS}),
+w AS (SELECT id, n, s, e, k, category, e AS reach, true AS kept FROM o WHERE n = 1
+  UNION ALL SELECT o.id, o.n, o.s, o.e, o.k, o.category, CASE WHEN o.s >= w.reach THEN o.e ELSE w.reach END, o.s >= w.reach FROM w JOIN o ON o.id = w.id AND o.n = w.n + 1)
+SELECT id, s AS start_at, e AS end_at, category FROM w WHERE kept"""
+
+
+def _out(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.explode_outer("dets").alias("d")).where("d is not null").select("id", F.col("d.start").alias("start_at"), F.col("d.end").alias("end_at"), F.col("d.category").alias("category"))
+
+
+@query(_greedy_sql("s, CASE category WHEN 'API_KEY' THEN 3 WHEN 'EMAIL' THEN 11 ELSE 12 END, s - e, k"))
+def overlap_resolve(spark, sf_dir):
+    return _out(_as_dets(_made_spans(spark, sf_dir)).withColumn("dets", D.resolve(F.col("dets"))))
+
+
+@query(_greedy_sql("s, s - e, k"))
+def merge_stage2(spark, sf_dir):
+    rows = _as_dets(_made_spans(spark, sf_dir))
+    return _out(rows.withColumn("dets", D.merge_entities(F.slice("dets", 1, 2), F.slice("dets", 3, 3))))
+
+
+@query()
+def merge_proximity(spark, sf_dir):
+    rows = _as_dets(_made_spans(spark, sf_dir)).withColumn("base", D.resolve(F.slice("dets", 1, 2)))
+    return _out(rows.withColumn("dets", D.merge_proximity(F.col("base"), F.slice("dets", 3, 1))))
+
+
+@query(f"WITH o AS (SELECT *, lag(category) OVER w AS p FROM {_SQL_SPANS} WINDOW w AS (PARTITION BY id ORDER BY s, e, category)), r AS (SELECT *, sum(CASE WHEN p = category THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY s, e, category) AS run FROM o), m AS (SELECT *, max(e) OVER (PARTITION BY id, run ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r), i AS (SELECT *, sum(CASE WHEN s <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY s, e, category) AS island FROM m) SELECT id, category AS label, min(s) AS start_at, max(e) AS end_at, CAST(max(k) AS DOUBLE) AS score FROM i GROUP BY id, island, category")
+def entity_islands(spark, sf_dir):
+    e = _made_spans(spark, sf_dir).select("id", "start", "end", F.col("category").alias("label"), F.col("k").cast("double").alias("score"))
+    return Tr.entity_islands(e, "id").select("id", "label", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "score")
+
+
+@query(f"SELECT id, s AS start_at, e AS end_at, category, row_number() OVER (PARTITION BY id, category ORDER BY s, e) AS idx FROM {_SQL_SPANS}")
+def mask_payload_numbers(spark, sf_dir):
+    rows = _made_spans(spark, sf_dir).withColumn("original", F.col("k").cast("string"))
+    return K.mask_payload_numbers(rows, "id").select("id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "category", "idx")
+
+
+# --- sessions and masking -----------------------------------------------------------------------------
+
+def _first_words(spark, sf_dir):
+    """Of each turn its first word, as if it were a finding: categories and actions by the word's length."""
+    w = F.regexp_extract("text", "([A-Za-z]+)", 1)
+    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", w.alias("original")).where("original <> ''").withColumn("category", F.when(F.length("original") % 2 == 0, "EMAIL").otherwise("API_KEY")).withColumn("blocked", F.col("category") == "API_KEY")
+
+
+_SQL_WORDS = "(SELECT conv_id AS session, turn, regexp_extract(text, '([A-Za-z]+)', 1) AS original, CASE WHEN length(regexp_extract(text, '([A-Za-z]+)', 1)) % 2 = 0 THEN 'EMAIL' ELSE 'API_KEY' END AS category FROM conversations WHERE regexp_extract(text, '([A-Za-z]+)', 1) <> '')"
+
+
+def _tokens_sql(scope: str) -> str:
+    return f"WITH f AS (SELECT {scope} AS scope, original, min(turn) AS pos, min(category) AS category FROM {_SQL_WORDS} GROUP BY ALL) SELECT scope AS {scope}, original, category || '_' || row_number() OVER (PARTITION BY scope, category ORDER BY pos, original) || CASE WHEN category = 'API_KEY' THEN '_BLOCKED' ELSE '' END AS token FROM f"
+
+
+@query(_tokens_sql("session"))
+def session_tokens(spark, sf_dir):
+    return K.number_values(_first_words(spark, sf_dir), "session", ["turn"]).select("session", "original", "token")
+
+
+@query(_tokens_sql("turn"))
+def vault_tokens(spark, sf_dir):
+    return K.number_values(_first_words(spark, sf_dir), "turn", ["turn"]).select("turn", "original", "token")
+
+
+def _redacted(spark, sf_dir):
+    return K.redact_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), D.detect(F.col("text"), categories=["EMAIL", "IP_ADDRESS", "API_KEY"], with_proximity=False))
+
+
+@query()
+def redact_text(spark, sf_dir):
+    return _redacted(spark, sf_dir).select("doc_id", "redacted_text", F.size("detections").alias("n"))
+
+
+@query("SELECT doc_id, text AS restored FROM documents")
+def rehydrate_roundtrip(spark, sf_dir):
+    return _redacted(spark, sf_dir).select("doc_id", K.rehydrate(F.col("redacted_text"), F.col("restoration_map")).alias("restored"))
+
+
+@query()
+def detections_by_category(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return found(docs, D.detect(F.col("text")), "doc_id").groupBy(F.col("d.category").alias("category"), F.col("d.action").alias("action")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query()
+def doc_summary(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", D.detect(F.col("text")).alias("dets"))
+    return docs.select("doc_id", F.size("dets").alias("total"), F.exists("dets", lambda d: d["action"] == "block").alias("has_blocks"), F.exists("dets", lambda d: d["action"].isin("mask", "tokenize_roundtrip")).alias("has_masks"))
+
+
+# --- policy -----------------------------------------------------------------------------------------
+
+_POLICY = Pol.Policy(
+    categories={"EMAIL": Pol.CategoryPolicy(action="mask", mask_style="partial"), "PHONE": Pol.CategoryPolicy(min_confidence=0.5), "CARD": Pol.CategoryPolicy(stage2_fail_action="warn_allow")},
+    channels={"agent": {"stage2_fail_action": "warn_allow", "fail_mode": "open"}},
+)
+
+
+def _judged(spark, sf_dir):
+    names = F.array(F.lit("EMAIL"), F.lit("PHONE"), F.lit("KR_ACCOUNT"), F.lit("NEW"))
+    return keys(spark, sf_dir).withColumn("category", F.element_at(names, (F.col("id") % 4 + 1).cast("int"))).withColumn("confidence", (F.col("id") % 100) / F.lit(100.0))
+
+
+@query("""WITH v AS (SELECT c_custkey AS id, ['EMAIL', 'PHONE', 'KR_ACCOUNT', 'NEW'][c_custkey % 4 + 1] AS category, (c_custkey % 100) / 100.0 AS confidence FROM customer),
+f AS (SELECT *, CASE category WHEN 'EMAIL' THEN 0.9 WHEN 'PHONE' THEN 0.5 WHEN 'KR_ACCOUNT' THEN 0.8 ELSE 0.0 END AS floor FROM v)
+SELECT id, CASE WHEN confidence < floor THEN 'allow' WHEN category = 'EMAIL' THEN 'mask' WHEN category = 'NEW' THEN 'block' ELSE 'tokenize_roundtrip' END AS action,
+CASE WHEN confidence >= floor AND category = 'EMAIL' THEN 'partial' ELSE 'tokenize' END AS mask_style, CAST(floor AS DOUBLE) AS effective_min_confidence,
+CASE WHEN confidence < floor THEN 'below_min_confidence' WHEN category = 'EMAIL' THEN 'category_override:EMAIL' WHEN category = 'NEW' THEN 'unknown_category:NEW' ELSE 'category_default:' || category END AS reason FROM f""")
+def policy_decide(spark, sf_dir):
+    return _judged(spark, sf_dir).select("id", Pol.decide(F.col("category"), F.col("confidence"), F.lit(""), _POLICY).alias("p")).select("id", "p.*")
+
+
+@query()
+def policy_apply(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", Pol.apply_policy(D.detect(F.col("text"), with_proximity=False), _POLICY).alias("dets"))
+    return docs.select("doc_id", F.explode_outer("dets").alias("d")).where("d is not null").select("doc_id", "d.category", "d.action", "d.mask_style", "d.original")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey = 7 THEN 'allow' ELSE 'tokenize_roundtrip' END AS action, CASE WHEN c_custkey = 7 THEN 'pin_list:seven' ELSE 'category_default:EMAIL' END AS reason FROM customer")
+def pin_list_match(spark, sf_dir):
+    import hashlib
+    import hmac
+
+    pin = Pol.Pin("sha256:" + hmac.new(KEY, b"user7@example.org", hashlib.sha256).hexdigest(), "EMAIL", "allow", "seven")
+    value = F.concat(F.lit(" User"), F.col("id").cast("string"), F.lit("@example.org"))
+    return keys(spark, sf_dir).select("id", Pol.decide(F.lit("EMAIL"), F.lit(0.95), value, Pol.Policy(pins=[pin]), KEY).alias("p")).select("id", "p.action", "p.reason")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 0 THEN 'warn_allow' ELSE 'block' END AS ner_action,
+CASE WHEN c_custkey % 3 = 0 THEN 'channel_override:agent.stage2_fail_action' WHEN c_custkey % 2 = 0 THEN 'category_override:CARD.stage2_fail_action' ELSE 'global.stage2_fail_action' END AS ner_reason,
+CASE WHEN c_custkey % 3 = 0 THEN 'open' ELSE 'closed' END AS fail_mode FROM customer""")
+def failure_matrix(spark, sf_dir):
+    rows = keys(spark, sf_dir).withColumn("channel", F.when(F.col("id") % 3 == 0, "agent").otherwise("chat")).withColumn("category", F.when(F.col("id") % 2 == 0, "CARD").otherwise("EMAIL"))
+    ner = Pol.failure("stage2_fail_action", _POLICY, F.col("channel"), F.col("category"))
+    return rows.select("id", ner["action"].alias("ner_action"), ner["reason"].alias("ner_reason"), Pol.failure("fail_mode", _POLICY, F.col("channel"))["action"].alias("fail_mode"))
+
+
+# --- payloads ---------------------------------------------------------------------------------------
+
+def _requests(spark, sf_dir, provider: str) -> DataFrame:
+    c = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts"))
+    if provider == "claude":
+        body = F.to_json(F.struct(F.lit("m").alias("model"), F.transform("texts", lambda t: F.struct(F.lit("user").alias("role"), F.array(F.struct(F.lit("text").alias("type"), t.alias("text"))).alias("content"))).alias("messages"), F.lit(1).alias("extra")))
+    elif provider == "openai":
+        body = F.to_json(F.struct(F.transform("texts", lambda t: F.struct(F.lit("user").alias("role"), t.alias("content"))).alias("messages")))
+    else:
+        body = F.to_json(F.struct(F.transform("texts", lambda t: F.struct(F.lit("user").alias("role"), F.array(F.struct(t.alias("text"))).alias("parts"))).alias("contents")))
+    return c.select(F.col("conv_id").alias("request_id"), F.lit(provider).alias("provider"), body.alias("payload"))
+
+
+def _fields_query(provider: str, before: str, after: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return P.request_fields(_requests(spark, sf_dir, provider)).select("request_id", "location", "scan_field", "text")
+
+    QUERIES[f"fields_{provider}"] = run
+    SQL[f"fields_{provider}"] = f"SELECT conv_id AS request_id, '{before}[' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1) || ']{after}' AS location, 'message_text' AS scan_field, text FROM conversations WHERE text IS NOT NULL"
+
+
+_fields_query("claude", "messages", ".content[0].text")
+_fields_query("openai", "messages", ".content")
+_fields_query("gemini", "contents", ".parts[0].text")
+
+
+@query("SELECT DISTINCT conv_id AS request_id, '' AS path, ['extra'] AS extra_keys, true AS should_block FROM conversations")
+def coverage_diff(spark, sf_dir):
+    return P.coverage_alarms(P.coverage_diff(_requests(spark, sf_dir, "claude"), "claude")).drop("alarm_type")
+
+
+@query("WITH v AS (SELECT c_custkey AS id, ['2023-06-01', '2099-01-01', 'v1', 'latest'][c_custkey % 4 + 1] AS version FROM customer) SELECT id, version, version = '2099-01-01' AS is_future FROM v")
+def version_diff(spark, sf_dir):
+    v = keys(spark, sf_dir).withColumn("version", F.element_at(F.array(F.lit("2023-06-01"), F.lit("2099-01-01"), F.lit("v1"), F.lit("latest")), (F.col("id") % 4 + 1).cast("int")))
+    return v.withColumn("is_future", T.version_is_future(F.col("version"), ["2023-01-01", "2023-06-01"], "claude"))
+
+
+@query()
+def tripwire(spark, sf_dir):
+    return _requests(spark, sf_dir, "claude").select("request_id", P.tripwire(F.col("payload")).alias("t")).select("request_id", "t.should_block", F.size("t.hits").alias("n_hits"))
+
+
+@query()
+def scrub_requests(spark, sf_dir):
+    return P.scrub(_requests(spark, sf_dir, "openai")).select("request_id", "block", "n_detections")
+
+
+# --- ledger -----------------------------------------------------------------------------------------
+
+def _ledger(spark, sf_dir):
+    e = read(spark, sf_dir, "events").where("user_id is not null")
+    d = F.struct(
+        F.lit("EMAIL").alias("category"), F.lit("pii").alias("category_class"), F.when(F.col("event_id") % 2 == 0, "block").otherwise("tokenize_roundtrip").alias("action"), F.lit("tokenize").alias("mask_style"),
+        F.lit(0).alias("start"), F.length(F.col("event_type")).alias("end"), F.col("event_type").alias("original"), F.lit("stage1_regex_checksum").alias("detection_stage"), F.lit("email_rfc5322").alias("rule_id"), F.lit(0.95).alias("confidence"),
+    )
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), d.alias("d"))
+
+
+@query("SELECT CASE WHEN event_id % 2 = 0 THEN 'block' ELSE 'mask' END AS event_type, length(event_type) AS span_length, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY ALL")
+def ledger_entries(spark, sf_dir):
+    return L.entries(_ledger(spark, sf_dir), KEY).groupBy("event_type", "span_length").agg(F.sum("count").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM events WHERE user_id IS NOT NULL AND date_trunc('second', ts) >= (SELECT date_trunc('second', max(ts)) - INTERVAL 7 DAY FROM events)")
+def ledger_retention(spark, sf_dir):
+    rows = _ledger(spark, sf_dir)
+    last = rows.agg(F.date_trunc("second", F.max("ts"))).first()[0]
+    stamped = rows.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
+    return L.retained(stamped, F.lit(last), 7).agg(F.count("*").alias("n"))
+
+
+# --- evaluation, training, streams --------------------------------------------------------------------
+
+_SQL_SAMPLES = "(SELECT ['PERSON', 'ADDRESS', 'ORGANIZATION'][o_orderkey % 3 + 1] AS category, o_orderkey % 2 AS threshold, o_orderkey % 5 < 3 AS is_positive, o_orderkey % 7 < 5 AS detected FROM orders)"
+
+
+def _samples(spark, sf_dir):
+    names = F.array(F.lit("PERSON"), F.lit("ADDRESS"), F.lit("ORGANIZATION"))
+    k = F.col("o_orderkey")
+    return read(spark, sf_dir, "orders").select(F.element_at(names, (k % 3 + 1).cast("int")).alias("category"), (k % 2).alias("threshold"), (k % 5 < 3).alias("is_positive"), (k % 7 < 5).alias("detected"))
+
+
+_SQL_PR = f"(SELECT category, count(*) FILTER (WHERE is_positive AND detected) AS tp, count(*) FILTER (WHERE is_positive AND NOT detected) AS fn, count(*) FILTER (WHERE NOT is_positive AND detected) AS fp, round(coalesce(tp / nullif(tp + fn, 0), 1.0), 4) AS recall, round(coalesce(tp / nullif(tp + fp, 0), 1.0), 4) AS precision FROM {_SQL_SAMPLES} GROUP BY category)"
+
+
+@query(f"SELECT * FROM {_SQL_PR}")
+def precision_recall(spark, sf_dir):
+    return E.precision_recall(_samples(spark, sf_dir))
+
+
+@query(f"SELECT 1 AS run, round(avg(2 * precision * recall / (precision + recall)), 4) AS macro_f1 FROM {_SQL_PR}")
+def macro_f1(spark, sf_dir):
+    return E.macro_f1(E.precision_recall(_samples(spark, sf_dir)).withColumn("run", F.lit(1)), ["run"])
+
+
+@query()
+def adoption_gate(spark, sf_dir):
+    rows = _samples(spark, sf_dir)
+    m = [E.precision_recall(rows.where(F.col("threshold") == k)).withColumn("threshold", F.lit(0.5)) for k in (0, 1)]
+    return E.adoption_gate(*m)
+
+
+@query()
+def replay_score(spark, sf_dir):
+    rows = _first_words(spark, sf_dir).groupBy("session").agg(F.collect_list(F.struct("category", F.col("original").alias("value"))).alias("truth"))
+    return rows.select("session", E.score_case(F.col("truth"), F.slice("truth", 1, 1)).alias("s")).select("session", "s.*")
+
+
+_SQL_TOKENS = r"(SELECT doc_id, regexp_extract_all(left(regexp_replace(text, '[^ -~]', '', 'g'), 80), '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]') AS ts FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, CAST(len(ts) AS INTEGER) AS n, ts[1] AS first_token, ts[len(ts)] AS last_token FROM {_SQL_TOKENS} WHERE len(ts) > 0")
+def tokenize_offsets(spark, sf_dir):
+    plain = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 80)
+    rows = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", Tr.tokenize_offsets(plain).alias("t")).where(F.size("t") > 0)
+    return rows.select("doc_id", F.size("t").alias("n"), F.get("t", F.lit(0))["value"].alias("first_token"), F.element_at("t", -1)["value"].alias("last_token"))
+
+
+@query("SELECT c_custkey AS id, CAST(c_custkey % 5 AS INTEGER) AS first_token, CAST(c_custkey % 5 + 1 AS INTEGER) AS last_token FROM customer")
+def char_to_token(spark, sf_dir):
+    rows = keys(spark, sf_dir).withColumn("t", Tr.tokenize_offsets(F.lit("aa bb cc dd ee ff gg")))
+    start = (F.col("id") % 5 * 3).cast("int")
+    got = rows.select("id", Tr.char_to_token(F.col("t"), start, start + 4).alias("x"))
+    return got.select("id", F.col("x.first").alias("first_token"), F.col("x.last").alias("last_token"))
+
+
+@query("WITH d AS (SELECT doc_id, sha1(trim(regexp_replace(lower(regexp_replace(text, '[^ -~]', '', 'g')), ' +', ' ', 'g'))) AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id FROM d WHERE doc_id % 10 <> 0 AND p NOT IN (SELECT p FROM d WHERE doc_id % 10 = 0)")
+def split_leakage_anti(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
+    return Tr.without_leaks(d.where("doc_id % 10 <> 0"), d.where("doc_id % 10 = 0")).select("doc_id")
+
+
+@query("SELECT conv_id AS stream_id, string_agg(text, '' ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def stream_lookahead(spark, sf_dir):
+    """Each turn's text cut in three chunks, with a placeholder split between turns; what comes out is what went in."""
+    c = read(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("stream_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")).alias("n"), "text")
+    third = F.floor(F.length("text") / 3).cast("int")
+    cut = F.array(F.substring(F.col("text"), F.lit(1), third), F.substring(F.col("text"), third + 1, third), F.substring(F.col("text"), 2 * third + 1, F.length("text")))
+    chunks = c.select("stream_id", "n", F.posexplode(cut).alias("k", "chunk")).select("stream_id", (F.col("n") * 3 + F.col("k")).cast("long").alias("seq"), "chunk")
+    ends = chunks.groupBy("stream_id").agg(F.max("seq").alias("end_seq"))
+    out = S.restored_batch(chunks.join(ends, "stream_id").select("stream_id", "seq", "chunk", (F.col("seq") == F.col("end_seq")).alias("last")).withColumn("stream_id", F.col("stream_id").cast("string")), {"EMAIL_1": "a@b.io"})
+    return out.groupBy(F.col("stream_id").cast("long").alias("stream_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def events_windowed(spark, sf_dir):
+    return S.windowed_counts(read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
