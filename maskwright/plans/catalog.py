@@ -81,7 +81,7 @@ SELECT doc_id, CAST(before AS INTEGER) AS start_at, value FROM p
 WHERE regexp_full_match(value, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])')
 """)
 LUHN = "(list_sum(list_transform(range(1, len(d) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(d[len(d) + 1 - k] AS INT) ELSE (2 * CAST(d[len(d) + 1 - k] AS INT)) % 10 + (2 * CAST(d[len(d) + 1 - k] AS INT)) // 10 END)) % 10 = 0)"
-_rule_query("pii_card", "card_pan", "WITH c AS (" + _guarded(r"(?:4[0-9]{3}|5[1-5][0-9]{2}|2(?:2[2-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)|3[47][0-9]{2}|3(?:0[0-5]|[68][0-9])[0-9]|6(?:011|5[0-9]{2})|2131|1800|35[0-9]{3})(?:[-\s]?[0-9]{4}){2}[-\s]?[0-9]{3,4}", "(?:^|[^0-9])", where="NOT regexp_matches(substr(text, before + length(m) + 1, 1), '[0-9]')") + f"), d AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM c) SELECT doc_id, start_at, value FROM d WHERE len(d) >= 13 AND {LUHN}", "luhn")
+_rule_query("pii_card", "card_pan", "WITH c AS (" + _guarded(r"(?:4[0-9]{3}|5[1-5][0-9]{2}|2(?:2[2-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)|3[47][0-9]{2}|3(?:0[0-5]|[68][0-9])[0-9]|6(?:011|5[0-9]{2})|2131|1800|35[0-9]{3})(?:[-\s]?[0-9]{4}){2}[-\s]?[0-9]{3,4}", "(?:^|[^0-9])", where="NOT regexp_matches(substr(text, CAST(before + length(m) + 1 AS BIGINT), 1), '[0-9]')") + f"), d AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM c) SELECT doc_id, start_at, value FROM d WHERE len(d) >= 13 AND {LUHN}", "luhn")
 
 
 # --- checksums and scalars over made-up values ----------------------------------------------------
