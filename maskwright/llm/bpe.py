@@ -26,7 +26,7 @@ from .common import keyed, real_id, table
 #: The pattern that byte-level pre-tokenizers of this kind cut by (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose ids a worker remembers, in each of two generations, and the longest one remembered.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 450_000, 64
 
 
 def byte_alphabet() -> list[str]:

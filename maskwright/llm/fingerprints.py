@@ -195,18 +195,30 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     firsts = sorted(set(firsts))
     if not firsts:
         return spark.createDataFrame([], _OUT)
-    last = len(firsts) - 1
-    borders = F.array(*(F.lit(i) for i in firsts))
-    placed = rows.withColumn("range", F.aggregate(borders, F.lit(-1), lambda at, i: F.when(i <= F.col("doc_id"), at + 1).otherwise(at)))
-    # At the head of range r: also the guard (turn 1) of range r - 1, or of the last range if r is 0.
-    guard = F.when(F.col("doc_id") == F.element_at(borders, (F.col("range") + 1).cast("int")), F.when(F.col("range") > 0, F.col("range") - 1).otherwise(last))
-    spots = F.filter(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("turn")), F.struct(guard.alias("range"), F.lit(1).alias("turn"))), lambda s: s["range"].isNotNull())
-    sent = placed.select(F.explode(spots).alias("spot"), "doc_id", "text").select("spot.range", "spot.turn", "doc_id", "text")
+    sent = rows.mapInArrow(_placer(firsts), "range int, turn int, doc_id long, text string")
     ordered = sent.repartitionById(len(firsts), "range").sortWithinPartitions("range", "turn", "doc_id", "text")
     one_guard = ordered.mapInArrow(_one_guard, "range int, turn int, doc_id long, text string")
     return one_guard.mapInArrow(_run, _OUT).withColumn("doc_id", real_id())
 
 
+def _placer(firsts: list[int]):
+    """Each row to its range and, if it is the range's first document, as a guard to the end of the one before; the first range's to the last."""
+    first = np.array(firsts, np.int64)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(0)).astype(np.int64)
+            own = np.searchsorted(first, ids, side="right") - 1
+            guards = np.flatnonzero(first[own] == ids)
+            rows = np.r_[np.arange(len(ids)), guards]
+            to = np.r_[own, (own[guards] - 1) % len(first)].astype(np.int32)
+            turn = np.r_[np.zeros(len(ids), np.int32), np.ones(len(guards), np.int32)]
+            part = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(turn), part.column(0), part.column(1)], names=["range", "turn", "doc_id", "text"])
+
+    return place
+
+
 def _one_guard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the guards of a range (rows that repeat an id), the first."""
     before = None

@@ -29,7 +29,7 @@ from .common import keyed, real_id, scratch_path, shuffle_partitions, table, wri
 SKIPPABLE, SEEK, SEEK_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 LEVEL = 3
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 # --- format -------------------------------------------------------------------------------------
@@ -116,10 +116,29 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # An added token cuts the text before anything else happens to it, so words around one are encoded as if alone.
+        self.mark = next(iter(self.tokenizer.get_added_tokens_decoder().items()), None)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 2**16 else 4
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _encode_words(self, words: list[bytes]) -> None:
+        """In texts of 200 words, with the mark between them; words that hold a mark themselves are alone."""
+        kind, mark = ("<u2" if self.width == 2 else "<u4"), self.mark
+        inner = mark[1].content.encode() if mark else None
+        plain = [w for w in words if inner and inner not in w]
+        alone = words if not inner else [w for w in words if inner in w]
+        groups = [plain[k : k + 200] for k in range(0, len(plain), 200)]
+        got = self.tokenizer.encode_batch_fast([inner.join(g).decode() for g in groups], add_special_tokens=False) if groups else []
+        for g, e in zip(groups, got):
+            ids = np.array(e.ids, kind)
+            raw, cut = ids.tobytes(), np.flatnonzero(ids == mark[0]) * self.width
+            starts, ends = [0, *(cut + self.width).tolist()], [*cut.tolist(), len(raw)]
+            for w, a, b in zip(g, starts, ends, strict=True):
+                self.new[w] = raw[a:b]
+        for w in alone:
+            self.new[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, kind).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.encode().split() for t in texts]  # bytes.split() cuts at the 6 ASCII white-space characters
         new, old = self.new, self.old
@@ -131,12 +150,7 @@ class WordEncoder:
                 else:
                     missing.append(w)
         if missing:
-            kind = "<u2" if self.width == 2 else "<u4"
-            for k in range(0, len(missing), 50_000):
-                part = missing[k : k + 50_000]
-                got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                for w, e in zip(part, got):
-                    new[w] = np.array(e.ids, kind).tobytes()
+            self._encode_words(missing)
         out = [b"".join(map(new.__getitem__, own)) for own in words]
         if len(new) > REMEMBERED:
             self.old, self.new = new, {}
