@@ -51,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact byte-level BPE ids of every row, with digests of the ids and of what they decode to."""
-    return bpe.encode_decode(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    return bpe.encode_decode(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, remembered=60_000, forget=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", dedup_lines), ("n-gram Jaccard join", drop_near_copies), ("mixing", mix), ("BPE", encode)]

@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, real_id, table
+from .common import keyed, real_id, table, tidy
 
 #: The pattern that byte-level pre-tokenizers of this kind cut by (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose ids a worker remembers, in each of two generations, and the longest one remembered.
-REMEMBERED, LONGEST = 450_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 
 
 def byte_alphabet() -> list[str]:
@@ -65,6 +65,8 @@ class Bpe:
             self.automaton.add_word(self.bytes_of[i].decode("latin-1"), i)
         self.automaton.make_automaton()
         self.length = {i: len(t) for i, t in self.bytes_of.items()}
+        del self.joined
+        self.remembered = REMEMBERED
         self.pairs: dict[tuple[int, int], bool] = {}
         self.pattern = regex.compile(PATTERN)
         self.new: dict[str, tuple[int, str, bytes, bytes]] = {}
@@ -85,7 +87,7 @@ class Bpe:
         known = self.pairs.get((a, b))
         if known is None:
             known = self._compatible(a, b)
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             self.pairs[a, b] = known
         return known
@@ -135,7 +137,7 @@ class Bpe:
             ids = self.encode_piece(text.encode())
             got = len(ids), "".join(f"{i}," for i in ids), b"".join(map(self.decoded.__getitem__, ids)), struct.pack(f"<{len(ids)}I", *ids)
         if len(text) <= LONGEST:
-            if len(self.new) >= REMEMBERED:
+            if len(self.new) >= self.remembered:
                 self.old, self.new = self.new, {}
             self.new[text] = got
         return got
@@ -176,11 +178,13 @@ def model(path: str) -> Bpe:
 _OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_decode(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remembered: int = REMEMBERED, forget: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 and, if
-    asked for, ids. Null texts are empty texts: no ids. Rows are independent, so nothing is shuffled; an empty table gives an empty result."""
+    asked for, ids. remembered: pre-tokens that a worker remembers; forget: a task leaves nothing
+    of them to the next. Both are for jobs whose other stages need the memory. Null texts are empty texts: no ids. Rows are independent, so nothing is shuffled; an empty table gives an empty result."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(tokenizer)
+        bpe.remembered = remembered
         for batch in batches:
             n, ids_sha, text_sha, ids = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -192,7 +196,13 @@ def encode_decode(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", te
                 if with_ids:
                     ids.append(b"".join([p[3] for p in pieces]))
             out = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
-            yield pa.RecordBatch.from_pydict(out | ({"ids": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))} if with_ids else {}))
+            last = pa.RecordBatch.from_pydict(out | ({"ids": pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))} if with_ids else {}))
+            del ids
+            yield last
+        if forget:
+            _MODELS.clear()
+            del bpe
+        tidy()
 
     found = keyed(docs, id_col, text_col).mapInArrow(run, _OUT + ", ids array<int>" * with_ids)
     return found.withColumn("doc_id", real_id())

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +79,12 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
 def real_id(name: str = "doc_id"):
     """The id as it came: null again for NULL_ID."""
     return F.when(F.col(name) != NULL_ID, F.col(name))
+
+
+def tidy() -> None:
+    """At the end of a task: a Python worker that waits for the next job keeps no freed memory from the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -17,6 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import tidy
 from .tokens import chunks, mix
 
 _ZIP = zstandard.ZstdCompressor(level=1)
@@ -256,6 +257,7 @@ def _sender(extract: Callable, ranges: int, apart: bool):
                         total = 0
         if total:
             yield flush()
+        tidy()
 
     return send
 

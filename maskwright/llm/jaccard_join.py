@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, real_id, shuffle_partitions, table, write_once
+from .common import keyed, real_id, shuffle_partitions, table, tidy, write_once
 from .components import connected_components
 from .exchange import BLOCK, RANGES, bucket_edges, bucket_of, bundle, by_hash, gathered, pack, rows_of, unpack
 from .tokens import chunks, mix, shingles
@@ -98,6 +98,7 @@ def _sender(buckets: int, size: int):
                         total = 0
         if ids:
             yield flush()
+        tidy()
 
     return send
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, keyed, real_id, scratch_path, shuffle_partitions, table
+from .common import NULL_ID, keyed, real_id, scratch_path, shuffle_partitions, table, tidy
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_CODE_POINTS = 10
@@ -77,6 +77,7 @@ def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 column.append(value)
         done = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))]
         yield pa.RecordBatch.from_arrays([*done[:2], batch.column(3), *done[2:]], names=["doc_id", "text", "carried", "n_lines", "n_dropped", "kept_sha256"])
+    tidy()
 
 
 # --- cuckoo filter ------------------------------------------------------------------------------

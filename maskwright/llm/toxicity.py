@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, real_id, table
+from .common import keyed, table, tidy
 
 #: Labelled documents that the model is fitted on, at most: the ones whose ids have the smallest hashes.
 SAMPLE_ROWS = 6_000
@@ -62,7 +62,7 @@ class OrdinalModel:
         w = raw.strip(_PUNCTUATION)
         get = self.weights.get
         found = (w, get(xxhash.xxh3_64_intdigest(w), 0.0), get(xxhash.xxh3_64_intdigest(w[:STEM], 1), 0.0) if len(w) >= STEM else 0.0)
-        if len(self.known) > 300_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         self.known[raw] = found
         return found
@@ -184,6 +184,8 @@ def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_
             edges = np.c_[np.ones(len(tails)), tails, np.zeros(len(tails))]
             extra = [pa.array(tails.sum(1)), pa.array(tails[:, 0]), pa.array(np.argmax(edges[:, :-1] - edges[:, 1:], 1).astype(np.int32)), pa.array(tails[:, 0] >= REJECT)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*rest, *(m.split()[0] for m in mine)])
+        held.known = {}
+        tidy()
 
     kept = docs.select(*(F.col(f"`{c}`") for c in rest))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), *mine])
