@@ -87,7 +87,7 @@ class Bpe:
         known = self.pairs.get((a, b))
         if known is None:
             known = self._compatible(a, b)
-            if len(self.pairs) > 300_000:
+            if len(self.pairs) > 8 * self.remembered:
                 self.pairs.clear()
             self.pairs[a, b] = known
         return known
@@ -202,7 +202,7 @@ def encode_decode(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", te
         if forget:
             _MODELS.clear()
             del bpe
-        tidy()
+            tidy()
 
     found = keyed(docs, id_col, text_col).mapInArrow(run, _OUT + ", ids array<int>" * with_ids)
     return found.withColumn("doc_id", real_id())
