@@ -10,6 +10,7 @@ The index is the last frame that the seek table lists. Any zstandard reader can
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -30,6 +32,8 @@ SKIPPABLE, SEEK, SEEK_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x8
 LEVEL = 3
 #: Words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 500_000
+#: Bytes of texts that are encoded together.
+BLOCK = 4_000_000
 
 
 # --- format -------------------------------------------------------------------------------------
@@ -111,6 +115,7 @@ class WordEncoder:
     once, and remembered."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; the library's thread pool would take all of the machine's
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -119,17 +124,17 @@ class WordEncoder:
         # An added token cuts the text before anything else happens to it, so words around one are encoded as if alone.
         self.mark = next(iter(self.tokenizer.get_added_tokens_decoder().items()), None)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 2**16 else 4
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _encode_words(self, words: list[bytes]) -> None:
+    def _encode_words(self, words: list[str]) -> None:
         """In texts of 200 words, with the mark between them; words that hold a mark themselves are alone."""
         kind, mark = ("<u2" if self.width == 2 else "<u4"), self.mark
-        inner = mark[1].content.encode() if mark else None
+        inner = mark[1].content if mark else None
         plain = [w for w in words if inner and inner not in w]
         alone = words if not inner else [w for w in words if inner in w]
         groups = [plain[k : k + 200] for k in range(0, len(plain), 200)]
-        got = self.tokenizer.encode_batch_fast([inner.join(g).decode() for g in groups], add_special_tokens=False) if groups else []
+        got = self.tokenizer.encode_batch_fast([inner.join(g) for g in groups], add_special_tokens=False) if groups else []
         for g, e in zip(groups, got):
             ids = np.array(e.ids, kind)
             raw, cut = ids.tobytes(), np.flatnonzero(ids == mark[0]) * self.width
@@ -137,13 +142,13 @@ class WordEncoder:
             for w, a, b in zip(g, starts, ends, strict=True):
                 self.new[w] = raw[a:b]
         for w in alone:
-            self.new[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, kind).tobytes()
+            self.new[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, kind).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.encode().split() for t in texts]  # bytes.split() cuts at the 6 ASCII white-space characters
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of different words, remembered or new."""
         new, old = self.new, self.old
         missing = []
-        for w in {w for own in words for w in own}:
+        for w in words:
             if w not in new:
                 if w in old:
                     new[w] = old[w]
@@ -151,11 +156,19 @@ class WordEncoder:
                     missing.append(w)
         if missing:
             self._encode_words(missing)
-        out = [b"".join(map(new.__getitem__, own)) for own in words]
+        out = [new[w] for w in words]
         if len(new) > REMEMBERED:
             self.old, self.new = new, {}
         return out
 
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Splits at the 6 ASCII white-space characters (an empty word has no ids) and looks up each different word of the texts once."""
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        known = self._ids_of(coded.dictionary.to_pylist()).__getitem__
+        codes, cuts = coded.indices.to_numpy().tolist(), words.offsets.to_numpy().tolist()
+        return [b"".join(map(known, codes[a - cuts[0] : b - cuts[0]])) for a, b in zip(cuts, cuts[1:])]
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -166,6 +179,20 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows again in blocks of about BLOCK bytes, or of one slice where that is larger."""
+    held, size = [], 0
+    for batch in batches:
+        for k in range(0, batch.num_rows, 250):
+            held.append(batch.slice(k, 250))
+            size += held[-1].nbytes
+            if size >= BLOCK:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 _MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
 
@@ -189,17 +216,15 @@ def write_token_shards(docs: DataFrame, folder: str, *, tokenizer: str, end_id:
         end = np.array([end_id], "<u2" if encoder.width == 2 else "<u4").tobytes()
         out = writer = path = None
         total = 0
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                if writer is None:
-                    store.create_dir(base, recursive=True)
-                    path = f"shard-{shard:06d}-{uuid.uuid4().hex}.tok.zst"
-                    out = store.open_output_stream(f"{base}/{path}", compression=None)  # else it goes by the name
-                    writer = ShardWriter(out, encoder.width)
-                for i, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    writer.add(i, raw + end)
-                    total += len(raw) // encoder.width + 1
+        for part in _blocks(batches):
+            if writer is None:
+                store.create_dir(base, recursive=True)
+                path = f"shard-{shard:06d}-{uuid.uuid4().hex}.tok.zst"
+                out = store.open_output_stream(f"{base}/{path}", compression=None)  # else it goes by the name
+                writer = ShardWriter(out, encoder.width)
+            for i, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
+                writer.add(i, raw + end)
+                total += len(raw) // encoder.width + 1
         if writer is not None:
             writer.close()
             out.close()
