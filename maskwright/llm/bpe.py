@@ -26,7 +26,7 @@ from .common import keyed, real_id, table, tidy
 #: The pattern that byte-level pre-tokenizers of this kind cut by (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose ids a worker remembers, in each of two generations, and the longest one remembered.
-REMEMBERED, LONGEST = 250_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 
 
 def byte_alphabet() -> list[str]:
@@ -62,7 +62,7 @@ class Bpe:
         self.alone = {i for i, t in self.bytes_of.items() if len(t) == 1 or self._merge(list(map(id_of.__getitem__, (t[k : k + 1] for k in range(len(t)))))) == [i]}
         self.automaton = ahocorasick.Automaton()
         for i in self.alone:
-            self.automaton.add_word(self.bytes_of[i].decode("latin-1"), i)
+            self.automaton.add_word(self.bytes_of[i].decode("latin-1"), (i, len(self.bytes_of[i])))
         self.automaton.make_automaton()
         self.length = {i: len(t) for i, t in self.bytes_of.items()}
         del self.joined
@@ -87,7 +87,7 @@ class Bpe:
         known = self.pairs.get((a, b))
         if known is None:
             known = self._compatible(a, b)
-            if len(self.pairs) > 8 * self.remembered:
+            if len(self.pairs) > 5 * self.remembered:
                 self.pairs.clear()
             self.pairs[a, b] = known
         return known
@@ -116,14 +116,21 @@ class Bpe:
         """The ids of one pre-token."""
         text, n = piece.decode("latin-1"), len(piece)
         last = [-1] * (n + 1)  # by prefix length, the unique last token
-        length, compatible, done = self.length, self.compatible, 0
-        for end, token in self.automaton.iter(text):
-            end += 1
-            if end == done:
+        pairs, length, done = self.pairs, self.length, -1
+        for at, (token, size) in self.automaton.iter(text):
+            if at == done:
                 continue
-            start = end - length[token]
-            if start == 0 or (last[start] >= 0 and compatible(last[start], token)):
-                last[end], done = token, end
+            start = at + 1 - size
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                fits = pairs.get((before, token))
+                if fits is None:
+                    fits = self.compatible(before, token)
+                if not fits:
+                    continue
+            last[at + 1], done = token, at
         out, at = [], n
         while at:
             out.append(last[at])
