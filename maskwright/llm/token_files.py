@@ -31,7 +31,7 @@ from .common import keyed, real_id, scratch_path, shuffle_partitions, table, wri
 SKIPPABLE, SEEK, SEEK_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 LEVEL = 3
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: Bytes of texts that are encoded together.
 BLOCK = 4_000_000
 

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -211,6 +212,16 @@ def test_token_files(spark, docs, rows):
         assert shard.document(int(shard.ids[0])).tolist()[-1] == 1
 
 
+def test_word_encoder_is_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, rng = Tokenizer.from_file(path), token_files.WordEncoder(path), random.Random(3)
+    alphabet = [*"ab'S \t\n\r\f\v.,12é한\x1c\x85\xa0🙂\x01", "<|endoftext|>", "<|startoftext|>", " the "]
+    texts = ["", "  ", "\n", "same same", "same same", "x" * 5000] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    own.encode(pa.array(texts[700:]))  # half of the words are remembered
+    for t, raw in zip(texts, own.encode(pa.array(["before", *texts]).slice(1)), strict=True):
+        assert np.frombuffer(raw, "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_damaged_frame(tmp_path):
     with open(tmp_path / "x", "wb") as f:
         w = token_files.ShardWriter(f, 2)
