@@ -259,7 +259,7 @@ def vault_tokens(spark, sf_dir):
 
 
 def _redacted(spark, sf_dir):
-    return K.redact_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), D.detect(F.col("text"), categories=["EMAIL", "IP_ADDRESS", "API_KEY"], with_proximity=False))
+    return K.redact_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), D.detect(F.col("text")))
 
 
 @query()
@@ -308,7 +308,7 @@ def policy_decide(spark, sf_dir):
 
 @query()
 def policy_apply(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", Pol.apply_policy(D.detect(F.col("text"), with_proximity=False), _POLICY).alias("dets"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", Pol.apply_policy(D.detect(F.col("text")), _POLICY).alias("dets"))
     return docs.select("doc_id", F.explode_outer("dets").alias("d")).where("d is not null").select("doc_id", "d.category", "d.action", "d.mask_style", "d.original")
 
 

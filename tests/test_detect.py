@@ -63,5 +63,16 @@ def test_queries_run(spark, name):
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_all_categories_are_redacted(spark, tmp_path):
+    texts = ["call (212) 555-0147 now", "card 4532015112830366", "비밀번호: SecurePw99 라고", "사업자번호 1806341205 입니다", "mail a@corp.io and a@corp.io", None, "", "no finding"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in catalog.redact_text(spark, str(tmp_path)).collect()}
+    for k, value in enumerate(["(212) 555-0147", "4532015112830366", "SecurePw99", "1806341205", "a@corp.io"]):
+        assert value not in got[k].redacted_text and got[k].n == (2 if k == 4 else 1)
+    assert [got[k].redacted_text for k in (5, 6, 7)] == texts[5:]
+    assert {r.doc_id: r.restored for r in catalog.rehydrate_roundtrip(spark, str(tmp_path)).collect()} == dict(enumerate(texts))
+    assert {"SecurePw99", "1806341205"} <= {r.original for r in catalog.policy_apply(spark, str(tmp_path)).collect()}
+
+
 def test_names_match():
     assert set(catalog.SQL) <= set(catalog.QUERIES) and all(re.fullmatch(r"[a-z0-9_]+", n) for n in catalog.QUERIES)
