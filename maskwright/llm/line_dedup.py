@@ -3,7 +3,7 @@
 The index is a list of committed generations in a shared folder. Each holds the postings it added or removed, a row
 per line key and document (the exact reference counts are their sums), and the shards' filters. An
 insertion probes its keys' shard filters: a miss proves that the key is new, and only hits are looked up in the exact
-tables. Deletions append negative postings and take the keys whose count fell to 0 out of the filters, so dedup is
+tables. Misses and false hits are then added, so each live key has a fingerprint of its own. Deletions append negative postings and take the keys whose count fell to 0 out of the filters, so dedup is
 reversible: a document that is deleted gives its lines back to the next smallest holder.
 """
 
@@ -190,22 +190,21 @@ class LineIndex:
             return self.spark.createDataFrame([], _LINES)
         return self.spark.read.schema(_LINES).parquet(*self.generations)
 
-    def _probe_and_add(self, fresh: DataFrame) -> DataFrame:
-        """fresh: (h1, h2, docs, first, last), a row per key. Adds the new keys to the filters; returns fresh with seen: the key may be held already."""
+    def _probe(self, fresh: DataFrame) -> DataFrame:
+        """fresh: (h1, h2, first, last), a row per key. Returns it with seen: the key may be held already. Of an index without filters, all
+        keys are new, and the filters are built here."""
         out = f"{self.path}/probe-{len(self.generations)}"
         schema = "h1 long, h2 long, first long, last long, seen boolean, shard int, filter binary"
+        first = not self.filters
 
         def per_shard(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
             held = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else None
             keys = new["h1"].to_numpy(np.int64)
             seen = held.contains(keys) if held is not None else np.zeros(len(keys), bool)
-            add, body = keys[~seen], new[["h1", "h2", "first", "last"]].assign(seen=seen, shard=key[0], filter=None)
-            if held is None or not held.insert(add):
-                held = None
-            blob = None if held is None else held.to_bytes()
-            if blob is None and not len(old):
-                blob = CuckooFilter.build(add).to_bytes()
-            # None for a shard with keys already held: it is full, and is built anew from the exact table
+            body = new[["h1", "h2", "first", "last"]].assign(seen=seen, shard=key[0], filter=None)
+            if not first:
+                return body
+            blob = CuckooFilter.build(keys).to_bytes()
             end = pd.DataFrame({"h1": [0], "h2": [0], "first": [0], "last": [0], "seen": [False], "shard": [key[0]], "filter": [blob]})
             return pd.concat([body.astype({"filter": object}), end])
 
@@ -213,9 +212,30 @@ class LineIndex:
         old = (self.spark.read.parquet(self.filters).where("filter is not null") if self.filters else self.spark.createDataFrame([], "shard int, filter binary")).groupBy("shard")
         new.cogroup(old).applyInPandas(lambda key, a, b: per_shard(key, a, b), schema).write.parquet(out)
         made = self.spark.read.schema(schema).parquet(out)
-        self._ends = made.where("first = 0 and last = 0 and h1 = 0 and h2 = 0")
+        if first:
+            self._ends = made.where("first = 0 and last = 0 and h1 = 0 and h2 = 0")
         return made.where("not (h1 = 0 and h2 = 0 and first = 0 and last = 0)")
 
+    def _add(self, keys: DataFrame) -> None:
+        """Adds keys (h1, h2) that no document holds to the filters that there are."""
+        out = f"{self.path}/added-{len(self.generations)}"
+
+        def per_shard(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+            if not len(new):
+                return pd.DataFrame({"shard": [], "filter": []})
+            add, blob = new["h1"].to_numpy(np.int64), None
+            if not len(old):
+                blob = CuckooFilter.build(add).to_bytes()
+            elif (held := CuckooFilter.from_bytes(old["filter"].iloc[0])).insert(add):
+                blob = held.to_bytes()
+            # None for a shard that is full: it is built anew from the exact table
+            return pd.DataFrame({"shard": [key[0]], "filter": [blob]})
+
+        new = keys.select("h1", "h2", self._shard()).groupBy("shard")
+        old = self.spark.read.parquet(self.filters).where("filter is not null").groupBy("shard")
+        new.cogroup(old).applyInPandas(lambda key, a, b: per_shard(key, a, b), "shard int, filter binary").write.parquet(out)
+        self._ends = self.spark.read.schema("shard int, filter binary").parquet(out)
+
     def _commit_filters(self) -> None:
         """A shard whose filter was too full gets a larger one, from its exact keys; a shard without new keys keeps its filter."""
         to = f"{self.path}/filters-{len(self.generations)}"
@@ -244,13 +264,16 @@ class LineIndex:
         rows.select("doc_id", "text").mapInArrow(_extract, _LINES).write.parquet(at)
         lines = self.spark.read.schema(_LINES).parquet(at)
         fresh = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        probed = self._probe_and_add(fresh)
+        probed = self._probe(fresh)
         new = probed.where("not seen and first < last").select("h1", "h2", "first")
-        if self.generations:
-            held = (
+        if self.filters:
+            held_at = f"{self.path}/held-{len(self.generations)}"
+            (
                 self.postings().join(probed.where("seen").select("h1", "h2"), ["h1", "h2"], "left_semi")
-                .groupBy("h1", "h2", "doc_id").agg(F.sum("n").alias("n")).where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("held"))
+                .groupBy("h1", "h2", "doc_id").agg(F.sum("n").alias("n")).where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("held")).write.parquet(held_at)
             )
+            held = self.spark.read.schema("h1 long, h2 long, held long").parquet(held_at)
+            self._add(probed.select("h1", "h2").join(held, ["h1", "h2"], "left_anti"))
             hit = probed.where("seen").join(held, ["h1", "h2"], "left").select("h1", "h2", F.least("first", "held").alias("first"), "last").where("first < last")
             new = new.unionByName(hit.select("h1", "h2", "first"))
         self.generations.append(at)

@@ -93,6 +93,24 @@ def test_cuckoo_filter():
     assert f.contains(keys[500:]).all() and f.contains(keys[:500]).mean() < 0.05
 
 
+def test_false_hit_has_its_own_fingerprint(spark):
+    lines = [f"a line with number {k}" for k in range(30_000)]
+    h1 = np.array([np.frombuffer(line_dedup.key_hash(x.encode()), "<i8")[0] for x in lines])
+    one = line_dedup.CuckooFilter(64)
+    f, b = one._finger(h1)
+    pairs = collections.defaultdict(list)
+    for k, at in enumerate(zip(f.tolist(), np.minimum(b, one._other(b, f)).tolist())):
+        pairs[at].append(lines[k])
+    x, y = next(p for p in pairs.values() if len(p) > 1)[:2]
+    # Either of two lines that share a fingerprint goes; the other one is found all the same.
+    for gone, stays, other in ((1, 2, y), (2, 1, x)):
+        index = line_dedup.LineIndex(spark, shards=1)
+        for i, t in ((1, x), (2, y)):
+            assert index.insert(spark.createDataFrame([(i, t)], "doc_id long, text string")).first().n_dropped == 0
+        index.delete(spark.createDataFrame([(gone,)], "doc_id long"))
+        assert index.insert(spark.createDataFrame([(3, f"{other}\n{x if other == y else y}")], "doc_id long, text string")).first().text == (x if other == y else y), stays
+
+
 def test_mixing(docs, rows):
     got = mixing.mix_to_weights(docs).collect()
     by = collections.defaultdict(lambda: [0, 0, 0.0])
