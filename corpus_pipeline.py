@@ -28,19 +28,27 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(id_.alias("doc_id"), "text", "carried.lang", "carried.source", F.length("text").cast("long").alias("n_chars"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """With row, a number of its own for each row, written once: ids may be null or repeat with other texts."""
+    return write_once(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays, once. Documents without words are in no class, and stay."""
-    first = jaccard_join.jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("kept"))
-    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), *COLUMNS)
-    return rows.join(first.hint("shuffle_hash"), F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"]).select(COLUMNS)
+    """Of each class of near copies the row with the smallest id stays, null being the smallest. Each row is a document of its own, also if its
+    id is null or repeats. Documents without words are in no class, and stay."""
+    rows = numbered(docs)
+    classes = jaccard_join.jaccard_join(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select("row", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"))
+    first = ids.join(classes, "row").groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("f")).select(F.col("f.row").alias("row"))
+    return rows.join(first.hint("shuffle_hash"), "row", "left_semi").select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: a row for each whole epoch of a document, and one with its first words where the budget ends. Documents that it
-    doesn't take, and those without words, go."""
-    plan = mixing.mix_to_weights(docs).where("taken > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("planned"), F.col("size").alias("mix_size"), "taken")
-    rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), *COLUMNS)
-    both = rows.join(plan.hint("shuffle_hash"), F.col("key") == F.col("planned"))
+    doesn't take, and those without words, go. Each row is a document of its own, also if its id is null or repeats."""
+    rows = numbered(docs)
+    plan = mixing.mix_to_weights(rows, row_col="row").where("taken > 0").select("row", F.col("size").alias("mix_size"), "taken")
+    both = rows.join(plan.hint("shuffle_hash"), "row")
     parts = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("mix_size")) - 1).cast("int"))).alias("epoch")
     epochs = both.select(*COLUMNS, "mix_size", "taken", parts)
     words = F.least("mix_size", F.col("taken") - F.col("epoch") * F.col("mix_size")).cast("int")

@@ -20,19 +20,22 @@ def cycling_weight(rank: Column) -> Column:
     return (F.pmod(rank, F.lit(3)) + 1).cast("double")
 
 
-def mix_to_weights(docs: DataFrame, *, weight=cycling_weight, total: float | None = None, max_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_to_weights(docs: DataFrame, *, weight=cycling_weight, total: float | None = None, max_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken.
 
     size: words of the text (null: 0). weight: a column of the source's rank, by code point, null last. The sources
     share total (all sizes, if none is given) by weight; a target stops at max_epochs times its source's size, and the
     excess is shared again by weight. A source of size 0 takes nothing. taken: what the mix takes of the document, whole epochs
     and, in the last one, all of it, none, or, for the document at the cut, its first words; per source it sums to the rounded target.
-    The keys depend on seed, id and size only, so reruns agree. Empty tables give an empty result.
+    The keys depend on seed, id and size only, so reruns agree. row_col: a column that tells rows apart whose ids are equal; it comes back
+    as row. Empty tables give an empty result.
 
     The table per source has a row for each source. It is made in one task, as are the sums per range of a source:
     it has as many ranges as rows in each, so neither grows faster than the root of its rows.
     """
+    row = [] if row_col is None else ["row"]
     sizes = docs.select(
+        *(F.col(f"`{row_col}`").alias(r) for r in row),
         F.col(f"`{id_col}`").alias("doc_id"),
         F.col(f"`{source_col}`").alias("source"),
         F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -56,11 +59,11 @@ def mix_to_weights(docs: DataFrame, *, weight=cycling_weight, total: float | Non
     sums = ranged.groupBy("no_source", "name", "range").agg(F.sum("size").alias("range_size"))
     before = Window.partitionBy("no_source", "name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("no_source", "name", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("range_start"))
-    inside = Window.partitionBy("no_source", "name", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("no_source", "name", "range").orderBy("key", "doc_id", "size", *row).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("prefix", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["no_source", "name", "range"])
     left = F.col("rest") - (F.col("range_start") + F.col("prefix"))
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target",
+        *row, "doc_id", "source", "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(left, F.col("size")))).cast("long").alias("taken"),
     )
 
