@@ -139,6 +139,17 @@ def char_class_signature(spark, sf_dir):
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.char_class_signature(plain).alias("signature"))
 
 
+@query()
+def mask_whole_texts(spark, sf_dir):
+    """mask_format_preserving, whose SQL fixes a prefix of ASCII, over whole texts."""
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.format_preserving_mask(F.col("text")).alias("masked"))
+
+
+@query()
+def signature_whole_texts(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.char_class_signature(F.col("text")).alias("signature"))
+
+
 @query("SELECT c_custkey AS id, sha256(from_hex('" + bytes(b ^ 0x5C for b in KEY.ljust(64, b"\0")).hex() + "') || from_hex(sha256(from_hex('" + bytes(b ^ 0x36 for b in KEY.ljust(64, b"\0")).hex() + "') || encode('value ' || c_custkey)))) AS digest FROM customer")
 def keyed_hash(spark, sf_dir):
     return keys(spark, sf_dir).select("id", T.keyed_hash(F.concat(F.lit("  Value "), F.col("id").cast("string"), F.lit(" ")), KEY).alias("digest"))
@@ -449,6 +460,14 @@ def tokenize_offsets(spark, sf_dir):
     return rows.select("doc_id", F.size("t").alias("n"), F.get("t", F.lit(0))["value"].alias("first_token"), F.element_at("t", -1)["value"].alias("last_token"))
 
 
+@query()
+def tokens_whole_texts(spark, sf_dir):
+    """tokenize_offsets, whose SQL fixes a prefix of ASCII, over whole texts. A regular expression splits once; no array of offsets is built up."""
+    ts = F.regexp_extract_all("text", F.lit(r"(?U)(\w+|[^\w\s])"), F.lit(1))
+    rows = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", ts.alias("t")).where(F.size("t") > 0)
+    return rows.select("doc_id", F.size("t").alias("n"), F.get("t", F.lit(0)).alias("first_token"), F.element_at("t", -1).alias("last_token"))
+
+
 @query("SELECT c_custkey AS id, CAST(c_custkey % 5 AS INTEGER) AS first_token, CAST(c_custkey % 5 + 1 AS INTEGER) AS last_token FROM customer")
 def char_to_token(spark, sf_dir):
     rows = keys(spark, sf_dir).withColumn("t", Tr.tokenize_offsets(F.lit("aa bb cc dd ee ff gg")))

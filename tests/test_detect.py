@@ -74,5 +74,14 @@ def test_all_categories_are_redacted(spark, tmp_path):
     assert {"SecurePw99", "1806341205"} <= {r.original for r in catalog.policy_apply(spark, str(tmp_path)).collect()}
 
 
+def test_whole_texts(spark, tmp_path):
+    text = "Ab1 " * 40 + "김 É9! End"
+    spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: {r[0]: tuple(r)[1:] for r in catalog.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("mask_whole_texts", "signature_whole_texts", "tokens_whole_texts")}
+    assert got["mask_whole_texts"] == {1: ("Xx0 " * 40 + "김 X0! Xxx",), 2: ("",)}
+    assert got["signature_whole_texts"] == {1: ("Ulds" * 40 + "3Uds2Ul2",), 2: ("",)}
+    assert got["tokens_whole_texts"] == {1: (len(re.findall(r"\w+|[^\w\s]", text)), "Ab1", "End")}
+
+
 def test_names_match():
     assert set(catalog.SQL) <= set(catalog.QUERIES) and all(re.fullmatch(r"[a-z0-9_]+", n) for n in catalog.QUERIES)
