@@ -84,6 +84,22 @@ LUHN = "(list_sum(list_transform(range(1, len(d) + 1), lambda k: CASE WHEN k % 2
 _rule_query("pii_card", "card_pan", "WITH c AS (" + _guarded(r"(?:4[0-9]{3}|5[1-5][0-9]{2}|2(?:2[2-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)|3[47][0-9]{2}|3(?:0[0-5]|[68][0-9])[0-9]|6(?:011|5[0-9]{2})|2131|1800|35[0-9]{3})(?:[-\s]?[0-9]{4}){2}[-\s]?[0-9]{3,4}", "(?:^|[^0-9])", where="NOT regexp_matches(substr(text, CAST(before + length(m) + 1 AS BIGINT), 1), '[0-9]')") + f"), d AS (SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM c) SELECT doc_id, start_at, value FROM d WHERE len(d) >= 13 AND {LUHN}", "luhn")
 
 
+def _category_query(name: str, *rule_ids: str) -> None:
+    """Rows of rules that have no SQL, with the rule that found them; overlaps are not resolved."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = found(read(spark, sf_dir, "documents"), D.candidates(F.coalesce("text", F.lit("")), [RULE[r] for r in rule_ids]), "doc_id")
+        return rows.select("doc_id", "d.rule_id", F.col("d.start").alias("start_at"), F.col("d.original").alias("value"))
+
+    QUERIES[name] = run
+
+
+_category_query("pii_password", *(r.rule_id for r in RULES if r.category == "PASSWORD"))
+_category_query("pii_passport", *(r.rule_id for r in RULES if r.category == "PASSPORT"))
+_category_query("pii_aws_akid", "aws_akid")
+_category_query("pii_hostname", *(r.rule_id for r in RULES if r.category == "HOSTNAME"))
+
+
 # --- checksums and scalars over made-up values ----------------------------------------------------
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +196,13 @@ def fingerprints_of_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.fingerprint(F.regexp_replace("text", "[^ -~\n]", "")).alias("print"))
 
 
+@query()
+def fingerprint_dedup(spark, sf_dir):
+    """Of texts with one fingerprint the smallest id stays."""
+    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.fingerprint(F.col("text")).alias("print"))
+    return d.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "print", "copies")
+
+
 # --- spans ------------------------------------------------------------------------------------------
 
 def _made_spans(spark, sf_dir):
