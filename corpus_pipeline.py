@@ -64,7 +64,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line dedup", dedup_lines), ("n-gram Jaccard join", drop_near_copies), ("mixing", mix), ("BPE", encode)]
 
-#: The model of the first stage and the encoding of the last can't be written in SQL; tests/llm holds run() against a brute-force version.
+#: The model of the first stage and the encoding of the last can't be written in SQL; tests/llm holds the operators against brute force, and two stages (near copies, mixing)
+#: on rows with null and repeated ids; run() as a whole has no such test.
 ORACLE_SQL = None
 
 
