@@ -76,6 +76,15 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     )
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] | None = None) -> tuple[DataFrame, bool]:
+    """keyed() with row, which tells rows apart, and whether ids are unique (null being one of them), as a count of the ids alone
+    finds out. Then row is the id; else a number, written once so that it holds when tasks run again."""
+    rows = keyed(docs, id_col, text_col, carry)
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return rows.withColumn("row", F.col("doc_id")), True
+    return write_once(rows.withColumn("row", F.monotonically_increasing_id()), "rows"), False
+
+
 def real_id(name: str = "doc_id"):
     """The id as it came: null again for NULL_ID."""
     return F.when(F.col(name) != NULL_ID, F.col(name))

@@ -22,18 +22,17 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, *, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges: (a, b) of type long. Returns (node, component), the component being its smallest node, for every node of an edge that
-    joins two nodes. Each round is a table in the shared folder; a skewed key's partition is one Spark can split."""
+    joins two nodes. Rounds go on until nothing changes, about the square of the logarithm of the nodes at most. Each is a table
+    in the shared folder."""
     current = write_once(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         current = write_once(_star(_star(current, True), False), "edges")
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components have not settled")
     stars = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

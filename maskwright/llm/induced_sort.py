@@ -11,7 +11,7 @@ import tempfile
 
 import numpy as np
 
-from .tokens import rolling
+from .tokens import same_spans
 
 #: With more symbols than this, buckets are too small to be handled in bulk, and the reduced string is sorted by prefix doubling.
 MAX_SYMBOLS = 4096
@@ -142,11 +142,13 @@ def suffix_order(t: np.ndarray, depth: int, budget: int = 64_000_000) -> np.ndar
     is_seed = np.zeros(len(t), bool)
     is_seed[seeds] = True
     ranked = order[is_seed[order]]
-    # Names of the substrings from seed to seed, by hash of their contents: neighbours in order are equal or not.
+    # Names of the substrings from seed to seed: neighbours in order are compared symbol by symbol.
     number = np.searchsorted(seeds, ranked)
-    ends = np.r_[seeds[1:], seeds[-1]][number] + 1
-    content = rolling(t.astype(np.uint64) + np.uint64(1), ranked, ends)
-    names = np.cumsum(np.r_[0, content[1:] != content[:-1]])
+    sizes = np.r_[seeds[1:], seeds[-1]][number] + 1 - ranked
+    equal = sizes[1:] == sizes[:-1]
+    at = np.flatnonzero(equal)
+    equal[at] = same_spans(t, ranked[:-1][at].astype(np.int64), ranked[1:][at].astype(np.int64), sizes[1:][at].astype(np.int64))
+    names = np.cumsum(np.r_[0, ~equal])
     if names[-1] < len(seeds) - 1:
         reduced = np.empty(len(seeds), np.int32)
         reduced[number] = names

@@ -1,16 +1,23 @@
-"""N-gram Jaccard join: exact classes of documents whose shingle sets are at least 0.8 alike.
+"""N-gram Jaccard join: exact classes of documents whose shingle sets are at least 0.8 alike. 1 - Jaccard is a metric; a link is at most 0.2 long.
 
 1. Every document's distinct shingles go through the packed exchange, which tells each document which of its shingles other
    documents have, and how many have them (in powers of 2). A document of which fewer than 80 % are shared links with nothing.
-2. Equal sets become one node. Linked nodes share one of their rarest n - ceil(0.8 n) + 1 shingles, so connecting nodes
-   that do gives regions that no link leaves.
-3. Inside a region, pivots with many links get the distances of all its nodes. A node at distance a from a pivot can only link with nodes
-   at distances a - 0.2 to a + 0.2 (triangle inequality), so it is done, without being compared, once no node outside the pivot's
-   class is in that window; the others are compared with the nodes of other classes that share a rare shingle.
+2. Documents with equal sets (by a 128-bit digest) become one node. Linked nodes share one of their rarest n - ceil(0.8 n) + 1 shingles, so
+   connecting nodes that do gives regions that no link leaves: unlike texts are all at distances of nearly 1, where pivots alone say nothing.
+3. A region beyond CELL nodes is split. Hash-random pivots get the distances of all its nodes, computed in chunks of CELL nodes.
+   Nodes within 0.2 of a pivot link with it. One of them whose distance plus 0.2 reaches no node outside this ball is done: it can't
+   link with anything that isn't in the pivot's class already. The others form Voronoi cells: a node within CORE of its nearest
+   pivot belongs to that pivot's cell, others to the cell of far nodes; and by the triangle inequality a node is replicated
+   to each cell j whose own nodes it may link with: d_j <= CORE + 0.2 and d_j <= d_nearest + 0.4.
+4. Cells are split in the same way again until they have at most CELL nodes. A cell that doesn't shrink is cut into chunks
+   of CELL / 2 nodes, each two of which meet in a task. So no task holds more than about CELL nodes.
+5. Small cells and regions are solved in memory, with pivots and triangle windows as above, else by comparing nodes that share a rare
+   shingle. What cells find are star edges; their components are the classes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,22 +26,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, real_id, shuffle_partitions, table, tidy, write_once
+from .common import numbered, real_id, shuffle_partitions, table, tidy, write_once
 from .components import connected_components
 from .exchange import BLOCK, RANGES, bucket_edges, bucket_of, bundle, by_hash, gathered, pack, rows_of, unpack
-from .tokens import chunks, mix, shingles
+from .tokens import chunks, job_seed, shingles
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Shingles in this many documents or more are of one class: the most frequent.
 FREQUENT = 64
 CHUNK = 1_000_000
 _SENT = "bucket int, doc_id long, often boolean, blob binary"
-#: A shingle and its frequency class; with the last two classes, the size of the set and the node.
+#: A shingle and its frequency class; with the last three classes, the size of the set and the two halves of its digest.
 _LISTED = np.dtype([("h", "<u8"), ("c", "u1")])
-_SIZE, _NODE = 254, 255
+_SIZE, _LOW, _HIGH = 253, 254, 255
+#: Nodes of a cell that one task solves, and bytes of shared shingles that weigh as much as a node.
+CELL, NODE_BYTES = 4000, 4000
+#: Pivots of a cell in a round, and how far from the nearest one a node of its cell is.
+PIVOTS, CORE = 16, 0.5
+_LINK = 1 - NUMERATOR / DENOMINATOR
+#: Covers the rounding of distances.
+_EPS = 1e-9
 
 
-def _sender(buckets: int, size: int):
+def _sender(buckets: int, size: int, seed: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         ids: list[int] = []
@@ -48,9 +62,11 @@ def _sender(buckets: int, size: int):
             once = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, bool)
             h, d = h[once], d[once]
             n = np.bincount(d, minlength=len(ids))
-            node = np.zeros(len(ids), np.uint64)
-            np.add.at(node, d, mix(h ^ np.uint64(0xA5A5A5A5)))
-            node = mix(node + n.astype(np.uint64))
+            by_doc = np.argsort(d, kind="stable")  # hashes ascend within each document
+            sets, ends = h[by_doc], np.cumsum(n)
+            digests = [hashlib.blake2b(sets[e - k : e].tobytes(), digest_size=16).digest() for k, e in zip(n.tolist(), ends.tolist())]
+            node = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+            del by_doc, sets
             # Shingles of many documents of this block: the documents are told here, and the range gets one entry.
             heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
             runs = np.diff(np.r_[heads, len(h)])
@@ -64,7 +80,7 @@ def _sender(buckets: int, size: int):
                 told = {int(od[a]): part for a, part in zip(cut, np.split(oh, cut[1:]))}
             table_ = np.array(ids, np.int64)
             rows = [
-                (b, i, None, _listed(np.array([n[k]]), _SIZE) + _listed(node[k : k + 1], _NODE) + _listed(told.get(k, h[:0]), 6))
+                (b, i, None, _listed(np.array([n[k]]), _SIZE) + _listed(node[k, :1], _LOW) + _listed(node[k, 1:], _HIGH) + _listed(told.get(k, h[:0]), 6))
                 for k, (i, b) in enumerate(zip(ids, bucket_of(table_, buckets).tolist()))
             ]
             sent, owner = h[~often], d[~often]
@@ -89,7 +105,7 @@ def _sender(buckets: int, size: int):
                 own = part.column(0).to_pylist()
                 texts = [t.encode() for t in part.column(1).to_pylist()]
                 for a, b in chunks(texts, CHUNK):
-                    h, d = shingles(texts[a:b], size)
+                    h, d = shingles(texts[a:b], size, seed)
                     held.append((h, d + len(ids)))
                     ids += own[a:b]
                     total += len(h)
@@ -149,19 +165,19 @@ def least(n: np.ndarray | int):
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, node, shared shingles, rarest first); shared is null for documents of which too few are shared."""
+    """(row, n, digest, shared shingles, rarest first); shared is null for documents of which too few are shared."""
     for batch in batches:
         out = []
         for i, told in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             got = np.frombuffer(told, _LISTED)
-            n = int(got["h"][got["c"] == _SIZE].max())
-            node = int(got["h"][got["c"] == _NODE].max().view(np.int64))
+            n = int(got["h"][got["c"] == _SIZE][0])
+            digest = got["h"][got["c"] == _LOW].tobytes() + got["h"][got["c"] == _HIGH].tobytes()
             got = np.unique(got[got["c"] < _SIZE])
             raw = None
             if n and len(got) >= least(n):
                 raw = got["h"][np.lexsort((got["h"], got["c"]))].tobytes()
-            out.append((i, n, node, raw))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "n", "node", "shared"])
+            out.append((i, n, digest, raw))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["row", "n", "digest", "shared"])
 
 
 def _prefix(n: int, raw: bytes) -> np.ndarray:
@@ -278,34 +294,123 @@ def _solve(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes, "class": nodes[region.classes()]})
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id of its class).
-
-    Texts are lower-cased (A-Z). A text with fewer words than a shingle is one shingle; without words (or null) it has none and is alone. Copies meet as
-    one node. A null id sorts before all others. Rows that repeat an id must repeat the text, and come back once.
-    An empty table gives an empty result.
+def _distances(rows: pd.DataFrame) -> pd.DataFrame:
+    """A chunk of a cell's nodes, and all the cell's pivots: each node's distances to them, by number of the pivot."""
+    pivots = rows[rows["pivot"] >= 0].sort_values("pivot")
+    nodes = rows[rows["pivot"] < 0]
+    both = pd.concat([pivots, nodes])
+    region = Region(both["n"].to_numpy(), [np.frombuffer(r, "<u8") for r in both["shared"]])
+    others = np.arange(len(pivots), len(both))
+    d, linked = (np.stack(x, 1) for x in zip(*(region.compare(k, others) for k in range(len(pivots)))))
+    return pd.DataFrame({"cell": nodes["cell"], "chunk": nodes["chunk"], "node": nodes["node"], "pivots": [pivots["node"].to_numpy()] * len(nodes), "d": list(d), "linked": list(linked)})
+
+
+_WEIGHT = f"1 + length(shared) / {float(NODE_BYTES)}"
+
+
+def _split(work: DataFrame, big: DataFrame, salt: int, cell: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """work: (cell, node, n, shared). big: (cell, chunks), its cells that are too big. Returns star edges (a, b), and the cells that
+    replace them: members (cell, node, parent), and the sizes of the parents (parent, was)."""
+    members = work.join(big, "cell").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("chunks")))
+    # Each pivot is the node with the least of one of PIVOTS hashes: partial minima, no sort of a cell.
+    picked = work.select("cell", "node").join(big, "cell").groupBy("cell", "chunks").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(salt + 7 + k)).alias("h"), "node"))["node"].alias(f"p{k}") for k in range(PIVOTS)))
+    picked = picked.select("cell", "chunks", F.posexplode(F.array_sort(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS)))))).alias("pivot", "node"))
+    pivots = work.join(picked, ["cell", "node"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    both = members.withColumn("pivot", F.lit(-1)).unionByName(pivots).select("cell", "chunk", "pivot", "node", "n", "shared")
+    far = write_once(both.groupBy("cell", "chunk").applyInPandas(_distances, "cell long, chunk long, node long, pivots array<long>, d array<double>, linked array<boolean>"), "jaccard-distances")
+    edges = far.select(F.col("node").alias("a"), F.explode(F.filter(F.arrays_zip("pivots", "linked"), lambda x: x["linked"])["pivots"]).alias("b")).where("a <> b")
+    # The least distance of a node outside each pivot's ball.
+    outside = far.groupBy("cell").agg(F.array(*(F.min(F.when(~F.get("linked", F.lit(k)), F.get("d", F.lit(k)))) for k in range(PIVOTS))).alias("outside"), F.count("*").alias("was"))
+    spread = outside.join(big, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
+    seen = far.join(spread, ["cell", "chunk"])
+    done = F.exists(F.arrays_zip("d", "linked", "outside"), lambda x: F.coalesce(x["linked"], F.lit(False)) & (x["outside"].isNull() | (x["d"] + _LINK + _EPS < x["outside"])))
+    left = seen.where(~done).withColumn("nearest", F.array_min("d")).withColumn("home", F.array_position("d", F.col("nearest")) - 1)
+    core = F.col("nearest") <= CORE
+    near = F.filter(F.transform("d", lambda d, k: F.when((core & (k == F.col("home"))) | ((d <= CORE + _LINK + _EPS) & (d <= F.col("nearest") + 2 * _LINK + _EPS)), k)), lambda k: k.isNotNull())
+    # The last number is the far cell.
+    cells = F.when(core, near).otherwise(F.concat(near, F.array(F.lit(PIVOTS))))
+    moved = left.select("node", F.col("cell").alias("parent"), F.explode(cells).alias("k"))
+    return edges, moved.select(F.xxhash64("parent", "k", F.lit(cell)).alias("cell"), "node", "parent"), outside.select(F.col("cell").alias("parent"), "was")
+
+
+def _in_pairs(work: DataFrame, stuck: DataFrame, cell: int) -> DataFrame:
+    """Cells that distances can't split: chunks of half a cell, each two of which are one task."""
+    parts = F.greatest(F.lit(2), F.ceil(F.col("size") * 2 / cell)).cast("long")
+    rows = work.join(stuck.withColumn("parts", parts).drop("size"), "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("own <> other")
+    pair = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.select(pair.alias("cell"), "node", "n", "shared").groupBy("cell").applyInPandas(_solve, "node long, class long")
+
+
+def _classes(members: DataFrame, sets: DataFrame, cell: int) -> DataFrame:
+    """members: (cell, node), the regions. sets: (node, n, shared). (node, component): the classes."""
+    found: list[DataFrame] = []
+    salt = 1
+    while True:
+        work = members.join(sets, "node").select("cell", "node", "n", "shared")
+        sizes = write_once(work.groupBy("cell").agg(F.sum(F.expr(_WEIGHT)).alias("size"), F.count("*").alias("nodes")), "jaccard-sizes")
+        big = sizes.where((F.col("size") > cell) & (F.col("nodes") > 2)).select("cell", F.ceil(F.col("size") / cell).cast("long").alias("chunks"))
+        more = not big.isEmpty()
+        small = work.join(big.select("cell"), "cell", "left_anti") if more else work
+        solved = small.groupBy("cell").applyInPandas(_solve, "node long, class long")
+        if not more and not found:  # no node is in two cells
+            return solved.withColumnRenamed("class", "component")
+        found.append(solved.select(F.col("node").alias("a"), F.col("class").alias("b")))
+        if not more:
+            break
+        edges, moved, was = _split(work, big, salt, cell)
+        found.append(edges)
+        moved = write_once(moved, "jaccard-cells")
+        # A cell that keeps over nine tenths of its parent's nodes isn't worth another round.
+        now = moved.groupBy("cell", "parent").agg(F.count("*").alias("size")).join(was, "parent")
+        stuck = write_once(now.where((F.col("size") > cell) & (F.col("size") > 0.9 * F.col("was"))).select("cell", F.col("size").cast("double").alias("size")), "jaccard-stuck")
+        members = moved.select("cell", "node")
+        if not stuck.isEmpty():
+            found.append(_in_pairs(members.join(sets, "node"), stuck, cell).select(F.col("node").alias("a"), F.col("class").alias("b")))
+            members = members.join(stuck.select("cell"), "cell", "left_anti")
+        salt += 1000
+    out = found[0]
+    for more_edges in found[1:]:
+        out = out.unionByName(more_edges)
+    return connected_components(out)
+
+
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, cell: int = CELL) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest id of its class).
+
+    Texts are lower-cased (A-Z). A text with fewer words than a shingle is one shingle; without words (or null) it has none and is alone. Each row is a
+    document of its own, also if its id is null or repeats; a null id sorts before all others. An empty table gives an empty result.
+    cell: nodes that one task solves.
     """
     buckets = shuffle_partitions(docs.sparkSession)
-    sent = keyed(docs, id_col, text_col).mapInArrow(_sender(RANGES * buckets, words), _SENT)
+    rows, unique = numbered(docs, id_col, text_col)
+    sent = rows.select("row", "text").mapInArrow(_sender(RANGES * buckets, words, job_seed()), _SENT)
     told = sent.groupBy("bucket").applyInPandas(_teller(buckets), "bucket int, blob binary")
-    sets = write_once(gathered(told, _LISTED.itemsize, None).mapInArrow(_gather, "doc_id long, n long, node long, shared binary"), "jaccard-sets")
-    near = sets.where("shared is not null").select("node", "n", "shared")
+    sets = write_once(gathered(told, _LISTED.itemsize, None).mapInArrow(_gather, "row long, n long, digest binary, shared binary"), "jaccard-sets")
+    ids = sets.select("row", "n", "digest", F.col("row").alias("doc_id")) if unique else sets.select("row", "n", "digest").join(rows.select("row", "doc_id"), "row")
+    # One node for each set, however many documents have it; its number is its least row.
+    some = sets.where("shared is not null").select("row", "digest")
+    nodes = write_once(some.groupBy("digest").agg(F.min("row").alias("node")), "jaccard-nodes")
+    near = write_once(sets.select(F.col("row").alias("node"), "n", "shared").join(nodes.select("node"), "node"), "jaccard-near")
     # Nodes that share a rare shingle are connected to the smallest of them.
-    held = near.mapInArrow(_prefixes, "node long, shingle long").distinct()
+    held = near.select("node", "n", "shared").mapInArrow(_prefixes, "node long, shingle long")
     hubs = held.groupBy("shingle").agg(F.min("node").alias("hub"), F.count("*").alias("nodes")).where("nodes > 1")
     edges = held.join(hubs, "shingle").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    regions = connected_components(edges)
-    linked = near.join(regions, "node").dropDuplicates(["node"])
-    classes = linked.groupBy("component").applyInPandas(_solve, "node long, class long")
-    least_id = sets.select("doc_id", "n", "node").join(classes, "node", "left").withColumn("class", F.coalesce("class", F.when(F.col("n") > 0, F.col("node"))))
-    first = least_id.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
-    out = least_id.join(first, "class", "left")
-    component = F.coalesce("first", "doc_id")
-    return out.select(real_id().alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != -(2**63), component).alias("component_id"))
+    regions = connected_components(edges).select(F.col("component").alias("cell"), "node")
+    classes = _classes(write_once(regions, "jaccard-regions"), near, cell)
+    # Per set, then per class, then back: both joins have plain tables on both sides, so Spark can split a hot key's partition.
+    of_set = ids.join(nodes, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    linked = write_once(classes.join(nodes, "node").join(of_set, "digest").select("digest", F.col("component").alias("class"), "first"), "jaccard-linked")
+    first = write_once(linked.groupBy("class").agg(F.min("first").alias("component_id")), "jaccard-first")
+    by_set = write_once(of_set.join(linked.join(first, "class").select("digest", "component_id"), "digest", "left").select("digest", F.coalesce("component_id", "first").alias("component_id")), "jaccard-classes")
+    out = ids.join(by_set, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select(real_id().alias("doc_id"), F.col("n").alias("n_shingles"), real_id("component_id").alias("component_id"), "row")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    """Every row and whole text of documents, 5-word shingles, links from 0.8. Null and empty texts have no shingles and are alone; an empty
+    table gives no rows."""
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("row")
 
 
 OP3_SQL = r"""

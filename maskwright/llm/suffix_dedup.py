@@ -3,7 +3,10 @@
 Windows of 50 bytes are dealt to shards by their least 20-byte hash (their minimizer), so equal windows meet, and
 neighbouring windows, which mostly share it, travel as one stretch of text. A first exchange of the minimizers alone keeps
 at home what no other document can have. Each shard sorts the suffixes of its stretches by induced sorting; windows that
-are equal follow each other there, and the common prefix of neighbours tells where they part.
+are equal follow each other there, and the common prefix of neighbours tells where they part. What a shard has beyond PASS bytes is
+cut anew with longer seeds, up to whole windows, and sorted in passes, so a phrase that many documents share needn't fit one sort.
+
+Hashes only bring together what may be equal: bytes go after a comparison of the bytes themselves.
 """
 
 from __future__ import annotations
@@ -17,27 +20,29 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import keyed, real_id, shuffle_partitions, table
+from .common import numbered, real_id, shuffle_partitions, table
 from .exchange import CHUNK, bucket_of, bundle, by_hash, covered, from_spans, gathered, planes, repeated, rows_of, spans_of, split_by, unplanes
 from .induced_sort import suffix_order
-from .tokens import chunks, mix, powers, rolling
+from .tokens import chunks, mix, powers, rolling, same_spans
 
 LENGTH, SEED = 50, 20
 #: Shards for each shuffle partition, and bytes of stretches that a map task packs at a time.
 SHARDS, BLOCK = 4, 3_000_000
+#: Bytes of stretches sorted at a time by a shard, and the seeds' lengths it tries, by the window's length.
+PASS, FINER = 24_000_000, (0.72, 1.0)
 _B = 0x9E3779B97F4A7C15
 _B_INV = pow(_B, -1, 2**64)
 
 
-def stretches(texts: list[bytes], length: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Over the texts, joined: data, and per stretch of windows with one minimizer the first window, the number of windows, the
-    minimizer, and the text's number."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
+def cut_up(data: np.ndarray, lengths: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """data: texts of these lengths, one after another. Per stretch of windows with one minimizer the first window, the number of windows, the minimizer, and the
+    text's number."""
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < length:
-        return data, none, none, none.astype(np.uint64), none
+        return none, none, none.astype(np.uint64), none
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_B, n)[:n], out=sums[1:])
     h = sums[seed:] - sums[:-seed]
@@ -49,7 +54,6 @@ def stretches(texts: list[bytes], length: int, seed: int = SEED) -> tuple[np.nda
         span *= 2
     if span < w:
         h = np.minimum(h[: len(h) - (w - span)], h[w - span :])
-    lengths = np.array([len(t) for t in texts])
     ends = np.cumsum(lengths)
     starts = ends - lengths
     change = np.zeros(n + 1, np.int32)
@@ -58,11 +62,19 @@ def stretches(texts: list[bytes], length: int, seed: int = SEED) -> tuple[np.nda
     valid = np.cumsum(change[:-1])[: len(h)] == 0
     begin = valid.copy()
     begin[1:] &= (h[1:] != h[:-1]) | ~valid[:-1]
+    if seed == length:
+        begin = valid.copy()
     first = np.flatnonzero(begin)
     stop = np.r_[np.flatnonzero(begin | ~valid), len(h)]
     count = stop[np.searchsorted(stop, first, side="right")] - first
     # Least hashes are small numbers; mixed again, they are dealt evenly.
-    return data, first, count, mix(h[first] + np.uint64(1)), np.searchsorted(starts, first, side="right") - 1
+    return first, count, mix(h[first] + np.uint64(1)), np.searchsorted(starts, first, side="right") - 1
+
+
+def stretches(texts: list[bytes], length: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """cut_up() of the texts, joined, with the joined bytes before the rest."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    return (data, *cut_up(data, np.array([len(t) for t in texts], np.int64), length, seed))
 
 
 def _minimizers(length: int):
@@ -78,25 +90,39 @@ def _join(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return data[np.repeat(skip, sizes) + np.arange(int(sizes.sum()))]
 
 
-def _pack(ids: np.ndarray, at: np.ndarray, counts: np.ndarray, h: np.ndarray, text: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(ids)) + planes(ids.astype("<i8")) + planes(at.astype("<u4")) + planes(counts.astype("<u4")) + planes(h.astype("<u4")) + text.tobytes())
+def _pack(rows: np.ndarray, ids: np.ndarray, at: np.ndarray, counts: np.ndarray, h: np.ndarray, text: np.ndarray) -> bytes:
+    """ids are packed only where they aren't the rows."""
+    apart = bool((rows != ids).any())
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I?", len(ids), apart) + planes(rows.astype("<i8")) + (planes(ids.astype("<i8")) if apart else b"") + planes(at.astype("<u4")) + planes(counts.astype("<u4")) + planes(h.astype("<u4")) + text.tobytes())
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    (n,) = struct.unpack_from("<I", raw)
-    ids, at = unplanes(raw, 4, n, "<i8")
+    n, apart = struct.unpack_from("<I?", raw)
+    rows, at = unplanes(raw, 5, n, "<i8")
+    ids, at = unplanes(raw, at, n, "<i8") if apart else (rows, at)
     starts, at = unplanes(raw, at, n, "<u4")
     counts, at = unplanes(raw, at, n, "<u4")
     h, at = unplanes(raw, at, n, "<u4")
-    return ids, starts.astype(np.int64), counts.astype(np.int64), h, np.frombuffer(raw, np.uint8, offset=at)
+    return rows, ids, starts.astype(np.int64), counts.astype(np.int64), h, np.frombuffer(raw, np.uint8, offset=at)
 
 
 _SENT = "bucket int, doc_id long, blob binary"
 
 
+def copies(text: np.ndarray, offset: np.ndarray, sizes: np.ndarray, ids: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which stretches equal, byte for byte, the stretch of the smallest id among those with the same hash; and that one's number."""
+    order, heads = by_hash(content, ids)
+    rep = np.empty(len(ids), np.int64)
+    rep[order] = np.repeat(order[heads], np.diff(np.r_[heads, len(ids)]))
+    equal = sizes == sizes[rep]
+    at = np.flatnonzero(equal)
+    equal[at] = same_spans(text, offset[at], offset[rep[at]], sizes[at])
+    return equal, rep
+
+
 def _sender(length: int, buckets: int):
-    """Rows (doc_id, text, spans): the stretches that spans lists, to the shard of their minimizer. Of equal stretches in a block only the
+    """Rows (doc_id, text, spans, id), doc_id being the row: the stretches that spans lists, to the shard of their minimizer. Of equal stretches in a block only the
     smallest document's goes; the others are removed in any case, and are told so."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,27 +130,25 @@ def _sender(length: int, buckets: int):
         total = 0
 
         def flush() -> pa.RecordBatch:
-            ids, at, counts, h, content = (np.concatenate([x[k] for x in held]) for k in range(5))
-            text = np.concatenate([x[5] for x in held])
+            own, ids, at, counts, h, content = (np.concatenate([x[k] for x in held]) for k in range(6))
+            text = np.concatenate([x[6] for x in held])
             held.clear()
             sizes = counts + length - 1
             offset = np.cumsum(sizes) - sizes
-            order, heads = by_hash(content)
-            least = np.empty(len(ids), np.int64)
-            least[order] = np.repeat(np.minimum.reduceat(ids[order], heads), np.diff(np.r_[heads, len(ids)]))
-            later = ids > least
-            rows = _told(ids[later], at[later], counts[later], buckets)
+            equal, rep = copies(text, offset, sizes, ids, content)
+            later = equal & (ids > ids[rep])
+            rows = _told(own[later], at[later], counts[later], buckets)
             go = np.flatnonzero(~later)
             shard = ((h[go] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             for b, k in split_by(shard[order], go[order]):
-                rows.append((b, None, _pack(ids[k], at[k], counts[k], h[k] & np.uint64(0xFFFFFFFF), _join(text, offset[k], sizes[k]))))
+                rows.append((b, None, _pack(own[k], ids[k], at[k], counts[k], h[k] & np.uint64(0xFFFFFFFF), _join(text, offset[k], sizes[k]))))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary()))], names=["bucket", "doc_id", "blob"])
 
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                all_ids, texts, spans = part.column(0).to_pylist(), [t.encode() for t in part.column(1).to_pylist()], part.column(2).to_pylist()
+                all_rows, texts, spans, all_ids = part.column(0).to_pylist(), [t.encode() for t in part.column(1).to_pylist()], part.column(2).to_pylist(), part.column(3).to_pylist()
                 for a, b in chunks(texts, CHUNK):
                     if not any(spans[a:b]):
                         continue
@@ -141,7 +165,7 @@ def _sender(length: int, buckets: int):
                     lengths = np.array([len(t) for t in texts[a:b]])
                     begins = np.cumsum(lengths) - lengths
                     content = rolling(data.astype(np.uint64) + np.uint64(1), first, first + sizes)
-                    held.append((np.array(all_ids[a:b], np.int64)[owner], first - begins[owner], count, h, content, _join(data, first, sizes)))
+                    held.append((np.array(all_rows[a:b], np.int64)[owner], np.array(all_ids[a:b], np.int64)[owner], first - begins[owner], count, h, content, _join(data, first, sizes)))
                     total += int(sizes.sum())
                     if total >= BLOCK:
                         yield flush()
@@ -194,36 +218,81 @@ def duplicate_windows(text: np.ndarray, offsets: np.ndarray, counts: np.ndarray,
     return out
 
 
-def _solver(length: int, buckets: int):
+def later_windows(text: np.ndarray, offsets: np.ndarray, counts: np.ndarray, ids: np.ndarray, length: int, limit: int = PASS, finer: tuple[float, ...] = FINER) -> np.ndarray:
+    """duplicate_windows() in passes of about limit bytes. Text beyond that is cut with longer seeds, and dealt to passes by their hash: windows that are equal
+    meet in one. Seeds as long as the window bring together equal windows, of which the first counts."""
+    total = int(counts.sum())
+    if not total:
+        return np.zeros(0, bool)
+    if len(text) <= limit or not finer:
+        return duplicate_windows(text, offsets, counts, ids, length)
+    out = np.zeros(total, bool)
+    seed = max(SEED, int(length * finer[0]))
+    sizes = counts + length - 1
+    window = np.cumsum(counts) - counts  # number of each stretch's first window
+    parts: list[tuple] = []
+    ends = np.cumsum(sizes)
+    low = 0
+    while low < len(counts):  # in blocks, as hashes take more memory than text
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + limit // 4, side="right")))
+        block = _join(text, offsets[low:high], sizes[low:high])
+        starts = np.cumsum(sizes[low:high]) - sizes[low:high]
+        first, count, h, owner = cut_up(block, sizes[low:high], length, seed)
+        parts.append((offsets[low + owner] + first - starts[owner], count, h, ids[low + owner], window[low + owner] + first - starts[owner]))
+        low = high
+    at, count, h, own, number = (np.concatenate([p[k] for p in parts]) for k in range(5))
+    del parts
+    passes = 1 + int((count + length - 1).sum()) // limit
+    turn = (h % np.uint64(passes)).astype(np.int64)
+    for k in range(passes):
+        pick = np.flatnonzero(turn == k)
+        own_sizes = count[pick] + length - 1
+        if seed == length:  # single windows: those equal to the first of their hash need no sort
+            same, rep = copies(text, at[pick], own_sizes, own[pick], h[pick])
+            out[number[pick[same]]] = own[pick][same] > own[pick][rep[same]]
+            pick, own_sizes = pick[~same], own_sizes[~same]
+            if len(pick):
+                part = _join(text, at[pick], own_sizes)
+                out[number[pick]] = duplicate_windows(part, np.cumsum(own_sizes) - own_sizes, count[pick], own[pick], length)
+            continue
+        part = _join(text, at[pick], own_sizes)
+        gone = later_windows(part, np.cumsum(own_sizes) - own_sizes, count[pick], own[pick], length, limit, finer[1:])
+        out[np.repeat(number[pick] - (np.cumsum(count[pick]) - count[pick]), count[pick]) + np.arange(len(gone))] = gone
+    return out
+
+
+def _solver(length: int, buckets: int, limit: int = PASS):
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         told = [rows_of(rows[rows["doc_id"].notna()], 8)]
         got = [_unpack(b) for b in rows["blob"][rows["doc_id"].isna()]]
         if got:
-            ids, at, counts, h, text = (np.concatenate([g[k] for g in got]) for k in range(5))
+            own, ids, at, counts, h, text = (np.concatenate([g[k] for g in got]) for k in range(6))
             del got
             sizes = counts + length - 1
             offset = np.cumsum(sizes) - sizes
             # Copies of a stretch from different blocks: the smallest document's is sorted, the others go.
             content = rolling(text.astype(np.uint64) + np.uint64(1), offset, offset + sizes)
-            order, heads = by_hash(content, ids)
-            runs = np.diff(np.r_[heads, len(ids)])
-            least = np.empty(len(ids), np.int64)
-            least[order] = np.repeat(ids[order[heads]], runs)
-            later = ids > least
-            told.append(spans_of(ids[later], at[later], counts[later]))
+            equal, rep = copies(text, offset, sizes, ids, content)
+            later = equal & (ids > ids[rep])
+            told.append(spans_of(own[later], at[later], counts[later]))
             # Equal windows have equal minimizers: where all stretches of a minimizer are one text, nothing is left to find.
-            order, heads = by_hash(h[~later].astype(np.uint64), content[~later])
+            left = np.flatnonzero(~later)
+            order, heads = by_hash(h[left].astype(np.uint64), ids[left])
             runs = np.diff(np.r_[heads, len(order)])
-            own = content[~later][order]
-            several = np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads)
-            stay = np.flatnonzero(~later)[order[np.repeat(several, runs)]]
-            ids, at, counts, offset, sizes = (x[stay] for x in (ids, at, counts, offset, sizes))
+            ordered = left[order]
+            first = np.repeat(ordered[heads], runs)
+            one = sizes[ordered] == sizes[first]
+            k = np.flatnonzero(one)
+            one[k] = same_spans(text, offset[ordered[k]], offset[first[k]], sizes[ordered[k]])
+            several = ~np.logical_and.reduceat(one, heads) if len(heads) else np.zeros(0, bool)
+            stay = np.sort(ordered[np.repeat(several, runs)])
+            own, ids, at, counts, offset, sizes = (x[stay] for x in (own, ids, at, counts, offset, sizes))
             if len(stay):
                 text = _join(text, offset, sizes)
                 offset = np.cumsum(sizes) - sizes
-                gone = np.flatnonzero(duplicate_windows(text, offset, counts, ids, length))
+                gone = np.flatnonzero(later_windows(text, offset, counts, ids, length, limit))
                 k = np.repeat(np.arange(len(ids)), counts)[gone]
-                told.append(spans_of(ids[k], at[k] + gone - (np.cumsum(counts) - counts)[k], np.ones(len(k), np.int64)))
+                told.append(spans_of(own[k], at[k] + gone - (np.cumsum(counts) - counts)[k], np.ones(len(k), np.int64)))
         return bundle(*(np.concatenate(x) for x in zip(*told)), buckets)
 
     return solve
@@ -255,20 +324,22 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id
     """One row per row of docs: doc_id, kept (the bytes that stay; they may not be UTF-8), n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte of the UTF-8 text goes if it is in a string of length bytes that also starts in a document with a smaller id.
-    Repeats in one document stay. Null and empty texts, and shorter ones than length, keep all. Rows that repeat an id must repeat the text.
-    Null ids are one document, the smallest. An empty table gives an empty result. length: at least 24.
+    Repeats in one document stay. Null and empty texts, and shorter ones than length, keep all. Each row is a document of its own; of rows with equal ids, or null ones,
+    none is the smaller, and a null id is smaller than all others. It comes back as the least long, for real_id(). An empty table gives an empty result. length: at least 24.
 
-    Texts are shuffled once and meet both exchanges' answers there. Minimizers and stretches are matched by 64-bit hashes, windows byte for byte.
+    Texts are shuffled once and meet both exchanges' answers there.
     """
     if length < SEED + 4:
         raise ValueError(f"length: at least {SEED + 4}")
     buckets = shuffle_partitions(docs.sparkSession)
-    rows = keyed(docs, id_col, text_col)
-    near = repeated(rows, _minimizers(length), buckets, apart=True)
-    sent = rows.join(near.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "told").mapInArrow(_sender(length, SHARDS * buckets), _SENT)
+    rows, _ = numbered(docs, id_col, text_col)
+    rows = rows.select(F.col("row").alias("doc_id"), "text", F.col("doc_id").alias("id"))
+    near = repeated(rows.select("doc_id", "text"), _minimizers(length), buckets, apart=True)
+    sent = rows.join(near.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "told", "id").mapInArrow(_sender(length, SHARDS * buckets), _SENT)
     gone = gathered(sent.groupBy("bucket").applyInPandas(_solver(length, buckets), "bucket int, blob binary"))
-    return rows.join(gone.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "told").mapInArrow(_remover(length), _KEPT)
+    return rows.join(gone.hint("shuffle_hash"), "doc_id", "left").select(F.col("id").alias("doc_id"), "text", "told").mapInArrow(_remover(length), _KEPT)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row and whole text of documents, strings of 50 bytes; null texts are empty. An empty table gives no rows."""
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept").withColumn("doc_id", real_id())
