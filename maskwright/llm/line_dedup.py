@@ -1,15 +1,18 @@
 """Incremental line dedup: sharded cuckoo filters backed by exact reference-count tables.
 
 The index is a list of committed generations in a shared folder. Each holds the postings it added or removed, a row
-per line key and document (the exact reference counts are their sums), and the shards' filters. An
+per line key and document (the exact reference counts are their sums), and the shards' filters; a manifest, written last, commits it, and
+LineIndex(spark, path) goes on from the last one. An
 insertion probes its keys' shard filters: a miss proves that the key is new, and only hits are looked up in the exact
 tables. Misses and false hits are then added, so each live key has a fingerprint of its own. Deletions append negative postings and take the keys whose count fell to 0 out of the filters, so dedup is
-reversible: a document that is deleted gives its lines back to the next smallest holder.
+reversible: a document that is deleted gives its lines back to the next smallest holder. Documents that a later generation changes are
+listed by affected(), and render() gives their lines as they are now.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,129 +173,147 @@ class CuckooFilter:
 
 # --- index --------------------------------------------------------------------------------------
 
+#: Keys of a shard's filter, about, when an index begins.
+SHARD_KEYS = 2_000_000
+_KEYS = ["h1", "h2"]
+_FILTERS = "shard int, filter binary"
+
+
 class LineIndex:
-    """keys: (h1, h2), the 128-bit hash of the key. shards: keys of a filter stay few enough for one task's memory
-    if there are about as many shards as shuffle partitions; the number is fixed for the life of an index."""
+    """keys: (h1, h2), the 128-bit hash of the key. path: a shared folder; an index that it holds is opened. shards: their number is
+    fixed for the life of an index. Unless given, there are as many as shuffle partitions, and more where the first batch has over
+    SHARD_KEYS lines for each, so a shard's keys and filter stay in one task's memory."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, shards: int | None = None) -> None:
         self.spark = spark
         self.path = path or scratch_path(spark, "line-index")
-        self.shards = shards or shuffle_partitions(spark)
+        self.shards = shards
         self.generations: list[str] = []
         self.filters: str | None = None
+        committed = self._manifests()
+        if committed:
+            state = spark.read.json(f"{self.path}/manifest-{max(committed):06d}").first()
+            self.shards, self.filters = int(state.shards), state.filters
+            self.generations = list(state.generations)
+
+    def _manifests(self) -> list[int]:
+        """Numbers of the manifests that were written to the end."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-*/_SUCCESS")
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+        return [int(f.getPath().getParent().getName().rsplit("-", 1)[1]) for f in found]
+
+    def _commit(self) -> None:
+        state = (self.shards, self.filters, self.generations)
+        rows = self.spark.createDataFrame([state], "shards int, filters string, generations array<string>")
+        rows.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest-{len(self.generations):06d}")
+
+    def _new(self, tag: str) -> str:
+        """A folder of its own: one that an interrupted generation left behind is no obstacle."""
+        return f"{self.path}/{tag}-{len(self.generations):06d}-{uuid.uuid4().hex[:8]}"
 
     def _shard(self):
         return F.pmod(F.col("h1"), F.lit(self.shards)).cast("int").alias("shard")
 
-    def postings(self) -> DataFrame:
-        """The exact table: (h1, h2, doc_id, n), with n the signed number of the document's lines with that key."""
-        if not self.generations:
-            return self.spark.createDataFrame([], _LINES)
-        return self.spark.read.schema(_LINES).parquet(*self.generations)
+    def postings(self, first: int = 0, last: int | None = None) -> DataFrame:
+        """The exact table: (doc_id, h1, h2, n), with n the signed number of the document's lines with that key; or just what the
+        generations from first to before last added."""
+        some = self.generations[first:last]
+        return self.spark.read.schema(_LINES).parquet(*some) if some else self.spark.createDataFrame([], _LINES)
+
+    @staticmethod
+    def _live(postings: DataFrame) -> DataFrame:
+        return postings.groupBy("h1", "h2", "doc_id").agg(F.sum("n").alias("n")).where("n > 0")
+
+    def _held_filters(self) -> DataFrame:
+        return self.spark.read.schema(_FILTERS).parquet(self.filters) if self.filters else self.spark.createDataFrame([], _FILTERS)
 
     def _probe(self, fresh: DataFrame) -> DataFrame:
-        """fresh: (h1, h2, first, last), a row per key. Returns it with seen: the key may be held already. Of an index without filters, all
-        keys are new, and the filters are built here."""
-        out = f"{self.path}/probe-{len(self.generations)}"
-        schema = "h1 long, h2 long, first long, last long, seen boolean, shard int, filter binary"
-        first = not self.filters
+        """fresh: (h1, h2, first, last), a row per key. Returns it with seen: the key may be held already."""
 
         def per_shard(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
             held = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else None
             keys = new["h1"].to_numpy(np.int64)
-            seen = held.contains(keys) if held is not None else np.zeros(len(keys), bool)
-            body = new[["h1", "h2", "first", "last"]].assign(seen=seen, shard=key[0], filter=None)
-            if not first:
-                return body
-            blob = CuckooFilter.build(keys).to_bytes()
-            end = pd.DataFrame({"h1": [0], "h2": [0], "first": [0], "last": [0], "seen": [False], "shard": [key[0]], "filter": [blob]})
-            return pd.concat([body.astype({"filter": object}), end])
+            return new[["h1", "h2", "first", "last"]].assign(seen=held.contains(keys) if held is not None else False)
 
         new = fresh.withColumn("shard", self._shard()).groupBy("shard")
-        old = (self.spark.read.parquet(self.filters).where("filter is not null") if self.filters else self.spark.createDataFrame([], "shard int, filter binary")).groupBy("shard")
-        new.cogroup(old).applyInPandas(lambda key, a, b: per_shard(key, a, b), schema).write.parquet(out)
-        made = self.spark.read.schema(schema).parquet(out)
-        if first:
-            self._ends = made.where("first = 0 and last = 0 and h1 = 0 and h2 = 0")
-        return made.where("not (h1 = 0 and h2 = 0 and first = 0 and last = 0)")
+        probed = new.cogroup(self._held_filters().groupBy("shard")).applyInPandas(lambda key, a, b: per_shard(key, a, b), "h1 long, h2 long, first long, last long, seen boolean")
+        probed.write.parquet(out := self._new("probe"))
+        return self.spark.read.schema(probed.schema).parquet(out)
 
     def _add(self, keys: DataFrame) -> None:
-        """Adds keys (h1, h2) that no document holds to the filters that there are."""
-        out = f"{self.path}/added-{len(self.generations)}"
+        """Adds keys (h1, h2) that no document holds to the filters. A shard that gets too full gets a larger filter, from its exact keys,
+        which are postings() by now."""
 
         def per_shard(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-            if not len(new):
-                return pd.DataFrame({"shard": [], "filter": []})
-            add, blob = new["h1"].to_numpy(np.int64), None
+            add, blob, grow = new["h1"].to_numpy(np.int64), None, False
             if not len(old):
                 blob = CuckooFilter.build(add).to_bytes()
+            elif not len(new):
+                blob = old["filter"].iloc[0]
             elif (held := CuckooFilter.from_bytes(old["filter"].iloc[0])).insert(add):
                 blob = held.to_bytes()
-            # None for a shard that is full: it is built anew from the exact table
-            return pd.DataFrame({"shard": [key[0]], "filter": [blob]})
+            else:
+                grow = True
+            return pd.DataFrame({"shard": [key[0]], "filter": [blob], "grow": [grow]})
 
         new = keys.select("h1", "h2", self._shard()).groupBy("shard")
-        old = self.spark.read.parquet(self.filters).where("filter is not null").groupBy("shard")
-        new.cogroup(old).applyInPandas(lambda key, a, b: per_shard(key, a, b), "shard int, filter binary").write.parquet(out)
-        self._ends = self.spark.read.schema("shard int, filter binary").parquet(out)
-
-    def _commit_filters(self) -> None:
-        """A shard whose filter was too full gets a larger one, from its exact keys; a shard without new keys keeps its filter."""
-        to = f"{self.path}/filters-{len(self.generations)}"
-        if not self.filters:
-            self._ends.select("shard", "filter").write.parquet(to)
-        else:
-            made = self._ends.select("shard", F.col("filter").alias("new"), F.lit(True).alias("touched"))
-            both = self.spark.read.parquet(self.filters).join(made, "shard", "full")
-            good = both.where("new is not null or touched is null").select("shard", F.coalesce("new", "filter").alias("filter"))
-            full = both.where("touched and new is null").select("shard")
-            keys = self.postings().withColumn("shard", self._shard()).join(full, "shard").groupBy("shard", "h1", "h2").agg(F.sum("n").alias("n")).where("n > 0")
-            again = keys.groupBy("shard").applyInPandas(_build_filter, "shard int, filter binary")
-            good.unionByName(again).write.parquet(to)
-        self.filters = to
+        made = new.cogroup(self._held_filters().groupBy("shard")).applyInPandas(lambda key, a, b: per_shard(key, a, b), f"{_FILTERS}, grow boolean")
+        made.write.parquet(out := self._new("filters"))
+        self.filters = out
+        full = self.spark.read.schema(made.schema).parquet(out).where("grow").select("shard")
+        if not full.isEmpty():
+            keys = self._live(self.postings()).select("h1", "h2").distinct().withColumn("shard", self._shard()).join(full, "shard")
+            good = self._held_filters().where("filter is not null")
+            good.unionByName(keys.groupBy("shard").applyInPandas(_build_filter, _FILTERS)).write.parquet(out := self._new("filters-grown"))
+            self.filters = out
 
     def insert(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
         """Adds the documents. Returns them as (doc_id, text, carried, n_lines, n_dropped, kept_sha256): a line whose key has
         at least 10 code points and is held by a document with a smaller id, of this batch or before, is gone from text.
         carried: a struct of the columns named in carry.
 
-        Null ids are one document that sorts first; a null text is one empty line. Rows that repeat an id are one document.
-        Hot keys meet only as partial counts; the join of postings with keys is one that Spark splits when it is skewed.
+        Null ids are one document that sorts first; a null text is one empty line. Rows that repeat an id are one document. A batch without rows
+        changes nothing. Hot keys meet only as partial counts; the join of postings with keys is one that Spark splits when it is skewed.
         """
         rows = keyed(docs, id_col, text_col, carry)
-        at = f"{self.path}/postings-{len(self.generations)}"
-        rows.select("doc_id", "text").mapInArrow(_extract, _LINES).write.parquet(at)
+        rows.select("doc_id", "text").mapInArrow(_extract, _LINES).write.parquet(at := self._new("postings"))
         lines = self.spark.read.schema(_LINES).parquet(at)
+        if self.shards is None:
+            self.shards = max(shuffle_partitions(self.spark), -(-lines.count() // SHARD_KEYS))
         fresh = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         probed = self._probe(fresh)
         new = probed.where("not seen and first < last").select("h1", "h2", "first")
+        adds = probed.where("not seen").select("h1", "h2")
         if self.filters:
-            held_at = f"{self.path}/held-{len(self.generations)}"
-            (
-                self.postings().join(probed.where("seen").select("h1", "h2"), ["h1", "h2"], "left_semi")
-                .groupBy("h1", "h2", "doc_id").agg(F.sum("n").alias("n")).where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("held")).write.parquet(held_at)
-            )
-            held = self.spark.read.schema("h1 long, h2 long, held long").parquet(held_at)
-            self._add(probed.select("h1", "h2").join(held, ["h1", "h2"], "left_anti"))
-            hit = probed.where("seen").join(held, ["h1", "h2"], "left").select("h1", "h2", F.least("first", "held").alias("first"), "last").where("first < last")
-            new = new.unionByName(hit.select("h1", "h2", "first"))
+            hits = probed.where("seen").select("h1", "h2")
+            held = self._live(self.postings().join(hits, _KEYS, "left_semi")).groupBy("h1", "h2").agg(F.min("doc_id").alias("held"))
+            held.write.parquet(held_at := self._new("held"))
+            held = self.spark.read.schema(held.schema).parquet(held_at)
+            # A hit of a key that the exact table doesn't hold was false: the key gets a fingerprint of its own.
+            both = probed.where("seen").join(held, _KEYS, "left")
+            adds = adds.unionByName(both.where("held is null").select("h1", "h2"))
+            new = new.unionByName(both.select("h1", "h2", F.least("first", "held").alias("first"), "last").where("first < last").select("h1", "h2", "first"))
         self.generations.append(at)
-        self._commit_filters()
-        drops = lines.join(new, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+        self._add(adds)
+        self._commit()
+        drops = lines.join(new, _KEYS).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+        return self._without(rows, drops)
+
+    @staticmethod
+    def _without(rows: DataFrame, drops: DataFrame) -> DataFrame:
         # The smaller side is built into hash tables, so the texts needn't be sorted.
         return rows.join(drops.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "drops", "carried").mapInArrow(_drop_lines, _KEPT % rows.schema["carried"].dataType.simpleString())
 
     def delete(self, ids: DataFrame) -> None:
-        """Takes out the documents whose id is in the first column of ids. Their postings are cancelled; keys that no document
-        holds any more leave the filters."""
+        """Takes out the documents whose id is in the first column of ids; ids that the index doesn't hold change nothing. Their postings
+        are cancelled; keys that no document holds any more leave the filters."""
         gone = ids.select(F.coalesce(ids[ids.columns[0]].cast("long"), F.lit(NULL_ID)).alias("doc_id")).distinct()
-        at = f"{self.path}/postings-{len(self.generations)}"
-        live = self.postings().groupBy("h1", "h2", "doc_id").agg(F.sum("n").alias("n")).where("n > 0")
-        live.join(gone, "doc_id", "left_semi").select("doc_id", "h1", "h2", (-F.col("n")).alias("n")).write.parquet(at)
+        mine = self.postings().join(gone, "doc_id", "left_semi")
+        self._live(mine).select("doc_id", "h1", "h2", (-F.col("n")).alias("n")).write.parquet(at := self._new("postings"))
         cancelled = self.spark.read.schema(_LINES).parquet(at).select("h1", "h2").distinct()
         self.generations.append(at)
-        left = self.postings().join(cancelled, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n <= 0")
-        out = f"{self.path}/filters-{len(self.generations)}-after-delete"
+        left = self.postings().join(cancelled, _KEYS, "left_semi").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n <= 0")
 
         def take_out(key, old: pd.DataFrame, dead: pd.DataFrame) -> pd.DataFrame:
             if not len(old):
@@ -302,14 +323,52 @@ class LineIndex:
             return pd.DataFrame({"shard": [key[0]], "filter": [held.to_bytes()]})
 
         if self.filters:
-            old = self.spark.read.parquet(self.filters).groupBy("shard")
-            old.cogroup(left.withColumn("shard", self._shard()).groupBy("shard")).applyInPandas(lambda key, a, b: take_out(key, a, b), "shard int, filter binary").write.parquet(out)
+            old, dead = self._held_filters().groupBy("shard"), left.withColumn("shard", self._shard()).groupBy("shard")
+            old.cogroup(dead).applyInPandas(lambda key, a, b: take_out(key, a, b), _FILTERS).write.parquet(out := self._new("filters"))
             self.filters = out
+        self._commit()
 
     def reference_counts(self) -> DataFrame:
         """(h1, h2, documents, first): the exact table by key."""
-        live = self.postings().groupBy("h1", "h2", "doc_id").agg(F.sum("n").alias("n")).where("n > 0")
-        return live.groupBy("h1", "h2").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
+        return self._live(self.postings()).groupBy("h1", "h2").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
+
+    def affected(self, since: int) -> DataFrame:
+        """(doc_id): documents of the first since generations, still held, of which later generations changed a line: one that was gone is
+        back, or one that stayed is gone, as a smaller holder came or went."""
+        touched = self.postings(since).select("h1", "h2").distinct()
+        before, now = (self._live(p.join(touched, _KEYS, "left_semi")) for p in (self.postings(0, since), self.postings()))
+        first = lambda x, name: x.groupBy("h1", "h2").agg(F.min("doc_id").alias(name))
+        both = before.select("h1", "h2", "doc_id").join(now.select("h1", "h2", "doc_id"), ["h1", "h2", "doc_id"])
+        changed = both.join(first(before, "was"), _KEYS).join(first(now, "is"), _KEYS).where("(doc_id > was) <> (doc_id > is)")
+        return changed.select(real_id().alias("doc_id")).distinct()
+
+    def render(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+        """Documents that the index holds, as insert() returns them, by what it holds now. Nothing is added."""
+        rows = keyed(docs, id_col, text_col, carry)
+        lines = self._live(self.postings().join(rows.select("doc_id").distinct(), "doc_id", "left_semi"))
+        first = self.reference_counts().select("h1", "h2", "first")
+        drops = lines.join(first, _KEYS).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+        return self._without(rows, drops)
+
+
+def dedup_lines(docs: DataFrame, *, batches: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """insert() of a whole table into a new index, in batches of ascending ids: of the first, all keys are new; in later ones the filters
+    tell which keys may be held, and the exact counts decide. A document's lines depend on smaller ids only, so each batch's answer holds.
+    Null ids are in the first batch, and one document."""
+    index = LineIndex(docs.sparkSession)
+    id_ = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
+    cuts = docs.select(F.percentile_approx(id_, [k / batches for k in range(1, batches)], 1000).alias("c")).first()["c"] or []
+    out: DataFrame | None = None
+    edges = [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges, edges[1:]):
+        some = docs
+        if low is not None:
+            some = some.where(id_ > low)
+        if high is not None:
+            some = some.where(id_ <= high)
+        kept = index.insert(some, id_col=id_col, text_col=text_col, carry=carry)
+        out = kept if out is None else out.unionByName(kept)
+    return out
 
 
 def _build_filter(keys: pd.DataFrame) -> pd.DataFrame:
@@ -317,7 +376,8 @@ def _build_filter(keys: pd.DataFrame) -> pd.DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = LineIndex(spark).insert(table(spark, sf_dir, "documents"))
+    """Every row and whole text of documents; a null or empty text is one empty line. An empty table gives no rows."""
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select(real_id().alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
 
 
