@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from .common import WORD, table, write_once
 
 
+#: Up to so many sources, about 1 MB, the plan goes to every task; beyond, it is dealt with SALTS copies of each of its rows, so that a
+#: source's documents are in as many tasks.
+BROADCAST_SOURCES, SALTS = 10_000, 64
+
+
 def cycling_weight(rank: Column) -> Column:
     """Weights 1, 2, 3, repeating, by the source's rank from 0."""
     return (F.pmod(rank, F.lit(3)) + 1).cast("double")
@@ -30,8 +35,9 @@ def mix_to_weights(docs: DataFrame, *, weight=cycling_weight, total: float | Non
     The keys depend on seed, id and size only, so reruns agree. row_col: a column that tells rows apart whose ids are equal; it comes back
     as row. Empty tables give an empty result.
 
-    The table per source has a row for each source. It is made in one task, as are the sums per range of a source:
-    it has as many ranges as rows in each, so neither grows faster than the root of its rows.
+    The table per source has a row for each source, of some 100 bytes, and is made in one task: millions of sources (hosts) fit, billions don't. The
+    sums per range of a source are made in one task, too: it has as many ranges as rows in each, so neither grows faster than the root of its rows.
+    Documents are never dealt by source.
     """
     row = [] if row_col is None else ["row"]
     sizes = docs.select(
@@ -44,15 +50,19 @@ def mix_to_weights(docs: DataFrame, *, weight=cycling_weight, total: float | Non
     keyed = write_once(
         sizes.withColumns({
             "no_source": F.col("source").isNull(), "name": F.coalesce("source", F.lit("")),
-            "key": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")),
+            "key": F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))), 1, 16),
         }),
         "mix-sizes",
     )
     by_source = keyed.groupBy("no_source", "name").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
-    plan = _targets(by_source, weight, total, max_epochs)
-    planned = keyed.join(plan, ["no_source", "name"])
+    plan = write_once(_targets(by_source, weight, total, max_epochs), "mix-plan")
+    if plan.count() <= BROADCAST_SOURCES:
+        planned = keyed.join(F.broadcast(plan), ["no_source", "name"])
+    else:
+        copies = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        planned = keyed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(copies, ["no_source", "name", "salt"]).drop("salt")
     # Keys are uniform, so ranges of equal width hold about as many rows each, however large the source.
-    share = (F.shiftrightunsigned("key", 11).cast("double") / F.lit(float(2**53)))
+    share = F.conv(F.substring("key", 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
     ranged = planned.withColumn("range", F.least(F.floor(share * F.col("n_ranges")), F.col("n_ranges") - 1).cast("long"))
     # Dealt by range as well: else the windows below would take the join's partitioning, with a whole source in one task.
     ranged = ranged.repartition("no_source", "name", "range")
@@ -91,9 +101,30 @@ def _targets(by_source: DataFrame, weight, total: float | None, max_epochs: int)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents; null texts have size 0 and take nothing, null sources are one source. An empty table gives no rows."""
     return mix_to_weights(table(spark, sf_dir, "documents")).drop("source")
 
 
+OP2_SQL = r"""
+WITH s AS (
+  SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS name, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), b AS (SELECT no_source, name, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY ALL),
+r AS (SELECT *, CAST((row_number() OVER (ORDER BY no_source, name) - 1) % 3 + 1 AS DOUBLE) AS w, CAST(3 * source_size AS DOUBLE) AS cap FROM b),
+l AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / w, no_source, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, no_source, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
+), f AS (SELECT *, CASE WHEN cap <= level * w THEN cap ELSE max(CASE WHEN cap > level * w THEN level END) OVER () * w END AS target FROM l),
+p AS (SELECT *, CAST(least(round(target), cap) AS BIGINT) AS budget FROM f),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM p),
+k AS (
+  SELECT doc_id, size, source_size, target, epochs, budget - epochs * source_size AS rest,
+    sum(size) OVER (PARTITION BY no_source, name ORDER BY substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(size AS VARCHAR)), 1, 16), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM s JOIN q USING (no_source, name)
+)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(rest - coalesce(before, 0), size)) AS BIGINT) AS taken FROM k
+"""
+
+
 def brute_targets(sizes: list[int], weights: list[float], max_epochs: int = 3) -> list[float]:
     """The same targets by repeated sharing, for tests."""
     out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
