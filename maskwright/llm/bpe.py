@@ -36,11 +36,28 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
+def check_spec(spec: dict) -> None:
+    """Raises ValueError for a tokenizer file that asks for anything that isn't done here, rather than giving other ids than it."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    wrong = [
+        name for name, bad in {
+            "model": model.get("type", "BPE") != "BPE", "normalizer": spec.get("normalizer") is not None,
+            "pre_tokenizer": pre.get("type") != "ByteLevel" or not pre.get("use_regex", True), "add_prefix_space": bool(pre.get("add_prefix_space")),
+            "dropout": bool(model.get("dropout")), "ignore_merges": bool(model.get("ignore_merges")), "continuing_subword_prefix": bool(model.get("continuing_subword_prefix")),
+            "end_of_word_suffix": bool(model.get("end_of_word_suffix")), "decoder": (spec.get("decoder") or {}).get("type") != "ByteLevel",
+            "added_tokens": any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])),
+        }.items() if bad
+    ]
+    if wrong:
+        raise ValueError(f"unsupported in the tokenizer file: {', '.join(wrong)}")
+
+
 class Bpe:
     """path: a tokenizer file of the tokenizers library with a byte-level BPE model and no normalizer."""
 
     def __init__(self, path: str) -> None:
         spec = json.load(open(path, encoding="utf-8"))
+        check_spec(spec)
         byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         self.bytes_of = {i: bytes(byte_of[c] for c in t) for t, i in spec["model"]["vocab"].items()}
         id_of = {t: i for i, t in self.bytes_of.items()}
@@ -216,4 +233,5 @@ def encode_decode(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", te
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row and whole text of documents, with the byte-level vocabulary; null texts are empty. An empty table gives no rows."""
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))

@@ -100,6 +100,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row and whole text of documents; null texts are empty. Of equal texts the largest id stays. An empty table gives no rows."""
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 

@@ -236,4 +236,5 @@ def _one_guard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row and whole text of documents; null texts are empty. An empty table gives no rows."""
     return fingerprints(table(spark, sf_dir, "documents"))

@@ -10,6 +10,7 @@ The index is the last frame that the seek table lists. Any zstandard reader can
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -110,6 +111,19 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
 
 # --- encoding -----------------------------------------------------------------------------------
 
+def check_spec(spec: dict) -> None:
+    """Raises ValueError for a tokenizer that may keep white space, or look beyond it: its words can't be encoded one by one."""
+    pre = spec.get("pre_tokenizer") or {}
+    first = (pre.get("pretokenizers") or [pre])[0]
+    drops = first.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer") or (first.get("type") == "Split" and first.get("behavior") == "Removed")
+    parts = spec.get("normalizer") or {}
+    kinds = {n.get("type") for n in parts.get("normalizers", [parts] if parts else [])}
+    prefix = any(p.get("add_prefix_space") for p in [pre, *pre.get("pretokenizers", [])])
+    marked = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", []))
+    if not drops or prefix or marked or kinds & {"Strip", "Prepend", "Precompiled"} or (spec.get("model") or {}).get("dropout"):
+        raise ValueError("unsupported: a tokenizer file whose words can't be encoded apart")
+
+
 class WordEncoder:
     """Exact ids of a tokenizer that drops white space and never merges across it: words are encoded by the library
     once, and remembered."""
@@ -119,6 +133,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        check_spec(json.loads(self.tokenizer.to_str()))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         # An added token cuts the text before anything else happens to it, so words around one are encoded as if alone.
@@ -260,6 +275,7 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row and whole text of documents, written to files and read back; null texts are empty. An empty table gives no rows."""
     manifest = write_token_shards(
         table(spark, sf_dir, "documents"), scratch_path(spark, "token-shards"),
         tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=1,

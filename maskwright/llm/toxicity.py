@@ -12,15 +12,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keyed, table, tidy
 
 #: Labelled documents that the model is fitted on, at most: the ones whose ids have the smallest hashes.
 SAMPLE_ROWS = 6_000
-#: Grades above 0 that toxic documents are split into, features kept, the L1 penalty, and the limit of P(grade > 0).
-LEVELS, MAX_FEATURES, L1, REJECT = 3, 4_000, 5e-5, 0.5
+#: Of the sample, texts count as far as they have this many bytes in all, by the same order; so the driver's memory is bounded by bytes, too.
+SAMPLE_BYTES = 24_000_000
+#: Grades above 0 that toxic documents are split into, the L1 penalty, which leaves few features, and the limit of P(grade > 0).
+LEVELS, L1, REJECT = 3, 5e-5, 0.5
 #: Bytes of a stem.
 STEM = 5
 _PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
@@ -115,8 +117,7 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> Ord
     mass, mass_toxic = (np.bincount(col, weights=x, minlength=len(hashes)) for x in (val, val * toxic[row]))
     z = np.abs(mass_toxic - mass * p) / np.sqrt(np.maximum(np.bincount(col, weights=val * val, minlength=len(hashes)) * p * (1 - p), 1e-9))
     z[df < 3] = 0
-    chosen = np.argsort(-z, kind="stable")[:MAX_FEATURES]
-    chosen = chosen[z[chosen] > 4]
+    chosen = np.flatnonzero(z > 4)
     new = np.full(len(hashes), -1)
     new[chosen] = np.arange(len(chosen))
     keep = new[col] >= 0
@@ -156,13 +157,18 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"toxic": batch.column(0), "hashes": pa.array([h.tobytes() for h, _ in both], pa.binary()), "amounts": pa.array([v.tobytes() for _, v in both], pa.binary())})
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> OrdinalModel:
-    """Fits on at most sample_rows labelled documents. A document labelled more than once is toxic if any of its labels says so;
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> OrdinalModel:
+    """Fits on at most sample_rows labelled documents of at most sample_bytes in all, in the order of the ids' hashes. A document labelled more than once is toxic if any of its labels says so;
     labels that are null or of unknown documents are left out. Only the sample's hashed features reach the driver."""
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # The sample has at most sample_rows rows of two numbers, so it can be broadcast.
-    texts = keyed(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("toxic", "text")
+    both = keyed(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
+    # One narrow row for each document of the sample.
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = both.select("doc_id", F.octet_length("text").alias("bytes")).withColumn("upto", F.sum("bytes").over(upto))
+    fits = sizes.where(F.col("upto") <= sample_bytes).select("doc_id").distinct()
+    texts = both.join(F.broadcast(fits), "doc_id", "left_semi").select("toxic", "text")
     rows = texts.mapInArrow(_hashes, "toxic int, hashes binary, amounts binary").collect()
     rows.sort(key=lambda r: (r["toxic"], bytes(r["hashes"]), bytes(r["amounts"])))
     return fit([(np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["amounts"], "<f4")) for r in rows], np.array([r["toxic"] for r in rows]))
@@ -170,11 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: all its columns, with expected_severity (0 to LEVELS), toxic_probability, severity (the most likely
-    grade) and toxic (toxic_probability >= 0.5) after them; columns of docs with these names are replaced. Null and empty texts have no words and get the thresholds' base rate.
-    Rows are independent: nothing is shuffled. The model has at most MAX_FEATURES weights."""
+    grade) and toxic (toxic_probability >= 0.5) after them; Null and empty texts have no words and get the thresholds' base rate.
+    Rows are independent: nothing is shuffled. Columns named like the new ones, in any case of letters, are replaced."""
     weights, thresholds = model.weights, model.thresholds
     mine = "expected_severity double, toxic_probability double, severity int, toxic boolean".split(", ")
-    rest = [c for c in docs.columns if c not in {m.split()[0] for m in mine}]
+    rest = [c for c in docs.columns if c.lower() not in {m.split()[0] for m in mine}]
     held = OrdinalModel(weights, thresholds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +199,8 @@ def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every row and whole text of documents by a model fitted to labels; null and empty texts have no words. Empty labels reject
+    nothing; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs.select("doc_id", "text"), model).drop("text")

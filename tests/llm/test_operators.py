@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import json
 import random
 import re
 
@@ -9,11 +11,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+import xxhash
 from tokenizers import Tokenizer
 
 from maskwright.llm import bpe, exact_dedup, fingerprints, induced_sort, jaccard_join, line_dedup, mixing, substring_dedup, suffix_dedup, token_files, toxicity
-from maskwright.llm.common import scratch_path
+from maskwright.llm.common import NULL_ID, scratch_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, told binary, n long, key string"
 
@@ -85,6 +87,55 @@ def test_lines_and_deletion(spark, docs, rows):
             assert got[i] == sha("\n".join(x for x in t.split("\n") if not (len(k(x.encode()).decode()) >= 10 and i > min(held[k(x.encode())]))))
 
 
+def holders(rows):
+    held = collections.defaultdict(set)
+    for i, t in rows:
+        for x in t.split("\n"):
+            key = line_dedup.line_key(x.encode())
+            if len(key.decode()) >= 10:
+                held[key].add(i)
+    return held
+
+
+def lines_left(rows):
+    held = holders(rows)
+    gone = lambda i, x: len(held.get(line_dedup.line_key(x.encode()), ())) > 1 and i > min(held[line_dedup.line_key(x.encode())])
+    return {i: "\n".join(x for x in t.split("\n") if not gone(i, x)) for i, t in rows}
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_lines_in_batches(docs, rows, batches):
+    got = {r.doc_id: (r.n_lines, r.text) for r in line_dedup.dedup_lines(docs, batches=batches).collect()}
+    left = lines_left(rows)
+    assert got == {i: (len(t.split("\n")), left[i]) for i, t in rows}
+
+
+def test_index_is_reopened(spark):
+    some = [(1, "a common line here\nx"), (2, "a common line here\ny"), (5, "a common line here\nanother line of text"), (None, None)]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    index = line_dedup.LineIndex(spark, shards=2)
+    index.insert(docs.where("doc_id > 1")).count()
+    again = line_dedup.LineIndex(spark, index.path)
+    assert (again.shards, again.generations, again.filters) == (2, index.generations, index.filters)
+    mark = len(again.generations)
+    again.insert(docs.where("doc_id = 1 or doc_id is null")).count()
+    # The smaller holder takes the line from 2; 5 had lost it before.
+    assert [r.doc_id for r in again.affected(mark).collect()] == [2]
+    assert {r.doc_id: r.text for r in again.render(docs.where("doc_id > 1")).collect()} == {2: "y", 5: "another line of text"}
+    again.delete(spark.createDataFrame([(1,), (2,), (77,)], "doc_id long"))
+    last = line_dedup.LineIndex(spark, index.path)
+    assert [r.doc_id for r in last.affected(mark).collect()] == [5] and last.render(docs.where("doc_id = 5")).first().text == some[2][1]
+    last.insert(docs.where("false")).count()
+    assert last.render(docs.where("doc_id = 5")).first().text == some[2][1]
+
+
+def test_full_filter_grows(spark):
+    index = line_dedup.LineIndex(spark, shards=1)
+    one = lambda i, k: spark.createDataFrame([(i, "\n".join(f"line number {x:06d}" for x in range(k)))], "doc_id long, text string")
+    index.insert(one(1, 10)).count()
+    assert index.insert(one(2, 3000)).first().n_dropped == 10 and index.insert(one(3, 4000)).first().n_dropped == 3000
+
+
 def test_cuckoo_filter():
     keys = np.arange(20_000, dtype=np.int64) * 7919
     f = line_dedup.CuckooFilter.build(keys)
@@ -126,24 +177,93 @@ def test_mixing(docs, rows):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_to_weights(docs.repartition(7)).collect()))
 
 
-def test_jaccard(docs, rows):
+def linked(rows):
+    """(id, size of the set, smallest id of the class) by row; null ids as the smallest."""
+
     def shingle(t):
         w = re.findall(rb"[^\x20\x09-\x0d]+", t.encode().lower())
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
-    sets = {i: shingle(t) for i, t in rows}
-    parent = {i: i for i in sets}
+    sets = [shingle(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
-    def find(i):
-        return i if parent[i] == i else find(parent[i])
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
 
-    for i in sets:
-        for j in sets:
-            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) > 0:
-                a, b = sorted((find(i), find(j)))
-                parent[b] = a
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs).collect()}
-    assert got == {i: (len(s), find(i)) for i, s in sets.items()} and len(set(map(find, sets))) < len(sets)
+    for a in range(len(rows)):
+        for b in range(a):
+            if find(a) != find(b):
+                c = len(sets[a] & sets[b])
+                if c and 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c):
+                    parent[find(a)] = find(b)
+    ids = [NULL_ID if i is None else i for i, _ in rows]
+    least = collections.defaultdict(lambda: 2**63)
+    for k in range(len(rows)):
+        least[find(k)] = min(least[find(k)], ids[k])
+    return sorted((ids[k], len(sets[k]), least[find(k)]) for k in range(len(rows)))
+
+
+def components(out):
+    return sorted((NULL_ID if r.doc_id is None else r.doc_id, r.n_shingles, NULL_ID if r.component_id is None else r.component_id) for r in out.collect())
+
+
+def test_jaccard(docs, rows):
+    want = linked(rows)
+    assert components(jaccard_join.jaccard_join(docs)) == want and len({w[2] for w in want}) < len(want)
+
+
+def test_large_group_of_unequal_copies(spark):
+    """Drafts that follow each other, near copies of one text, and texts that share half of it: one region, far beyond a cell."""
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    some, now = [], base
+    for k in range(50):
+        now = list(now)
+        for _ in range(rng.randint(0, 3)):
+            now[rng.randrange(120)] = f"z{rng.randint(0, 10**6)}"
+        some.append((1000 + k, " ".join(now)))
+    for k in range(90):
+        own = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 6])):
+            own[rng.randrange(120)] = f"y{rng.randint(0, 10**6)}"
+        some.append((2000 + k, " ".join(own)))
+    some += [(3000 + k, " ".join(base[:100] + [f"t{k}x{j % 3 + k % 7}" for j in range(14)])) for k in range(40)]
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    assert components(jaccard_join.jaccard_join(docs, cell=60)) == linked(some)
+
+
+def thue_morse():
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    a = "".join("ab"[b] for b in bits)
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_no_algebraic_collisions(spark):
+    a, b = thue_morse()
+    rest = " ".join(f"x{k}" for k in range(34))
+    one = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert components(jaccard_join.jaccard_join(one)) == [(1, 1, 1), (2, 1, 2)]
+    two = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}")], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup.substring_dedup(two).collect()} == {0}
+
+
+ODD = [(None, 5), (None, 22), (None, 0), (3, 23), (3, 24), (6, 7)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark, docs):
+    """(rows, table): also rows whose ids are null or repeat, with texts of other rows and texts of their own."""
+    more = [(i, texts()[k]) for i, k in ODD] + [(None, "a text of its own " + " ".join(f"u{k}" for k in range(60)))]
+    own = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()] + [(i, t or "") for i, t in more]
+    return own, docs.unionByName(spark.createDataFrame([(i, t, "en", None, None, b"", 1, "k") for i, t in more], SCHEMA))
+
+
+def test_jaccard_null_and_repeated_ids(odd):
+    assert components(jaccard_join.jaccard_join(odd[1])) == linked(odd[0])
 
 
 def test_region_with_pivots():
@@ -173,23 +293,83 @@ def test_region_with_pivots():
 def test_fingerprints(docs, rows):
     got = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
     assert len(got) == len(rows)
-    for (i, t), (_, nxt) in zip(rows, [*rows[1:], rows[0]]):
+
+    def alike(a, b):
+        """Of the 64 smallest names of both, the share that both have."""
+        a, b = ({x[k : k + 8] for k in range(0, len(x), 8)} for x in (a, b))
+        least = sorted(a | b)[: fingerprints.KEEP]
+        return sum(x in a and x in b for x in least) / len(least) if least else 1.0
+
+    for (i, t), (j, nxt) in zip(rows, [*rows[1:], rows[0]]):
         cut = len(t) // 4
         assert got[i].edited_sha256 == sha(t[: len(t) - cut] + nxt[:cut]) and got[i].n_chars == len(t)
-    by = collections.defaultdict(set)
-    for i, t in rows:
-        by[t].add(got[i].fingerprint)
-    assert all(len(x) == 1 for x in by.values())
+        assert got[i].fingerprint == "".join(sorted({f"{x >> 32:08x}" for x in slow_phrases(t.encode())})[: fingerprints.KEEP])
+        assert got[i].edited_fingerprint == "".join(sorted({f"{x >> 32:08x}" for x in slow_phrases((t[: len(t) - cut] + nxt[:cut]).encode())})[: fingerprints.KEEP])
+        assert abs(got[i].near_edited - alike(got[i].fingerprint, got[i].edited_fingerprint)) < 1e-12 and abs(got[i].near_next - alike(got[i].fingerprint, got[j].fingerprint)) < 1e-12
     assert np.mean([got[i].near_edited - got[i].near_next for i, t in rows if len(t) > 300]) > 0.3
 
 
-def test_words(docs, rows):
-    own = {i: t.encode().split() for i, t in rows}
-    count = collections.Counter(tuple(w[k : k + 35]) for w in own.values() for k in range(len(w) - 34))
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs).collect()}
-    for i, w in own.items():
+def slow_phrases(raw: bytes) -> list[int]:
+    """The names of the last two levels, one symbol at a time."""
+    m64 = 2**64 - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & m64
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & m64
+        return x ^ x >> 31
+
+    def toss(c, bits):
+        out = []
+        for k, x in enumerate(c):
+            left = c[k - 1] if k else ~x & (2**bits - 1)
+            low = ((x ^ left) & -(x ^ left)).bit_length() - 1
+            out.append(2 * low + (x >> low & 1))
+        return out
+
+    names, upper, r = list(raw), [], 0x9E3779B97F4A7C15
+    for level in range(fingerprints.LEVELS if raw else 0):
+        runs = [(x, len(list(g))) for x, g in itertools.groupby(names)]
+        wide = [mix(x + 1) if level == 0 else x for x, _ in runs]
+        wide = [mix(w + r * n & m64) if n > 1 else w for w, (_, n) in zip(wide, runs)]
+        c = toss([x for x, _ in runs], 8) if level == 0 else toss(wide, 64)
+        c = toss(toss(c, 8), 8)
+        starts = [0] + [k for k in range(1, len(c) - 1) if c[k] < c[k - 1] and c[k] <= c[k + 1]]
+        names = []
+        for a, b in zip(starts, [*starts[1:], len(c)]):
+            total = sum(mix(w) * pow(r | 1, k, 2**64) for k, w in enumerate(wide[a:b]))
+            names.append(mix((total + b - a) & m64))
+        if level >= fingerprints.LEVELS - 2:
+            upper += names
+    return upper
+
+
+def test_equal_substrings_share_their_phrases():
+    rng = random.Random(8)
+    word = lambda n: bytes(rng.choice(b"abcdefghij klmnop") for _ in range(n))
+    shared = word(3000)
+    inside = [set(slow_phrases(word(k) + shared + word(2 * k))) for k in (0, 1, 7, 333)]
+    assert all(len(inside[0] & x) > 0.9 * len(set(slow_phrases(shared))) for x in inside)
+
+
+def words_left(rows):
+    own = [(NULL_ID if i is None else i, t.encode().split()) for i, t in rows]
+    count = collections.Counter(tuple(w[k : k + 35]) for _, w in own for k in range(len(w) - 34))
+    out = []
+    for i, w in own:
         gone = {k + j for k in range(len(w) - 34) if count[tuple(w[k : k + 35])] > 1 for j in range(35)}
-        assert got[i] == (len(w), len(gone), sha(b" ".join(x for k, x in enumerate(w) if k not in gone)))
+        out.append((i, len(w), len(gone), sha(b" ".join(x for k, x in enumerate(w) if k not in gone))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("weak", [0, 52])
+def test_words(spark, odd, weak):
+    """weak: with hashes of 12 bits, so that most claims are wrong and are opened."""
+    periodic = [(501, "a " * 60), (502, "p q " * 80), (503, "p q " * 30)]
+    rows, table = odd[0] + periodic, odd[1].select("doc_id", "text").unionByName(spark.createDataFrame(periodic, "doc_id long, text string"))
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(table, weak=weak).collect())
+    assert got == words_left(rows)
 
 
 def test_suffix_order():
@@ -200,19 +380,40 @@ def test_suffix_order():
             assert induced_sort.suffix_order(t, 10**6, budget).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
-def test_bytes(docs, rows):
-    seen: set[bytes] = set()
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs).collect()}
-    for i, t in rows:
-        raw = t.encode()
+def bytes_left(rows):
+    own = [(NULL_ID if i is None else i, t.encode()) for i, t in rows]
+    first: dict[bytes, int] = {}
+    for i, raw in own:
+        for k in range(len(raw) - 49):
+            first[raw[k : k + 50]] = min(first.get(raw[k : k + 50], 2**63), i)
+    out = []
+    for i, raw in own:
         hit = np.zeros(len(raw), bool)
-        own = [raw[k : k + 50] for k in range(len(raw) - 49)]
-        for k, w in enumerate(own):
-            if w in seen:
+        for k in range(len(raw) - 49):
+            if first[raw[k : k + 50]] < i:
                 hit[k : k + 50] = True
-        seen.update(own)
-        runs = int((np.diff(np.r_[0, hit.astype(int)]) == 1).sum())
-        assert got[i] == (len(raw), int(hit.sum()), runs, sha(bytes(np.frombuffer(raw, np.uint8)[~hit])))
+        out.append((i, len(raw), int(hit.sum()), int((np.diff(np.r_[0, hit.astype(int)]) == 1).sum()), sha(bytes(np.frombuffer(raw, np.uint8)[~hit]))))
+    return sorted(out)
+
+
+def test_bytes(odd):
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(odd[1]).collect())
+    assert got == bytes_left(odd[0])
+
+
+def test_shard_beyond_its_limit():
+    """A phrase of 40 bytes, one minimizer, with neighbours of its own in each of many texts: the shard is cut anew and sorted in passes."""
+    rng = random.Random(1)
+    some = [bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randint(0, 60))) + b"the same common phrase of forty bytes..." + bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(300)]
+    some = [x for x in some + some[5:7] if len(x) >= 50]
+    text, sizes, ids = np.frombuffer(b"".join(some), np.uint8), np.array([len(x) for x in some]), np.array([rng.randint(0, 250) for _ in some])
+    first: dict[bytes, int] = {}
+    for x, i in zip(some, ids):
+        for k in range(len(x) - 49):
+            first[x[k : k + 50]] = min(first.get(x[k : k + 50], 10**9), i)
+    want = [first[x[k : k + 50]] < i for x, i in zip(some, ids) for k in range(len(x) - 49)]
+    for limit in (10**9, 4000, 1000, 100):
+        assert suffix_dedup.later_windows(text, np.cumsum(sizes) - sizes, sizes - 49, ids, 50, limit).tolist() == want
 
 
 def test_token_files(spark, docs, rows):
@@ -266,23 +467,58 @@ def test_bpe(docs, rows):
 
 
 def test_toxicity(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     model = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
     held = toxicity.score(docs.join(labels.where("doc_id % 2 = 1").withColumnRenamed("toxic", "y"), "doc_id").select("doc_id", "text", "y"), model).collect()
-    right = np.mean([r.toxic == bool(r.y) for r in held])
-    assert right > 0.9 and all(0 <= r.expected_severity <= toxicity.LEVELS for r in held)
-    assert np.all(np.diff(model.thresholds) > 0)
-    none = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
-    assert toxicity.score(none, model).where("not toxic").count() == 2
-
-
-@pytest.mark.parametrize("f", [exact_dedup.exact_dedup, mixing.mix_to_weights, jaccard_join.jaccard_join, fingerprints.fingerprints, substring_dedup.substring_dedup, suffix_dedup.suffix_dedup])
-def test_empty_table(spark, docs, f):
-    assert f(docs.where("false")).count() == 0
-
-
-def test_null_id(spark, docs):
-    some = docs.withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
-    assert jaccard_join.jaccard_join(some).where("doc_id is null").count() == 1
-    assert exact_dedup.exact_dedup(some).where("doc_id is null and kept").count() == 1
+    toxic, clean = [r.toxic for r in held if r.y == 1], [r.toxic for r in held if r.y == 0]
+    assert len(toxic) > 5 and np.mean(toxic) >= 0.9 and np.mean(clean) <= 0.01
+    assert all(0 <= r.expected_severity <= toxicity.LEVELS for r in held) and np.all(np.diff(model.thresholds) > 0)
+    # By hand, from the weights: a word counts once, a stem by its density.
+    for r in held[:50]:
+        words, stems, n = toxicity.features(r.text)
+        m = sum(model.weights.get(xxhash.xxh3_64_intdigest(w), 0.0) for w in words)
+        m += sum(model.weights.get(xxhash.xxh3_64_intdigest(x, 1), 0.0) * float(toxicity.density(k, n)) for x, k in stems.items())
+        assert abs(r.toxic_probability - 1 / (1 + np.exp(model.thresholds[0] - m))) < 1e-9
+    odd = spark.createDataFrame([(1, None, 5), (2, "", 6), (None, "word " * 200_000, 7)], "doc_id long, text string, TOXIC int")
+    assert [r.toxic for r in toxicity.score(odd, model).collect()] == [False] * 3
+
+
+def test_odd_labels(spark):
+    docs = spark.createDataFrame([(k, f"bad{k % 2} word") for k in range(40)] + [(None, "bad1")], "doc_id long, text string")
+    label = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    for rows, want in (([], False), ([(k, 1, 0) for k in range(40)], False), ([(k, 1, 1) for k in range(40)], True), ([(None, 1, 1), (1, 1, None), (999, 1, 1)], False)):
+        model = toxicity.train(docs, label(rows))
+        assert {r.toxic for r in toxicity.score(docs, model).collect()} == {want}
+    # Labelled twice: toxic if any label says so.
+    model = toxicity.train(docs, label([(k, 1, k % 2) for k in range(40)] + [(k, 1, 0) for k in range(40)] + [(1, 1, None)]))
+    assert all(r.toxic == r.text.startswith("bad1") for r in toxicity.score(docs, model).collect())
+    assert toxicity.train(docs, label([(k, 1, k % 2) for k in range(40)]), sample_bytes=5).weights == {}
+
+
+EVERY = {
+    "op1": line_dedup.dedup_lines, "op2": mixing.mix_to_weights, "op3": jaccard_join.jaccard_join, "op4": exact_dedup.exact_dedup, "op5": fingerprints.fingerprints, "op6": substring_dedup.substring_dedup, "op7": suffix_dedup.suffix_dedup,
+    "op8": lambda docs: token_files.read_token_shards(token_files.write_token_shards(docs, scratch_path(docs.sparkSession, "test"), tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=1)),
+    "op9": lambda docs: bpe.encode_decode(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json")),
+    "op10": lambda docs: toxicity.score(docs, toxicity.OrdinalModel({}, np.array([1.0, 2.0, 3.0]))),
+}
+
+
+@pytest.mark.parametrize("name", EVERY)
+def test_empty_table(docs, name):
+    assert EVERY[name](docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", EVERY)
+def test_null_and_repeated_ids_keep_their_rows(odd, name):
+    assert EVERY[name](odd[1]).count() == len(odd[0])
+
+
+def test_tokenizer_files_that_ask_for_more(tmp_path):
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    for key, value in (("normalizer", {"type": "Lowercase"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}), ("pre_tokenizer", {"type": "Whitespace"})):
+        (tmp_path / "t.json").write_text(json.dumps(spec | {key: value}))
+        with pytest.raises(ValueError):
+            bpe.Bpe(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError):
+        token_files.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
