@@ -1,76 +1,3 @@
-"""From raw documents to token ids, in five stages. Each is written as Parquet in the shared folder and read again by the next.
+"""The corpus pipeline: raw documents to token ids. Its stages are in maskwright/llm/pipeline.py."""
 
-Every stage but the last takes and returns the columns of documents. A stage's n_chars follows its text.
-"""
-
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from maskwright.llm import bpe, jaccard_join, line_dedup, mixing, toxicity
-from maskwright.llm.common import NULL_ID, WORD, table, write_once
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal model rejects go; null and empty ones have no toxic word and stay."""
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs.select(COLUMNS), model).where(~F.col("toxic")).select(COLUMNS)
-
-
-def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a document with a smaller id has too go. A document that loses all its lines stays, with the empty text."""
-    kept = line_dedup.LineIndex(spark).insert(docs, carry=("lang", "source"))
-    id_ = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
-    return kept.select(id_.alias("doc_id"), "text", "carried.lang", "carried.source", F.length("text").cast("long").alias("n_chars"))
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """With row, a number of its own for each row, written once: ids may be null or repeat with other texts."""
-    return write_once(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the row with the smallest id stays, null being the smallest. Each row is a document of its own, also if its
-    id is null or repeats. Documents without words are in no class, and stay."""
-    rows = numbered(docs)
-    classes = jaccard_join.jaccard_join(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
-    ids = rows.select("row", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"))
-    first = ids.join(classes, "row").groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("f")).select(F.col("f.row").alias("row"))
-    return rows.join(first.hint("shuffle_hash"), "row", "left_semi").select(COLUMNS)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: a row for each whole epoch of a document, and one with its first words where the budget ends. Documents that it
-    doesn't take, and those without words, go. Each row is a document of its own, also if its id is null or repeats."""
-    rows = numbered(docs)
-    plan = mixing.mix_to_weights(rows, row_col="row").where("taken > 0").select("row", F.col("size").alias("mix_size"), "taken")
-    both = rows.join(plan.hint("shuffle_hash"), "row")
-    parts = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("taken") / F.col("mix_size")) - 1).cast("int"))).alias("epoch")
-    epochs = both.select(*COLUMNS, "mix_size", "taken", parts)
-    words = F.least("mix_size", F.col("taken") - F.col("epoch") * F.col("mix_size")).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), words), " ")
-    text = F.when(words == F.col("mix_size"), F.col("text")).otherwise(cut)
-    return epochs.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exact byte-level BPE ids of every row, with digests of the ids and of what they decode to."""
-    return bpe.encode_decode(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, remembered=60_000, forget=True)
-
-
-STAGES = [("toxicity", drop_toxic), ("line dedup", dedup_lines), ("n-gram Jaccard join", drop_near_copies), ("mixing", mix), ("BPE", encode)]
-
-#: The model of the first stage and the encoding of the last can't be written in SQL; tests/llm holds the operators against brute force, and two stages (near copies, mixing)
-#: on rows with null and repeated ids; run() as a whole has no such test.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = write_once(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+from maskwright.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401
