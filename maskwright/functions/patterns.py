@@ -95,7 +95,7 @@ RULES = [
     Rule("PHONE", "phone_kr_landline", 0.88, r"(?<!\d)0[2-9]\d{0,1}[-.\s]?\d{3,4}[-.\s]?\d{4}(?!\d)"),
     Rule("PHONE", "phone_intl", 0.85, r"\+\d{1,3}[\s\-.]?\(?\d{1,4}\)?[\s\-.]?\d{3,4}[\s\-.]?\d{4}(?!\d)", hint="+"),
     Rule("PHONE", "phone_us", 0.80, r"(?<!\d)\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}(?!\d)"),
-    Rule("BIZ_NO", "biz_no_kr", 0.90, r"(?<!\d)\d{3}[-]\d{2}[-]\d{5}(?!\d)", check="biz"),
+    Rule("BIZ_NO", "biz_no_kr", 0.90, r"(?<!\d)\d{3}[-]\d{2}[-]\d{5}(?!\d)", check="biz", hint="-"),
     Rule("KR_ACCOUNT", "kr_acct_kookmin", 0.88, r"(?<!\d)\d{6}-\d{2}-\d{6}(?!\d)"),
     Rule("KR_ACCOUNT", "kr_acct_3_6_5", 0.85, r"(?<!\d)\d{3}-\d{6}-\d{5}(?!\d)"),
     Rule("KR_ACCOUNT", "kr_acct_4_3_6", 0.85, r"(?<!\d)\d{4}-\d{3}-\d{6}(?!\d)"),
@@ -110,10 +110,13 @@ RULES = [
 
 #: What every match of some rules holds; one cheap test then spares the patterns of all of them.
 NEEDS = {
-    "digit": (r"\p{Nd}", {
-        "rrn_kr", "foreign_reg_kr", "card_pan", "passport_kr", "passport_us", "passport_generic", "dl_kr", "dl_us", "phone_kr_mobile", "phone_kr_landline",
-        "phone_intl", "phone_us", "biz_no_kr", "kr_acct_kookmin", "kr_acct_3_6_5", "kr_acct_4_3_6", "kr_acct_labeled", "address_us", "ipv4",
-    }),
+    "digit": (r"\p{Nd}", {"phone_intl", "phone_us", "biz_no_kr", "kr_acct_labeled", "address_us", "ipv4"}),
+    "twelve digits": (r"(?U)\d(?:[-\s]?\d){11}", {"rrn_kr", "foreign_reg_kr", "card_pan", "dl_kr", "kr_acct_kookmin", "kr_acct_3_6_5", "kr_acct_4_3_6"}),
+    "nine digits": (r"(?U)0\d(?:[-.\s]?\d){7}", {"phone_kr_mobile", "phone_kr_landline"}),
+    "capital and digit": (r"[A-Z]\p{Nd}", {"passport_kr", "passport_us", "passport_generic", "dl_us"}),
+    "key id": ("A(?:KI|BI|CC|SI)A", {"aws_akid"}),
+    "account id": ("(?:SK|AC)[a-f0-9]", {"token_twilio"}),
+    "inner dot": (r"(?iu)\.(?:internal|local|corp|lan|intranet)", {"hostname_internal"}),
     "mark": (r"[:=：]", {
         "privkey_env", "aws_secret_key", "aws_session_token", "gcp_sa_key_id", "apikey_assignment", "apikey_hex32", "token_bearer", "token_assignment",
         "password_assignment", "password_url", "passport_labeled", "dl_labeled", "person_labeled_en", "person_labeled_kr",

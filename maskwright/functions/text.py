@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import sys
+import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .patterns import ENGLISH_STOP_WORDS, KOREAN_STOP_WORDS, PARTICLES
@@ -12,8 +15,20 @@ from .patterns import ENGLISH_STOP_WORDS, KOREAN_STOP_WORDS, PARTICLES
 EDGE_SPACE = r"(?U)^\s+|\s+$"
 
 
+@functools.cache
+def _decimal_digits() -> tuple[str, str]:
+    """Every decimal digit of any script but ASCII, and its value."""
+    some = [c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+    return "".join(some), "".join(str(unicodedata.decimal(c)) for c in some)
+
+
+def ascii_digits(value: Column) -> Column:
+    return F.when(value.rlike(r"[^\x00-\x7F]"), F.translate(value, *_decimal_digits())).otherwise(value)
+
+
 def digits(value: Column) -> Column:
-    return F.regexp_replace(value, r"\D", "")
+    """Its digits, those of other scripts (full width, Arabic) as ASCII ones."""
+    return F.regexp_replace(ascii_digits(value), "[^0-9]", "")
 
 
 def _weighted(d: Column, weights: list[int]) -> Column:
@@ -113,3 +128,29 @@ def version_is_future(declared: Column, known: list[str], provider: str) -> Colu
         return declared.rlike(r"^\d{4}-\d{2}-\d{2}\z") & (declared > max(known))
     numbers = [int(m) for m in (("".join(c for c in k.lstrip("vV").split("b")[0].split("a")[0] if c.isdigit())) for k in known) if m]
     return F.coalesce(F.regexp_extract(declared, r"^[vV]?(\d+)", 1).try_cast("int") > max(numbers, default=2**31 - 1), F.lit(False))
+
+
+def bracket(token: Column) -> Column:
+    return F.concat(F.lit("["), token, F.lit("]"))
+
+
+def unbracket(value: Column) -> Column:
+    """The token inside; null for what isn't bracketed."""
+    return F.when(value.rlike(r"(?s)^\[.+\]\z"), F.substring(value, F.lit(2), F.length(value) - 2))
+
+
+def register(spark: SparkSession) -> None:
+    """The scalars as SQL functions of the session, as SQL expressions, so Catalyst sees through them: mw_digits, mw_acct_len_ok, mw_luhn, mw_partial_mask,
+    mw_fingerprint, mw_bracket, mw_unbracket."""
+    many, few = _decimal_digits()
+    only = f"regexp_replace(translate(v, '{many}', '{few}'), '[^0-9]', '')"
+    for name, body, kind in (
+        ("mw_digits", only, "STRING"),
+        ("mw_acct_len_ok", "length(translate(v, '- ', '')) BETWEEN 9 AND 14", "BOOLEAN"),
+        ("mw_luhn", f"length({only}) >= 13 AND luhn_check({only})", "BOOLEAN"),
+        ("mw_partial_mask", "CASE WHEN length(v) <= 4 THEN '***' ELSE left(v, least(2, greatest(1, length(v) div 4))) || '***' || right(v, least(2, greatest(1, length(v) div 4))) END", "STRING"),
+        ("mw_fingerprint", r"sha1(trim(regexp_replace(lower(v), '(?U)\\s+', ' ')))", "STRING"),
+        ("mw_bracket", "'[' || v || ']'", "STRING"),
+        ("mw_unbracket", r"CASE WHEN v rlike '(?s)^\\[.+\\]\\z' THEN substring(v, 2, length(v) - 2) END", "STRING"),
+    ):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(v STRING) RETURNS {kind} RETURN {body}")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from itertools import groupby
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.patterns import ACCOUNT_WORDS, BANKS, BUSINESS_WORDS, CATEGORY, NEED, NEEDS, PASSWORD_WORDS, PRIORITY, RULES, Rule
-from ..functions.spans import spans
-from ..functions.text import CHECKS, account_length_ok, biz_valid
+from ..functions.spans import literal, matches_sql, offsets, spans
+from ..functions.text import CHECKS, account_length_ok, biz_valid, ner_false_positive, strip_particle
 
 DETECTION = (
     "struct<category:string,category_class:string,action:string,mask_style:string,start:int,end:int,original:string,"
@@ -38,23 +40,47 @@ def _bound(f: Callable, *values) -> Callable[[Column], Column]:
     return lambda x: f(x, *values)
 
 
+_FOUND = "array<struct<rule:int,rows:array<struct<gap:string,whole:string,prefix:string,value:string>>>>"
+
+
 def candidates(text: Column, rules: Sequence[Rule], allow: Sequence[str] = (), checks: dict[str, Callable[[Column], Column]] | None = None) -> Column:
-    """All detections, before overlaps are resolved, in the order of the rules."""
+    """All detections, before overlaps are resolved, in the order of the rules. Only the patterns are apart; offsets, checks and the detections' other values are
+    computed in one place for all rules, so the plan stays small."""
     checks = CHECKS | (checks or {})
-
-    def found_by(rule: Rule) -> Column:
-        found = F.filter(spans(text, rule), lambda s: F.length(s["value"]) > 0)
+    if not rules:
+        return F.array().cast(EMPTY)
+    numbered = list(enumerate(rules))
+    parts = []
+    for need, group in groupby(numbered, key=lambda x: NEED.get(x[1].rule_id)):
+        some = "array(" + ", ".join(f"named_struct('rule', {k}, 'rows', {matches_sql(r)})" for k, r in group) + ")"
+        parts.append(f"CASE WHEN t RLIKE {literal(NEEDS[need][0])} THEN {some} ELSE CAST(array() AS {_FOUND}) END" if need else some)
+    every = F.get(F.call_function("transform", F.array(text), F.expr(f"t -> concat({', '.join(parts)})")), F.lit(0))
+    held = F.filter(every, lambda x: F.size(x["rows"]) > 0)
+    found = F.flatten(F.transform(held, lambda x: F.transform(offsets(x["rows"]), lambda s: F.struct(x["rule"].alias("rule"), s.alias("s")))))
+
+    def good(x: Column) -> Column:
+        value = x["s"]["value"]
+        ok = F.length(value) > 0
         for pattern in allow:
-            found = F.filter(found, _bound(lambda s, p: ~s["value"].rlike(p), pattern))
-        if rule.check:
-            found = F.filter(found, _bound(lambda s, c: c(s["value"]), checks[rule.check]))
-        return F.transform(found, _bound(lambda s, r: _detection(s, r.category, F.lit(r.rule_id), r.confidence, "stage1_regex_checksum"), rule))
+            ok = ok & ~value.rlike(pattern)
+        checked: dict[str, list[int]] = {}
+        for k, r in numbered:
+            if r.check:
+                checked.setdefault(r.check, []).append(k)
+        for name, ks in checked.items():
+            ok = ok & (~x["rule"].isin(ks) | checks[name](value))
+        return ok
 
-    out = []
-    for need, group in groupby(rules, key=lambda r: NEED.get(r.rule_id)):
-        both = F.concat(*map(found_by, group))
-        out.append(F.when(text.rlike(NEEDS[need][0]), both).otherwise(F.array().cast(EMPTY)) if need else both)
-    return F.concat(*out) if out else F.array().cast(EMPTY)
+    info = F.array(*(F.struct(F.lit(r.category).alias("category"), F.lit(CATEGORY[r.category].kind).alias("kind"), F.lit(CATEGORY[r.category].action).alias("action"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.confidence).alias("confidence")) for r in rules))
+
+    def detection(x: Column) -> Column:
+        r, s = F.get(info, x["rule"]), x["s"]
+        return F.struct(
+            r["category"].alias("category"), r["kind"].alias("category_class"), r["action"].alias("action"), F.lit("tokenize").alias("mask_style"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("original"),
+            F.lit("stage1_regex_checksum").alias("detection_stage"), r["rule_id"].alias("rule_id"), r["confidence"].alias("confidence"), F.lit(None).cast("string").alias("placeholder_token"),
+        )
+
+    return F.transform(F.filter(found, good), detection)
 
 
 def _kept(ordered: Column, get: Callable[[Column], Column]) -> Column:
@@ -87,7 +113,7 @@ def merge_entities(stage1: Column, stage2: Column) -> Column:
 
 def proximity(text: Column, window: int = 25, account: Sequence[str] | None = None, business: Sequence[str] | None = None, passwords: Sequence[str] | None = None) -> Column:
     """Values that only the words around them mark: accounts, bare business numbers, labelled passwords."""
-    labels = "|".join(passwords or PASSWORD_WORDS)
+    labels = "|".join(re.escape(w) for w in passwords or PASSWORD_WORDS)
     plans = [
         (Rule("KR_ACCOUNT", "prox_kr_acct_generic", 0.70, r"(?<!\d)\d{2,6}(?:-\d{1,7}){2,3}(?!\d)", hint="-"), list(account or BANKS + ACCOUNT_WORDS), window, account_length_ok),
         (Rule("BIZ_NO", "prox_biz_bare10", 0.85, r"(?<!\d)\d{10}(?!\d)"), list(business or BUSINESS_WORDS), min(window, 20), biz_valid),
@@ -107,7 +133,14 @@ def proximity(text: Column, window: int = 25, account: Sequence[str] | None = No
             return F.concat(F.lit(rule.rule_id + "+"), F.get(first, F.lit(0)))
 
         dets = F.transform(found, _bound(lambda s, r, n: _detection(s, r.category, n(s), r.confidence, "stage1_proximity"), rule, named))
-        out.append(F.filter(dets, lambda d: d["rule_id"].isNotNull()))
+        dets = F.filter(dets, lambda d: d["rule_id"].isNotNull())
+        # Most texts hold none of the words: a cheap test comes before the pattern.
+        gate = F.lit(False)
+        for w in words or list(passwords or PASSWORD_WORDS):
+            if not re.search("[가-힣]", w):
+                gate = gate | text.contains(w)
+        gate = gate | text.rlike("[가-힣]")
+        out.append(F.when(gate, dets).otherwise(F.array().cast(EMPTY)))
     return F.concat(*out)
 
 
@@ -128,8 +161,77 @@ def merge_proximity(base: Column, extra: Column) -> Column:
     return F.transform(_ordered(merged, lambda d: [d["start"]]), lambda x: x["d"])
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
 def detect(text: Column, *, categories: Sequence[str] | None = None, allow: Sequence[str] = (), min_confidence: float | None = None, with_proximity: bool = True, checks: dict | None = None) -> Column:
     """The detections of a text, in order, without overlaps. A null or empty text has none."""
+    # An expression over a plain column is the same for every table that has it; building it takes thousands of calls into the JVM.
+    name = re.fullmatch(r"Column<'([\w.]+)'>", str(text))
+    key = (id(SparkContext._active_spark_context), name[1], tuple(categories) if categories is not None else None, tuple(allow), min_confidence, with_proximity) if name and not checks else None
+    if key in _BUILT:
+        return _BUILT[key]
     text = F.coalesce(text, F.lit(""))
     found = resolve(candidates(text, active_rules(categories, min_confidence), allow, checks))
-    return merge_proximity(found, proximity(text)) if with_proximity else found
+    out = merge_proximity(found, proximity(text)) if with_proximity else found
+    if key:
+        _BUILT[key] = out
+    return out
+
+
+def entities_to_detections(entities: Column, labels: dict[str, str], min_score: float = 0.50) -> Column:
+    """A recogniser's array<struct<start, end, label, score, text>> as detections: labels that aren't known, scores below the least, and what
+    looks like code or an acronym go; Korean particles at the end go too, with the offsets."""
+    names = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv))
+    known = F.filter(entities, lambda e: (e["score"] >= min_score) & F.element_at(names, e["label"]).isNotNull())
+
+    def detection(e: Column, category: str) -> Column:
+        value = strip_particle(e["text"])
+        span = F.struct(e["start"].alias("start"), (e["start"] + F.length(value)).alias("end"), value.alias("value"))
+        return _detection(span, category, F.concat(F.lit("ner_"), e["label"]), 0.0, "stage2_ner").withField("confidence", e["score"].cast("double"))
+
+    every = []
+    for category in dict.fromkeys(labels.values()):
+        own = F.filter(known, _bound(lambda e, c: F.element_at(names, e["label"]) == c, category))
+        good = F.filter(own, _bound(lambda e, c: ~ner_false_positive(F.lit(c), strip_particle(e["text"])), category))
+        every.append(F.transform(good, _bound(detection, category)))
+    return _by_start(F.concat(*every))
+
+
+def _by_start(dets: Column) -> Column:
+    return F.transform(_ordered(dets, lambda d: [d["start"], d["end"]]), lambda x: x["d"])
+
+
+def dictionary_entities(text: Column, words: dict[str, str], score: float = 0.9) -> Column:
+    """A deterministic recogniser, in place of a model: every occurrence of a listed word, as array<struct<start, end, label, score, text>>."""
+    out = []
+    for label in dict.fromkeys(words.values()):
+        own = sorted((w for w, x in words.items() if x == label), key=lambda w: (-len(w), w))
+        found = spans(text, Rule("", label, score, "|".join(re.escape(w) for w in own)))
+        out.append(F.transform(found, _bound(lambda s, x: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(x).alias("label"), F.lit(score).alias("score"), s["value"].alias("text")), label)))
+    return F.concat(*out)
+
+
+def scan(text: Column, entities: Column | None = None, labels: dict[str, str] | None = None, gap_reason: Column | None = None, **options) -> Column:
+    """struct(detections, coverage_gap, stage2_gap_reason): rules, context rules and a recogniser's entities. Without an answer of the recogniser (null)
+    the rules alone count, and the gap says why."""
+    rules = detect(text, **options)
+    if entities is None:
+        return F.struct(rules.alias("detections"), F.lit(False).alias("coverage_gap"), F.lit(None).cast("string").alias("stage2_gap_reason"))
+    gap = entities.isNull()
+    both = F.when(gap, rules).otherwise(merge_entities(rules, entities_to_detections(entities, labels or {})))
+    reason = F.coalesce(gap_reason if gap_reason is not None else F.lit(None).cast("string"), F.lit("recogniser gave no answer"))
+    return F.struct(both.alias("detections"), gap.alias("coverage_gap"), F.when(gap, reason).alias("stage2_gap_reason"))
+
+
+def summary(dets: Column) -> Column:
+    """struct(total, by_category, by_action, has_blocks, has_masks)."""
+
+    def counts(name: str) -> Column:
+        values = F.array_sort(F.array_distinct(F.transform(dets, lambda d: d[name])))
+        return F.map_from_entries(F.transform(values, lambda v: F.struct(v.alias("key"), F.size(F.filter(dets, lambda d: d[name] == v)).alias("value"))))
+
+    return F.struct(
+        F.size(dets).alias("total"), counts("category").alias("by_category"), counts("action").alias("by_action"),
+        F.exists(dets, lambda d: d["action"] == "block").alias("has_blocks"), F.exists(dets, lambda d: d["action"].isin("mask", "tokenize_roundtrip")).alias("has_masks"),
+    )

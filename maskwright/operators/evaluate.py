@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SECRETS = ["API_KEY", "TOKEN", "AWS_SECRET", "GCP_KEY", "PRIVATE_KEY", "PASSWORD"]
@@ -72,3 +72,47 @@ def score_case(truth: Column, found: Column) -> Column:
 
     begin = F.struct(F.lit(0).alias("tp"), found.alias("left"))
     return F.aggregate(truth, begin, step, lambda s: F.struct(s["tp"].alias("tp"), (F.size(truth) - s["tp"]).alias("fn"), F.size(s["left"]).alias("fp")))
+
+
+def micro(samples: DataFrame, category: str | None = None) -> DataFrame:
+    """samples: truth and found, arrays of categories. One row: tp, fn, fp, recall, precision over all pairs of sample and category, or of one category."""
+    only = (lambda c: F.filter(c, lambda x: x == category)) if category else (lambda c: c)
+    t, f = only(F.array_distinct("truth")), only(F.array_distinct("found"))
+    sums = samples.agg(*(F.coalesce(F.sum(F.size(x)), F.lit(0)).alias(n) for x, n in ((F.array_intersect(t, f), "tp"), (F.array_except(t, f), "fn"), (F.array_except(f, t), "fp"))))
+    return sums.withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn"))).withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp")))
+
+
+def contribution(stage1: DataFrame, full: DataFrame) -> DataFrame:
+    """Per category what a recogniser adds: recall_gain and precision_delta of full over stage1, to 4 decimals."""
+    both = stage1.alias("a").join(full.alias("b"), "category")
+    return both.select("category", F.round(F.col("b.recall") - F.col("a.recall"), 4).alias("recall_gain"), F.round(F.col("b.precision") - F.col("a.precision"), 4).alias("precision_delta"))
+
+
+def fine_tune_gate(base: DataFrame, tuned: DataFrame, tolerance: float = 0.02) -> DataFrame:
+    """One row: dropped, the categories whose recall falls by more than the tolerance, f1_delta of the macro F1, and passes."""
+    both = base.alias("b").join(tuned.alias("t"), "category")
+    f = lambda x: f1(F.col(f"{x}.precision"), F.col(f"{x}.recall"))
+    # Recalls have 4 decimals.
+    drop = F.when(F.round(F.col("b.recall") - F.col("t.recall"), 4) > tolerance, F.col("category"))
+    out = both.agg(F.array_sort(F.collect_list(drop)).alias("dropped"), F.round(F.avg(f("t")) - F.avg(f("b")), 4).alias("f1_delta"))
+    return out.withColumn("passes", (F.size("dropped") == 0) & (F.col("f1_delta") >= 0))
+
+
+def distinct_items(items: Column) -> Column:
+    """Of array<struct<category, value>> the first of each category and folded value, in order."""
+    keys = F.transform(items, lambda x: F.struct(x["category"].alias("c"), folded(x["value"]).alias("v")))
+    first = F.filter(F.transform(items, lambda x, k: F.struct(x.alias("x"), (F.array_position(keys, F.struct(x["category"].alias("c"), folded(x["value"]).alias("v"))) == k + 1).alias("new"))), lambda y: y["new"])
+    return F.transform(first, lambda y: y["x"])
+
+
+def replay_totals(scored: DataFrame, by: str) -> DataFrame:
+    """scored: tp, fn, fp per case. Sums per data set or category, with recall and precision."""
+    sums = scored.groupBy(by).agg(F.count("*").alias("cases"), *(F.sum(n).alias(n) for n in ("tp", "fn", "fp")))
+    return sums.withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn"))).withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp")))
+
+
+def rendered(metrics: DataFrame, columns: list[str]) -> DataFrame:
+    """(seq, line): the metrics as lines of a markdown table, in the order of the first column."""
+    head = metrics.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + "---|" * len(columns))], "seq int, line string")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), F.lit(" |"))
+    return head.unionByName(metrics.select((F.row_number().over(Window.orderBy(columns[0])) + 1).alias("seq"), line.alias("line")))

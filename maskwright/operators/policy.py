@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +16,11 @@ from ..functions.text import keyed_hash
 
 ACTIONS = ("allow", "mask", "block", "tokenize_roundtrip")
 STYLES = ("tokenize", "partial", "format_preserving")
+#: What each setting may be.
+CHOICES = {
+    "stage2_fail_action": ("block", "mask_known_only", "open"), "on_infra_failure": ("degrade_to_stage1", "block"), "on_content_failure": ("block", "warn_allow"), "unscannable_action": ("block", "warn_allow", "ocr"),
+    "unknown_field_action": ("block", "warn_allow"), "fail_mode": ("open", "closed"),
+}
 
 
 @dataclass
@@ -37,6 +46,7 @@ class Policy:
     channels: dict[str, dict[str, str]] = field(default_factory=dict)
     allow: list[str] = field(default_factory=list)
     settings: dict[str, str] = field(default_factory=dict)
+    proximity: dict = field(default_factory=dict)
 
     # The safe defaults.
     DEFAULTS = {"stage2_fail_action": "block", "on_infra_failure": "degrade_to_stage1", "on_content_failure": "block", "unscannable_action": "block", "unknown_field_action": "block", "fail_mode": "closed"}
@@ -111,16 +121,166 @@ def pin_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def load_policy(raw: dict) -> Policy:
-    """From a parsed policy file. Unknown actions, styles and keys are errors, so a bad file never replaces a good policy."""
-    unknown = set(raw) - {"version", "categories", "pin_list", "channel_overrides", "allowlist", "proximity", "stage2", *Policy.DEFAULTS}
+    """From a parsed policy file. Unknown actions, styles, keys and values out of range are errors, so a bad file never replaces a good policy."""
+    if not isinstance(raw, dict):
+        raise ValueError("a policy is an object")
+    unknown = set(raw) - {"version", "categories", "pin_list", "pin_list_approved", "channel_overrides", "allowlist", "proximity", "stage2", *Policy.DEFAULTS}
     if unknown:
         raise ValueError(f"unknown keys: {sorted(unknown)}")
-    categories = {n: CategoryPolicy(**(p or {})) for n, p in (raw.get("categories") or {}).items()}
+
+    def check(values: dict, where: str) -> None:
+        for name, value in values.items():
+            if name not in CHOICES:
+                raise ValueError(f"{where}: unknown key {name!r}")
+            if value not in CHOICES[name]:
+                raise ValueError(f"{where}{name}: one of {CHOICES[name]}")
+
+    check({k: raw[k] for k in Policy.DEFAULTS if k in raw}, "")
+    try:
+        categories = {n: CategoryPolicy(**(p or {})) for n, p in (raw.get("categories") or {}).items()}
+        pins = [Pin(**p) for p in raw.get("pin_list") or []]
+    except (TypeError, AttributeError) as e:
+        raise ValueError(str(e)) from e
     for n, p in categories.items():
         if p.action not in (None, *ACTIONS) or p.mask_style not in (None, *STYLES):
             raise ValueError(f"{n}: unknown action or style")
-        if p.min_confidence is not None and not 0 <= p.min_confidence <= 1:
+        if p.min_confidence is not None and not (isinstance(p.min_confidence, int | float) and 0 <= p.min_confidence <= 1):
             raise ValueError(f"{n}: min_confidence is from 0 to 1")
-    pins = [Pin(**p) for p in raw.get("pin_list") or []]
+        if p.stage2_fail_action is not None:
+            check({"stage2_fail_action": p.stage2_fail_action}, f"{n}: ")
+    for pin in pins:
+        if pin.action not in ACTIONS:
+            raise ValueError(f"pin list: unknown action {pin.action!r}")
+    channels = raw.get("channel_overrides") or {}
+    for name, own in channels.items():
+        check(own or {}, f"channel {name}: ")
+    proximity = raw.get("proximity") or {}
+    window = proximity.get("window", 25)
+    if not isinstance(window, int) or not 1 <= window <= 200:
+        raise ValueError("proximity: window is from 1 to 200")
+    memory = (raw.get("stage2") or {}).get("memory_mb", 512)
+    if not isinstance(memory, int) or memory < 128:
+        raise ValueError("stage2: memory_mb is at least 128")
     allow = [a["pattern"] if isinstance(a, dict) else a for a in raw.get("allowlist") or []]
-    return Policy(categories, pins, raw.get("channel_overrides") or {}, allow, {k: raw[k] for k in Policy.DEFAULTS if k in raw})
+    for pattern in allow:
+        try:
+            re.compile(pattern)
+        except re.error as e:
+            raise ValueError(f"allowlist: {e}") from e
+    return Policy(categories, pins, channels, allow, {k: raw[k] for k in Policy.DEFAULTS if k in raw}, proximity)
+
+
+def pins_digest(pins: list[Pin]) -> str:
+    """One hash of a pin list, whatever its order."""
+    return hashlib.sha256(json.dumps(sorted((p.hash, p.category, p.action, p.label) for p in pins), ensure_ascii=False).encode()).hexdigest()
+
+
+@dataclass
+class PinChange:
+    allowed: bool
+    reason: str
+
+
+def guard_pins(old: list[Pin], new: list[Pin], source: str, approved: bool = False) -> PinChange:
+    """Whether a pin list may replace another. An agent's request never does; a change from outside needs its approval."""
+    if pins_digest(old) == pins_digest(new):
+        return PinChange(True, "unchanged")
+    if source == "agent":
+        return PinChange(False, "agents may not change the pin list")
+    if not approved:
+        return PinChange(False, "a changed pin list needs pin_list_approved")
+    return PinChange(True, "approved")
+
+
+class PolicyFile:
+    """A policy file (YAML, where its library is installed, or JSON) that is read again when it changes: once per micro-batch, say, as in foreachBatch. A bad file, or
+    one whose pin list changed without pin_list_approved, keeps the last good policy, and problem says why; a file that is gone means the safe defaults."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.policy, self.problem, self.stamp = path, Policy(), None, None
+        self.reload()
+
+    def _read(self) -> dict:
+        with open(self.path, encoding="utf-8") as f:
+            text = f.read()
+        if self.path.endswith(".json"):
+            return json.loads(text)
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("YAML needs its library; use a .json file") from e
+        try:
+            return yaml.safe_load(text) or {}
+        except yaml.YAMLError as e:
+            raise ValueError(str(e)) from e
+
+    def reload(self) -> bool:
+        """True if the policy was replaced."""
+        try:
+            found = os.stat(self.path)
+        except OSError:
+            if self.stamp is None and self.problem:
+                return False
+            self.policy, self.stamp, self.problem = Policy(), None, "no policy file: safe defaults"
+            return True
+        stamp = (found.st_mtime_ns, found.st_size)
+        if stamp == self.stamp:
+            return False
+        first, self.stamp = self.stamp is None, stamp
+        try:
+            raw = self._read()
+            policy = load_policy(raw)
+        except (ValueError, OSError) as e:
+            self.problem = str(e)
+            return False
+        change = guard_pins(self.policy.pins, policy.pins, "file", first or raw.get("pin_list_approved") is True)
+        if not change.allowed:
+            self.problem = change.reason
+            return False
+        self.policy, self.problem = policy, None
+        return True
+
+
+class PinApproval:
+    """A proposed pin list on its way into a policy file (JSON): idle, staged, then committed or rejected. Only a staged list can be approved, and only
+    while the file's list is the one the proposal was made against."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.state, self.proposed, self.base = path, "idle", [], None
+
+    def _raw(self) -> dict:
+        if not os.path.exists(self.path):
+            return {}
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f)
+
+    def _pins(self) -> list[Pin]:
+        return [Pin(**p) for p in self._raw().get("pin_list") or []]
+
+    def propose(self, pins: list[Pin]) -> dict[str, list[str]]:
+        if self.state == "staged":
+            raise ValueError("a proposal is staged already")
+        self.base, self.proposed, self.state = pins_digest(self._pins()), list(pins), "staged"
+        return self.diff()
+
+    def diff(self) -> dict[str, list[str]]:
+        old, new = {p.hash for p in self._pins()}, {p.hash for p in self.proposed}
+        return {"added": sorted(new - old), "removed": sorted(old - new)}
+
+    def approve(self) -> None:
+        """Writes the list beside the file, and puts it in its place."""
+        if self.state != "staged":
+            raise ValueError("nothing is staged")
+        raw = self._raw()
+        if pins_digest(self._pins()) != self.base:
+            raise ValueError("the pin list has changed since")
+        raw |= {"pin_list": [vars(p) for p in self.proposed], "pin_list_approved": True}
+        with open(f"{self.path}.new", "w", encoding="utf-8") as f:
+            json.dump(raw, f, ensure_ascii=False, indent=1)
+        os.replace(f"{self.path}.new", self.path)
+        self.state = "committed"
+
+    def reject(self) -> None:
+        if self.state != "staged":
+            raise ValueError("nothing is staged")
+        self.proposed, self.state = [], "rejected"

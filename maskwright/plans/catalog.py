@@ -5,6 +5,7 @@ The tables hold no Korean identifiers and few secrets, so such values are made f
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +22,7 @@ from ..operators import tokens as K
 from ..operators import training as Tr
 from ..sources import ledger as L
 from ..streaming import lookahead as S
+from . import samples as S_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,6 +102,116 @@ _category_query("pii_aws_akid", "aws_akid")
 _category_query("pii_hostname", *(r.rule_id for r in RULES if r.category == "HOSTNAME"))
 
 
+# --- every rule over texts whose values are known ----------------------------------------------------
+
+def _sample_texts(spark, sf_dir, samples: list[S_.Sample]) -> DataFrame:
+    """(id, rule_id, text), a row per customer and sample."""
+    each = F.explode(F.array(*(F.struct(F.lit(s.rule_id).alias("rule_id"), F.expr(S_.text_sql(s)).alias("text")) for s in samples))).alias("s")
+    return keys(spark, sf_dir).select("id", each).select("id", "s.rule_id", "s.text")
+
+
+def _samples_query(category: str) -> None:
+    own = [s for s in S_.SAMPLES if s.category == category and s.rule_id in RULE]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _sample_texts(spark, sf_dir, own)
+        found = rows.select("id", "rule_id", F.explode_outer(D.detect(F.col("text"), categories=[category], with_proximity=False)).alias("d"))
+        return found.select("id", "rule_id", F.col("d.category").alias("category"), F.col("d.start").alias("start_at"), F.col("d.original").alias("value"))
+
+    run.__doc__ = f"Texts with a value for each rule of {category}: what the category's rules find, overlaps resolved."
+    QUERIES[f"rules_{category.lower()}"], SQL[f"rules_{category.lower()}"] = run, S_.expected_sql(own)
+
+
+for _c in dict.fromkeys(s.category for s in S_.SAMPLES):
+    _samples_query(_c)
+
+
+@query(S_.expected_sql([s for s in S_.SAMPLES if s.rule_id not in RULE]))
+def rules_proximity(spark, sf_dir):
+    """Values that only the words around them mark, through the whole scan."""
+    rows = _sample_texts(spark, sf_dir, [s for s in S_.SAMPLES if s.rule_id not in RULE])
+    found = rows.select("id", F.explode_outer(D.detect(F.col("text"))).alias("d"))
+    return found.select("id", F.col("d.rule_id").alias("rule_id"), F.col("d.category").alias("category"), F.col("d.start").alias("start_at"), F.col("d.original").alias("value"))
+
+
+def _mail(spark, sf_dir) -> DataFrame:
+    """(id, text): a card and a mail address, the address twice."""
+    card, mail = (next(x for x in S_.SAMPLES if x.rule_id == r).value for r in ("card_pan", "email_rfc5322"))
+    return keys(spark, sf_dir).select("id", F.expr(f"'card ' || {card} || ' of ' || {mail} || ', again ' || {mail}").alias("text"))
+
+
+_CARD, _MAIL = (next(x for x in S_.SAMPLES if x.rule_id == r).value for r in ("card_pan", "email_rfc5322"))
+_SQL_MAIL = f"(SELECT c_custkey AS id, {_CARD} AS card, {_MAIL} AS mail FROM (SELECT c_custkey, c_custkey AS id FROM customer))"
+
+
+@query(f"SELECT id, 3 AS total, 1 AS cards, 2 AS mails, 1 AS blocked, true AS has_blocks, true AS has_masks FROM {_SQL_MAIL}")
+def scan_summary(spark, sf_dir):
+    s = _mail(spark, sf_dir).select("id", D.summary(D.detect(F.col("text"))).alias("s"))
+    return s.select("id", "s.total", F.col("s.by_category")["CARD"].alias("cards"), F.col("s.by_category")["EMAIL"].alias("mails"), F.col("s.by_action")["block"].alias("blocked"), "s.has_blocks", "s.has_masks")
+
+
+@query(f"SELECT id, 'card [CARD_1_BLOCKED] of [EMAIL_1], again [EMAIL_1]' AS redacted_text, mail AS email_1 FROM {_SQL_MAIL}")
+def redact_made(spark, sf_dir):
+    rows = K.redact_documents(_mail(spark, sf_dir), D.detect(F.col("text")))
+    return rows.select("id", "redacted_text", F.col("restoration_map")["EMAIL_1"].alias("email_1"))
+
+
+@query(f"SELECT id, 'card ' || left(card, 2) || '***' || right(card, 2) || ' of ' || regexp_replace(regexp_replace(mail, '[a-z]', 'x', 'g'), '[0-9]', '0', 'g') || ', again ' || regexp_replace(regexp_replace(mail, '[a-z]', 'x', 'g'), '[0-9]', '0', 'g') AS masked, card AS card_1 FROM {_SQL_MAIL}")
+def vault_mask(spark, sf_dir):
+    """Each text is a request with a vault of its own; cards are masked in part, addresses keep their form."""
+    dets = F.transform(D.detect(F.col("text")), lambda d: d.withField("mask_style", F.when(d["category"] == "CARD", "partial").otherwise("format_preserving")))
+    return K.mask_with_vault(_mail(spark, sf_dir), dets).select("id", "masked", F.col("vault")["CARD_1_BLOCKED"].alias("card_1"))
+
+
+@query(f"SELECT id, 'card ' || card || ' of [EMAIL_1], again [EMAIL_2]' AS masked, 2 AS n FROM {_SQL_MAIL}")
+def mask_payload(spark, sf_dir):
+    """Numbers are by position, repeats included; a span inside another, and an empty one, stay."""
+    dets = F.filter(D.detect(F.col("text")), lambda d: d["category"] == "EMAIL")
+    more = F.flatten(F.transform(dets, lambda d: F.array(F.struct(d["category"].alias("category"), d["start"].alias("start"), d["end"].alias("end")), F.struct(d["category"].alias("category"), (d["start"] + 1).alias("start"), (d["end"] - 1).alias("end")), F.struct(d["category"].alias("category"), F.lit(2).alias("start"), F.lit(2).alias("end")))))
+    m = _mail(spark, sf_dir).withColumn("s", more).select("id", K.mask_payload(F.col("text"), F.col("s")).alias("m"))
+    return m.select("id", "m.masked", F.size("m.entries").alias("n"))
+
+
+@query(f"SELECT id, 'EMAIL' AS category, mail AS value FROM {_SQL_MAIL} WHERE id % 2 = 1 UNION ALL SELECT id, 'EMAIL', mail FROM {_SQL_MAIL} WHERE id % 2 = 1 UNION ALL SELECT id, 'CARD', card FROM {_SQL_MAIL}")
+def allow_list(spark, sf_dir):
+    """Values that an allow pattern matches anywhere are no findings: addresses that end in an even number."""
+    rows = _mail(spark, sf_dir).select("id", F.explode_outer(D.detect(F.col("text"), allow=["[02468]@example"])).alias("d"))
+    return rows.select("id", F.col("d.category").alias("category"), F.col("d.original").alias("value"))
+
+
+@query(f"SELECT id, 'PASSPORT' AS category, 'X' || {S_.digits(8, 37)} AS value FROM (SELECT c_custkey AS id FROM customer)")
+def confidence_prune(spark, sf_dir):
+    """A least confidence replaces the categories' floors: 0.79 leaves out rules of 0.75."""
+    text = F.expr(f"'id X' || {S_.digits(8, 37)} || ' or AB12345678'")
+    rows = keys(spark, sf_dir).select("id", F.explode_outer(D.detect(text, categories=["PASSPORT"], min_confidence=0.79)).alias("d"))
+    return rows.select("id", F.col("d.category").alias("category"), F.col("d.original").alias("value"))
+
+
+@query(f"SELECT id, 'mask' AS action, 'partial' AS mask_style, mail AS original FROM {_SQL_MAIL} UNION ALL SELECT id, 'mask', 'partial', mail FROM {_SQL_MAIL} UNION ALL SELECT id, 'block', 'tokenize', card FROM {_SQL_MAIL}")
+def policy_apply_made(spark, sf_dir):
+    rows = _mail(spark, sf_dir).select("id", F.explode_outer(Pol.apply_policy(D.detect(F.col("text")), _POLICY)).alias("d"))
+    return rows.select("id", "d.action", "d.mask_style", "d.original")
+
+
+@query(f"SELECT id, 2 AS enforced, 1 AS suppressed, 0.6667 AS rate FROM {_SQL_MAIL}".replace("0.6667", "CAST(0.6667 AS DOUBLE)"))
+def enforcement(spark, sf_dir):
+    """What a policy that allows cards lets pass of each text's findings."""
+    p = Pol.Policy(categories={"CARD": Pol.CategoryPolicy(action="allow")})
+    e = _mail(spark, sf_dir).select("id", Pol.enforcement(D.detect(F.col("text")), p).alias("e"))
+    return e.select("id", "e.enforced", "e.suppressed", F.round("e.rate", 4).alias("rate"))
+
+
+@query("SELECT c_custkey AS id, c_custkey % 4 = 0 AS coverage_gap, CASE WHEN c_custkey % 4 = 0 THEN 'recogniser timed out' END AS stage2_gap_reason, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '김민수' WHEN 2 THEN '한빛소프트' END AS entity FROM customer")
+def recogniser_scan(spark, sf_dir):
+    """Rules and a dictionary recogniser: its particles go, acronyms are no entities, and without its answer the rules count and the gap says why."""
+    k = F.col("id") % 4
+    text = F.when(k == 1, "담당 김민수는 휴가").when(k == 2, "한빛소프트에서 발표").otherwise("AWS 사용")
+    e = D.dictionary_entities(F.col("text"), {"김민수는": "person", "한빛소프트에서": "firm", "AWS": "firm"})
+    rows = keys(spark, sf_dir).withColumn("text", text).withColumn("e", F.when(k != 0, e))
+    s = rows.select("id", D.scan(F.col("text"), F.col("e"), {"person": "PERSON", "firm": "ORGANIZATION"}, F.lit("recogniser timed out")).alias("s"))
+    return s.select("id", "s.coverage_gap", "s.stage2_gap_reason", F.get("s.detections", F.lit(0))["original"].alias("entity"))
+
+
 # --- checksums and scalars over made-up values ----------------------------------------------------
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,31 +251,15 @@ def mask_partial(spark, sf_dir):
     return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), T.partial_mask(F.col("n_name")).alias("masked"))
 
 
-_PLAIN = "left(regexp_replace(text, '[^ -~]', '', 'g'), 60)"
-
-
-@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', '0', 'g') AS masked FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\p{Lu}', 'X', 'g'), '\p{Ll}', 'x', 'g'), '\p{Nd}', '0', 'g') AS masked FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL")
 def mask_format_preserving(spark, sf_dir):
-    plain = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60)
-    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.format_preserving_mask(plain).alias("masked"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.format_preserving_mask(F.col("text")).alias("masked"))
 
 
-@query(f"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[^A-Za-z0-9]', chr(1), 'g'), '[A-Z]', 'U', 'g'), '[a-z]', 'l', 'g'), '[0-9]', 'd', 'g') AS c FROM documents WHERE text IS NOT NULL)
+@query(r"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)[^\p{Lu}\p{Ll}\p{Nd}]', chr(1), 'g'), '\p{Lu}', 'U', 'g'), '\p{Ll}', 'l', 'g'), '\p{Nd}', 'd', 'g') AS c FROM documents)
 SELECT doc_id, array_to_string(list_transform(regexp_extract_all(translate(c, chr(1), 's'), 'U+|l+|d+|s+'), lambda r: r[1] || CASE WHEN length(r) > 1 THEN CAST(length(r) AS VARCHAR) ELSE '' END), '') AS signature FROM s""")
 def char_class_signature(spark, sf_dir):
-    plain = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60)
-    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.char_class_signature(plain).alias("signature"))
-
-
-@query()
-def mask_whole_texts(spark, sf_dir):
-    """mask_format_preserving, whose SQL fixes a prefix of ASCII, over whole texts."""
-    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.format_preserving_mask(F.col("text")).alias("masked"))
-
-
-@query()
-def signature_whole_texts(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.char_class_signature(F.col("text")).alias("signature"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.char_class_signature(F.col("text")).alias("signature"))
 
 
 @query("SELECT c_custkey AS id, sha256(from_hex('" + bytes(b ^ 0x5C for b in KEY.ljust(64, b"\0")).hex() + "') || from_hex(sha256(from_hex('" + bytes(b ^ 0x36 for b in KEY.ljust(64, b"\0")).hex() + "') || encode('value ' || c_custkey)))) AS digest FROM customer")
@@ -191,18 +287,41 @@ def ko_particle_strip(spark, sf_dir):
     return _names(spark, sf_dir).select("id", T.strip_particle(F.col("name")).alias("bare"))
 
 
-@query("SELECT doc_id, sha1(trim(regexp_replace(lower(t), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS print FROM (SELECT doc_id, regexp_replace(text, '[^ -~\\n]', '', 'g') AS t FROM documents WHERE text IS NOT NULL)".replace("\\\\", "\\"))
+_SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_SQL_PRINT = rf"sha1(trim(regexp_replace(lower(text), '{_SPACE}+', ' ', 'g'), ' '))"
+
+
+@query(f"SELECT doc_id, {_SQL_PRINT} AS print FROM documents")
 def fingerprints_of_text(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.fingerprint(F.regexp_replace("text", "[^ -~\n]", "")).alias("print"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("print"))
 
 
-@query()
+@query(f"SELECT min(doc_id) AS doc_id, {_SQL_PRINT} AS print, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY ALL")
 def fingerprint_dedup(spark, sf_dir):
-    """Of texts with one fingerprint the smallest id stays."""
+    """Of texts with one fingerprint the smallest id stays; null texts have none."""
     d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.fingerprint(F.col("text")).alias("print"))
     return d.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "print", "copies")
 
 
+@query("SELECT c_custkey AS id, '[EMAIL_' || c_custkey || ']' AS bracketed, CASE WHEN c_custkey % 2 = 0 THEN 'EMAIL_' || c_custkey END AS token, c_custkey % 3 <> 0 AS could_be FROM customer")
+def brackets(spark, sf_dir):
+    """Brackets put on and taken off, and texts that may be the start of a placeholder."""
+    v = keys(spark, sf_dir).withColumn("t", F.concat(F.lit("EMAIL_"), F.col("id").cast("string")))
+    start = F.element_at(F.array(F.lit("[email"), F.lit("["), F.lit("[EMAIL_1")), (F.col("id") % 3 + 1).cast("int"))
+    return v.select("id", T.bracket(F.col("t")).alias("bracketed"), T.unbracket(F.when(F.col("id") % 2 == 0, T.bracket(F.col("t"))).otherwise(F.col("t"))).alias("token"), T.could_be_placeholder_prefix(start).alias("could_be"))
+
+
+@query(f"SELECT c_custkey AS id, CAST(4000000000000 + c_custkey * 7919 AS VARCHAR) AS digits, {LUHN.replace('len(d)', '13').replace('d[', 'CAST(4000000000000 + c_custkey * 7919 AS VARCHAR)[')} AS valid, '[T_' || c_custkey || ']' AS bracketed, 'T_' || c_custkey AS token, 'C***' AS masked FROM customer".replace("'C***' AS masked", "CASE WHEN length(c_name) <= 4 THEN '***' ELSE left(c_name, CAST(least(2, greatest(1, length(c_name) // 4)) AS INT)) || '***' || right(c_name, CAST(least(2, greatest(1, length(c_name) // 4)) AS INT)) END AS masked"))
+def sql_functions(spark, sf_dir):
+    """The scalars as SQL functions of the session."""
+    T.register(spark)
+    read(spark, sf_dir, "customer").createOrReplaceTempView("mw_customer")
+    return spark.sql(
+        "SELECT c_custkey AS id, mw_digits(v) AS digits, mw_luhn(v) AS valid, mw_bracket('T_' || c_custkey) AS bracketed, mw_unbracket('[T_' || c_custkey || ']') AS token, mw_partial_mask(c_name) AS masked"
+        " FROM (SELECT *, concat('no. ', cast(4000000000000 + c_custkey * 7919 AS STRING), '-') AS v FROM mw_customer)"
+    )
+
+
 # --- spans ------------------------------------------------------------------------------------------
 
 def _made_spans(spark, sf_dir):
@@ -249,7 +368,14 @@ def merge_stage2(spark, sf_dir):
     return _out(rows.withColumn("dets", D.merge_entities(F.slice("dets", 1, 2), F.slice("dets", 3, 3))))
 
 
-@query()
+_PRIO = "CASE category WHEN 'API_KEY' THEN 3 WHEN 'EMAIL' THEN 11 ELSE 12 END"
+
+
+@query(f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s, {_PRIO}, s - e, k) AS n FROM {_SQL_SPANS} WHERE k < 2),
+b AS (SELECT o.id, o.s, o.e, o.category FROM o JOIN o f ON f.id = o.id AND f.n = 1 WHERE o.n = 1 OR o.s >= f.e), x AS (SELECT * FROM {_SQL_SPANS} WHERE k = 2),
+p AS (SELECT b.id, b.s AS start_at, b.e AS end_at, b.category, b.s < x.e AND b.e > x.s AS meets, x.s <= b.s AND b.e <= x.e AND NOT (x.s = b.s AND x.e = b.e) AS inside FROM b JOIN x USING (id)),
+j AS (SELECT id, bool_or(meets AND NOT inside) AS blocked FROM p GROUP BY id)
+SELECT id, start_at, end_at, category FROM p JOIN j USING (id) WHERE blocked OR NOT meets UNION ALL SELECT id, s, e, category FROM x JOIN j USING (id) WHERE NOT blocked""")
 def merge_proximity(spark, sf_dir):
     rows = _as_dets(_made_spans(spark, sf_dir)).withColumn("base", D.resolve(F.slice("dets", 1, 2)))
     return _out(rows.withColumn("dets", D.merge_proximity(F.col("base"), F.slice("dets", 3, 1))))
@@ -269,27 +395,44 @@ def mask_payload_numbers(spark, sf_dir):
 
 # --- sessions and masking -----------------------------------------------------------------------------
 
-def _first_words(spark, sf_dir):
-    """Of each turn its first word, as if it were a finding: categories and actions by the word's length."""
-    w = F.regexp_extract("text", "([A-Za-z]+)", 1)
-    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", w.alias("original")).where("original <> ''").withColumn("category", F.when(F.length("original") % 2 == 0, "EMAIL").otherwise("API_KEY")).withColumn("blocked", F.col("category") == "API_KEY")
+def _words(spark, sf_dir):
+    """Each word of each turn, as if it were a finding: categories and actions by the word's length. A turn is a request."""
+    w = F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("k", "original")
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("request"), w)
+    return rows.withColumn("category", F.when(F.length("original") % 2 == 0, "EMAIL").otherwise("API_KEY")).withColumn("blocked", F.col("category") == "API_KEY")
 
 
-_SQL_WORDS = "(SELECT conv_id AS session, turn, regexp_extract(text, '([A-Za-z]+)', 1) AS original, CASE WHEN length(regexp_extract(text, '([A-Za-z]+)', 1)) % 2 = 0 THEN 'EMAIL' ELSE 'API_KEY' END AS category FROM conversations WHERE regexp_extract(text, '([A-Za-z]+)', 1) <> '')"
+_SQL_WORDS = "(SELECT conv_id AS session, conv_id * 1000 + turn AS request, turn, k, ws[k + 1] AS original, CASE WHEN length(ws[k + 1]) % 2 = 0 THEN 'EMAIL' ELSE 'API_KEY' END AS category FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+') AS ws, unnest(range(0, len(regexp_extract_all(text, '[A-Za-z]+')))) AS k FROM conversations WHERE text IS NOT NULL))"
 
 
 def _tokens_sql(scope: str) -> str:
-    return f"WITH f AS (SELECT {scope} AS scope, original, min(turn) AS pos, min(category) AS category FROM {_SQL_WORDS} GROUP BY ALL) SELECT scope AS {scope}, original, category || '_' || row_number() OVER (PARTITION BY scope, category ORDER BY pos, original) || CASE WHEN category = 'API_KEY' THEN '_BLOCKED' ELSE '' END AS token FROM f"
+    return f"WITH f AS (SELECT {scope} AS scope, original, min(turn * 1000000 + k) AS pos, min(category) AS category FROM {_SQL_WORDS} GROUP BY ALL) SELECT scope AS {scope}, original, category || '_' || row_number() OVER (PARTITION BY scope, category ORDER BY pos, original) || CASE WHEN category = 'API_KEY' THEN '_BLOCKED' ELSE '' END AS token FROM f"
 
 
 @query(_tokens_sql("session"))
 def session_tokens(spark, sf_dir):
-    return K.number_values(_first_words(spark, sf_dir), "session", ["turn"]).select("session", "original", "token")
+    return K.number_values(_words(spark, sf_dir), "session", ["turn", "k"]).select("session", "original", "token")
 
 
-@query(_tokens_sql("turn"))
+@query(_tokens_sql("request"))
 def vault_tokens(spark, sf_dir):
-    return K.number_values(_first_words(spark, sf_dir), "turn", ["turn"]).select("turn", "original", "token")
+    return K.number_values(_words(spark, sf_dir), "request", ["turn", "k"]).select("request", "original", "token")
+
+
+@query(f"WITH t AS ({_tokens_sql('session')}) SELECT session, token, original FROM t UNION ALL SELECT DISTINCT conv_id, 'NONE_1', NULL FROM conversations")
+def token_decode(spark, sf_dir):
+    """Bracketed tokens back to values, by session; a token that the session doesn't know gives null."""
+    numbered = K.number_values(_words(spark, sf_dir), "session", ["turn", "k"])
+    ask = numbered.select("session", T.bracket(F.col("token")).alias("token")).unionByName(read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), F.lit("[NONE_1]").alias("token")).distinct())
+    return K.decoded(ask, numbered, "session").select("session", T.unbracket(F.col("token")).alias("token"), "original")
+
+
+@query(f"WITH t AS ({_tokens_sql('session')}) SELECT session, count(*) AS n_tokens, count(*) FILTER (WHERE token LIKE 'EMAIL%') AS emails, count(*) FILTER (WHERE token LIKE 'API_KEY%') AS keys, any_value(original) FILTER (WHERE token = 'EMAIL_1') AS first_email FROM t GROUP BY session")
+def session_views(spark, sf_dir):
+    """A session's restoration map and counters."""
+    views = K.restoration_maps(K.number_values(_words(spark, sf_dir), "session", ["turn", "k"]), "session")
+    count = lambda c: F.coalesce(F.col("counters")[c], F.lit(0)).cast("long")
+    return views.select("session", F.size("restoration_map").cast("long").alias("n_tokens"), count("EMAIL").alias("emails"), count("API_KEY").alias("keys"), F.col("restoration_map")["EMAIL_1"].alias("first_email"))
 
 
 def _redacted(spark, sf_dir):
@@ -396,6 +539,134 @@ def coverage_diff(spark, sf_dir):
     return P.coverage_alarms(P.coverage_diff(_requests(spark, sf_dir, "claude"), "claude")).drop("alarm_type")
 
 
+def _bodies(spark, sf_dir, provider: str, sql: str) -> DataFrame:
+    return keys(spark, sf_dir).select(F.col("id").alias("request_id"), F.lit(provider).alias("provider"), F.expr(sql).alias("payload"))
+
+
+_ODD_BODY = {
+    "claude": """'{"model":"m","odd":1,"system":[{"type":"text","text":"s","x":1}],"messages":[{"role":"user","name":"n","content":[{"type":"text","text":"t","input":{}},{"type":"document","source":{"type":"text","data":"d","size":' || id || '}},{"type":"tool_result","content":[{"type":"text","text":"t","id":"i"}],"is_error":true},{"type":"thinking","thinking":"t","text":"x"},{"type":"new","name":"n","odd":1}]}],"tools":[{"name":"n","strict":true}]}'""",
+    "openai": """'{"model":"m","odd":1,"messages":[{"role":"user","x":1,"content":[{"type":"text","text":"t","file":{}},{"type":"new","text":"t"}],"tool_calls":[{"id":"i","index":' || id || ',"function":{"name":"n","arguments":"{}","z":1}}]}],"tools":[{"type":"function","function":{"name":"n","x":1},"y":1}]}'""",
+    "gemini": """'{"contents":[{"role":"user","id":' || id || ',"parts":[{"text":"t","odd":1}]}],"systemInstruction":{"parts":[{"text":"t","x":1}],"y":1},"generationConfig":{"topK":1,"odd":2},"odd":1}'""",
+}
+_ODD_KEYS = {
+    "claude": [("", ["odd"]), ("system[0]", ["x"]), ("messages[0]", ["name"]), ("messages[0].content[0]", ["input"]), ("messages[0].content[1].source", ["size"]), ("messages[0].content[2].content[0]", ["id"]), ("messages[0].content[3]", ["text"]), ("messages[0].content[4]", ["odd"]), ("tools[0]", ["strict"])],
+    "openai": [("", ["odd"]), ("messages[0]", ["x"]), ("messages[0].content[0]", ["file"]), ("messages[0].tool_calls[0]", ["index"]), ("messages[0].tool_calls[0].function", ["z"]), ("tools[0]", ["y"]), ("tools[0].function", ["x"])],
+    "gemini": [("", ["odd"]), ("contents[0]", ["id"]), ("contents[0].parts[0]", ["odd"]), ("systemInstruction", ["y"]), ("systemInstruction.parts[0]", ["x"]), ("generationConfig", ["odd"])],
+}
+
+
+def _coverage_query(provider: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return P.coverage_diff(_bodies(spark, sf_dir, provider, _ODD_BODY[provider]), provider)
+
+    run.__doc__ = f"Unknown keys at every object of a {provider} request whose keys are known."
+    QUERIES[f"coverage_{provider}"] = run
+    SQL[f"coverage_{provider}"] = " UNION ALL ".join(f"SELECT c_custkey AS request_id, '{at}' AS path, {extra!r} AS extra_keys FROM customer" for at, extra in _ODD_KEYS[provider])
+
+
+for _p in P.PROVIDERS:
+    _coverage_query(_p)
+
+
+@query("SELECT c_custkey AS request_id, 7 + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS n_alarms, true AS should_block FROM customer")
+def coverage_request(spark, sf_dir):
+    """Keys and version of a request together, and the policy on both."""
+    rows = _bodies(spark, sf_dir, "openai", _ODD_BODY["openai"])
+    deltas = P.diff_request(rows, "openai", F.when(F.col("request_id") % 2 == 0, "v2").otherwise("v1"))
+    return P.coverage_policy(deltas)
+
+
+# Requests with a mail address, a card, an image and oddities; what is left of them.
+_SCRUB = {
+    "claude": ("""'{"system":"mail ' || {m} || '","messages":[{"role":"user","content":[{"type":"text","text":"from ' || {m} || ' now"},{"type":"tool_use","input":{"x":["card ' || {c} || ' ok",' || id || ']}},"loose"]}]}'""",
+               """'{"system": "mail [EMAIL_1]", "messages": [{"role": "user", "content": [{"type": "text", "text": "from [EMAIL_1] now"}, {"type": "tool_use", "input": {"x": ["card [CARD_1_BLOCKED] ok", ' || id || ']}}, "loose"]}]}'""", 3, "['a content block is of type str']", "true"),
+    "openai": ("""'{"messages":[{"role":"system","content":"mail ' || {m} || '"},{"role":"assistant","content":[{"type":"text","text":"to ' || {m} || ' and a' || {m} || '"}],"tool_calls":[{"function":{"name":"f","arguments":"{\\"to\\": \\"' || {m} || '\\"}"}},{"function":{"arguments":5}}]}]}'""",
+               """'{"messages": [{"role": "system", "content": "mail [EMAIL_1]"}, {"role": "assistant", "content": [{"type": "text", "text": "to [EMAIL_1] and [EMAIL_2]"}], "tool_calls": [{"function": {"name": "f", "arguments": "{\\"to\\": \\"[EMAIL_1]\\"}"}}, {"function": {"arguments": 5}}]}]}'""", 4, "['arguments are of type int']", "false"),
+    "gemini": ("""'{"systemInstruction":{"parts":[{"text":"mail ' || {m} || '"}]},"contents":[{"parts":[{"functionCall":{"name":"f","args":{"q":"' || {m} || '"}}},{"inlineData":{"data":"AA"}},{"text":' || id || '}]}]}'""",
+               """'{"systemInstruction": {"parts": [{"text": "mail [EMAIL_1]"}]}, "contents": [{"parts": [{"functionCall": {"name": "f", "args": {"q": "[EMAIL_1]"}}}, {"inlineData": {"data": "AA"}}, {"text": ' || id || '}]}]}'""", 2, "['inlineData can''t be scanned for text', 'text is of type int']", "true"),
+}
+
+
+def _scrub_query(provider: str) -> None:
+    body, masked, n, gaps, block = _SCRUB[provider]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # A backslash is itself in the one dialect and an escape in the other.
+        rows = _bodies(spark, sf_dir, provider, body.replace("\\", "\\\\").replace("{m}", _MAIL).replace("{c}", _CARD))
+        return P.scrub(rows).select(F.col("request_id").alias("id"), "block", "n_detections", "gaps", "tripwire", "masked", F.col("restoration_map")["EMAIL_1"].alias("email_1"))
+
+    run.__doc__ = f"Whole {provider} requests masked: the body as it may be sent, what blocks it, and why."
+    QUERIES[f"scrub_{provider}"] = run
+    SQL[f"scrub_{provider}"] = f"SELECT id, {block} AS block, CAST({n} AS BIGINT) AS n_detections, {gaps} AS gaps, false AS tripwire, {masked} AS masked, mail AS email_1 FROM {_SQL_MAIL}"
+
+
+for _p in P.PROVIDERS:
+    _scrub_query(_p)
+
+_MALFORMED = [
+    "[1]", "5", "null", "{", '{"messages":"secret"}', '{"messages":[{"role":["x"],"content":5}]}', '{"messages":[{"content":[{"type":"document","source":"x"}]}]}', '{"messages":[{"content":[{"type":"document","source":5}]}]}',
+    '{"messages":[{"content":[{"type":["text"]}]}]}', '{"messages":[{"content":[{"type":"text","text":"\\ud800"}]}]}', '{"messages":[{"content":[{"type":"text","text":5}]}]}', '{"system":7}',
+]
+
+
+@query(f"SELECT c_custkey AS request_id, true AS block, CAST(0 AS BIGINT) AS n_detections FROM customer WHERE c_custkey % 50 < {len(_MALFORMED) + 2}")
+def scrub_malformed(spark, sf_dir):
+    """Requests that aren't what they should be: each is blocked, and none stops the job."""
+    k = (F.col("id") % 50).cast("int")
+    deep = F.concat(F.lit('{"messages":'), F.repeat(F.lit("["), F.lit(100_000)))
+    body = F.element_at(F.array(*(F.lit(x) for x in _MALFORMED), deep, F.lit(None).cast("string")), k + 1)
+    rows = keys(spark, sf_dir).where(k < len(_MALFORMED) + 2).select(F.col("id").alias("request_id"), F.lit("claude").alias("provider"), body.alias("payload"))
+    return P.scrub(rows).select("request_id", "block", "n_detections")
+
+
+_RESPONSES = {
+    "claude": ("""'{"content":[{"type":"thinking","thinking":"I ask [EMAIL_1]"},{"type":"text","text":"Wrote to [EMAIL_1], [CARD_1_BLOCKED] and [EMAIL_2]."},{"type":"tool_use","input":{"to":["[EMAIL_1]",' || id || ']}}],"model":"[EMAIL_1]"}'""",
+               """'{"content": [{"type": "thinking", "thinking": "I ask ' || mail || '"}, {"type": "text", "text": "Wrote to ' || mail || ', ' || card || ' and [EMAIL_2]."}, {"type": "tool_use", "input": {"to": ["' || mail || '", ' || id || ']}}], "model": "[EMAIL_1]"}'""", "'I ask [EMAIL_1]' || chr(10) || 'Wrote to [EMAIL_1], [CARD_1_BLOCKED] and [EMAIL_2].'", 4),
+    "openai": ("""'{"choices":[{"message":{"content":"Hi [EMAIL_1] [EMAIL_1]","tool_calls":[{"function":{"arguments":"to [CARD_1_BLOCKED]"}}]}},{"delta":{"content":"[EMAIL_1]"}}],"id":' || id || '}'""",
+               """'{"choices": [{"message": {"content": "Hi ' || mail || ' ' || mail || '", "tool_calls": [{"function": {"arguments": "to ' || card || '"}}]}}, {"delta": {"content": "' || mail || '"}}], "id": ' || id || '}'""", "'Hi [EMAIL_1] [EMAIL_1]' || chr(10) || '[EMAIL_1]'", 3),
+    "gemini": ("""'{"candidates":[{"content":{"parts":[{"text":"Hi [EMAIL_1]"},{"functionCall":{"args":{"a":"[CARD_1_BLOCKED]"}}}]}}],"id":' || id || '}'""",
+               """'{"candidates": [{"content": {"parts": [{"text": "Hi ' || mail || '"}, {"functionCall": {"args": {"a": "' || card || '"}}}]}}], "id": ' || id || '}'""", "'Hi [EMAIL_1]'", 2),
+}
+
+
+def _response_query(provider: str) -> None:
+    body, restored, shown, n = _RESPONSES[provider]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        known = F.create_map(F.lit("EMAIL_1"), F.expr(_MAIL), F.lit("CARD_1_BLOCKED"), F.expr(_CARD))
+        out = keys(spark, sf_dir).select("id", P.process_response(F.lit(provider), F.expr(body), known).alias("r"))
+        return out.select("id", "r.agent_body", "r.terminal_text", "r.substitution_count", "r.was_rehydrated")
+
+    run.__doc__ = f"Responses of {provider}: restored for the agent, with placeholders on the terminal."
+    QUERIES[f"response_{provider}"] = run
+    SQL[f"response_{provider}"] = f"SELECT id, {restored} AS agent_body, {shown} AS terminal_text, {n} AS substitution_count, true AS was_rehydrated FROM {_SQL_MAIL}"
+
+
+for _p in P.PROVIDERS:
+    _response_query(_p)
+
+
+@query("SELECT c_custkey AS id, ['claude', 'openai', 'openai', 'gemini', 'gemini', NULL][c_custkey % 6 + 1] AS provider FROM customer")
+def provider_router(spark, sf_dir):
+    paths = ["/v1/messages?beta=1", "/v1/chat/completions", "/v1/completions", "/v1beta/models/x-1:generateContent", "/v1/models/y:streamGenerateContent?alt=sse", "/v1/messages/count"]
+    path = F.element_at(F.array(*(F.lit(p) for p in paths)), (F.col("id") % 6 + 1).cast("int"))
+    return keys(spark, sf_dir).select("id", P.provider_of(path).alias("provider"))
+
+
+@query("SELECT c_custkey AS id, unnest(['a[0].b', 'a[1]', 'c']) AS location, unnest(['x', 'y', '' || c_custkey]) AS text FROM customer")
+def json_leaves(spark, sf_dir):
+    body = F.concat(F.lit('{"a":[{"b":"x"},"y",5,null],"c":"'), F.col("id").cast("string"), F.lit('","d":{}}'))
+    return keys(spark, sf_dir).select("id", F.explode(P.json_string_leaves(body)).alias("l")).select("id", "l.location", "l.text")
+
+
+@query(f"SELECT id, true AS should_block, 3 AS n_hits, 1 AS cards FROM {_SQL_MAIL}")
+def tripwire_made(spark, sf_dir):
+    """The rules on serialised JSON: only what blocks acts, but everything is counted."""
+    body = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("content"))).alias("messages")))
+    t = _mail(spark, sf_dir).select("id", P.tripwire(body).alias("t"))
+    return t.select("id", "t.should_block", F.size("t.hits").alias("n_hits"), D.summary(F.col("t.hits"))["by_category"]["CARD"].alias("cards"))
+
+
 @query("WITH v AS (SELECT c_custkey AS id, ['2023-06-01', '2099-01-01', 'v1', 'latest'][c_custkey % 4 + 1] AS version FROM customer) SELECT id, version, version = '2099-01-01' AS is_future FROM v")
 def version_diff(spark, sf_dir):
     v = keys(spark, sf_dir).withColumn("version", F.element_at(F.array(F.lit("2023-06-01"), F.lit("2099-01-01"), F.lit("v1"), F.lit("latest")), (F.col("id") % 4 + 1).cast("int")))
@@ -415,7 +686,7 @@ def scrub_requests(spark, sf_dir):
 # --- ledger -----------------------------------------------------------------------------------------
 
 def _ledger(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("user_id is not null")
+    e = read(spark, sf_dir, "events")
     d = F.struct(
         F.lit("EMAIL").alias("category"), F.lit("pii").alias("category_class"), F.when(F.col("event_id") % 2 == 0, "block").otherwise("tokenize_roundtrip").alias("action"), F.lit("tokenize").alias("mask_style"),
         F.lit(0).alias("start"), F.length(F.col("event_type")).alias("end"), F.col("event_type").alias("original"), F.lit("stage1_regex_checksum").alias("detection_stage"), F.lit("email_rfc5322").alias("rule_id"), F.lit(0.95).alias("confidence"),
@@ -423,12 +694,12 @@ def _ledger(spark, sf_dir):
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), d.alias("d"))
 
 
-@query("SELECT CASE WHEN event_id % 2 = 0 THEN 'block' ELSE 'mask' END AS event_type, length(event_type) AS span_length, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY ALL")
+@query("SELECT CASE WHEN event_id % 2 = 0 THEN 'block' ELSE 'mask' END AS event_type, length(event_type) AS span_length, count(*) AS n FROM events GROUP BY ALL")
 def ledger_entries(spark, sf_dir):
     return L.entries(_ledger(spark, sf_dir), KEY).groupBy("event_type", "span_length").agg(F.sum("count").alias("n"))
 
 
-@query("SELECT count(*) AS n FROM events WHERE user_id IS NOT NULL AND date_trunc('second', ts) >= (SELECT date_trunc('second', max(ts)) - INTERVAL 7 DAY FROM events)")
+@query("SELECT count(*) AS n FROM events WHERE date_trunc('second', ts) >= (SELECT date_trunc('second', max(ts)) - INTERVAL 7 DAY FROM events)")
 def ledger_retention(spark, sf_dir):
     rows = _ledger(spark, sf_dir)
     last = rows.agg(F.date_trunc("second", F.max("ts"))).first()[0]
@@ -460,35 +731,160 @@ def macro_f1(spark, sf_dir):
     return E.macro_f1(E.precision_recall(_samples(spark, sf_dir)).withColumn("run", F.lit(1)), ["run"])
 
 
-@query()
+_SQL_PR_BY = _SQL_PR.replace("SELECT category,", "SELECT threshold, category,").replace("GROUP BY category", "GROUP BY threshold, category")
+
+
+@query(f"""WITH m AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f FROM {_SQL_PR_BY}),
+j AS (SELECT c.category, c.recall AS cr, b.recall AS br, c.precision AS cp, b.precision AS bp, c.f AS cf, b.f AS bf FROM m c JOIN m b USING (category) WHERE c.threshold = 0 AND b.threshold = 1),
+g AS (SELECT bool_and(cr >= br - 0.02) AS recall_kept, coalesce(bool_or(category = 'ORGANIZATION' AND cp > bp), false) AS org_better, avg(cf) >= avg(bf) AS f1_kept FROM j)
+SELECT CAST(0.5 AS DOUBLE) AS threshold, *, recall_kept AND (org_better OR f1_kept) AS passes FROM g""")
 def adoption_gate(spark, sf_dir):
+    return E.adoption_gate(*_two(spark, sf_dir))
+
+
+def _two(spark, sf_dir) -> list[DataFrame]:
     rows = _samples(spark, sf_dir)
-    m = [E.precision_recall(rows.where(F.col("threshold") == k)).withColumn("threshold", F.lit(0.5)) for k in (0, 1)]
-    return E.adoption_gate(*m)
+    return [E.precision_recall(rows.where(F.col("threshold") == k)).withColumn("threshold", F.lit(0.5)) for k in (0, 1)]
 
 
-@query()
+@query(f"SELECT c.category, round(b.recall - c.recall, 4) AS recall_gain, round(b.precision - c.precision, 4) AS precision_delta FROM {_SQL_PR_BY} c JOIN {_SQL_PR_BY} b USING (category) WHERE c.threshold = 0 AND b.threshold = 1")
+def recogniser_contribution(spark, sf_dir):
+    return E.contribution(*_two(spark, sf_dir))
+
+
+@query(f"""WITH m AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f FROM {_SQL_PR_BY}),
+g AS (SELECT list_sort(coalesce(list(c.category) FILTER (WHERE round(c.recall - b.recall, 4) > 0.0005), [])) AS dropped, round(avg(b.f) - avg(c.f), 4) AS f1_delta FROM m c JOIN m b USING (category) WHERE c.threshold = 0 AND b.threshold = 1)
+SELECT dropped, f1_delta, len(dropped) = 0 AND f1_delta >= 0 AS passes FROM g""")
+def fine_tune_gate(spark, sf_dir):
+    return E.fine_tune_gate(*_two(spark, sf_dir), tolerance=0.0005)
+
+
+@query(f"SELECT category, tp, fn, fp, recall, precision, CAST(0.75 AS DOUBLE) AS min_recall, CAST(0.5 AS DOUBLE) AS min_precision FROM {_SQL_PR} WHERE recall < 0.75 OR precision < 0.5")
+def floor_check(spark, sf_dir):
+    floors = spark.createDataFrame([(c, 0.75, 0.5) for c in ("PERSON", "ADDRESS", "ORGANIZATION")], "category string, min_recall double, min_precision double")
+    return E.below_floors(E.precision_recall(_samples(spark, sf_dir)), floors)
+
+
+_SQL_SETS = "(SELECT o_orderkey % 2 = 0 AS t1, o_orderkey % 3 = 0 AS t2, o_orderkey % 5 < 3 AS f1, o_orderkey % 3 < 2 AS f2 FROM orders)"
+
+
+def _sets(spark, sf_dir):
+    k = F.col("o_orderkey")
+    both = lambda a, b: F.array_compact(F.array(F.when(a, "PERSON"), F.when(b, "ADDRESS")))
+    return read(spark, sf_dir, "orders").select(both(k % 2 == 0, k % 3 == 0).alias("truth"), both(k % 5 < 3, k % 3 < 2).alias("found"))
+
+
+@query(f"""WITH c AS (SELECT count(*) FILTER (WHERE t1 AND f1) + count(*) FILTER (WHERE t2 AND f2) AS tp, count(*) FILTER (WHERE t1 AND NOT f1) + count(*) FILTER (WHERE t2 AND NOT f2) AS fn, count(*) FILTER (WHERE f1 AND NOT t1) + count(*) FILTER (WHERE f2 AND NOT t2) AS fp FROM {_SQL_SETS})
+SELECT tp, fn, fp, round(coalesce(tp / nullif(tp + fn, 0), 1.0), 4) AS recall, round(coalesce(tp / nullif(tp + fp, 0), 1.0), 4) AS precision FROM c""")
+def micro_precision_recall(spark, sf_dir):
+    return E.micro(_sets(spark, sf_dir))
+
+
+@query(f"""WITH c AS (SELECT count(*) FILTER (WHERE t2 AND f2) AS tp, count(*) FILTER (WHERE t2 AND NOT f2) AS fn, count(*) FILTER (WHERE f2 AND NOT t2) AS fp FROM {_SQL_SETS})
+SELECT tp, fn, fp, round(coalesce(tp / nullif(tp + fn, 0), 1.0), 4) AS recall, round(coalesce(tp / nullif(tp + fp, 0), 1.0), 4) AS precision FROM c""")
+def micro_of_category(spark, sf_dir):
+    return E.micro(_sets(spark, sf_dir), "ADDRESS")
+
+
+def _cases(spark, sf_dir) -> DataFrame:
+    """(id, truth, found): five planted values; of these every fourth isn't found, one comes with another secret's category, and one finding is wrong."""
+    item = lambda c, v: F.struct(c.alias("category"), v.alias("value"))
+    ks = F.sequence(F.lit(0), F.lit(4))
+    truth = F.transform(ks, lambda k: item(F.when(k % 2 == 0, "EMAIL").otherwise("API_KEY"), F.concat(F.lit("Value "), k.cast("string"), F.lit("-x"))))
+    found = F.transform(F.filter(ks, lambda k: (F.col("id") + k) % 4 != 0), lambda k: item(F.when(k % 2 == 0, "EMAIL").otherwise("TOKEN"), F.concat(F.lit("the value"), k.cast("string"), F.lit("-X"))))
+    return keys(spark, sf_dir).select("id", truth.alias("truth"), F.concat(found, F.array(item(F.lit("EMAIL"), F.lit("none")))).alias("found"))
+
+
+_SQL_CASES = "(SELECT c_custkey AS id, 5 - CAST(len(list_filter([0, 1, 2, 3, 4], lambda k: (c_custkey + k) % 4 = 0)) AS INTEGER) AS tp FROM customer)"
+
+
+@query(f"SELECT id, tp, 5 - tp AS fn, 1 AS fp FROM {_SQL_CASES}")
 def replay_score(spark, sf_dir):
-    rows = _first_words(spark, sf_dir).groupBy("session").agg(F.collect_list(F.struct("category", F.col("original").alias("value"))).alias("truth"))
-    return rows.select("session", E.score_case(F.col("truth"), F.slice("truth", 1, 1)).alias("s")).select("session", "s.*")
+    return _cases(spark, sf_dir).select("id", E.score_case(F.col("truth"), F.col("found")).alias("s")).select("id", "s.*")
+
 
+@query(f"SELECT id % 3 AS dataset, count(*) AS cases, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(5 - tp) AS BIGINT) AS fn, count(*) AS fp, round(sum(tp) / (5 * count(*)), 4) AS recall, round(sum(tp) / (sum(tp) + count(*)), 4) AS precision FROM {_SQL_CASES} GROUP BY id % 3")
+def replay_totals(spark, sf_dir):
+    return E.replay_totals(replay_score(spark, sf_dir).withColumn("dataset", F.col("id") % 3), "dataset")
 
-_SQL_TOKENS = r"(SELECT doc_id, regexp_extract_all(left(regexp_replace(text, '[^ -~]', '', 'g'), 80), '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]') AS ts FROM documents WHERE text IS NOT NULL)"
 
+@query(f"SELECT 0 AS seq, '| category | tp | recall |' AS line UNION ALL SELECT 1, '|---|---|---|' UNION ALL SELECT CAST(row_number() OVER (ORDER BY category) + 1 AS INTEGER), '| ' || category || ' | ' || tp || ' | ' || recall || ' |' FROM {_SQL_PR}")
+def report_lines(spark, sf_dir):
+    return E.rendered(E.precision_recall(_samples(spark, sf_dir)), ["category", "tp", "recall"])
 
-@query(f"SELECT doc_id, CAST(len(ts) AS INTEGER) AS n, ts[1] AS first_token, ts[len(ts)] AS last_token FROM {_SQL_TOKENS} WHERE len(ts) > 0")
+
+@query("SELECT c_custkey AS id, unnest(['1', '2']) AS case_id, unnest(['First', 'Second one']) AS title, unnest(['Call Kim ' || c_custkey || ' now', 'quoted text here']) AS text, unnest(['PERSON=Kim ' || c_custkey || '|EMAIL=a@b.io', 'PERSON=Lee|PHONE=010-1']) AS truth FROM customer")
+def report_cases(spark, sf_dir):
+    """Markdown reports: planted items, or else those detected and missed, each once."""
+    value = F.concat(
+        F.lit("# Report\n### [1] First\n```\nCall Kim "), F.col("id").cast("string"), F.lit(" now\n```\n- 심은: `PERSON` = Kim "), F.col("id").cast("string"), F.lit(", `EMAIL` = a@b.io\n- 검출: —\n"),
+        F.lit("### [2] Second one\n> quoted text\n> here\n- 검출: `PERSON` = Lee, `PERSON` = l ee\n- 미검출: `PHONE` = 010-1\n### [3] Without text\n- 심은: `PERSON` = X\n"),
+    )
+    cases = L.reports(keys(spark, sf_dir).select("id", value.alias("value")))
+    return cases.select("id", "case_id", "title", "text", F.array_join(F.transform("truth", lambda t: F.concat(t["category"], F.lit("="), t["value"])), "|").alias("truth"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\s\x0b\x1c-\x1f\x85\p{Z}]') AS ts, string_split_regex(text, '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+|[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\s\x0b\x1c-\x1f\x85\p{Z}]') AS gs FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(ts) AS t, unnest(gs[1:len(ts)]) AS g, generate_subscripts(ts, 1) AS k FROM p WHERE len(ts) > 0),
+o AS (SELECT doc_id, t, k, sum(length(g) + length(t)) OVER (PARTITION BY doc_id ORDER BY k) - length(t) AS start_at FROM u)
+SELECT doc_id, count(*) AS n, arg_min(t, k) AS first_token, arg_max(t, k) AS last_token, CAST(sum(start_at) AS BIGINT) AS starts, CAST(max(start_at) AS INTEGER) AS last_start FROM o GROUP BY doc_id""")
 def tokenize_offsets(spark, sf_dir):
-    plain = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 80)
-    rows = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", Tr.tokenize_offsets(plain).alias("t")).where(F.size("t") > 0)
-    return rows.select("doc_id", F.size("t").alias("n"), F.get("t", F.lit(0))["value"].alias("first_token"), F.element_at("t", -1)["value"].alias("last_token"))
+    """Tokens of whole texts and where they start."""
+    t = Tr.token_rows(read(spark, sf_dir, "documents").where("text is not null"))
+    return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.min_by("value", "k").alias("first_token"), F.max_by("value", "k").alias("last_token"), F.sum("start").alias("starts"), F.max("start").alias("last_start"))
 
 
-@query()
-def tokens_whole_texts(spark, sf_dir):
-    """tokenize_offsets, whose SQL fixes a prefix of ASCII, over whole texts. A regular expression splits once; no array of offsets is built up."""
-    ts = F.regexp_extract_all("text", F.lit(r"(?U)(\w+|[^\w\s])"), F.lit(1))
-    rows = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", ts.alias("t")).where(F.size("t") > 0)
-    return rows.select("doc_id", F.size("t").alias("n"), F.get("t", F.lit(0)).alias("first_token"), F.element_at("t", -1).alias("last_token"))
+_SQL_HASHED = "(SELECT o_orderkey AS id, row_number() OVER (ORDER BY substr(md5('42|' || o_orderkey), 1, 16), o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders)"
+
+
+@query(f"SELECT id, CASE WHEN r < floor(n * 0.8) THEN 'train' WHEN r < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM {_SQL_HASHED}")
+def split_exact(spark, sf_dir):
+    """Exactly int(0.8 n) and int(0.1 n) rows, the rest for testing."""
+    return Tr.split(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), "id")
+
+
+def _raw_lines(spark, sf_dir) -> DataFrame:
+    k = F.col("id") % 5
+    good = F.concat(F.lit('{"text":"담당자 Kim 님 '), F.col("id").cast("string"), F.lit('","spans":[[4,7,"PERSON"]]}'))
+    line = F.when(k == 0, good).when(k == 1, '{"text":"no span"}').when(k == 2, '{"text":"abc","spans":[[2,9,"PERSON"],[0,1,"DOG"],[1]]}').when(k == 3, '{"spans":[]}').otherwise('{"text":"a b","spans":[[1,2,"ADDRESS"]]}')
+    return keys(spark, sf_dir).select(line.alias("value"))
+
+
+@query("""WITH c AS (SELECT c_custkey % 5 AS k FROM customer)
+SELECT count(*) AS in_docs, count(*) FILTER (WHERE k IN (0, 1, 4)) AS out_examples, count(*) FILTER (WHERE k IN (2, 3)) AS rejected, count(*) FILTER (WHERE k IN (0, 4)) AS spans, count(*) FILTER (WHERE k = 4) AS span_map_failures, count(*) FILTER (WHERE k = 1) AS negative_examples, 20 AS n_errors, 'a label is not known' AS first_error FROM c""")
+def ingest_stats(spark, sf_dir):
+    """Raw training documents, some of them faulty, written as JSON lines, read again, judged and counted."""
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/mw-jsonl-{uuid.uuid4().hex}"
+    _raw_lines(spark, sf_dir).write.text(folder)
+    stats = Tr.ingest(Tr.read_jsonl(spark, folder))[1]
+    return stats.select("in_docs", "out_examples", "rejected", "spans", "span_map_failures", "negative_examples", F.size("errors").alias("n_errors"), F.get("errors", F.lit(0)).alias("first_error"))
+
+
+@query("SELECT ['담당자', 'Kim', '님', '' || c_custkey] AS tokenized_text, 1 AS first_token, 1 AS last_token, 'PERSON' AS label, '담당자 Kim 님 ' || c_custkey AS text FROM customer WHERE c_custkey % 5 = 0")
+def training_examples(spark, sf_dir):
+    rows = _raw_lines(spark, sf_dir).withColumnRenamed("value", "line").select(F.from_json("line", "text string, spans array<array<string>>").alias("d")).select("d.text", F.coalesce("d.spans", F.array().cast("array<array<string>>")).alias("spans"))
+    e = Tr.ingest(rows)[0].select("tokenized_text", F.explode("ner").alias("n"))
+    return e.select("tokenized_text", F.col("n.first").alias("first_token"), F.col("n.last").alias("last_token"), F.col("n.label").alias("label"), Tr.example_text(F.col("tokenized_text")).alias("text"))
+
+
+@query("SELECT 1 AS one, CAST(300 AS BIGINT) AS rows, CAST(200 AS BIGINT) AS positives, CAST(600 AS BIGINT) AS spans, true AS verified, CAST(0 AS BIGINT) AS leaks")
+def augment(spark, sf_dir):
+    """Made-up training sentences: their spans are where they say, and an exact split has no text on both sides."""
+    rows = Tr.augmented(spark, 200, 100)
+    ok = F.forall("spans", lambda s: F.length(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])) == s["end"] - s["start"])
+    named = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("value")))
+    lists = F.forall(named, lambda s: s["value"].isin(*Tr._PEOPLE, *Tr._PLACES, *Tr._FIRMS))
+    parts = Tr.split(rows, "doc_id")
+    leaks = parts.where("split = 'train'").count() - Tr.without_leaks(parts.where("split = 'train'"), parts.where("split <> 'train'").where("false")).count()
+    return rows.agg(F.lit(1).alias("one"), F.count("*").alias("rows"), F.count_if(F.size("spans") > 0).alias("positives"), F.sum(F.size("spans")).alias("spans"), F.bool_and(ok & lists & Tr.verified(F.col("text"), named)).alias("verified"), F.lit(leaks).cast("long").alias("leaks"))
+
+
+@query("SELECT category, count(*) * (SELECT count(*) FROM customer) AS samples FROM (SELECT unnest([" + ", ".join(f"'{x.category}'" for x in S_.SAMPLES) + "]) AS category) GROUP BY category")
+def corpus_counts(spark, sf_dir):
+    """Samples of the made-up corpus by category, each with its value where the generator says."""
+    each = F.explode(F.array(*(F.struct(F.lit(s.category).alias("category"), F.expr(S_.text_sql(s)).alias("text"), F.array(F.struct(F.lit(len(s.before)).alias("start"), (F.lit(len(s.before)) + F.length(F.expr(s.value))).alias("end"), F.expr(s.value).alias("value"))).alias("spans")) for s in S_.SAMPLES))).alias("s")
+    rows = keys(spark, sf_dir).select("id", each).select("id", "s.*")
+    return rows.where(Tr.verified(F.col("text"), F.col("spans"))).groupBy("category").agg(F.count("*").alias("samples"))
 
 
 @query("SELECT c_custkey AS id, CAST(c_custkey % 5 AS INTEGER) AS first_token, CAST(c_custkey % 5 + 1 AS INTEGER) AS last_token FROM customer")
@@ -499,24 +895,58 @@ def char_to_token(spark, sf_dir):
     return got.select("id", F.col("x.first").alias("first_token"), F.col("x.last").alias("last_token"))
 
 
-@query("WITH d AS (SELECT doc_id, sha1(trim(regexp_replace(lower(regexp_replace(text, '[^ -~]', '', 'g')), ' +', ' ', 'g'))) AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id FROM d WHERE doc_id % 10 <> 0 AND p NOT IN (SELECT p FROM d WHERE doc_id % 10 = 0)")
+@query(f"WITH d AS (SELECT doc_id, {_SQL_PRINT} AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id FROM d WHERE doc_id % 10 <> 0 AND p NOT IN (SELECT p FROM d WHERE doc_id % 10 = 0)")
 def split_leakage_anti(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("text"))
+    """Documents without the held-out ones (every tenth) and their copies."""
+    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
     return Tr.without_leaks(d.where("doc_id % 10 <> 0"), d.where("doc_id % 10 = 0")).select("doc_id")
 
 
-@query("SELECT conv_id AS stream_id, string_agg(text, '' ORDER BY turn, text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
-def stream_lookahead(spark, sf_dir):
-    """Each turn's text cut in three chunks, with a placeholder split between turns; what comes out is what went in."""
-    c = read(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("stream_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")).alias("n"), "text")
-    third = F.floor(F.length("text") / 3).cast("int")
-    cut = F.array(F.substring(F.col("text"), F.lit(1), third), F.substring(F.col("text"), third + 1, third), F.substring(F.col("text"), 2 * third + 1, F.length("text")))
+def _chunked(spark, sf_dir) -> DataFrame:
+    """(stream_id, seq, chunk, last): a conversation's texts, each with a placeholder at its end, cut in three after the placeholder's fifth character and in the text."""
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")).alias("n"), F.coalesce("text", F.lit("")).alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    cut = F.array(F.substring(F.col("text"), F.lit(1), half), F.concat(F.substring(F.col("text"), half + 1, F.length("text")), F.lit(" [EMAI")), F.lit("L_1]. [no"))
     chunks = c.select("stream_id", "n", F.posexplode(cut).alias("k", "chunk")).select("stream_id", (F.col("n") * 3 + F.col("k")).cast("long").alias("seq"), "chunk")
     ends = chunks.groupBy("stream_id").agg(F.max("seq").alias("end_seq"))
-    out = S.restored_batch(chunks.join(ends, "stream_id").select("stream_id", "seq", "chunk", (F.col("seq") == F.col("end_seq")).alias("last")).withColumn("stream_id", F.col("stream_id").cast("string")), {"EMAIL_1": "a@b.io"})
+    return chunks.join(ends, "stream_id").select("stream_id", "seq", "chunk", (F.col("seq") == F.col("end_seq")).alias("last"))
+
+
+_SQL_RESTORED = "SELECT conv_id AS stream_id, string_agg(coalesce(text, '') || ' a@b.io. [no', '' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id"
+
+
+@query(_SQL_RESTORED)
+def stream_lookahead(spark, sf_dir):
+    """Chunks that cut placeholders in two: what comes out has them restored, and lost nothing."""
+    out = S.restored_batch(_chunked(spark, sf_dir).withColumn("stream_id", F.col("stream_id").cast("string")), {"EMAIL_1": "a@b.io"})
     return out.groupBy(F.col("stream_id").cast("long").alias("stream_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
+def _event_bytes(spark, sf_dir) -> DataFrame:
+    """The chunks as server-sent events of one provider, and these cut anew at places that are no event's end."""
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("chunk").alias("content")).alias("delta"))).alias("choices")))
+    end = F.when(F.col("last"), "data: [DONE]\n\n").otherwise("")
+    event = F.concat(F.lit("event: delta\ndata: "), body, F.lit("\n\n"), end)
+    parts = F.array(F.substring(event, F.lit(1), F.lit(20)), F.substring(event, F.lit(21), F.length(event)))
+    rows = _chunked(spark, sf_dir).select(F.col("stream_id").cast("string").alias("stream_id"), F.posexplode(parts).alias("k", "chunk"), F.col("seq").alias("s"), "last")
+    return rows.select("stream_id", F.lit("openai").alias("provider"), (F.col("s") * 2 + F.col("k")).alias("seq"), F.encode("chunk", "UTF-8").alias("chunk"), (F.col("last") & (F.col("k") == 1)).alias("last"))
+
+
+@query(_SQL_RESTORED)
+def stream_events(spark, sf_dir):
+    """Server-sent events cut anywhere, rehydrated, and read again: the texts they carry."""
+    out = S.rehydrated_events_batch(_event_bytes(spark, sf_dir), {"EMAIL_1": "a@b.io"})
+    events = S.sse_events(out.select("stream_id", "seq", F.col("out").alias("chunk"))).where("data <> '[DONE]'")
+    texts = events.groupBy(F.col("stream_id").cast("long").alias("stream_id")).agg(F.array_sort(F.collect_list(F.struct("n", F.get_json_object("data", "$.choices[0].delta.content").alias("t")))).alias("e"))
+    return texts.select("stream_id", F.array_join(F.transform("e", lambda x: x["t"]), "").alias("text"))
+
+
+@query("SELECT conv_id AS stream_id, 3 * count(*) AS deltas, CAST(1 AS BIGINT) AS ends FROM conversations GROUP BY conv_id")
+def sse_parse(spark, sf_dir):
+    events = S.sse_events(_event_bytes(spark, sf_dir).select("stream_id", "seq", "chunk"))
+    return events.groupBy(F.col("stream_id").cast("long").alias("stream_id")).agg(F.count_if(F.col("event_type") == "delta").alias("deltas"), F.count_if(F.col("data") == "[DONE]").alias("ends"))
+
+
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def events_windowed(spark, sf_dir):
     return S.windowed_counts(read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

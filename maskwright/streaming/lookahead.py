@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -10,14 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: The buffer's limit and the longest placeholder.
-LIMIT, LONGEST = 512, 64
+#: The buffer's limit, the longest placeholder, and the least limit.
+LIMIT, LONGEST, LEAST_LIMIT = 512, 64, 128
 _OPEN = re.compile(r"\[(?:[A-Z][A-Z0-9_]*)?\Z")
 
 
 def cut(buffer: str, limit: int = LIMIT) -> tuple[str, str]:
     """(safe to emit, held back). An oversized buffer keeps its last 64 characters only; else everything from the
-    last bracket that may still become a placeholder is held."""
+    last bracket that may still become a placeholder is held. limit: at least 128."""
+    if limit < LEAST_LIMIT:
+        raise ValueError(f"limit: at least {LEAST_LIMIT}")
     if len(buffer) > limit:
         return buffer[:-LONGEST], buffer[-LONGEST:]
     found = _OPEN.search(buffer, max(0, len(buffer) - LONGEST))
@@ -30,46 +33,208 @@ def restore(text: str, known: dict[str, str]) -> str:
     return text
 
 
-def restored_stream(chunks: DataFrame, known: dict[str, str]) -> DataFrame:
+def _step(held: str, rows: pd.DataFrame, known: dict[str, str]) -> tuple[str, bool, list[tuple]]:
+    """What is held after the rows, in order, whether the stream has ended, and (stream_id, seq, text) of each."""
+    out, ended = [], False
+    for sid, seq, chunk, last in rows.sort_values("seq")[["stream_id", "seq", "chunk", "last"]].itertuples(index=False):
+        safe, held = cut(held + (chunk or ""))
+        if last:
+            safe, held, ended = safe + held, "", True
+        out.append((sid, int(seq), restore(safe, known)))
+    return held, ended, out
+
+
+def restored_stream(chunks: DataFrame, known: dict[str, str], *, idle_ms: int = 600_000) -> DataFrame:
     """chunks: stream_id, seq, chunk, last. Emits (stream_id, seq, text): per chunk what is safe, with placeholders restored;
-    the last chunk of a stream flushes what is held. Works on streams and, with the same code, on each micro-batch."""
+    the last chunk of a stream flushes what is held, and its state goes. A stream without a last chunk flushes, as one more row with the next seq, when it is
+    idle for idle_ms. Works on streams and, with the same code, on each micro-batch."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else ""
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        for seq, chunk, last in zip(rows["seq"], rows["chunk"], rows["last"]):
-            safe, held = cut(held + (chunk or ""))
-            if last:
-                safe, held = safe + held, ""
-            out.append((key[0], int(seq), restore(safe, known)))
-        state.update((held,))
+        held, next_seq = state.get if state.exists else ("", 0)
+        if state.hasTimedOut:
+            state.remove()
+            out = [(key[0], next_seq, restore(held, known))] if held else []
+        else:
+            rows = pd.concat(list(frames))
+            held, ended, out = _step(held, rows, known)
+            if ended:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update((held, int(rows["seq"].max()) + 1))
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, text string", "held string", "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, text string", "held string, next_seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def restored_batch(chunks: DataFrame, known: dict[str, str]) -> DataFrame:
     """The same over a finite table: a stream's chunks are one group."""
+    return chunks.groupBy("stream_id").applyInPandas(lambda rows: pd.DataFrame(_step("", rows, known)[2], columns=["stream_id", "seq", "text"]), "stream_id string, seq long, text string")
+
+
+class EventParser:
+    """Server-sent events from bytes cut anywhere, also inside a character. A blank line ends an event; \\r\\n counts as \\n."""
+
+    def __init__(self, rest: bytes = b"") -> None:
+        self.rest = rest
+
+    def feed(self, chunk: bytes) -> list[str]:
+        """The events that are complete now, as they came."""
+        data, out, at = self.rest + chunk, [], 0
+        for end in _EVENT_END.finditer(data):
+            out.append(data[at : end.end()].decode("utf-8", "replace"))
+            at = end.end()
+        self.rest = data[at:]
+        return out
+
+    def flush(self) -> list[str]:
+        rest, self.rest = self.rest.decode("utf-8", "replace"), b""
+        return [rest] if rest.strip() else []
+
+
+_EVENT_END = re.compile(rb"\r\n\r\n|\n\n")
+
+
+def event_fields(event: str) -> tuple[str | None, str]:
+    """(type, data): data lines are joined by line feeds."""
+    kind, data = None, []
+    for line in event.splitlines():
+        name, _, value = line.partition(":")
+        if name == "event":
+            kind = value.strip()
+        elif name == "data":
+            data.append(value.strip())
+    return kind, "\n".join(data)
+
+
+def _slot(provider: str | None, event: object) -> tuple[object, object] | None:
+    """(holder, key) of the text that a stream event adds: of the first choice or candidate only."""
+
+    def at(x: object, *path: object) -> object:
+        for key in path:
+            if isinstance(key, int):
+                x = x[key] if isinstance(x, list) and len(x) > key else None
+            else:
+                x = x.get(key) if isinstance(x, dict) else None
+        return x
+
+    if provider == "claude":
+        holder, key = at(event, "delta"), "text"
+        if at(event, "type") != "content_block_delta" or at(holder, "type") != "text_delta":
+            return None
+    elif provider == "openai":
+        holder, key = at(event, "choices", 0, "delta"), "content"
+    elif provider == "gemini":
+        holder, key = at(event, "candidates", 0, "content", "parts", 0), "text"
+    else:
+        return None
+    return (holder, key) if isinstance(at(holder, key), str) else None
+
+
+# An event that carries the last piece of text, by provider.
+_TAIL = {
+    "claude": lambda t: ("content_block_delta", {"type": "content_block_delta", "index": 0, "delta": {"type": "text_delta", "text": t}}),
+    "openai": lambda t: (None, {"choices": [{"index": 0, "delta": {"content": t}}]}),
+    "gemini": lambda t: (None, {"candidates": [{"content": {"parts": [{"text": t}]}}]}),
+}
+
+
+def event_text(kind: str | None, body: object) -> str:
+    return (f"event: {kind}\n" if kind else "") + f"data: {json.dumps(body, ensure_ascii=False)}\n\n"
+
+
+class EventRehydrator:
+    """Events of one response stream, with placeholders in their text restored; other events pass as they came. state is what to keep between chunks."""
+
+    def __init__(self, known: dict[str, str], provider: str | None, state: tuple[bytes, str] = (b"", "")) -> None:
+        self.known, self.provider = known, provider
+        self.parser, self.held = EventParser(state[0]), state[1]
+
+    @property
+    def state(self) -> tuple[bytes, str]:
+        return self.parser.rest, self.held
+
+    def _one(self, raw: str) -> str:
+        kind, data = event_fields(raw)
+        try:
+            body = json.loads(data)
+        except (ValueError, RecursionError):
+            return raw
+        slot = _slot(self.provider, body)
+        if slot is None:
+            return raw
+        holder, key = slot
+        safe, self.held = cut(self.held + holder[key])
+        holder[key] = restore(safe, self.known)
+        return event_text(kind, body)
+
+    def feed(self, chunk: bytes) -> str:
+        return "".join(map(self._one, self.parser.feed(chunk)))
+
+    def flush(self) -> str:
+        out = "".join(map(self._one, self.parser.flush()))
+        held, self.held = self.held, ""
+        if held and self.provider in _TAIL:
+            out += event_text(*_TAIL[self.provider](restore(held, self.known)))
+        return out
+
+
+def rehydrated_events(chunks: DataFrame, known: dict[str, str], *, idle_ms: int = 600_000) -> DataFrame:
+    """chunks: stream_id, provider, seq, chunk (binary), last. Emits (stream_id, seq, out): the bytes to forward, as text. The state of a stream goes
+    with its last chunk, or when it is idle for idle_ms; then what is left comes out."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rest, held, provider, next_seq = state.get if state.exists else (b"", "", None, 0)
+        out, ended = [], False
+        if state.hasTimedOut:
+            state.remove()
+            out, ended = [(key[0], next_seq, EventRehydrator(known, provider, (bytes(rest), held)).flush())], True
+        else:
+            rows = pd.concat(list(frames)).sort_values("seq")
+            provider = rows["provider"].iloc[0]
+            one = EventRehydrator(known, provider, (bytes(rest), held))
+            for seq, chunk, last in rows[["seq", "chunk", "last"]].itertuples(index=False):
+                text = one.feed(bytes(chunk or b""))
+                if last:
+                    text, ended = text + one.flush(), True
+                out.append((key[0], int(seq), text))
+            if not ended:
+                state.update((*one.state, provider, int(rows["seq"].max()) + 1))
+                state.setTimeoutDuration(idle_ms)
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "out"])
+
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, out string", "rest binary, held string, provider string, next_seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def rehydrated_events_batch(chunks: DataFrame, known: dict[str, str]) -> DataFrame:
+    """The same over a finite table."""
 
     def whole(rows: pd.DataFrame) -> pd.DataFrame:
-        held, out = "", []
-        for sid, seq, chunk, last in rows.sort_values("seq")[["stream_id", "seq", "chunk", "last"]].itertuples(index=False):
-            safe, held = cut(held + (chunk or ""))
-            if last:
-                safe, held = safe + held, ""
-            out.append((sid, int(seq), restore(safe, known)))
-        return pd.DataFrame(out, columns=["stream_id", "seq", "text"])
+        rows = rows.sort_values("seq")
+        one, out = EventRehydrator(known, rows["provider"].iloc[0]), []
+        for sid, seq, chunk, last in rows[["stream_id", "seq", "chunk", "last"]].itertuples(index=False):
+            out.append((sid, int(seq), one.feed(bytes(chunk or b"")) + (one.flush() if last else "")))
+        return pd.DataFrame(out, columns=["stream_id", "seq", "out"])
 
-    return chunks.groupBy("stream_id").applyInPandas(whole, "stream_id string, seq long, text string")
+    return chunks.groupBy("stream_id").applyInPandas(whole, "stream_id string, seq long, out string")
 
 
 def sse_events(chunks: DataFrame) -> DataFrame:
-    """stream_id, seq, chunk to server-sent events: (stream_id, n, event_type, data). Blank lines end events; \\r\\n counts as \\n."""
-    whole = chunks.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda c: c["chunk"]), "").alias("body"))
-    events = F.filter(F.split(F.regexp_replace("body", "\r\n", "\n"), "\n\n"), lambda e: F.length(F.trim(e)) > 0)
-    each = whole.select("stream_id", F.posexplode(events).alias("n", "event"))
-    return each.select("stream_id", "n", F.regexp_extract("event", r"(?m)^event:\s*(.*)$", 1).alias("event_type"), F.array_join(F.regexp_extract_all("event", F.lit(r"(?m)^data:\s?(.*)$"), F.lit(1)), "\n").alias("data"))
+    """stream_id, seq, chunk (binary or text) to server-sent events: (stream_id, n, event_type, data). A stream is one group, parsed chunk by chunk."""
+
+    def parse(rows: pd.DataFrame) -> pd.DataFrame:
+        parser, events = EventParser(), []
+        for chunk in rows.sort_values("seq")["chunk"]:
+            events += parser.feed(chunk.encode() if isinstance(chunk, str) else bytes(chunk or b""))
+        events += parser.flush()
+        both = [event_fields(e) for e in events if e.strip()]
+        return pd.DataFrame({"stream_id": rows["stream_id"].iloc[0], "n": range(len(both)), "event_type": [k for k, _ in both], "data": [d for _, d in both]})
+
+    kind = chunks.schema["stream_id"].dataType.simpleString()
+    return chunks.groupBy("stream_id").applyInPandas(parse, f"stream_id {kind}, n int, event_type string, data string")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import text as T
 from maskwright.operators import policy as Pol
-from maskwright.operators.detect import detect
+from maskwright.operators.detect import EMPTY, detect
 from maskwright.operators.payloads import fields
-from maskwright.operators.tokens import redact_documents, rehydrate
+from maskwright.operators.tokens import named, redact_documents, rehydrate
 from maskwright.plans import catalog
 from maskwright.streaming.lookahead import cut
 
@@ -77,10 +77,11 @@ def test_all_categories_are_redacted(spark, tmp_path):
 def test_whole_texts(spark, tmp_path):
     text = "Ab1 " * 40 + "김 É9! End"
     spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {n: {r[0]: tuple(r)[1:] for r in catalog.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("mask_whole_texts", "signature_whole_texts", "tokens_whole_texts")}
-    assert got["mask_whole_texts"] == {1: ("Xx0 " * 40 + "김 X0! Xxx",), 2: ("",)}
-    assert got["signature_whole_texts"] == {1: ("Ulds" * 40 + "3Uds2Ul2",), 2: ("",)}
-    assert got["tokens_whole_texts"] == {1: (len(re.findall(r"\w+|[^\w\s]", text)), "Ab1", "End")}
+    got = {n: {r[0]: tuple(r)[1:] for r in catalog.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("mask_format_preserving", "char_class_signature", "tokenize_offsets")}
+    assert got["mask_format_preserving"] == {1: ("Xx0 " * 40 + "김 X0! Xxx",), 2: ("",), 3: (None,)}
+    assert got["char_class_signature"] == {1: ("Ulds" * 40 + "3Uds2Ul2",), 2: ("",), 3: (None,)}
+    starts = [m.start() for m in re.finditer(r"\w+|[^\w\s]", text)]
+    assert got["tokenize_offsets"] == {1: (len(starts), "Ab1", "End", sum(starts), starts[-1])}
 
 
 def test_rules_without_sql_and_fingerprints(spark, tmp_path):
@@ -93,3 +94,24 @@ def test_rules_without_sql_and_fingerprints(spark, tmp_path):
 
 def test_names_match():
     assert set(catalog.SQL) <= set(catalog.QUERIES) and all(re.fullmatch(r"[a-z0-9_]+", n) for n in catalog.QUERIES)
+
+
+def test_digits_of_other_scripts(spark):
+    # Patterns with a leading 4 or [0-9] want ASCII there; the checks take any digit that a pattern does.
+    rows = [("card 4５３２０１５１１２８３０３６６", "CARD"), ("번호 １８０-６３-４１２０５ 입니다", "BIZ_NO"), ("사업자번호 １８０６３４１２０５ 입니다", "BIZ_NO"), ("card 4５３２０１５１１２８３０３６０", None)]
+    docs = spark.createDataFrame(rows, "text string, want string").select("want", detect(F.col("text")).alias("d"))
+    assert all([d.category for d in r.d] == ([r.want] if r.want else []) for r in docs.collect())
+
+
+def test_many_findings(spark):
+    values = [f"user{k % 1000}@example.org" for k in range(3_000)]
+    docs = spark.createDataFrame([(1, " ".join(values))], "doc_id int, text string")
+    row = redact_documents(docs, detect(F.col("text"), categories=["EMAIL"])).select("redacted_text", F.size("restoration_map").alias("n")).first()
+    assert row.n == 1000 and row.redacted_text == " ".join(f"[EMAIL_{k % 1000 + 1}]" for k in range(3_000))
+
+
+def test_first_sighting_names_a_value(spark):
+    one = lambda c, a, s, v: (c, "pii", a, "tokenize", s, s + 1, v, "x", "r", 1.0, None)
+    dets = [one("EMAIL", "mask", 0, "a"), one("CARD", "block", 1, "b"), one("CARD", "block", 2, "a"), one("EMAIL", "mask", 3, "b"), one("EMAIL", "mask", 4, "c")]
+    frame = spark.createDataFrame([(dets,), ([],)], f"d {EMPTY}")
+    assert [[x.placeholder_token for x in r.t] for r in frame.select(named(F.col("d")).alias("t")).collect()] == [["EMAIL_1", "CARD_1_BLOCKED", "EMAIL_1", "CARD_1_BLOCKED", "EMAIL_2"], []]
