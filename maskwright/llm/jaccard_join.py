@@ -399,7 +399,7 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     regions = connected_components(edges).select(F.col("component").alias("cell"), "node")
     classes = _classes(write_once(regions, "jaccard-regions"), near, cell)
     # Per set, then per class, then back: both joins have plain tables on both sides, so Spark can split a hot key's partition.
-    of_set = ids.join(nodes, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    of_set = write_once(ids.groupBy("digest").agg(F.min("doc_id").alias("first")).join(nodes.select("digest"), "digest"), "jaccard-sets-first")
     linked = write_once(classes.join(nodes, "node").join(of_set, "digest").select("digest", F.col("component").alias("class"), "first"), "jaccard-linked")
     first = write_once(linked.groupBy("class").agg(F.min("first").alias("component_id")), "jaccard-first")
     by_set = write_once(of_set.join(linked.join(first, "class").select("digest", "component_id"), "digest", "left").select("digest", F.coalesce("component_id", "first").alias("component_id")), "jaccard-classes")
