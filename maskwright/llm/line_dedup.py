@@ -190,10 +190,11 @@ class LineIndex:
         self.shards = shards
         self.generations: list[str] = []
         self.filters: str | None = None
+        self.deletions = 0
         committed = self._manifests()
         if committed:
             state = spark.read.json(f"{self.path}/manifest-{max(committed):06d}").first()
-            self.shards, self.filters = int(state.shards), state.filters
+            self.shards, self.filters, self.deletions = int(state.shards), state.filters, int(state.deletions)
             self.generations = list(state.generations)
 
     def _manifests(self) -> list[int]:
@@ -204,8 +205,8 @@ class LineIndex:
         return [int(f.getPath().getParent().getName().rsplit("-", 1)[1]) for f in found]
 
     def _commit(self) -> None:
-        state = (self.shards, self.filters, self.generations)
-        rows = self.spark.createDataFrame([state], "shards int, filters string, generations array<string>")
+        state = (self.shards, self.filters, self.deletions, self.generations)
+        rows = self.spark.createDataFrame([state], "shards int, filters string, deletions int, generations array<string>")
         rows.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest-{len(self.generations):06d}")
 
     def _new(self, tag: str) -> str:
@@ -287,7 +288,9 @@ class LineIndex:
         adds = probed.where("not seen").select("h1", "h2")
         if self.filters:
             hits = probed.where("seen").select("h1", "h2")
-            held = self._live(self.postings().join(hits, _KEYS, "left_semi")).groupBy("h1", "h2").agg(F.min("doc_id").alias("held"))
+            # Summed before it is dealt by key alone, so a key that very many documents hold is a row of each task.
+            live = self._live(self.postings()) if self.deletions else self.postings()
+            held = live.groupBy("h1", "h2").agg(F.min("doc_id").alias("held")).join(hits, _KEYS)
             held.write.parquet(held_at := self._new("held"))
             held = self.spark.read.schema(held.schema).parquet(held_at)
             # A hit of a key that the exact table doesn't hold was false: the key gets a fingerprint of its own.
@@ -313,6 +316,7 @@ class LineIndex:
         self._live(mine).select("doc_id", "h1", "h2", (-F.col("n")).alias("n")).write.parquet(at := self._new("postings"))
         cancelled = self.spark.read.schema(_LINES).parquet(at).select("h1", "h2").distinct()
         self.generations.append(at)
+        self.deletions += 1
         left = self.postings().join(cancelled, _KEYS, "left_semi").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n <= 0")
 
         def take_out(key, old: pd.DataFrame, dead: pd.DataFrame) -> pd.DataFrame:
