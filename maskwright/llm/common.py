@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -43,12 +44,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, only where that is unset, a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one of a local session; on a cluster its absence is an
+    error, as each executor would write to a disk of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         where = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = where.get() if where.isDefined() else None
     if not base:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="maskwright-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
