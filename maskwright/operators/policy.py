@@ -56,7 +56,7 @@ class Policy:
 
 
 def decide(category: Column, confidence: Column, original: Column, policy: Policy, key: bytes | None = None) -> Column:
-    """struct(action, mask_style, effective_min_confidence, reason)."""
+    """struct(action, mask_style, effective_min_confidence, reason). The reasons are fixed values, which readers of decisions know."""
     known = {c.name: c for c in CATEGORIES}
 
     def answer(action, style, floor, reason) -> Column:
