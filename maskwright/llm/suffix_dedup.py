@@ -343,3 +343,19 @@ def suffix_dedup(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row and whole text of documents, strings of 50 bytes; null texts are empty. An empty table gives no rows."""
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept").withColumn("doc_id", real_id())
+
+
+#: Texts go as hexadecimal digits, in pieces of 512 bytes and the 49 after them.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+p AS (SELECT doc_id, h, n, unnest(range(0, (n + 511) // 512)) AS k FROM d),
+q AS (SELECT doc_id, n, k, substr(h, 1024 * k + 1, 1122) AS piece FROM p),
+b AS (SELECT doc_id, n, k, piece, unnest(range(0, least(512, n - 512 * k))) AS j FROM q),
+w AS (SELECT doc_id, 512 * k + j AS i, CASE WHEN 512 * k + j + 50 <= n THEN substr(piece, 2 * j + 1, 100) END AS s, substr(piece, 2 * j + 1, 2) AS x FROM b),
+f AS (SELECT s, min(doc_id) AS first FROM w WHERE s IS NOT NULL GROUP BY s),
+g AS (SELECT w.doc_id, w.i, w.x, coalesce(w.doc_id > f.first, false) AS hit FROM w LEFT JOIN f USING (s)),
+c AS (SELECT doc_id, i, x, max(CAST(hit AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone FROM g),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM c),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""
