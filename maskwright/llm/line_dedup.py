@@ -152,8 +152,9 @@ class CuckooFilter:
                     break
 
     @classmethod
-    def build(cls, keys: np.ndarray) -> CuckooFilter:
-        size = max(64, len(keys))
+    def build(cls, keys: np.ndarray, room: int = 1) -> CuckooFilter:
+        """room: how many times its keys it should hold at least, so that later batches seldom make it grow."""
+        size = max(64, room * len(keys))
         while True:
             out = cls(size)
             if out.insert(keys):
@@ -175,6 +176,8 @@ class CuckooFilter:
 
 #: Keys of a shard's filter, about, when an index begins.
 SHARD_KEYS = 2_000_000
+#: Times its keys a new filter has room for: growing is rare, and its work a constant share of what was inserted.
+ROOM = 4
 _KEYS = ["h1", "h2"]
 _FILTERS = "shard int, filter binary"
 
@@ -249,7 +252,7 @@ class LineIndex:
         def per_shard(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
             add, blob, grow = new["h1"].to_numpy(np.int64), None, False
             if not len(old):
-                blob = CuckooFilter.build(add).to_bytes()
+                blob = CuckooFilter.build(add, ROOM).to_bytes()
             elif not len(new):
                 blob = old["filter"].iloc[0]
             elif (held := CuckooFilter.from_bytes(old["filter"].iloc[0])).insert(add):
@@ -376,7 +379,7 @@ def dedup_lines(docs: DataFrame, *, batches: int = 3, id_col: str = "doc_id", te
 
 
 def _build_filter(keys: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "filter": [CuckooFilter.build(keys["h1"].to_numpy(np.int64)).to_bytes()]})
+    return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "filter": [CuckooFilter.build(keys["h1"].to_numpy(np.int64), ROOM).to_bytes()]})
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
