@@ -4,13 +4,15 @@
    documents have, and how many have them (in powers of 2). A document of which fewer than 80 % are shared links with nothing.
 2. Documents with equal sets (by a 128-bit digest) become one node. Linked nodes share one of their rarest n - ceil(0.8 n) + 1 shingles, so
    connecting nodes that do gives regions that no link leaves: unlike texts are all at distances of nearly 1, where pivots alone say nothing.
-3. A region beyond CELL nodes is split. Hash-random pivots get the distances of all its nodes, computed in chunks of CELL nodes.
+3. A region beyond CELL (nodes, each with its bytes as WEIGHT says) is split. Hash-random pivots get the distances of all its nodes, computed in chunks of CELL.
    Nodes within 0.2 of a pivot link with it. One of them whose distance plus 0.2 reaches no node outside this ball is done: it can't
    link with anything that isn't in the pivot's class already. The others form Voronoi cells: a node within CORE of its nearest
    pivot belongs to that pivot's cell, others to the cell of far nodes; and by the triangle inequality a node is replicated
    to each cell j whose own nodes it may link with: d_j <= CORE + 0.2 and d_j <= d_nearest + 0.4.
-4. Cells are split in the same way again until they have at most CELL nodes. A cell that doesn't shrink is cut into chunks
-   of CELL / 2 nodes, each two of which meet in a task. So no task holds more than about CELL nodes.
+4. Cells are split in the same way again until they weigh at most CELL. A split is kept only if it pays: its cells weigh at most SPREAD times what they
+   came from, and none that is still too big more than KEEP times. So rounds are at most log(region / CELL) / log(1 / KEEP), and a round's rows at
+   most SPREAD times the last one's. What doesn't pay is cut into chunks of CELL / 2, each two of which meet in a task: a node has as many copies as there
+   are other chunks. No task holds more than about CELL.
 5. Small cells and regions are solved in memory, with pivots and triangle windows as above, else by comparing nodes that share a rare
    shingle. What cells find are star edges; their components are the classes.
 """
@@ -43,6 +45,8 @@ _SIZE, _LOW, _HIGH = 253, 254, 255
 CELL, NODE_BYTES = 4000, 4000
 #: Pivots of a cell in a round, and how far from the nearest one a node of its cell is.
 PIVOTS, CORE = 16, 0.5
+#: What a split may weigh in all, and one of its cells that is still too big, in units of what was split.
+SPREAD, KEEP = 1.5, 0.6
 _LINK = 1 - NUMERATOR / DENOMINATOR
 #: Covers the rounding of distances.
 _EPS = 1e-9
@@ -186,10 +190,25 @@ def _prefix(n: int, raw: bytes) -> np.ndarray:
     return shared[: max(0, n - least(n) + 1 - (n - len(shared)))]
 
 
+_HUBS = "shingle long, hub long, node long, nodes long"
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch, rows (shingle, hub, null, nodes) for the rare shingles, the hub being the least of its nodes there, and edges (null, hub, node, null). So a
+    shingle of very many nodes is one row per batch."""
     for batch in batches:
         found = [_prefix(n, raw) for n, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(np.asarray(batch.column(0)), [len(f) for f in found])), "shingle": pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))})
+        node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
+        shingle = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+        order = np.lexsort((node, shingle))
+        node, shingle = node[order], shingle[order]
+        heads = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]][: len(shingle)])
+        sizes = np.diff(np.r_[heads, len(shingle)])
+        hub = np.repeat(node[heads], sizes)
+        edges = np.unique(np.stack((hub, node), 1)[node != hub], axis=0)
+        some, none = lambda x: pa.array(x, pa.int64()), lambda n: pa.nulls(n, pa.int64())
+        yield pa.RecordBatch.from_arrays([some(shingle[heads]), some(node[heads]), none(len(heads)), some(sizes)], names=["shingle", "hub", "node", "nodes"])
+        yield pa.RecordBatch.from_arrays([none(len(edges)), some(edges[:, 0]), some(edges[:, 1]), none(len(edges))], names=["shingle", "hub", "node", "nodes"])
 
 
 class Region:
@@ -302,26 +321,26 @@ def _distances(rows: pd.DataFrame) -> pd.DataFrame:
     region = Region(both["n"].to_numpy(), [np.frombuffer(r, "<u8") for r in both["shared"]])
     others = np.arange(len(pivots), len(both))
     d, linked = (np.stack(x, 1) for x in zip(*(region.compare(k, others) for k in range(len(pivots)))))
-    return pd.DataFrame({"cell": nodes["cell"], "chunk": nodes["chunk"], "node": nodes["node"], "pivots": [pivots["node"].to_numpy()] * len(nodes), "d": list(d), "linked": list(linked)})
+    return pd.DataFrame({"cell": nodes["cell"], "chunk": nodes["chunk"], "node": nodes["node"], "w": nodes["w"], "pivots": [pivots["node"].to_numpy()] * len(nodes), "d": list(d), "linked": list(linked)})
 
 
-_WEIGHT = f"1 + length(shared) / {float(NODE_BYTES)}"
+_WEIGHT = f"1D + length(shared) / {float(NODE_BYTES)}D"
 
 
 def _split(work: DataFrame, big: DataFrame, salt: int, cell: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """work: (cell, node, n, shared). big: (cell, chunks), its cells that are too big. Returns star edges (a, b), and the cells that
-    replace them: members (cell, node, parent), and the sizes of the parents (parent, was)."""
+    """work: (cell, node, n, shared, w). big: (cell, chunks), its cells that are too big. Returns star edges (a, b), and the cells that
+    replace them: members (cell, node, w, parent), and what the parents weighed (parent, was)."""
     members = work.join(big, "cell").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("chunks")))
     # Each pivot is the node with the least of one of PIVOTS hashes: partial minima, no sort of a cell.
     picked = work.select("cell", "node").join(big, "cell").groupBy("cell", "chunks").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(salt + 7 + k)).alias("h"), "node"))["node"].alias(f"p{k}") for k in range(PIVOTS)))
     picked = picked.select("cell", "chunks", F.posexplode(F.array_sort(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS)))))).alias("pivot", "node"))
     pivots = work.join(picked, ["cell", "node"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    both = members.withColumn("pivot", F.lit(-1)).unionByName(pivots).select("cell", "chunk", "pivot", "node", "n", "shared")
-    far = write_once(both.groupBy("cell", "chunk").applyInPandas(_distances, "cell long, chunk long, node long, pivots array<long>, d array<double>, linked array<boolean>"), "jaccard-distances")
+    both = members.withColumn("pivot", F.lit(-1)).unionByName(pivots).select("cell", "chunk", "pivot", "node", "n", "shared", "w")
+    far = write_once(both.groupBy("cell", "chunk").applyInPandas(_distances, "cell long, chunk long, node long, w double, pivots array<long>, d array<double>, linked array<boolean>"), "jaccard-distances")
     edges = far.select(F.col("node").alias("a"), F.explode(F.filter(F.arrays_zip("pivots", "linked"), lambda x: x["linked"])["pivots"]).alias("b")).where("a <> b")
     # The least distance of a node outside each pivot's ball.
-    outside = far.groupBy("cell").agg(F.array(*(F.min(F.when(~F.get("linked", F.lit(k)), F.get("d", F.lit(k)))) for k in range(PIVOTS))).alias("outside"), F.count("*").alias("was"))
-    spread = outside.join(big, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
+    outside = far.groupBy("cell").agg(F.array(*(F.min(F.when(~F.get("linked", F.lit(k)), F.get("d", F.lit(k)))) for k in range(PIVOTS))).alias("outside"), F.sum("w").alias("was"))
+    spread = outside.join(big, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks", "was")
     seen = far.join(spread, ["cell", "chunk"])
     done = F.exists(F.arrays_zip("d", "linked", "outside"), lambda x: F.coalesce(x["linked"], F.lit(False)) & (x["outside"].isNull() | (x["d"] + _LINK + _EPS < x["outside"])))
     left = seen.where(~done).withColumn("nearest", F.array_min("d")).withColumn("home", F.array_position("d", F.col("nearest")) - 1)
@@ -329,12 +348,12 @@ def _split(work: DataFrame, big: DataFrame, salt: int, cell: int) -> tuple[DataF
     near = F.filter(F.transform("d", lambda d, k: F.when((core & (k == F.col("home"))) | ((d <= CORE + _LINK + _EPS) & (d <= F.col("nearest") + 2 * _LINK + _EPS)), k)), lambda k: k.isNotNull())
     # The last number is the far cell.
     cells = F.when(core, near).otherwise(F.concat(near, F.array(F.lit(PIVOTS))))
-    moved = left.select("node", F.col("cell").alias("parent"), F.explode(cells).alias("k"))
-    return edges, moved.select(F.xxhash64("parent", "k", F.lit(cell)).alias("cell"), "node", "parent"), outside.select(F.col("cell").alias("parent"), "was")
+    moved = left.select("node", "w", F.col("cell").alias("parent"), F.explode(cells).alias("k"))
+    return edges, moved.select(F.xxhash64("parent", "k", F.lit(salt)).alias("cell"), "node", "w", "parent"), outside.select(F.col("cell").alias("parent"), "was")
 
 
 def _in_pairs(work: DataFrame, stuck: DataFrame, cell: int) -> DataFrame:
-    """Cells that distances can't split: chunks of half a cell, each two of which are one task."""
+    """Cells that distances don't split: chunks of half a cell, each two of which are one task."""
     parts = F.greatest(F.lit(2), F.ceil(F.col("size") * 2 / cell)).cast("long")
     rows = work.join(stuck.withColumn("parts", parts).drop("size"), "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("own <> other")
@@ -342,17 +361,20 @@ def _in_pairs(work: DataFrame, stuck: DataFrame, cell: int) -> DataFrame:
     return rows.select(pair.alias("cell"), "node", "n", "shared").groupBy("cell").applyInPandas(_solve, "node long, class long")
 
 
-def _classes(members: DataFrame, sets: DataFrame, cell: int) -> DataFrame:
-    """members: (cell, node), the regions. sets: (node, n, shared). (node, component): the classes."""
+def _classes(members: DataFrame, sets: DataFrame, cell: int, trace: list[float] | None = None) -> DataFrame:
+    """members: (cell, node), the regions. sets: (node, n, shared). (node, component): the classes. trace: gets what each round's cells weigh."""
     found: list[DataFrame] = []
     salt = 1
+    sets = sets.withColumn("w", F.expr(_WEIGHT))
     while True:
-        work = members.join(sets, "node").select("cell", "node", "n", "shared")
-        sizes = write_once(work.groupBy("cell").agg(F.sum(F.expr(_WEIGHT)).alias("size"), F.count("*").alias("nodes")), "jaccard-sizes")
+        work = members.join(sets, "node").select("cell", "node", "n", "shared", "w")
+        sizes = write_once(work.groupBy("cell").agg(F.sum("w").alias("size"), F.count("*").alias("nodes")), "jaccard-sizes")
+        if trace is not None:
+            trace.append(sizes.agg(F.sum("size")).first()[0] or 0.0)
         big = sizes.where((F.col("size") > cell) & (F.col("nodes") > 2)).select("cell", F.ceil(F.col("size") / cell).cast("long").alias("chunks"))
         more = not big.isEmpty()
         small = work.join(big.select("cell"), "cell", "left_anti") if more else work
-        solved = small.groupBy("cell").applyInPandas(_solve, "node long, class long")
+        solved = small.drop("w").groupBy("cell").applyInPandas(_solve, "node long, class long")
         if not more and not found:  # no node is in two cells
             return solved.withColumnRenamed("class", "component")
         found.append(solved.select(F.col("node").alias("a"), F.col("class").alias("b")))
@@ -361,13 +383,16 @@ def _classes(members: DataFrame, sets: DataFrame, cell: int) -> DataFrame:
         edges, moved, was = _split(work, big, salt, cell)
         found.append(edges)
         moved = write_once(moved, "jaccard-cells")
-        # A cell that keeps over nine tenths of its parent's nodes isn't worth another round.
-        now = moved.groupBy("cell", "parent").agg(F.count("*").alias("size")).join(was, "parent")
-        stuck = write_once(now.where((F.col("size") > cell) & (F.col("size") > 0.9 * F.col("was"))).select("cell", F.col("size").cast("double").alias("size")), "jaccard-stuck")
+        now = moved.groupBy("cell", "parent").agg(F.sum("w").alias("size"))
+        now = now.groupBy("parent").agg(F.sum("size").alias("all"), F.max("size").alias("most")).join(was, "parent")
+        # Cells that are all small enough are the last ones, however much they overlap: at most PIVOTS + 1 copies of a node, once.
+        lost = write_once(now.where((F.col("most") > cell) & ((F.col("most") > KEEP * F.col("was")) | (F.col("all") > SPREAD * F.col("was")))).select("parent"), "jaccard-lost")
         members = moved.select("cell", "node")
-        if not stuck.isEmpty():
-            found.append(_in_pairs(members.join(sets, "node"), stuck, cell).select(F.col("node").alias("a"), F.col("class").alias("b")))
-            members = members.join(stuck.select("cell"), "cell", "left_anti")
+        if not lost.isEmpty():
+            whole = write_once(moved.join(lost, "parent").select(F.col("parent").alias("cell"), "node", "w").distinct(), "jaccard-whole")
+            stuck = whole.groupBy("cell").agg(F.sum("w").alias("size"))
+            found.append(_in_pairs(whole.drop("w").join(sets, "node"), stuck, cell).select(F.col("node").alias("a"), F.col("class").alias("b")))
+            members = moved.join(lost, "parent", "left_anti").select("cell", "node")
         salt += 1000
     out = found[0]
     for more_edges in found[1:]:
@@ -375,12 +400,12 @@ def _classes(members: DataFrame, sets: DataFrame, cell: int) -> DataFrame:
     return connected_components(out)
 
 
-def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, cell: int = CELL) -> DataFrame:
+def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, cell: int = CELL, trace: list[float] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest id of its class).
 
     Texts are lower-cased (A-Z). A text with fewer words than a shingle is one shingle; without words (or null) it has none and is alone. Each row is a
     document of its own, also if its id is null or repeats; a null id sorts before all others. An empty table gives an empty result.
-    cell: nodes that one task solves.
+    cell: nodes that one task solves. trace: gets what the cells of each round of splitting weigh.
     """
     buckets = shuffle_partitions(docs.sparkSession)
     rows, unique = numbered(docs, id_col, text_col)
@@ -392,12 +417,14 @@ def jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     some = sets.where("shared is not null").select("row", "digest")
     nodes = write_once(some.groupBy("digest").agg(F.min("row").alias("node")), "jaccard-nodes")
     near = write_once(sets.select(F.col("row").alias("node"), "n", "shared").join(nodes.select("node"), "node"), "jaccard-near")
-    # Nodes that share a rare shingle are connected to the smallest of them.
-    held = near.select("node", "n", "shared").mapInArrow(_prefixes, "node long, shingle long")
-    hubs = held.groupBy("shingle").agg(F.min("node").alias("hub"), F.count("*").alias("nodes")).where("nodes > 1")
-    edges = held.join(hubs, "shingle").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    # Nodes that share a rare shingle are connected to the smallest of them: first in their batch, then these hubs with each other.
+    held = write_once(near.select("node", "n", "shared").mapInArrow(_prefixes, _HUBS), "jaccard-hubs")
+    local = held.where("shingle is not null")
+    hubs = write_once(local.groupBy("shingle").agg(F.min("hub").alias("first"), F.sum("nodes").alias("nodes")).where("nodes > 1").drop("nodes"), "jaccard-shingles")
+    edges = local.select("shingle", "hub").join(hubs, "shingle").where("hub <> first").select(F.col("hub").alias("a"), F.col("first").alias("b"))
+    edges = edges.unionByName(held.where("shingle is null").select(F.col("node").alias("a"), F.col("hub").alias("b"))).distinct()
     regions = connected_components(edges).select(F.col("component").alias("cell"), "node")
-    classes = _classes(write_once(regions, "jaccard-regions"), near, cell)
+    classes = _classes(write_once(regions, "jaccard-regions"), near, cell, trace)
     # Per set, then per class, then back: both joins have plain tables on both sides, so Spark can split a hot key's partition.
     of_set = write_once(ids.groupBy("digest").agg(F.min("doc_id").alias("first")).join(nodes.select("digest"), "digest"), "jaccard-sets-first")
     linked = write_once(classes.join(nodes, "node").join(of_set, "digest").select("digest", F.col("component").alias("class"), "first"), "jaccard-linked")
