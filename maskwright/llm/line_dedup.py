@@ -1,12 +1,16 @@
 """Incremental line dedup: sharded cuckoo filters backed by exact reference-count tables.
 
-The index is a list of committed generations in a shared folder. Each holds the postings it added or removed, a row
-per line key and document (the exact reference counts are their sums), and the shards' filters; a manifest, written last, commits it, and
-LineIndex(spark, path) goes on from the last one. An
-insertion probes its keys' shard filters: a miss proves that the key is new, and only hits are looked up in the exact
-tables. Misses and false hits are then added, so each live key has a fingerprint of its own. Deletions append negative postings and take the keys whose count fell to 0 out of the filters, so dedup is
-reversible: a document that is deleted gives its lines back to the next smallest holder. Documents that a later generation changes are
-listed by affected(), and render() gives their lines as they are now.
+The index is a list of committed generations in a shared folder; a manifest, written last, commits one, and LineIndex(spark, path) goes on from the
+last. A generation holds
+* postings: a row per line key and document that it added or, negative, removed. The exact reference counts are their sums;
+* totals: the state of each key that it touched, after it: the least document that holds the key, if any does. Totals are bucketed by key, as are the keys that
+  are looked up in them, so a lookup joins bucket by bucket and history is never shuffled. Beyond LEVELS tables they are merged into one;
+* filters: of each shard of keys a chain of cuckoo filters. One that is full stays as it is, and a larger one follows it; nothing is rebuilt.
+
+An insertion probes its keys' shard filters: a miss proves that the key is new, and only hits are looked up in the totals. Misses and false hits are then
+added, so each live key has a fingerprint of its own, in the filter of its chain that was open when it was added. Deletions append negative
+postings and take the keys whose count fell to 0 out of that filter, so dedup is reversible: a document that is deleted gives its lines back to the next
+smallest holder. Documents that a later generation changes are listed by affected(), and render() gives their lines as they are now.
 """
 
 from __future__ import annotations
@@ -143,18 +147,26 @@ class CuckooFilter:
         return not len(f)
 
     def remove(self, keys: np.ndarray) -> None:
-        """Each key must have been inserted."""
-        for f, b in zip(*self._finger(keys)):
-            for at in (int(b), int(self._other(np.array([b]), np.array([f], np.uint16))[0])):
-                hit = np.flatnonzero(self.slots[at] == f)
-                if len(hit):
-                    self.slots[at, hit[0]] = 0
-                    break
+        """Each key must have been inserted. All at once: the k-th key of a bucket and fingerprint takes the k-th slot that holds it."""
+        f, b = self._finger(keys)
+        for _ in range(2):
+            if not len(f):
+                return
+            order = np.lexsort((f, b))
+            f, b = f[order], b[order]
+            starts = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (f[1:] != f[:-1])])
+            rank = np.arange(len(b)) - np.repeat(starts, np.diff(np.r_[starts, len(b)]))
+            held = self.slots[b] == f[:, None]
+            here = rank < held.sum(1)
+            slot = np.argmax(np.cumsum(held, 1) == (rank + 1)[:, None], 1)
+            self.slots[b[here], slot[here]] = 0
+            f, b = f[~here], b[~here]
+            b = self._other(b, f)
 
     @classmethod
-    def build(cls, keys: np.ndarray, room: int = 1) -> CuckooFilter:
-        """room: how many times its keys it should hold at least, so that later batches seldom make it grow."""
-        size = max(64, room * len(keys))
+    def build(cls, keys: np.ndarray, least: int = 0) -> CuckooFilter:
+        """With room for its keys, and for least."""
+        size = max(64, least, len(keys))
         while True:
             out = cls(size)
             if out.insert(keys):
@@ -176,10 +188,18 @@ class CuckooFilter:
 
 #: Keys of a shard's filter, about, when an index begins.
 SHARD_KEYS = 2_000_000
-#: Times its keys a new filter has room for: growing is rare, and its work a constant share of what was inserted.
-ROOM = 4
+#: A shard's next filter has room for this many times its first keys, and for this many times the last filter's, so chains grow with the logarithm of the keys.
+ROOM = 2
+#: Tables of totals that a lookup joins at most.
+LEVELS = 6
 _KEYS = ["h1", "h2"]
-_FILTERS = "shard int, filter binary"
+_FILTERS = "shard int, since int, filter binary"
+_TOTALS = "h1 long, h2 long, gen int, born int, first long"
+
+
+def _name(at: str) -> str:
+    """A folder's table name in the session."""
+    return "mw_" + "".join(c if c.isalnum() else "_" for c in "_".join(at.rstrip("/").rsplit("/", 2)[1:]))
 
 
 class LineIndex:
@@ -192,13 +212,13 @@ class LineIndex:
         self.path = path or scratch_path(spark, "line-index")
         self.shards = shards
         self.generations: list[str] = []
+        self.totals: list[str] = []
         self.filters: str | None = None
-        self.deletions = 0
         committed = self._manifests()
         if committed:
             state = spark.read.json(f"{self.path}/manifest-{max(committed):06d}").first()
-            self.shards, self.filters, self.deletions = int(state.shards), state.filters, int(state.deletions)
-            self.generations = list(state.generations)
+            self.shards, self.filters = int(state.shards), state.filters
+            self.generations, self.totals = list(state.generations), list(state.totals)
 
     def _manifests(self) -> list[int]:
         """Numbers of the manifests that were written to the end."""
@@ -208,8 +228,8 @@ class LineIndex:
         return [int(f.getPath().getParent().getName().rsplit("-", 1)[1]) for f in found]
 
     def _commit(self) -> None:
-        state = (self.shards, self.filters, self.deletions, self.generations)
-        rows = self.spark.createDataFrame([state], "shards int, filters string, deletions int, generations array<string>")
+        state = (self.shards, self.filters, self.generations, self.totals)
+        rows = self.spark.createDataFrame([state], "shards int, filters string, generations array<string>, totals array<string>")
         rows.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest-{len(self.generations):06d}")
 
     def _new(self, tag: str) -> str:
@@ -232,77 +252,102 @@ class LineIndex:
     def _held_filters(self) -> DataFrame:
         return self.spark.read.schema(_FILTERS).parquet(self.filters) if self.filters else self.spark.createDataFrame([], _FILTERS)
 
+    def _bucketed(self, rows: DataFrame, tag: str) -> str:
+        """Writes rows by key: a file per bucket, sorted, which joins with others of its kind need neither shuffle nor sort."""
+        at = self._new(tag)
+        rows.repartition(self.shards, *_KEYS).write.bucketBy(self.shards, *_KEYS).sortBy(*_KEYS).option("path", at).saveAsTable(_name(at))
+        return at
+
+    def _table(self, at: str, columns: str) -> DataFrame:
+        """A bucketed table; a session that didn't write it is told of its buckets first."""
+        if not self.spark.catalog.tableExists(_name(at)):
+            self.spark.sql(f"CREATE TABLE {_name(at)} ({columns}) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.shards} BUCKETS LOCATION '{at}'")
+        return self.spark.table(_name(at))
+
+    def _states(self, keys: DataFrame) -> DataFrame:
+        """keys: (h1, h2), distinct. (h1, h2, born, held): what the last totals that know a key say; held is null for one that no document holds any more."""
+        wanted = self._table(self._bucketed(keys.select(*_KEYS), "wanted"), "h1 long, h2 long")
+        found = [self._table(at, _TOTALS).join(wanted, _KEYS) for at in self.totals]
+        every = found[0]
+        for more in found[1:]:
+            every = every.unionByName(more)
+        last = every.groupBy("h1", "h2").agg(F.max(F.struct("gen", "born", "first")).alias("s"))
+        return last.select("h1", "h2", F.col("s.born").alias("born"), F.col("s.first").alias("held"))
+
+    def _keep(self, states: DataFrame) -> None:
+        """states: as _TOTALS. Adds a table of totals; too many are merged into one."""
+        self.totals.append(self._bucketed(states, "totals"))
+        if len(self.totals) > LEVELS:
+            every = self._table(self.totals[0], _TOTALS)
+            for at in self.totals[1:]:
+                every = every.unionByName(self._table(at, _TOTALS))
+            last = every.groupBy("h1", "h2").agg(F.max(F.struct("gen", "born", "first")).alias("s")).select("h1", "h2", "s.gen", "s.born", "s.first")
+            self.totals = [self._bucketed(last.where("first is not null"), "totals")]
+
     def _probe(self, fresh: DataFrame) -> DataFrame:
         """fresh: (h1, h2, first, last), a row per key. Returns it with seen: the key may be held already."""
 
         def per_shard(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-            held = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else None
             keys = new["h1"].to_numpy(np.int64)
-            return new[["h1", "h2", "first", "last"]].assign(seen=held.contains(keys) if held is not None else False)
+            seen = np.zeros(len(keys), bool)
+            for raw in old["filter"]:
+                seen |= CuckooFilter.from_bytes(raw).contains(keys)
+            return new[["h1", "h2", "first", "last"]].assign(seen=seen)
 
         new = fresh.withColumn("shard", self._shard()).groupBy("shard")
         probed = new.cogroup(self._held_filters().groupBy("shard")).applyInPandas(lambda key, a, b: per_shard(key, a, b), "h1 long, h2 long, first long, last long, seen boolean")
         probed.write.parquet(out := self._new("probe"))
         return self.spark.read.schema(probed.schema).parquet(out)
 
-    def _add(self, keys: DataFrame) -> None:
-        """Adds keys (h1, h2) that no document holds to the filters. A shard that gets too full gets a larger filter, from its exact keys,
-        which are postings() by now."""
+    def _add(self, keys: DataFrame, gen: int) -> None:
+        """Adds keys (h1, h2) that no document holds to the filters: to the last of the shard's chain or, if that gets too full, to a new one."""
 
         def per_shard(key, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-            add, blob, grow = new["h1"].to_numpy(np.int64), None, False
-            if not len(old):
-                blob = CuckooFilter.build(add, ROOM).to_bytes()
-            elif not len(new):
-                blob = old["filter"].iloc[0]
-            elif (held := CuckooFilter.from_bytes(old["filter"].iloc[0])).insert(add):
-                blob = held.to_bytes()
+            add = new["h1"].to_numpy(np.int64)
+            chain = [(int(r.since), r.filter) for r in old.sort_values("since").itertuples()]
+            last = CuckooFilter.from_bytes(chain[-1][1]) if chain else None
+            if last is not None and (not len(add) or last.insert(add)):
+                chain[-1] = (chain[-1][0], last.to_bytes())
             else:
-                grow = True
-            return pd.DataFrame({"shard": [key[0]], "filter": [blob], "grow": [grow]})
+                chain.append((gen, CuckooFilter.build(add, ROOM * max(len(add), last.n * SLOTS if last else 0)).to_bytes()))
+            return pd.DataFrame({"shard": key[0], "since": [c[0] for c in chain], "filter": [c[1] for c in chain]})
 
         new = keys.select("h1", "h2", self._shard()).groupBy("shard")
-        made = new.cogroup(self._held_filters().groupBy("shard")).applyInPandas(lambda key, a, b: per_shard(key, a, b), f"{_FILTERS}, grow boolean")
+        made = new.cogroup(self._held_filters().groupBy("shard")).applyInPandas(lambda key, a, b: per_shard(key, a, b), _FILTERS)
         made.write.parquet(out := self._new("filters"))
         self.filters = out
-        full = self.spark.read.schema(made.schema).parquet(out).where("grow").select("shard")
-        if not full.isEmpty():
-            keys = self._live(self.postings()).select("h1", "h2").distinct().withColumn("shard", self._shard()).join(full, "shard")
-            good = self._held_filters().where("filter is not null")
-            good.unionByName(keys.groupBy("shard").applyInPandas(_build_filter, _FILTERS)).write.parquet(out := self._new("filters-grown"))
-            self.filters = out
 
     def insert(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
         """Adds the documents. Returns them as (doc_id, text, carried, n_lines, n_dropped, kept_sha256): a line whose key has
         at least 10 code points and is held by a document with a smaller id, of this batch or before, is gone from text.
         carried: a struct of the columns named in carry.
 
-        Null ids are one document that sorts first; a null text is one empty line. Rows that repeat an id are one document. A batch without rows
-        changes nothing. Hot keys meet only as partial counts; the join of postings with keys is one that Spark splits when it is skewed.
+        Null ids are one document that sorts first; a null text is one empty line. Rows that repeat an id are one document, of one insertion or of several: what
+        comes later adds to its lines. A batch without rows changes nothing. Hot keys meet only as partial counts; the join of postings with keys is one that Spark
+        splits when it is skewed.
         """
         rows = keyed(docs, id_col, text_col, carry)
         rows.select("doc_id", "text").mapInArrow(_extract, _LINES).write.parquet(at := self._new("postings"))
         lines = self.spark.read.schema(_LINES).parquet(at)
         if self.shards is None:
             self.shards = max(shuffle_partitions(self.spark), -(-lines.count() // SHARD_KEYS))
+        gen = len(self.generations)
         fresh = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         probed = self._probe(fresh)
-        new = probed.where("not seen and first < last").select("h1", "h2", "first")
-        adds = probed.where("not seen").select("h1", "h2")
-        if self.filters:
-            hits = probed.where("seen").select("h1", "h2")
-            # Summed before it is dealt by key alone, so a key that very many documents hold is a row of each task.
-            live = self._live(self.postings()) if self.deletions else self.postings()
-            held = live.groupBy("h1", "h2").agg(F.min("doc_id").alias("held")).join(hits, _KEYS)
-            held.write.parquet(held_at := self._new("held"))
-            held = self.spark.read.schema(held.schema).parquet(held_at)
-            # A hit of a key that the exact table doesn't hold was false: the key gets a fingerprint of its own.
-            both = probed.where("seen").join(held, _KEYS, "left")
-            adds = adds.unionByName(both.where("held is null").select("h1", "h2"))
-            new = new.unionByName(both.select("h1", "h2", F.least("first", "held").alias("first"), "last").where("first < last").select("h1", "h2", "first"))
+        state = probed.select("h1", "h2", F.lit(gen).alias("gen"), F.lit(gen).alias("born"), "first", "last")
+        if self.totals:
+            # A hit of a key that the totals don't hold was false: the key gets a fingerprint of its own.
+            known = self._states(probed.where("seen"))
+            both = probed.where("seen").join(known.where("held is not null"), _KEYS, "left")
+            again = both.select("h1", "h2", F.lit(gen).alias("gen"), F.coalesce("born", F.lit(gen)).alias("born"), F.least("first", "held").alias("first"), "last")
+            state = again.unionByName(probed.where("not seen").select("h1", "h2", F.lit(gen).alias("gen"), F.lit(gen).alias("born"), "first", "last"))
+        state.write.parquet(state_at := self._new("state"))
+        state = self.spark.read.schema(state.schema).parquet(state_at)
         self.generations.append(at)
-        self._add(adds)
+        self._add(state.where(F.col("born") == gen).select(*_KEYS), gen)
+        self._keep(state.drop("last"))
         self._commit()
+        new = state.where("first < last").select("h1", "h2", "first")
         drops = lines.join(new, _KEYS).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
         return self._without(rows, drops)
 
@@ -318,21 +363,32 @@ class LineIndex:
         mine = self.postings().join(gone, "doc_id", "left_semi")
         self._live(mine).select("doc_id", "h1", "h2", (-F.col("n")).alias("n")).write.parquet(at := self._new("postings"))
         cancelled = self.spark.read.schema(_LINES).parquet(at).select("h1", "h2").distinct()
+        gen = len(self.generations)
         self.generations.append(at)
-        self.deletions += 1
-        left = self.postings().join(cancelled, _KEYS, "left_semi").groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n <= 0")
-
-        def take_out(key, old: pd.DataFrame, dead: pd.DataFrame) -> pd.DataFrame:
-            if not len(old):
-                return pd.DataFrame({"shard": [], "filter": []})
-            held = CuckooFilter.from_bytes(old["filter"].iloc[0])
-            held.remove(dead["h1"].to_numpy(np.int64))
-            return pd.DataFrame({"shard": [key[0]], "filter": [held.to_bytes()]})
-
-        if self.filters:
-            old, dead = self._held_filters().groupBy("shard"), left.withColumn("shard", self._shard()).groupBy("shard")
-            old.cogroup(dead).applyInPandas(lambda key, a, b: take_out(key, a, b), _FILTERS).write.parquet(out := self._new("filters"))
+        if self.totals:
+            left = self._live(self.postings().join(cancelled, _KEYS, "left_semi")).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
+            state = self._states(cancelled).join(left, _KEYS, "left").select("h1", "h2", F.lit(gen).alias("gen"), "born", "first", F.col("held").isNotNull().alias("was"))
+            state.write.parquet(state_at := self._new("state"))
+            state = self.spark.read.schema(state.schema).parquet(state_at)
+            dead = state.where("first is null and was").select("h1", "born", self._shard())
+
+            def take_out(key, old: pd.DataFrame, dead: pd.DataFrame) -> pd.DataFrame:
+                old = old.sort_values("since")
+                # A key is in the filter that was the chain's last when it was added.
+                place = np.searchsorted(old["since"].to_numpy(np.int64), dead["born"].to_numpy(np.int64), side="right") - 1
+                out = []
+                for k, raw in enumerate(old["filter"]):
+                    if (place == k).any():
+                        held = CuckooFilter.from_bytes(raw)
+                        held.remove(dead["h1"].to_numpy(np.int64)[place == k])
+                        raw = held.to_bytes()
+                    out.append(raw)
+                return pd.DataFrame({"shard": key[0], "since": old["since"].to_numpy(np.int64), "filter": out})
+
+            old = self._held_filters().groupBy("shard")
+            old.cogroup(dead.groupBy("shard")).applyInPandas(lambda key, a, b: take_out(key, a, b), _FILTERS).write.parquet(out := self._new("filters"))
             self.filters = out
+            self._keep(state.drop("was"))
         self._commit()
 
     def reference_counts(self) -> DataFrame:
@@ -363,25 +419,20 @@ def dedup_lines(docs: DataFrame, *, batches: int = 3, id_col: str = "doc_id", te
     tell which keys may be held, and the exact counts decide. A document's lines depend on smaller ids only, so each batch's answer holds.
     Null ids are in the first batch, and one document."""
     index = LineIndex(docs.sparkSession)
-    id_ = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID))
-    cuts = docs.select(F.percentile_approx(id_, [k / batches for k in range(1, batches)], 1000).alias("c")).first()["c"] or []
+    own = F.col(f"`{id_col}`").cast("long")
+    cuts = docs.select(F.percentile_approx(F.coalesce(own, F.lit(NULL_ID)), [k / batches for k in range(1, batches)], 1000).alias("c")).first()["c"] or []
     out: DataFrame | None = None
     edges = [None, *sorted(set(cuts)), None]
     for low, high in zip(edges, edges[1:]):
-        some = docs
-        if low is not None:
-            some = some.where(id_ > low)
+        # Plain comparisons, so that files and row groups of other ids are not read.
+        some = docs if low is None else docs.where(own > low)
         if high is not None:
-            some = some.where(id_ <= high)
+            some = some.where((own <= high) | own.isNull()) if low is None else some.where(own <= high)
         kept = index.insert(some, id_col=id_col, text_col=text_col, carry=carry)
         out = kept if out is None else out.unionByName(kept)
     return out
 
 
-def _build_filter(keys: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "filter": [CuckooFilter.build(keys["h1"].to_numpy(np.int64), ROOM).to_bytes()]})
-
-
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row and whole text of documents; a null or empty text is one empty line. An empty table gives no rows."""
     kept = dedup_lines(table(spark, sf_dir, "documents"))
