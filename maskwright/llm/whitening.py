@@ -104,6 +104,8 @@ def fit(rows: DataFrame) -> Fit | None:
     if state.low != state.high:
         raise ValueError(f"vectors have from {state.low} to {state.high} entries")
     d = int(state.high)
+    if not d:
+        return Fit(int(state.n), np.zeros(0, object))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(d, object)
@@ -119,7 +121,7 @@ def fit(rows: DataFrame) -> Fit | None:
     for r in sums:
         s[r["cell"]] = int(r["value"])
     out = Fit(int(state.n), s)
-    out.trace = float(_summed(rows, lambda x: (out.centred(x) ** 2).sum(keepdims=True), d, 1)[0]) / out.n if d else 0.0
+    out.trace = float(_summed(rows, lambda x: (out.centred(x) ** 2).sum(keepdims=True), d, 1)[0]) / out.n
     return out
 
 
