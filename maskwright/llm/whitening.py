@@ -178,10 +178,10 @@ def _ritz(basis: np.ndarray, product: np.ndarray, m: int | None = None) -> tuple
 
 
 def _deviations(scaled: np.ndarray) -> pa.Array:
-    """Exact sums of squares by row."""
+    """Exact sums of squares by row; null for one of more than 38 digits."""
     if scaled.dtype == np.int64 and (not scaled.size or float(np.abs(scaled).max()) ** 2 * max(1, scaled.shape[1]) < 2**62):
         return pa.array((scaled * scaled).sum(1)).cast(pa.decimal128(38, 0))
-    return pa.array([Decimal(int(v)) for v in (scaled.astype(object) ** 2).sum(1)], pa.decimal128(38, 0))
+    return pa.array([Decimal(int(v)) if v < 10**38 else None for v in (scaled.astype(object) ** 2).sum(1)], pa.decimal128(38, 0))
 
 
 def whiten(docs: DataFrame, *, components: int = COMPONENTS, id_col: str = "vec_id", vector_col: str = "embedding", carry: tuple[str, ...] = ()) -> DataFrame:
