@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from itertools import groupby
+from weakref import WeakKeyDictionary
 
 from pyspark import SparkContext
 from pyspark.sql import Column
@@ -161,21 +163,36 @@ def merge_proximity(base: Column, extra: Column) -> Column:
     return F.transform(_ordered(merged, lambda d: [d["start"]]), lambda x: x["d"])
 
 
-_BUILT: dict[tuple, Column] = {}
+#: Expressions over plain names, by session; the oldest go beyond BUILT_MOST.
+_BUILT: WeakKeyDictionary[SparkContext, OrderedDict[tuple, Column]] = WeakKeyDictionary()
+BUILT_MOST = 32
+
+
+def _plain_name(text: Column) -> str | None:
+    """The name of a column that is nothing but a name, which any table resolves for itself. A column of a table (table["x"]) has that table's identity, and
+    any other expression may."""
+    try:
+        node = text._jc.node()
+        return node.nameParts().mkString("`.`") if node.getClass().getSimpleName() == "UnresolvedAttribute" and node.planId().isEmpty() else None
+    except Exception:  # noqa: BLE001 - other kinds of columns than these are built each time
+        return None
 
 
 def detect(text: Column, *, categories: Sequence[str] | None = None, allow: Sequence[str] = (), min_confidence: float | None = None, with_proximity: bool = True, checks: dict | None = None) -> Column:
     """The detections of a text, in order, without overlaps. A null or empty text has none."""
-    # An expression over a plain column is the same for every table that has it; building it takes thousands of calls into the JVM.
-    name = re.fullmatch(r"Column<'([\w.]+)'>", str(text))
-    key = (id(SparkContext._active_spark_context), name[1], tuple(categories) if categories is not None else None, tuple(allow), min_confidence, with_proximity) if name and not checks else None
-    if key in _BUILT:
-        return _BUILT[key]
+    # Building it takes thousands of calls into the JVM.
+    name, context = None if checks else _plain_name(text), SparkContext._active_spark_context
+    built = _BUILT.setdefault(context, OrderedDict()) if name is not None and context is not None else None
+    key = (name, tuple(categories) if categories is not None else None, tuple(allow), min_confidence, with_proximity)
+    if built is not None and key in built:
+        return built[key]
     text = F.coalesce(text, F.lit(""))
     found = resolve(candidates(text, active_rules(categories, min_confidence), allow, checks))
     out = merge_proximity(found, proximity(text)) if with_proximity else found
-    if key:
-        _BUILT[key] = out
+    if built is not None:
+        built[key] = out
+        while len(built) > BUILT_MOST:
+            built.popitem(last=False)
     return out
 
 

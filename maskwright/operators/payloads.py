@@ -10,11 +10,12 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .detect import detect
+from .detect import EMPTY, detect
 
 _FLAGS = ("is_scannable", "is_unscannable", "is_unknown", "is_listed")
 _NAMES = ("location", "scan_field", "text", *_FLAGS, "gap_reason")
@@ -288,54 +289,65 @@ def _masked(style: str | None, original: str, token: str) -> str:
     return f"[{token}]"
 
 
-_BOTH = T.StructType([T.StructField("payload", T.StringType()), T.StructField("restoration_map", T.MapType(T.StringType(), T.StringType()))])
 _EXTRA = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("extra_keys", T.ArrayType(T.StringType()))]))
+#: What scrub() knows of a request before its payload is masked.
+_ANSWERS = ("request_id", "provider", "own", "n_detections", "gaps")
 _FOUND = "array<struct<seq:int,dets:array<struct<start:int,end:int,original:string,category:string,action:string,mask_style:string>>>>"
 
 
-@F.pandas_udf(_BOTH)
-def masked_payload(provider: pd.Series, payload: pd.Series, found: pd.Series) -> pd.DataFrame:
+def _mask(provider: str | None, payload: str | None, found: list[dict] | None) -> tuple[str | None, dict[str, str]]:
     """found: of each scannable field with findings its place in visiting order, and the findings. The payload with them masked, and the
-    placeholders. The first sighting of a value in the request fixes its placeholder. Null for a payload that isn't a JSON object."""
+    placeholders. The first sighting of a value in the request fixes its placeholder. None for a payload that isn't a JSON object."""
+    body, walk = _walked(provider, payload)
+    if not isinstance(body, dict):
+        return None, {}
+    tokens: dict[str, str] = {}
+    counts: dict[str, int] = {}
+    inside: dict[tuple, object] = {}
+    for seq, dets in sorted((f["seq"], f["dets"]) for f in found or []):
+        text, at, out = walk.rows[seq][2], 0, []
+        for d in dets:
+            value, category = d["original"], d["category"]
+            if d["action"] == "allow":
+                continue
+            if value not in tokens:
+                counts[category] = counts.get(category, 0) + 1
+                tokens[value] = f"{category}_{counts[category]}" + ("_BLOCKED" if d["action"] == "block" else "")
+            out += [text[at : d["start"]], _masked(d["mask_style"], value, tokens[value])]
+            at = d["end"]
+        path, inner = walk.paths[seq]
+        new = "".join(out) + text[at:]
+        if inner is None:
+            _put(body, path, new)
+        else:  # a string of JSON: parsed once, written back below
+            if path not in inside:
+                node = body
+                for key in path:
+                    node = node[key]
+                inside[path] = json.loads(node)
+            if inner:
+                _put(inside[path], inner, new)
+            else:
+                inside[path] = new
+    for path, value in inside.items():
+        _put(body, path, json.dumps(value, ensure_ascii=False))
+    whole = json.dumps(body, ensure_ascii=False)
+    return whole if _unicode(whole) is not None else json.dumps(body), {t: v for v, t in tokens.items()}
+
+
+def _mask_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with found to rows with masked and restoration_map, both null for a payload that can't be masked, whatever the reason: scrub() blocks it."""
 
-    def one(p: str | None, x: str | None, each) -> tuple[str | None, dict]:
-        body, walk = _walked(p, x)
-        if not isinstance(body, dict):
+    def one(*row) -> tuple[str | None, dict[str, str]]:
+        try:
+            return _mask(*row)
+        except Exception:  # noqa: BLE001 - whatever goes wrong, nothing passes
             return None, {}
-        tokens: dict[str, str] = {}
-        counts: dict[str, int] = {}
-        inside: dict[tuple, object] = {}
-        for seq, dets in sorted((int(f["seq"]), f["dets"]) for f in (each if each is not None else [])):
-            text, at, out = walk.rows[seq][2], 0, []
-            for d in dets:
-                value, category = d["original"], d["category"]
-                if d["action"] == "allow":
-                    continue
-                if value not in tokens:
-                    counts[category] = counts.get(category, 0) + 1
-                    tokens[value] = f"{category}_{counts[category]}" + ("_BLOCKED" if d["action"] == "block" else "")
-                out += [text[at : d["start"]], _masked(d["mask_style"], value, tokens[value])]
-                at = d["end"]
-            path, inner = walk.paths[seq]
-            new = "".join(out) + text[at:]
-            if inner is None:
-                _put(body, path, new)
-            else:  # a string of JSON: parsed once, written back below
-                if path not in inside:
-                    node = body
-                    for key in path:
-                        node = node[key]
-                    inside[path] = json.loads(node)
-                if inner:
-                    _put(inside[path], inner, new)
-                else:
-                    inside[path] = new
-        for path, value in inside.items():
-            _put(body, path, json.dumps(value, ensure_ascii=False))
-        whole = json.dumps(body, ensure_ascii=False)
-        return whole if _unicode(whole) is not None else json.dumps(body), {t: v for v, t in tokens.items()}
 
-    return pd.DataFrame([one(p, x, f) for p, x, f in zip(provider, payload, found)], columns=["payload", "restoration_map"])
+    for batch in batches:
+        done = [one(*row) for row in zip(*(batch.column(n).to_pylist() for n in ("provider", "payload", "found")))]
+        columns = {n: batch.column(n) for n in _ANSWERS} | {"masked": pa.array([m for m, _ in done], pa.string()), "restoration_map": pa.array([list(r.items()) for _, r in done], pa.map_(pa.string(), pa.string()))}
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def request_fields(requests: DataFrame) -> DataFrame:
@@ -345,23 +357,40 @@ def request_fields(requests: DataFrame) -> DataFrame:
 
 
 def scrub(requests: DataFrame, *, unknown_action: str = "block", unscannable_action: str = "block", **options) -> DataFrame:
-    """requests: request_id, provider, payload. Per request: block, gaps (distinct reasons in order), n_detections, tripwire (the rules on the
+    """requests: request_id, provider, payload. A row per row of requests: block, gaps (distinct reasons in order), n_detections, tripwire (the rules on the
     masked payload found something that blocks), masked (the payload with findings replaced) and restoration_map. A scannable field
-    without an answer blocks, as do unknown and unscannable fields, if their action is block; listed oddities don't. options: for detect().
+    without an answer blocks, as do unknown and unscannable fields, if their action is block; listed oddities don't. A request blocks, too, if it has no masked
+    payload, or if any of these answers is missing. options: for detect().
+
+    Each row is a request of its own, from its fields to its masked payload, whatever its id: null and repeated ids meet nothing of other rows, and nothing is
+    shuffled.
     """
-    rows = request_fields(requests).withColumn("dets", F.when(F.col("is_scannable"), detect(F.col("text"), **options)))
-    failed = F.col("is_scannable") & F.col("dets").isNull()
-    blocks = failed | F.coalesce(F.exists("dets", lambda d: d["action"] == "block"), F.lit(False)) | (F.col("is_unknown") & ~F.col("is_listed") & F.lit(unknown_action == "block")) | (F.col("is_unscannable") & F.lit(unscannable_action == "block"))
-    gaps = F.array_sort(F.collect_list(F.when(F.col("gap_reason").isNotNull(), F.struct("seq", "gap_reason"))))
-    slim = F.transform("dets", lambda d: F.struct(*(d[n].alias(n) for n in ("start", "end", "original", "category", "action", "mask_style"))))
-    per = rows.withColumn("blocks", blocks).groupBy("request_id").agg(
-        F.bool_or("blocks").alias("block"), F.sum(F.when(F.col("dets").isNull(), 0).otherwise(F.size("dets"))).alias("n_detections"), F.array_distinct(F.transform(gaps, lambda g: g["gap_reason"])).alias("gaps"),
-        F.collect_list(F.when(F.size("dets") > 0, F.struct("seq", slim.alias("dets")))).alias("found"),
+
+    def scanned(f: Column) -> Column:
+        dets = F.when(f["is_scannable"], detect(f["text"], **options))
+        return F.struct(f["is_scannable"].alias("is_scannable"), f["is_unscannable"].alias("is_unscannable"), f["is_unknown"].alias("is_unknown"), f["is_listed"].alias("is_listed"), f["gap_reason"].alias("gap_reason"), dets.alias("dets"))
+
+    rows = requests.select("request_id", "provider", "payload", fields("provider", "payload").alias("fields"))
+    rows = rows.withColumn("scanned", F.transform("fields", scanned)).drop("fields")
+
+    def blocks(f: Column) -> Column:
+        failed = f["is_scannable"] & f["dets"].isNull()
+        own = F.exists(F.coalesce(f["dets"], F.array().cast(EMPTY)), lambda d: d["action"] == "block")
+        return F.coalesce(failed | own | (f["is_unknown"] & ~f["is_listed"] & F.lit(unknown_action == "block")) | (f["is_unscannable"] & F.lit(unscannable_action == "block")), F.lit(True))
+
+    names = ("start", "end", "original", "category", "action", "mask_style")
+    found = F.transform("scanned", lambda f, k: F.struct(k.alias("seq"), F.transform(f["dets"], lambda d: F.struct(*(d[n].alias(n) for n in names))).alias("dets")))
+    rows = rows.select(
+        "request_id", "provider", "payload", F.coalesce(F.exists("scanned", blocks), F.lit(True)).alias("own"),
+        F.coalesce(F.aggregate("scanned", F.lit(0).cast("long"), lambda n, f: n + F.coalesce(F.size(f["dets"]), F.lit(0))), F.lit(0).cast("long")).alias("n_detections"),
+        F.array_distinct(F.filter(F.transform("scanned", lambda f: f["gap_reason"]), lambda g: g.isNotNull())).alias("gaps"), F.filter(found, lambda f: F.size(f["dets"]) > 0).cast(_FOUND).alias("found"),
     )
-    both = requests.select("request_id", "provider", "payload").join(per, "request_id", "left").withColumn("m", masked_payload("provider", "payload", F.col("found").cast(_FOUND)))
-    alarm = F.coalesce(tripwire(F.col("m.payload"))["should_block"], F.lit(False))
-    out = both.select("request_id", "provider", F.coalesce("block", F.lit(False)).alias("own"), F.coalesce("n_detections", F.lit(0)).alias("n_detections"), F.coalesce("gaps", F.array().cast("array<string>")).alias("gaps"), alarm.alias("tripwire"), F.col("m.payload").alias("masked"), F.col("m.restoration_map").alias("restoration_map"))
-    return out.select("request_id", "provider", (F.col("own") | F.col("tripwire")).alias("block"), "n_detections", "gaps", "tripwire", "masked", "restoration_map")
+    kept = rows.select(*_ANSWERS).schema.add("masked", "string").add("restoration_map", T.MapType(T.StringType(), T.StringType()))
+    rows = rows.mapInArrow(_mask_rows, kept)
+    alarm = F.coalesce(tripwire(F.col("masked"))["should_block"], F.lit(True))
+    out = rows.select("request_id", "provider", "own", "n_detections", F.coalesce("gaps", F.array().cast("array<string>")).alias("gaps"), alarm.alias("alarm"), "masked", "restoration_map")
+    missing = F.col("masked").isNull()
+    return out.select("request_id", "provider", (F.col("own") | F.col("alarm") | missing).alias("block"), "n_detections", "gaps", (F.col("alarm") & ~missing).alias("tripwire"), "masked", "restoration_map")
 
 
 def tripwire(payload: Column, **options) -> Column:

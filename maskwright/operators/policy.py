@@ -193,11 +193,16 @@ def guard_pins(old: list[Pin], new: list[Pin], source: str, approved: bool = Fal
 
 
 class PolicyFile:
-    """A policy file (YAML, where its library is installed, or JSON) that is read again when it changes: once per micro-batch, say, as in foreachBatch. A bad file, or
-    one whose pin list changed without pin_list_approved, keeps the last good policy, and problem says why; a file that is gone means the safe defaults."""
+    """A policy file (YAML, where its library is installed, or JSON) that is read again when it changes: once per micro-batch, say, as in foreachBatch. A bad file
+    keeps the last good policy, and problem says why; a file that is gone means the safe defaults.
+
+    The pin list is guarded from the empty list on: one that differs from the last approved list counts only if the file says pin_list_approved. Without that
+    the pins in force stay, the rest of the file counts, and problem says so. Deleting the file doesn't make the next one's pins approved.
+    """
 
     def __init__(self, path: str) -> None:
         self.path, self.policy, self.problem, self.stamp = path, Policy(), None, None
+        self.approved = pins_digest([])
         self.reload()
 
     def _read(self) -> dict:
@@ -218,26 +223,31 @@ class PolicyFile:
         """True if the policy was replaced."""
         try:
             found = os.stat(self.path)
-        except OSError:
-            if self.stamp is None and self.problem:
+        except FileNotFoundError:
+            gone = "no policy file: safe defaults"
+            if self.stamp is None and self.problem == gone:
                 return False
-            self.policy, self.stamp, self.problem = Policy(), None, "no policy file: safe defaults"
+            self.policy, self.stamp, self.problem = Policy(), None, gone
             return True
+        except OSError as e:
+            self.problem = str(e)
+            return False
         stamp = (found.st_mtime_ns, found.st_size)
         if stamp == self.stamp:
             return False
-        first, self.stamp = self.stamp is None, stamp
+        self.stamp = stamp
         try:
             raw = self._read()
             policy = load_policy(raw)
         except (ValueError, OSError) as e:
             self.problem = str(e)
             return False
-        change = guard_pins(self.policy.pins, policy.pins, "file", first or raw.get("pin_list_approved") is True)
-        if not change.allowed:
-            self.problem = change.reason
-            return False
-        self.policy, self.problem = policy, None
+        digest, problem = pins_digest(policy.pins), None
+        if digest != self.approved and raw.get("pin_list_approved") is not True:
+            policy.pins, problem = list(self.policy.pins), "a changed pin list needs pin_list_approved: the pins in force stay"
+        else:
+            self.approved = digest
+        self.policy, self.problem = policy, problem
         return True
 
 

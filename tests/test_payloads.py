@@ -39,6 +39,31 @@ def test_actions_and_masked_body(spark):
     assert rows.select(P.rehydrate_json(F.lit(loose.masked), F.create_map(F.lit("EMAIL_1"), F.lit(MAIL)))).first()[0].count(MAIL) == 2
 
 
+def test_rows_without_an_id_of_their_own(spark):
+    """Null and repeated ids, with different numbers of fields: each row is masked by what it holds."""
+    say = lambda *t: json.dumps({"messages": [{"content": x} for x in t]})
+    rows = [(None, say(f"write to {MAIL}")), (None, say("nothing here")), (7, say("first")), (7, say("one", f"two {MAIL}", "card 4532015112830366")), (8, say(f"{MAIL}")), (8, say(f"x {MAIL}"))]
+    docs = spark.createDataFrame([(i, "claude", x) for i, x in rows], "request_id long, provider string, payload string").repartition(3)
+    got = sorted(([m["content"] for m in json.loads(r.masked)["messages"]], r.request_id, r.block, r.n_detections) for r in P.scrub(docs).collect())
+    assert got == [(["[EMAIL_1]"], 8, False, 1), (["first"], 7, False, 0), (["nothing here"], None, False, 0), (["one", "two [EMAIL_1]", "card [CARD_1_BLOCKED]"], 7, True, 2), (["write to [EMAIL_1]"], None, False, 1), (["x [EMAIL_1]"], 8, False, 1)]
+
+
+def test_what_cannot_be_masked_blocks(spark, monkeypatch):
+    """No masked payload, no pass, whatever the actions say."""
+    rows = frame(spark, [("claude", "no json"), ("other", '{"a":"b"}'), ("claude", '{"messages":[{"content":"plain"}]}')])
+    got = P.scrub(rows, unknown_action="warn_allow").orderBy("request_id").collect()
+    assert [r.block for r in got] == [True, False, False] and got[0].masked is None
+
+
+def test_detections_over_tables_of_their_own(spark):
+    """A column that belongs to one table leaves nothing behind for others of its name."""
+    a, b = (spark.createDataFrame([(f"to {MAIL}",)], "body string") for _ in range(2))
+    one = a.select(F.size(P.detect(a["body"])).alias("n"))
+    two = b.select(F.size(P.detect(F.col("body"))).alias("n"))
+    again = a.select(F.size(P.detect(F.col("body"))).alias("n"))
+    assert [x.first().n for x in (one, two, again)] == [1, 1, 1]
+
+
 def test_responses(spark):
     known = F.create_map(F.lit("EMAIL_1"), F.lit(MAIL), F.lit("EMAIL_12"), F.lit("b"))
     bodies = [("claude", '{"content":[{"type":"text","text":"[EMAIL_12] [EMAIL_1]"}]}'), ("claude", "no json [EMAIL_1]"), (None, '{"a":["[EMAIL_1]"]}'), ("openai", '{"choices":[{"message":{"content":[{"type":"text","text":"[EMAIL_1]"}]}}]}'), ("gemini", "[]"), ("claude", None)]

@@ -30,12 +30,22 @@ def test_policy_file_keeps_the_last_good_one(tmp_path):
         put(path, bad)
         assert not file.reload() and file.problem and file.policy.setting("fail_mode") == "open", bad
     pins = {"pin_list": [{"hash": "a", "category": "EMAIL", "action": "allow"}]}
-    put(path, pins)
-    assert not file.reload() and not file.policy.pins
+    # The rest of a file whose pins aren't approved counts.
+    put(path, pins | {"unscannable_action": "ocr"})
+    assert file.reload() and not file.policy.pins and "approved" in file.problem and file.policy.setting("unscannable_action") == "ocr"
     put(path, pins | {"pin_list_approved": True})
-    assert file.reload() and [p.hash for p in file.policy.pins] == ["a"]
+    assert file.reload() and [p.hash for p in file.policy.pins] == ["a"] and not file.problem
     path.unlink()
     assert file.reload() and not file.policy.pins and not file.reload()
+    # A file that comes back has the approval of the list that it had, and no other.
+    other = {"pin_list": [{"hash": "b", "category": "CARD", "action": "allow"}]}
+    put(path, other)
+    assert file.reload() and not file.policy.pins and "approved" in file.problem
+    put(path, pins | {"fail_mode": "open"})
+    assert file.reload() and [p.hash for p in file.policy.pins] == ["a"] and not file.problem
+    put(path, other)
+    first = Pol.PolicyFile(str(path))
+    assert not first.policy.pins and "approved" in first.problem
 
 
 def test_pins(tmp_path):
