@@ -178,17 +178,17 @@ def _plain_name(text: Column) -> str | None:
         return None
 
 
-def detect(text: Column, *, categories: Sequence[str] | None = None, allow: Sequence[str] = (), min_confidence: float | None = None, with_proximity: bool = True, checks: dict | None = None) -> Column:
-    """The detections of a text, in order, without overlaps. A null or empty text has none."""
+def detect(text: Column, *, categories: Sequence[str] | None = None, allow: Sequence[str] = (), min_confidence: float | None = None, with_proximity: bool = True, context: dict | None = None, checks: dict | None = None) -> Column:
+    """The detections of a text, in order, without overlaps. A null or empty text has none. context: window and word lists of the context rules, for proximity()."""
     # Building it takes thousands of calls into the JVM.
-    name, context = None if checks else _plain_name(text), SparkContext._active_spark_context
-    built = _BUILT.setdefault(context, OrderedDict()) if name is not None and context is not None else None
-    key = (name, tuple(categories) if categories is not None else None, tuple(allow), min_confidence, with_proximity)
+    name, session = None if checks else _plain_name(text), SparkContext._active_spark_context
+    built = _BUILT.setdefault(session, OrderedDict()) if name is not None and session is not None else None
+    key = (name, tuple(categories) if categories is not None else None, tuple(allow), min_confidence, with_proximity, repr(sorted((context or {}).items())))
     if built is not None and key in built:
         return built[key]
     text = F.coalesce(text, F.lit(""))
     found = resolve(candidates(text, active_rules(categories, min_confidence), allow, checks))
-    out = merge_proximity(found, proximity(text)) if with_proximity else found
+    out = merge_proximity(found, proximity(text, **(context or {}))) if with_proximity else found
     if built is not None:
         built[key] = out
         while len(built) > BUILT_MOST:

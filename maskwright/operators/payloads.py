@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .detect import EMPTY, detect
+from .policy import Policy, apply_policy, channel_action, scan_options
 
 _FLAGS = ("is_scannable", "is_unscannable", "is_unknown", "is_listed")
 _NAMES = ("location", "scan_field", "text", *_FLAGS, "gap_reason")
@@ -356,18 +357,24 @@ def request_fields(requests: DataFrame) -> DataFrame:
     return found.select("request_id", "provider", F.posexplode("fields").alias("seq", "f")).select("request_id", "provider", "seq", "f.*")
 
 
-def scrub(requests: DataFrame, *, unknown_action: str = "block", unscannable_action: str = "block", **options) -> DataFrame:
+def scrub(requests: DataFrame, *, unknown_action: str = "block", unscannable_action: str = "block", policy: Policy | None = None, channel: str | None = None, key: bytes | None = None, **options) -> DataFrame:
     """requests: request_id, provider, payload. A row per row of requests: block, gaps (distinct reasons in order), n_detections, tripwire (the rules on the
     masked payload found something that blocks), masked (the payload with findings replaced) and restoration_map. A scannable field
     without an answer blocks, as do unknown and unscannable fields, if their action is block; listed oddities don't. A request blocks, too, if it has no masked
-    payload, or if any of these answers is missing. options: for detect().
+    payload, or if any of these answers is missing. options: for detect(). A policy decides instead, for the channel: both actions, the allow list, the context rules, and what is
+    done with each finding; key: of its pins.
 
     Each row is a request of its own, from its fields to its masked payload, whatever its id: null and repeated ids meet nothing of other rows, and nothing is
     shuffled.
     """
 
+    if policy is not None:
+        unknown_action, unscannable_action = (channel_action(policy, kind, channel) for kind in ("unknown_field_action", "unscannable_action"))
+        options = scan_options(policy) | options
+
     def scanned(f: Column) -> Column:
-        dets = F.when(f["is_scannable"], detect(f["text"], **options))
+        dets = detect(f["text"], **options)
+        dets = F.when(f["is_scannable"], dets if policy is None else apply_policy(dets, policy, key))
         return F.struct(f["is_scannable"].alias("is_scannable"), f["is_unscannable"].alias("is_unscannable"), f["is_unknown"].alias("is_unknown"), f["is_listed"].alias("is_listed"), f["gap_reason"].alias("gap_reason"), dets.alias("dets"))
 
     rows = requests.select("request_id", "provider", "payload", fields("provider", "payload").alias("fields"))

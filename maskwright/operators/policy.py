@@ -115,6 +115,18 @@ def failure(kind: str, policy: Policy, channel: Column, category: Column | None
     return fallback if out is None else out.otherwise(fallback)
 
 
+def scan_options(policy: Policy) -> dict:
+    """What a policy says to detect(): its allow list, and its context rules. The names that a policy file has for them ("window" is an older one)."""
+    p = policy.proximity
+    names = {"window": "window", "window_chars": "window", "account_triggers": "account", "biz_triggers": "business", "password_keywords": "passwords"}
+    return {"allow": tuple(policy.allow), "with_proximity": p.get("enabled", True) is not False, "context": {to: p[name] for name, to in names.items() if p.get(name)}}
+
+
+def channel_action(policy: Policy, kind: str, channel: str | None) -> str:
+    """A setting's action for a channel, as failure() decides it, on the driver."""
+    return policy.channels.get(channel or "", {}).get(kind) or policy.setting(kind)
+
+
 def pin_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Pins added and removed, by hash: two anti joins."""
     return new.join(old, "hash", "left_anti").withColumn("change", F.lit("added")).unionByName(old.join(new, "hash", "left_anti").withColumn("change", F.lit("removed")))
@@ -155,9 +167,18 @@ def load_policy(raw: dict) -> Policy:
     for name, own in channels.items():
         check(own or {}, f"channel {name}: ")
     proximity = raw.get("proximity") or {}
-    window = proximity.get("window", 25)
-    if not isinstance(window, int) or not 1 <= window <= 200:
-        raise ValueError("proximity: window is from 1 to 200")
+    if not isinstance(proximity, dict):
+        raise ValueError("proximity is an object")
+    for name in ("window", "window_chars"):
+        window = proximity.get(name, 25)
+        if not isinstance(window, int) or isinstance(window, bool) or not 1 <= window <= 200:
+            raise ValueError("proximity: window is from 1 to 200")
+    for name in ("account_triggers", "biz_triggers", "password_keywords"):
+        words = proximity.get(name, [])
+        if not isinstance(words, list) or not all(isinstance(w, str) for w in words):
+            raise ValueError(f"proximity: {name} is a list of strings")
+    if not isinstance(proximity.get("enabled", True), bool):
+        raise ValueError("proximity: enabled is true or false")
     memory = (raw.get("stage2") or {}).get("memory_mb", 512)
     if not isinstance(memory, int) or memory < 128:
         raise ValueError("stage2: memory_mb is at least 128")

@@ -24,6 +24,20 @@ def entries(found: DataFrame, key: bytes, *, channel: str | None = None, scan_fi
     )
 
 
+def failure_entries(failures: DataFrame, *, channel: str | None = None) -> DataFrame:
+    """failures: ts, stage, reason. Entries of type fail: what failed and why, never a text."""
+    return failures.select(
+        F.lit("fail").alias("event_type"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.lit(1).alias("count"), F.col("stage").alias("detection_stage"), F.col("reason").alias("fail_reason"), F.lit(channel).cast("string").alias("channel"),
+    )
+
+
+def gap_entries(gaps: DataFrame, *, channel: str | None = None) -> DataFrame:
+    """gaps: ts, scan_field, reason, action. Entries of type coverage_gap: a field that wasn't scanned, and what was done."""
+    return gaps.select(
+        F.lit("coverage_gap").alias("event_type"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.lit(1).alias("count"), "action", "reason", "scan_field", F.lit(channel).cast("string").alias("channel"),
+    )
+
+
 def append(rows: DataFrame, folder: str) -> None:
     """By day, so retention drops whole folders."""
     rows.withColumn("day", F.substring("timestamp", 1, 10)).write.mode("append").partitionBy("day").json(folder)
