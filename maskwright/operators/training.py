@@ -34,9 +34,9 @@ def without_leaks(train: DataFrame, held_out: DataFrame, text_col: str = "text")
     return train.withColumn("print", fingerprint(F.col(text_col))).join(known, "print", "left_anti").drop("print")
 
 
-def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, k, start, end, value): tokenize_offsets() as rows, for long texts. Offsets are running sums over a document's tokens."""
-    p = _TOKEN.pattern
+def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pattern: str | None = None) -> DataFrame:
+    """(id, k, start, end, value): tokenize_offsets(), or all matches of a pattern, as rows, for long texts. Offsets are running sums over a document's tokens."""
+    p = pattern or _TOKEN.pattern
     own = docs.select(F.col(id_col), F.regexp_extract_all(text_col, F.lit(p), F.lit(0)).alias("words"), F.split(text_col, p, -1).alias("gaps"))
     each = own.where(F.size("words") > 0).select(id_col, F.posexplode(F.arrays_zip(F.slice("gaps", F.lit(1), F.size("words")).alias("gap"), F.col("words").alias("word"))).alias("k", "x"))
     w = Window.partitionBy(id_col).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)

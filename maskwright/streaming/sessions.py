@@ -108,6 +108,7 @@ def session_stream(sightings: DataFrame, *, key: bytes | None = None, time_to_li
     spark = sightings.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != _PROVIDER:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    _ = spark.streams.active  # starts what state stores report to, which a table alone doesn't
     rows = sightings.select(*(c.split()[0] for c in SIGHTINGS.split(", ")))
     mode = "ProcessingTime" if time_to_live_ms is not None else "None"
     return rows.groupBy("session").transformWithStateInPandas(SessionTokens(key, time_to_live_ms), TOKENS, "Append", mode)
