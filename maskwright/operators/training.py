@@ -114,16 +114,19 @@ _PEOPLE, _PLACES, _FIRMS = ["김민수", "이서연", "박지훈", "최수빈"],
 def augmented(spark: SparkSession, positives: int, negatives: int, seed: int = 42) -> DataFrame:
     """(doc_id, text, spans): made-up sentences with a person, a place and a firm, or with none; a seed gives the same rows each time."""
     pick = lambda items, k: F.element_at(F.array(*(F.lit(x) for x in items)), (F.pmod(F.xxhash64(F.lit(seed + k), "id"), F.lit(len(items))) + 1).cast("int"))
-    rows = spark.range(positives + negatives).select("id", pick(_PEOPLE, 1).alias("p"), pick(_PLACES, 2).alias("a"), pick(_FIRMS, 3).alias("f"))
-    text = F.concat(F.lit("담당자 "), "p", F.lit(" 님은 "), "f", F.lit(" 소속이며 주소는 "), "a", F.lit(" 입니다."))
+    return sentences(spark.range(positives + negatives).select("id", (F.col("id") < positives).alias("positive"), pick(_PEOPLE, 1).alias("person"), pick(_PLACES, 2).alias("place"), pick(_FIRMS, 3).alias("firm")))
+
+
+def sentences(rows: DataFrame) -> DataFrame:
+    """rows: id, positive, person, place, firm, from any table of names. (doc_id, text, spans): a sentence with the three, whose spans are known, or one with none."""
+    text = F.concat(F.lit("담당자 "), "person", F.lit(" 님은 "), "firm", F.lit(" 소속이며 주소는 "), "place", F.lit(" 입니다."))
     at = F.lit(4)
-    firm = at + F.length("p") + 4
-    place = firm + F.length("f") + 10
+    firm = at + F.length("person") + 4
+    place = firm + F.length("firm") + 10
     span = lambda start, value, label: F.struct(start.alias("start"), (start + F.length(value)).alias("end"), F.lit(label).alias("label"))
-    spans = F.array(span(at, F.col("p"), "PERSON"), span(firm, F.col("f"), "ORGANIZATION"), span(place, F.col("a"), "ADDRESS"))
+    spans = F.array(span(at, F.col("person"), "PERSON"), span(firm, F.col("firm"), "ORGANIZATION"), span(place, F.col("place"), "ADDRESS"))
     plain = F.concat(F.lit("회의 자료 "), F.col("id").cast("string"), F.lit("번을 검토해 주세요."))
-    is_pos = F.col("id") < positives
-    return rows.select(F.col("id").alias("doc_id"), F.when(is_pos, text).otherwise(plain).alias("text"), F.when(is_pos, spans).otherwise(F.array().cast("array<struct<start:int,end:int,label:string>>")).alias("spans"))
+    return rows.select(F.col("id").alias("doc_id"), F.when(F.col("positive"), text).otherwise(plain).alias("text"), F.when(F.col("positive"), spans).otherwise(F.array().cast("array<struct<start:int,end:int,label:string>>")).alias("spans"))
 
 
 def verified(text: Column, spans: Column) -> Column:

@@ -44,28 +44,50 @@ def _step(held: str, rows: pd.DataFrame, known: dict[str, str]) -> tuple[str, bo
     return held, ended, out
 
 
-def restored_stream(chunks: DataFrame, known: dict[str, str], *, idle_ms: int = 600_000) -> DataFrame:
-    """chunks: stream_id, seq, chunk, last. Emits (stream_id, seq, text): per chunk what is safe, with placeholders restored;
-    the last chunk of a stream flushes what is held, and its state goes. A stream without a last chunk flushes, as one more row with the next seq, when it is
-    idle for idle_ms. Works on streams and, with the same code, on each micro-batch."""
+def _in_turn(waiting: list[list], next_seq: int) -> tuple[list[list], list[list], int]:
+    """waiting: [seq, chunk, last], in any order. (those whose turn it is, those that wait for one before them, the seq that is next). A seq that was there already is dropped: a
+    chunk that comes twice counts once."""
+    ready, rest = [], []
+    for row in sorted(waiting, key=lambda r: r[0]):
+        if row[0] == next_seq:
+            ready.append(row)
+            next_seq += 1
+        elif row[0] > next_seq:
+            rest.append(row)
+    return ready, [r for k, r in enumerate(rest) if not k or r[0] != rest[k - 1][0]], next_seq
+
+
+def _as_rows(frames: Iterator[pd.DataFrame]) -> list[list]:
+    """Chunks as text, whether they come as text or bytes, so that state can hold them."""
+    text = lambda c: "" if c is None else c if isinstance(c, str) else bytes(c).decode("latin-1")
+    return [[int(seq), text(chunk), bool(last)] for f in frames for seq, chunk, last in f[["seq", "chunk", "last"]].itertuples(index=False)]
+
+
+def restored_stream(chunks: DataFrame, known: dict[str, str], *, idle_ms: int = 600_000, first_seq: int = 0) -> DataFrame:
+    """chunks: stream_id, seq, chunk, last. Emits (stream_id, seq, text): per chunk what is safe, with placeholders restored; the last chunk of a stream flushes what is held, and
+    its state goes. Chunks are numbered from first_seq on; one that comes before its predecessor waits for it, over micro-batches, and one that comes again is
+    dropped. A stream that is idle for idle_ms is given up: what waits comes out in order, and what is held with it, in one more row if nothing waits."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, next_seq = state.get if state.exists else ("", 0)
-        if state.hasTimedOut:
-            state.remove()
-            out = [(key[0], next_seq, restore(held, known))] if held else []
+        held, next_seq, waiting = state.get if state.exists else ("", first_seq, "[]")
+        rows, gone = json.loads(waiting), state.hasTimedOut
+        if gone:
+            ready, rest = sorted(rows), []
         else:
-            rows = pd.concat(list(frames))
-            held, ended, out = _step(held, rows, known)
-            if ended:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((held, int(rows["seq"].max()) + 1))
-                state.setTimeoutDuration(idle_ms)
+            ready, rest, next_seq = _in_turn(rows + _as_rows(frames), next_seq)
+        frame = pd.DataFrame([[key[0], *r] for r in ready], columns=["stream_id", "seq", "chunk", "last"])
+        held, ended, out = _step(held, frame, known)
+        if gone and held:
+            out.append((key[0], ready[-1][0] + 1 if ready else next_seq, restore(held, known)))
+        if gone or ended:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((held, next_seq, json.dumps(rest)))
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, text string", "held string, next_seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, text string", "held string, next_seq long, waiting string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def restored_batch(chunks: DataFrame, known: dict[str, str]) -> DataFrame:
@@ -180,33 +202,36 @@ class EventRehydrator:
         return out
 
 
-def rehydrated_events(chunks: DataFrame, known: dict[str, str], *, idle_ms: int = 600_000) -> DataFrame:
-    """chunks: stream_id, provider, seq, chunk (binary), last. Emits (stream_id, seq, out): the bytes to forward, as text. The state of a stream goes
-    with its last chunk, or when it is idle for idle_ms; then what is left comes out."""
+def rehydrated_events(chunks: DataFrame, known: dict[str, str], *, idle_ms: int = 600_000, first_seq: int = 0) -> DataFrame:
+    """chunks: stream_id, provider, seq, chunk (binary), last. Emits (stream_id, seq, out): the bytes to forward, as text. Order, repeats and idle streams are as in
+    restored_stream(); the state of a stream goes with its last chunk."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rest, held, provider, next_seq = state.get if state.exists else (b"", "", None, 0)
-        out, ended = [], False
-        if state.hasTimedOut:
-            state.remove()
-            out, ended = [(key[0], next_seq, EventRehydrator(known, provider, (bytes(rest), held)).flush())], True
+        rest_bytes, held, provider, next_seq, waiting = state.get if state.exists else (b"", "", None, first_seq, "[]")
+        rows, gone = json.loads(waiting), state.hasTimedOut
+        if gone:
+            ready, rest = sorted(rows), []
         else:
-            rows = pd.concat(list(frames)).sort_values("seq")
-            provider = rows["provider"].iloc[0]
-            one = EventRehydrator(known, provider, (bytes(rest), held))
-            for seq, chunk, last in rows[["seq", "chunk", "last"]].itertuples(index=False):
-                text = one.feed(bytes(chunk or b""))
-                if last:
-                    text, ended = text + one.flush(), True
-                out.append((key[0], int(seq), text))
-            if not ended:
-                state.update((*one.state, provider, int(rows["seq"].max()) + 1))
-                state.setTimeoutDuration(idle_ms)
-            elif state.exists:
+            frames = list(frames)
+            provider = provider or next((p for f in frames for p in f["provider"] if p is not None), None)
+            ready, rest, next_seq = _in_turn(rows + _as_rows(frames), next_seq)
+        one, out, ended = EventRehydrator(known, provider, (bytes(rest_bytes), held)), [], gone
+        for seq, chunk, last in ready:
+            text = one.feed(chunk.encode("latin-1"))
+            if last:
+                text, ended = text + one.flush(), True
+            out.append((key[0], seq, text))
+        if gone:
+            out.append((key[0], ready[-1][0] + 1 if ready else next_seq, one.flush()))
+        if ended:
+            if state.exists:
                 state.remove()
+        else:
+            state.update((*one.state, provider, next_seq, json.dumps(rest)))
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["stream_id", "seq", "out"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, out string", "rest binary, held string, provider string, next_seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, out string", "rest binary, held string, provider string, next_seq long, waiting string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def rehydrated_events_batch(chunks: DataFrame, known: dict[str, str]) -> DataFrame:

@@ -104,6 +104,44 @@ def test_limit_of_the_buffer():
         S.cut("x", 127)
 
 
+def test_chunks_wait_for_their_turn():
+    """Chunks in any order, one batch each, some twice: what comes out is in order, and each once."""
+    import itertools
+
+    rows = [[k, f"c{k}", k == 3] for k in range(4)]
+    for order in itertools.permutations([*rows, rows[1]]):
+        waiting, at, out = [], 0, []
+        for row in order:
+            ready, waiting, at = S._in_turn([*waiting, row], at)
+            out += ready
+        assert out == rows and waiting == [] and at == 4
+
+
+@pytest.mark.parametrize("kind", ["text", "events"])
+def test_late_chunks_wait_over_micro_batches(spark, tmp_path, kind):
+    pieces = ["a [EMA", "IL_1] b", " c [EM", "AIL_1] end"]
+    schema = "stream_id string, provider string, seq long, chunk string, last boolean"
+    for n, k in enumerate([0, 2, 3, 1]):
+        body = pieces[k] if kind == "text" else S.event_text(None, {"choices": [{"delta": {"content": pieces[k]}}]})
+        spark.createDataFrame([("s", "openai", k, body, k == 3)], schema).coalesce(1).write.json(f"{tmp_path}/in{n}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in*")
+    out = S.restored_stream(source.drop("provider"), {"EMAIL_1": MAIL}) if kind == "text" else S.rehydrated_events(source.withColumn("chunk", F.encode("chunk", "UTF-8")), {"EMAIL_1": MAIL})
+    name = f"late_{kind}"
+    query = out.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/check").outputMode("append").start()
+    for _ in range(300):
+        if spark.table(name).count() == 4:
+            break
+        time.sleep(0.2)
+    query.stop()
+    rows = [tuple(r) for r in spark.table(name).collect()]
+    assert [r[1] for r in rows] == [0, 1, 2, 3]
+    text = "".join(r[2] for r in rows)
+    if kind == "events":
+        text = "".join(json.loads(d)["choices"][0]["delta"]["content"] for _, d in map(S.event_fields, S.EventParser().feed(text.encode())))
+    assert text == f"a {MAIL} b c {MAIL} end"
+
+
 @pytest.mark.parametrize("kind", ["text", "events"])
 def test_stateful_streams(spark, tmp_path, kind):
     """The same chunks in three micro-batches; a stream that has ended keeps no state."""
