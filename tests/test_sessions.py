@@ -1,5 +1,6 @@
 """Several micro-batches number as one table does; resets, times to live, and what state holds."""
 
+import os
 import random
 import time
 
@@ -37,19 +38,30 @@ def sightings(n=240):
     return out
 
 
-def run(spark, tmp_path, batches, name, **options):
-    for k, rows in enumerate(batches):
-        spark.createDataFrame(rows, S.SIGHTINGS).coalesce(1).write.mode("append").json(f"{tmp_path}/in/{k:03d}")
+def until(query, done, seconds=60):
+    """A query with a clock never has nothing more to do: it is stopped when it is done."""
+    try:
+        end = time.time() + seconds
+        while time.time() < end and query.isActive and not done():
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert query.exception() is None and done()
+
+
+def run(spark, tmp_path, batches, name, rows, **options):
+    """rows: how many come out."""
+    for k, some in enumerate(batches):
+        spark.createDataFrame(some, S.SIGHTINGS).coalesce(1).write.mode("append").json(f"{tmp_path}/in/{k:03d}")
     source = spark.readStream.schema(S.SIGHTINGS).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(f"{tmp_path}/in/*")
-    query = S.session_stream(source, **options).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/check").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(240)
-    assert query.exception() is None and len([p for p in query.recentProgress if p["numInputRows"]]) == len(batches)
+    query = S.session_stream(source, **options).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/check").outputMode("append").start()
+    until(query, lambda: spark.table(name).count() >= rows)
     return sorted((tuple(r) for r in spark.table(name).collect()), key=str)
 
 
 def test_micro_batches_number_as_one_table(spark, tmp_path):
     rows = sightings()
-    got = run(spark, tmp_path, [rows[a : a + 60] for a in range(0, 240, 60)], "sessions_four", key=KEY)
+    got = run(spark, tmp_path, [rows[a : a + 60] for a in range(0, 240, 60)], "sessions_four", len(one_by_one(rows)), key=KEY)
     assert got == one_by_one(rows)
     whole = S.session_stream(spark.createDataFrame(rows, S.SIGHTINGS).repartition(3)).collect()
     assert sorted((tuple(r) for r in whole), key=str) == got
@@ -62,25 +74,19 @@ def test_micro_batches_number_as_one_table(spark, tmp_path):
 
 def test_reset_starts_at_one(spark, tmp_path):
     rows = [[("s", 1, "x", "EMAIL", False, False), ("t", 1, "x", "EMAIL", True, False)], [("s", 2, None, None, None, True)], [("s", 3, "y", "EMAIL", False, False), ("s", 4, "x", "EMAIL", False, False), ("t", 4, "z", "EMAIL", False, False)]]
-    got = run(spark, tmp_path, rows, "sessions_reset")
+    got = run(spark, tmp_path, rows, "sessions_reset", 5)
     assert [(r[0], r[2], r[4]) for r in got] == [("s", "x", "EMAIL_1"), ("s", "y", "EMAIL_1"), ("s", "x", "EMAIL_2"), ("t", "x", "EMAIL_1_BLOCKED"), ("t", "z", "EMAIL_2")]
 
 
 def test_time_to_live(spark, tmp_path):
     """What wasn't used for that long is forgotten; another run of the same query goes on from its checkpoint."""
-    schema = S.SIGHTINGS
-    feed = lambda k, rows: spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in/{k}")
-    tokens = []
-    for k, wait in enumerate([0, 0, 1]):
-        time.sleep(wait)
-        feed(k, [("s", k, f"v{k}", "EMAIL", False, False)])
-        source = spark.readStream.schema(schema).json(f"{tmp_path}/in/*")
-        out = S.session_stream(source, time_to_live_ms=3_600_000)
-        query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
-        query.awaitTermination(120)
-        tokens = sorted(r.token for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert tokens == ["EMAIL_1", "EMAIL_2", "EMAIL_3"]
-    short = run(spark, tmp_path / "short", [[("s", 1, "x", "EMAIL", False, False)], [("s", 2, "y", "EMAIL", False, False)]], "sessions_short", time_to_live_ms=1)
+    for k in range(2):
+        spark.createDataFrame([("s", k, f"v{k}", "EMAIL", False, False)], S.SIGHTINGS).coalesce(1).write.json(f"{tmp_path}/in/{k}")
+        source = spark.readStream.schema(S.SIGHTINGS).json(f"{tmp_path}/in/*")
+        out = S.session_stream(source, time_to_live_ms=3_600_000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").start()
+        until(out, lambda k=k: os.path.exists(f"{tmp_path}/out/_spark_metadata/{k}") and spark.read.schema(S.TOKENS).parquet(f"{tmp_path}/out").count() == k + 1)
+    assert sorted(r.token for r in spark.read.schema(S.TOKENS).parquet(f"{tmp_path}/out").collect()) == ["EMAIL_1", "EMAIL_2"]
+    short = run(spark, tmp_path / "short", [[("s", 1, "x", "EMAIL", False, False)], [("s", 2, "y", "EMAIL", False, False)]], "sessions_short", 2, time_to_live_ms=1)
     assert [r[4] for r in short] == ["EMAIL_1", "EMAIL_1"]
 
 
