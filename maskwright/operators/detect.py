@@ -244,11 +244,15 @@ def scan(text: Column, entities: Column | None = None, labels: dict[str, str] |
 def summary(dets: Column) -> Column:
     """struct(total, by_category, by_action, has_blocks, has_masks)."""
 
-    def counts(name: str) -> Column:
-        values = F.array_sort(F.array_distinct(F.transform(dets, lambda d: d[name])))
-        return F.map_from_entries(F.transform(values, lambda v: F.struct(v.alias("key"), F.size(F.filter(dets, lambda d: d[name] == v)).alias("value"))))
+    def of(d: Column) -> Column:
+        def counts(name: str) -> Column:
+            values = F.array_sort(F.array_distinct(F.transform(d, lambda x: x[name])))
+            return F.map_from_entries(F.transform(values, lambda v: F.struct(v.alias("key"), F.size(F.filter(d, lambda x: x[name] == v)).alias("value"))))
 
-    return F.struct(
-        F.size(dets).alias("total"), counts("category").alias("by_category"), counts("action").alias("by_action"),
-        F.exists(dets, lambda d: d["action"] == "block").alias("has_blocks"), F.exists(dets, lambda d: d["action"].isin("mask", "tokenize_roundtrip")).alias("has_masks"),
-    )
+        return F.struct(
+            F.size(d).alias("total"), counts("category").alias("by_category"), counts("action").alias("by_action"),
+            F.exists(d, lambda x: x["action"] == "block").alias("has_blocks"), F.exists(d, lambda x: x["action"].isin("mask", "tokenize_roundtrip")).alias("has_masks"),
+        )
+
+    # A lambda's argument, so what finds the detections is in the plan once, and runs once a text.
+    return F.get(F.transform(F.array(dets), of), F.lit(0))
