@@ -31,15 +31,14 @@ def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def matches_sql(rule: Rule, text: str = "t") -> str:
-    """matches(), as SQL over a name: one call into the JVM builds the expressions of many rules."""
+def matches_sql(rule: Rule, text: str = "t") -> tuple[str, str]:
+    """matches(), as SQL over a name, apart: whether there are any, and they. One call into the JVM builds the expressions of many rules."""
     p = literal(rule.pattern)
     whole, prefix, value = (f"regexp_extract_all({text}, {p}, {k})" for k in range(3))
     gate = f"{text} RLIKE {p}"
     if rule.hint:
         gate = f"contains({f'lower({text})' if rule.ignore_case else text}, {literal(rule.hint)}) AND {gate}"
-    zipped = f"arrays_zip(slice(split({text}, {p}, -1), 1, size({whole})), {whole}, {prefix}, {value})"
-    return f"CASE WHEN {gate} THEN CAST({zipped} AS {MATCH}) ELSE CAST(array() AS {MATCH}) END"
+    return gate, f"CAST(arrays_zip(slice(split({text}, {p}, -1), 1, size({whole})), {whole}, {prefix}, {value}) AS {MATCH})"
 
 
 def offsets(rows: Column) -> Column:

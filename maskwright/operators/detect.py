@@ -54,11 +54,12 @@ def candidates(text: Column, rules: Sequence[Rule], allow: Sequence[str] = (), c
     numbered = list(enumerate(rules))
     parts = []
     for need, group in groupby(numbered, key=lambda x: NEED.get(x[1].rule_id)):
-        some = "array(" + ", ".join(f"named_struct('rule', {k}, 'rows', {matches_sql(r)})" for k, r in group) + ")"
+        # Most rules find nothing in a text, and then make nothing.
+        tried = [f"CASE WHEN {gate} THEN array(named_struct('rule', {k}, 'rows', {rows})) ELSE CAST(array() AS {_FOUND}) END" for k, (gate, rows) in ((k, matches_sql(r)) for k, r in group)]
+        some = f"concat({', '.join(tried)})"
         parts.append(f"CASE WHEN t RLIKE {literal(NEEDS[need][0])} THEN {some} ELSE CAST(array() AS {_FOUND}) END" if need else some)
     every = F.get(F.call_function("transform", F.array(text), F.expr(f"t -> concat({', '.join(parts)})")), F.lit(0))
-    held = F.filter(every, lambda x: F.size(x["rows"]) > 0)
-    found = F.flatten(F.transform(held, lambda x: F.transform(offsets(x["rows"]), lambda s: F.struct(x["rule"].alias("rule"), s.alias("s")))))
+    found = F.flatten(F.transform(every, lambda x: F.transform(offsets(x["rows"]), lambda s: F.struct(x["rule"].alias("rule"), s.alias("s")))))
 
     def good(x: Column) -> Column:
         value = x["s"]["value"]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.operators import detect as D
-from maskwright.plans import catalog
+from maskwright.plans import catalog, more  # noqa: F401
 
 #: A pattern is in the plan six times for each scan: a test, three groups (one also for its size), and a split.
 SCAN = 6
@@ -27,8 +27,8 @@ def test_a_summary_scans_once(spark):
     assert [tuple(r) for r in s.collect()] == [(3, 2, 1, True, True), (0, None, None, False, False), (0, None, None, False, False)]
 
 
-@pytest.mark.parametrize("name", ["scan_summary"])
+@pytest.mark.parametrize("name", ["scan_summary", "corpus_floors", "corpus_precision"])
 def test_one_file_is_the_work_of_all_cores(spark, name):
     rows = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert scans(rows) == 1
-    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert f"roundrobinpartitioning({3 * spark.sparkContext.defaultParallelism})" in rows._jdf.queryExecution().executedPlan().toString().lower()
