@@ -174,6 +174,6 @@ def corpus_floors(spark, sf_dir):
 @query(Co.expected_category_sql())
 def corpus_precision(spark, sf_dir):
     """Recall and precision by category over the same corpus, with their floors."""
-    return Co.by_category(Co.texts(keys(spark, sf_dir)))
+    return Co.by_category(Co.texts(C.spread(keys(spark, sf_dir))))
 
 
