@@ -40,8 +40,10 @@ def token_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(F.col(id_col), F.regexp_extract_all(text_col, F.lit(p), F.lit(0)).alias("words"), F.split(text_col, p, -1).alias("gaps"))
     each = own.where(F.size("words") > 0).select(id_col, F.posexplode(F.arrays_zip(F.slice("gaps", F.lit(1), F.size("words")).alias("gap"), F.col("words").alias("word"))).alias("k", "x"))
     w = Window.partitionBy(id_col).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.length("x.gap") + F.length("x.word")).over(w).cast("int")
-    return each.select(id_col, "k", (end - F.length("x.word")).alias("start"), end.alias("end"), F.col("x.word").alias("value"))
+    # Lengths come before the sort, so that words are in it only if they are asked for.
+    sized = each.select(id_col, "k", (F.length("x.gap") + F.length("x.word")).alias("__step"), F.length("x.word").alias("__size"), F.col("x.word").alias("value"))
+    end = F.sum("__step").over(w).cast("int")
+    return sized.select(id_col, "k", (end - F.col("__size")).alias("start"), end.alias("end"), "value")
 
 
 def split(rows: DataFrame, id_col: str, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:

@@ -54,7 +54,8 @@ e AS ({C.SQL["pii_email"].strip()})
 SELECT e.doc_id, e.start_at, CAST(min(p.k) - 1 AS INTEGER) AS first_word, CAST(max(p.k) - 1 AS INTEGER) AS last_word FROM e JOIN p ON p.doc_id = e.doc_id AND p.s < e.start_at + length(e.value) AND e.start_at < p.s + p.size GROUP BY ALL""")
 def email_words(spark, sf_dir):
     """The words of each document that each of its mail addresses touches, by their numbers: a join of two tables of spans."""
-    docs = read(spark, sf_dir, "documents").where("text is not null")
+    # Words of documents without an address meet nothing: they are left out before they are made.
+    docs = read(spark, sf_dir, "documents").where(F.col("text").contains("@") & F.col("text").rlike(C.RULE["email_rfc5322"].pattern))
     mails = docs.select("doc_id", F.explode(spans(F.col("text"), C.RULE["email_rfc5322"])).alias("s")).select("doc_id", "s.start", "s.end")
     pairs = I.overlap_join(mails, Tr.token_rows(docs, pattern=_WORD).select("doc_id", "k", "start", "end"), ["doc_id"])
     return pairs.groupBy(F.col("l.doc_id").alias("doc_id"), F.col("l.start").alias("start_at")).agg(F.min("r.k").alias("first_word"), F.max("r.k").alias("last_word"))
