@@ -1,7 +1,7 @@
 """Sessions that last: a value's placeholder is the same in every micro-batch, and numbers go on where the last batch ended.
 
-State by session: a map from a value (as its HMAC, if a key is given: state then holds no raw value of values that are only encoded) to its token, and a map from a category to its
-last number. Both live for time_to_live after they were last used or, without one, until the session is reset.
+State by session: a map from a value (as its HMAC, if a key is given: state then holds no raw value of values that are only encoded) to its token, as a list where nothing has a time to
+live, and a map from a category to its last number. Both live for time_to_live after they were last used or, without one, until the session is reset.
 """
 
 from __future__ import annotations
@@ -63,6 +63,27 @@ class _Held:
                 self.state.updateValue((name,), (value,))
 
 
+class _Listed:
+    """A map kept as a list state: read whole by one call, and what is new is added by one, where a map state takes two calls for each name."""
+
+    def __init__(self, state) -> None:
+        self.state, self.cache, self.new = state, dict(state.get()), {}
+
+    def get(self, name: str):
+        return self.cache.get(name)
+
+    def put(self, name: str, value) -> None:
+        self.cache[name] = self.new[name] = value
+
+    def clear(self) -> None:
+        self.state.clear()
+        self.cache, self.new = {}, {}
+
+    def flush(self, used: bool) -> None:
+        if self.new:
+            self.state.appendList(list(self.new.items()))
+
+
 def _rows(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """A session's rows of a batch, in order; a reset comes before sightings of the same order."""
     rows = pd.concat(list(frames))
@@ -75,14 +96,15 @@ class SessionTokens(StatefulProcessor):
         self.key, self.ttl = key, time_to_live_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tokens = handle.getMapState("tokens", "name string", "token string", self.ttl)
+        # A time to live is each name's own, which a list can't renew.
+        self.tokens = handle.getListState("tokens", "name string, token string") if self.ttl is None else handle.getMapState("tokens", "name string", "token string", self.ttl)
         self.counts = handle.getMapState("counts", "category string", "n long", self.ttl)
 
     def _name(self, value: str) -> str:
         return hmac.new(self.key, value.encode(), hashlib.sha256).hexdigest() if self.key else value
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        tokens, counts = _Held(self.tokens), _Held(self.counts)
+        tokens, counts = (_Listed if self.ttl is None else _Held)(self.tokens), _Held(self.counts)
         rule, out = _Numbering(tokens, counts), []
         for r in _rows(rows).itertuples(index=False):
             if r.reset:

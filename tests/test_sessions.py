@@ -94,3 +94,38 @@ def test_time_to_live(spark, tmp_path):
 def test_state_holds_names(key):
     p = S.SessionTokens(key)
     assert (p._name("ann@example.org") == "ann@example.org") == (key is None)
+
+
+class _List:
+    """A list state that counts the calls."""
+
+    def __init__(self):
+        self.rows, self.calls = [], 0
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.rows))
+
+    def appendList(self, rows):  # noqa: N802
+        self.calls += 1
+        self.rows += rows
+
+    def clear(self):
+        self.calls += 1
+        self.rows = []
+
+
+def test_calls_of_the_state_do_not_follow_the_number_of_names():
+    state = _List()
+    for batch in range(2):
+        held = S._Listed(state)
+        for k in range(5_000):
+            if held.get(f"v{k}") is None:
+                held.put(f"v{k}", f"EMAIL_{k + 1}")
+        assert held.get("v4999") == "EMAIL_5000"
+        held.flush(False)
+    assert len(state.rows) == 5_000 and state.calls == 3
+    held.clear()
+    held.put("v9", "EMAIL_1")
+    held.flush(False)
+    assert state.rows == [("v9", "EMAIL_1")]
