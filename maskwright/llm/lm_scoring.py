@@ -1,19 +1,18 @@
 """Language-model scoring: a causal self-attention model over subword ids, trained in numpy inside Spark tasks.
 
-A token is a word or the end of a text. P(token | before) = P(class of its first subword | before) * P(token | class):
-* the first factor is the attention model's. Its input at a place is the token before it, as the classes of that token's first and last subword, and the place; its
-  output are the classes of first subwords, of which the most frequent ids have one of their own;
-* the second is counted over all training texts: the first subword within its class, and the word by its count after an absolute discount, whose mass spells
-  words subword by subword, so that no word is impossible.
+A token is a word or the end of a text, and a text is the subword ids of its words, one after the other, and the end's. Its probability is the product of
+P(id | ids before), each of which the attention model predicts: no word, and no part of one, gets its share from counts.
+
+Ids are told apart by rank, the most frequent in training texts first. The softmax over all of the vocabulary has two levels, both of what attention
+made of the ids before: the class, then the id within its class. The first ranks are classes of their own, later classes are ranges of ranks that grow.
 
 Jobs, each of which leaves a table in the shared folder:
 1. Blocks: texts as word numbers, with the block's different words and their training counts. A word is one row a block from here on, however often it occurs.
-2. Counts by word, and from each word's subword ids the counts of first subwords and of subwords inside words; classes by k-means over these. What the driver
-   gets is bounded by the tokenizer's vocabulary.
-3. Each block's words get their count, classes and probability by a join.
-4. Training in ROUNDS rounds, each over its share of the blocks, so every token of a training text counts once: every block takes Adam steps of its own from
-   the shared weights, and the weights' average by tokens is the next round's start.
-5. Scoring: windows of WINDOW places, each STRIDE after the last; a place is scored in the first window that holds it, with what the window
+2. Counts by word, and from each word's subword ids the counts of ids, hence their ranks. What the driver gets is bounded by the tokenizer's vocabulary.
+3. Each block's words get their count and the ranks of their ids by a join.
+4. Training in ROUNDS rounds, each over its share of the blocks, so every id of a training text counts once: every block takes Adam steps of its own from
+   the shared weights, and the weights' average by ids is the next round's start.
+5. Scoring: windows of WINDOW ids, each STRIDE after the last; an id is scored in the first window that holds it, with what the window
    has before it as context, and masked attention over batches of windows.
 """
 
@@ -39,19 +38,22 @@ from .exchange import planes, unplanes
 END_WORD = b"\n"
 #: Tokens of a block, about; a longer text is cut, and its parts are scored one by one.
 BLOCK = 4_000_000
-CLASSES, OWN_CLASS, LAST_CLASSES, SPELL_CLASSES = 64, 40, 64, 128
-WIDTH, WINDOW, STRIDE = 16, 64, 48
+#: What the model tells apart: subword ids by rank, and how far into its word an id is. (SPELL_CLASSES: of Lexicon alone.)
+CLASSES, OWN_CLASS, LAST_CLASSES, SPELL_CLASSES = 50257, 40, 64, 128
+#: A class of later ranks holds this share of the ranks before it, up to a limit.
+GROWTH, MOST = 0.6, 4096
+WIDTH, HEADS, WINDOW, STRIDE = 16, 2, 64, 48
 ROUNDS, RATES, BATCH = 4, (0.01, 0.007, 0.004, 0.002), 2048
 #: Steps that a block takes at least, by smaller batches, and places of the smallest.
 STEPS, LEAST_BATCH = 128, 256
+_ONES = np.ones(MOST, np.float32)
 DISCOUNT, SPREAD, LEAST = 0.6, 10.0, 0.5
-#: Columns of the counts that classes are made of: subwords before and after, in hash buckets.
-CONTEXTS = 64
-_LIMIT = 30.0
+#: Weights that are averaged as one row, and ids that are laid out at a time.
+CELLS_A_ROW, SLICE = 4096, 500_000
 _BLOCKS = "block long, words array<binary>, train array<int>, rows array<long>, held array<boolean>, sizes array<int>, places binary"
-#: What a block holds of each of its words, and as which numbers.
-_WORD = {"count": "<i8", "first": "u1", "last": "u1", "within": "<f4"}
-_TOLD = "block long, rows array<long>, held array<boolean>, sizes array<int>, places binary, count binary, first binary, last binary, within binary, round int"
+#: What a block holds of its words, and as which numbers: their counts, their numbers of subwords and, one after the other, the subwords' ranks.
+_WORD = {"count": "<i8", "pieces": "<u4", "ranks": "<u4"}
+_TOLD = "block long, rows array<long>, held array<boolean>, sizes array<int>, places binary, count binary, pieces binary, ranks binary, round int"
 
 
 # --- blocks -------------------------------------------------------------------------------------
@@ -171,240 +173,257 @@ class _Flat:
         return owner, self.ids, after
 
 
-_SUMS = "kind int, a int, b int, n long"
-_CELL = "cell int, value double, weight double"
+@dataclass
+class Ranks:
+    """Subword ids by falling count of the training texts. Arrays of the vocabulary's size."""
+
+    rank: np.ndarray  # of each id
+    counts: np.ndarray  # by rank
+    end: int  # the end's rank
 
+    @property
+    def trained(self) -> int:
+        """Ranks that training texts hold, and the others of their classes."""
+        used, edges = int((self.counts > 0).sum()), class_edges(len(self.counts))
+        return int(edges[np.searchsorted(edges, used)])
 
-def _summed(words: DataFrame, count) -> pa.Table:
-    """count(flat): (kind, a, b, n) arrays of a batch's words. Summed by task, then by Spark."""
+    @property
+    def kind(self) -> str:
+        return "<u2" if len(self.counts) <= 2**16 else "<u4"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
-        held: list = []
-        size = 0
-
-        def fold() -> None:
-            nonlocal keys, values, size
-            k = np.concatenate([keys, *(h[0] for h in held)])
-            v = np.concatenate([values, *(h[1] for h in held)])
-            code = (k[:, 0] << 52) | (k[:, 1] << 26) | k[:, 2]
-            code, at = np.unique(code, return_inverse=True)
-            values = np.bincount(at, weights=v, minlength=len(code)).astype(np.int64)
-            keys = np.stack((code >> 52, (code >> 26) & (2**26 - 1), code & (2**26 - 1)), 1)
-            held.clear()
-            size = 0
+    def packed(self, words: _Flat) -> pa.Array:
+        """The ranks of each word's ids, as bytes."""
+        data = self.rank[words.ids].astype(self.kind)
+        ends = np.r_[0, np.cumsum(words.sizes)] * data.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(words.sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
+
+def _id_counts(vocabulary: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             if batch.num_rows:
-                for kind, a, b, n in count(_Flat.of(batch)):
-                    held.append((np.stack((np.full(len(a), kind), a, b), 1), n))
-                    size += len(a)
-                if size > 2_000_000:
-                    fold()
-        if size:
-            fold()
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(keys[:, 0], pa.int32()), "a": pa.array(keys[:, 1], pa.int32()), "b": pa.array(keys[:, 2], pa.int32()), "n": pa.array(values, pa.int64())})
-
-    rows = words.mapInArrow(run, _SUMS).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    return rows.toArrow()
-
-
-def _clusters(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    """k-means over the roots of each row's shares, from the heaviest rows on."""
-    if not len(x):
-        return np.zeros(0, np.int64)
-    x = np.sqrt((x + 1e-3) / (x + 1e-3).sum(1, keepdims=True)).astype(np.float32)
-    centre = x[np.argsort(-weight, kind="stable")[:k]].copy()
-    own = np.zeros(len(x), np.int64)
-    for _ in range(rounds):
-        own = np.argmax(x @ centre.T - 0.5 * (centre * centre).sum(1), 1)
-        mass = np.bincount(own, weights=weight, minlength=len(centre))
-        total = np.zeros(centre.shape)
-        np.add.at(total, own, x * weight[:, None])
-        centre[mass > 0] = (total[mass > 0] / mass[mass > 0, None]).astype(np.float32)
-    return own
+                flat = _Flat.of(batch)
+                np.add.at(total, flat.ids, np.repeat(flat.count, flat.sizes))
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int32()), "n": pa.array(total[ids])})
 
+    return run
 
-@dataclass
-class Lexicon:
-    """What is counted over all training words. Arrays by subword id; at most vocabulary x SPELL_CLASSES numbers."""
 
-    vocabulary: int
-    end: int
-    counts: np.ndarray  # tokens that begin with the id
-    kinds: np.ndarray  # different words that do
-    first: np.ndarray  # class of a first subword
-    last: np.ndarray  # class of a last subword
-    before: np.ndarray  # class of a subword as the one before another
-    steps: np.ndarray  # class before * (vocabulary + 1) + id after, ascending
-    times: np.ndarray  # how many different words hold that step
-    after: np.ndarray = field(init=False)  # log share of an id, or a word's end, among all steps
-    totals: np.ndarray = field(init=False)
-    prior: np.ndarray = field(init=False)  # log share of each class
-    inside: np.ndarray = field(init=False)  # log share of a first subword in its class
+def ranks(words: DataFrame, vocabulary: int, end: int) -> Ranks:
+    """words: (word, count, ids). Equal counts: the smaller id first."""
+    got = words.mapInArrow(_id_counts(vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(vocabulary, np.int64)
+    counts[got.column("id").to_numpy()] = got.column("n").to_numpy()
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(vocabulary, np.int64)
+    rank[order] = np.arange(vocabulary)
+    return Ranks(rank, counts[order], int(rank[end]))
 
-    def __post_init__(self) -> None:
-        s = self.vocabulary + 1
-        n = np.bincount(self.steps % s, weights=self.times, minlength=s)
-        self.after = np.log((n + 1) / (n.sum() + s))
-        self.totals = np.bincount(self.steps // s, weights=self.times, minlength=SPELL_CLASSES)
-        mass = np.bincount(self.first, weights=self.counts + LEAST, minlength=CLASSES)
-        # A class that no id has never comes: its share is tiny, not zero.
-        self.prior = np.log(np.maximum(mass, 1e-9) / np.maximum(mass, 1e-9).sum()).astype(np.float32)
-        self.inside = np.log((self.counts + LEAST) / mass[self.first])
 
-    def within(self, words: _Flat) -> np.ndarray:
-        """log P(word | class of its first subword)."""
-        owner, before, after = words.steps(self.vocabulary)
-        cls = self.before[before]
-        code = cls * (self.vocabulary + 1) + after
-        at = np.minimum(np.searchsorted(self.steps, code), max(0, len(self.steps) - 1))
-        seen = np.where(self.steps[at] == code, self.times[at], 0) if len(self.steps) else np.zeros(len(code))
-        spelled = np.bincount(owner, weights=np.log((seen + SPREAD * np.exp(self.after[after])) / (self.totals[cls] + SPREAD)), minlength=len(words.sizes))
-        n = self.counts[words.first]
-        with np.errstate(divide="ignore"):
-            known = np.log(np.maximum(words.count - DISCOUNT, 0)) - np.log(np.maximum(n, 1))
-            left = np.where(n > 0, np.log(DISCOUNT * self.kinds[words.first]) - np.log(np.maximum(n, 1)), 0.0)
-        return self.inside[words.first] + np.logaddexp(known, left + spelled)
+# --- attention model ----------------------------------------------------------------------------
 
+def class_edges(vocabulary: int) -> np.ndarray:
+    """First rank of each class, and the vocabulary's size."""
+    edges = list(range(min(OWN_CLASS, vocabulary)))
+    at = len(edges)
+    while at < vocabulary:
+        edges.append(at)
+        at += min(MOST, max(1, int(GROWTH * at)))
+    return np.array([*edges, vocabulary])
+
+
+def _softmax(h: np.ndarray, weight: np.ndarray, bias: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the logits h @ weight + bias of each row: their exponents, the exponents' sum, and the log share of the row's target."""
+    for shift in (False, True):
+        g = h @ weight
+        g += bias
+        if shift:
+            g -= g.max(1, keepdims=True)
+        picked = g[np.arange(len(g)), target]
+        np.exp(g, out=g)
+        total = g @ _ONES[: g.shape[1]]
+        picked -= np.log(total)
+        # Else exponents were too large, or all too small.
+        if np.isfinite(picked.sum()):
+            break
+    return g, total, picked
 
-def lexicon(words: DataFrame, vocabulary: int, end: int) -> Lexicon:
-    """words: (word, count, ids). Only words with a count are learnt from."""
-
-    def some(flat: _Flat) -> _Flat:
-        keep = flat.count > 0
-        return _Flat(flat.count[keep], flat.ids[np.repeat(keep, flat.sizes)], flat.sizes[keep])
-
-    def contexts(flat: _Flat):
-        flat = some(flat)
-        zero, one = np.zeros(len(flat.count), np.int64), np.ones(len(flat.count), np.int64)
-        _, before, after = flat.steps(vocabulary)
-        inner = after < vocabulary
-        half = CONTEXTS // 2
-        yield 0, flat.first, zero, flat.count
-        yield 1, flat.first, zero, one
-        yield 2, flat.last, zero, flat.count
-        yield 3, before, after % half, np.ones(len(before), np.int64)
-        yield 3, after[inner], half + before[inner] % half, np.ones(int(inner.sum()), np.int64)
-
-    got = _summed(words, contexts)
-    kind, a, b, n = (got.column(k).to_numpy() for k in range(4))
-    by_id = lambda k: np.bincount(a[kind == k], weights=n[kind == k], minlength=vocabulary)
-    counts, kinds, ends = by_id(0), by_id(1), by_id(2)
-    mass = np.zeros((vocabulary, CONTEXTS), np.float32)
-    np.add.at(mass, (a[kind == 3], b[kind == 3]), n[kind == 3])
-
-    first = np.full(vocabulary, CLASSES - 1)
-    order = np.argsort(-counts, kind="stable")
-    order = order[(counts[order] > 0) & (order != end)]
-    first[end] = 0
-    first[order[:OWN_CLASS]] = 1 + np.arange(len(order[:OWN_CLASS]))
-    rest = order[OWN_CLASS:]
-    first[rest] = 1 + OWN_CLASS + _clusters(mass[rest], counts[rest], CLASSES - 1 - OWN_CLASS)
-    used = np.flatnonzero(mass.sum(1) > 0)
-    last, before = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
-    last[used] = _clusters(mass[used], ends[used] + 1e-3, LAST_CLASSES)
-    before[used] = _clusters(mass[used], mass[used].sum(1).astype(np.float64), SPELL_CLASSES)
-
-    def steps(flat: _Flat):
-        _, x, y = some(flat).steps(vocabulary)
-        yield 0, before[x], y, np.ones(len(x), np.int64)
-
-    got = _summed(words, steps)
-    code = got.column(1).to_numpy().astype(np.int64) * (vocabulary + 1) + got.column(2).to_numpy()
-    order = np.argsort(code)
-    return Lexicon(vocabulary, end, counts, kinds, first, last, before, code[order], got.column(3).to_numpy()[order].astype(np.float64))
 
+def _row_sums(x: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of index, and the sum of x's rows for each."""
+    order = np.argsort(index, kind="stable")
+    keys = index[order]
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[heads], np.add.reduceat(x.take(order, 0), heads, axis=0)
 
-# --- attention model ----------------------------------------------------------------------------
 
 class AttentionModel:
-    """One head of causal self-attention over WIDTH numbers a place. weights: by name."""
-
-    SHAPES = {"first": (CLASSES, WIDTH), "last": (LAST_CLASSES, WIDTH), "place": (WINDOW, WIDTH), "match": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
-    CELLS = sum(int(np.prod(s)) for s in SHAPES.values())
+    """HEADS heads of causal self-attention over WIDTH numbers a place, with queries, keys and values of their own, and a softmax over all ranks in two levels.
+    weights: by name."""
 
-    def __init__(self, flat: np.ndarray) -> None:
+    def __init__(self, flat: np.ndarray, vocabulary: int = CLASSES) -> None:
+        self.edges = class_edges(vocabulary)
+        self.sizes = np.diff(self.edges)
+        self.own = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.w, at = {}, 0
-        for name, shape in self.SHAPES.items():
+        for name, shape in self.shapes(vocabulary).items():
             n = int(np.prod(shape))
             self.w[name] = flat[at : at + n].astype(np.float32).reshape(shape)
             at += n
-        self.mask = np.where(np.tril(np.ones((WINDOW, WINDOW), bool)), 0, -1e9).astype(np.float32)
+        self.mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+
+    @staticmethod
+    def shapes(vocabulary: int) -> dict[str, tuple[int, ...]]:
+        classes, square = len(class_edges(vocabulary)) - 1, (WIDTH, WIDTH)
+        small = {"last": (LAST_CLASSES, WIDTH), "place": (WINDOW, WIDTH), "query": square, "key": square, "value": square, "join": square, "out": (WIDTH, classes), "bias": (classes,)}
+        return small | {n: (vocabulary, WIDTH) for n in ("first", "inside")} | {"inside_bias": (vocabulary,)}
 
     @classmethod
-    def start(cls, prior: np.ndarray, seed: int = 1) -> np.ndarray:
+    def cells(cls, vocabulary: int) -> int:
+        return sum(int(np.prod(s)) for s in cls.shapes(vocabulary).values())
+
+    @classmethod
+    def start(cls, counts: np.ndarray, seed: int = 1) -> np.ndarray:
+        """Small random weights, and biases by which the model begins at each rank's share."""
         rng = np.random.default_rng(seed)
-        parts = {n: rng.standard_normal(s) * 0.1 for n, s in cls.SHAPES.items()} | {"out": np.zeros(cls.SHAPES["out"]), "bias": prior}
-        return np.concatenate([parts[n].ravel() for n in cls.SHAPES])
+        mass, edges = counts + LEAST, class_edges(len(counts))
+        total = np.add.reduceat(mass, edges[:-1])
+        shapes = cls.shapes(len(counts))
+        known = {"out": np.zeros(shapes["out"]), "inside": np.zeros(shapes["inside"]), "bias": np.log(total / total.sum()), "inside_bias": np.log(mass / np.repeat(total, np.diff(edges)))}
+        return np.concatenate([(known[n] if n in known else rng.standard_normal(s) * (0.1 if n in ("first", "last", "place") else WIDTH**-0.5)).ravel() for n, s in shapes.items()]).astype(np.float32)
+
+    @classmethod
+    def live(cls, vocabulary: int, trained: int) -> np.ndarray:
+        """Numbers of the weights that training may change: those of ranks from trained on stay as they are."""
+        parts, at = [], 0
+        for shape in cls.shapes(vocabulary).values():
+            n = int(np.prod(shape))
+            parts.append(np.arange(at, at + (n // vocabulary * trained if shape[0] == vocabulary else n)))
+            at += n
+        return np.concatenate(parts)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.w[n].ravel() for n in self.SHAPES])
+        return np.concatenate([v.ravel() for v in self.w.values()])
 
     def _attend(self, x: np.ndarray, z: np.ndarray):
-        w, n = self.w, x.shape[1]
-        e = w["first"][x] + w["last"][z] + w["place"][:n]
-        q = (e @ w["match"]) * np.float32(WIDTH**-0.5)
-        a = q @ e.transpose(0, 2, 1)
-        np.clip(a, -_LIMIT, _LIMIT, out=a)
-        a += self.mask[:n, :n]
-        np.exp(a, out=a)
-        a /= a.sum(2, keepdims=True)
-        c = a @ e
-        return e, q, a, c, e + c @ w["value"]
-
-    def _shares(self, h: np.ndarray) -> np.ndarray:
-        g = h.reshape(-1, WIDTH) @ self.w["out"]
-        g += self.w["bias"]
-        np.clip(g, -_LIMIT, _LIMIT, out=g)
-        np.exp(g, out=g)
-        g /= g.sum(1, keepdims=True)
-        return g
-
+        w, (m, n) = self.w, x.shape
+        depth = WIDTH // HEADS
+        e = w["first"].take(x, 0)
+        e += w["last"].take(z, 0)
+        e += w["place"][:n]
+        e = e.reshape(-1, WIDTH)
+        three = (e @ np.concatenate((w["query"] * np.float32(depth**-0.5), w["key"], w["value"]), 1)).reshape(m, n, 3, HEADS, depth)
+        q, k = (np.ascontiguousarray(three[:, :, i].transpose(0, 2, 1, 3)) for i in (0, 1))
+        v = np.ones((m, HEADS, n, depth + 1), e.dtype)  # the ones add up the shares
+        v[..., :depth] = three[:, :, 2].transpose(0, 2, 1, 3)
+        turned, mask = np.ascontiguousarray(k.transpose(0, 1, 3, 2)), self.mask[:n, :n]
+        for shift in (False, True):
+            a = q @ turned
+            if shift:
+                a -= np.where(mask > 0, a, -np.inf).max(3, keepdims=True)
+                np.minimum(a, 0, out=a)
+            np.exp(a, out=a)
+            a *= mask
+            c = a @ v
+            total = c[..., depth:]
+            if 1e-30 < total.min() and total.max() < 1e30:
+                break
+        c = c[..., :depth] / total
+        joined = c.transpose(0, 2, 1, 3).reshape(-1, WIDTH)
+        return e, q, k, v, a, total, c, joined, e + joined @ w["join"]
+
+    def _inside(self, h: np.ndarray, y: np.ndarray, own: np.ndarray):
+        """For each class of several ranks that y has: its first rank, the end, the places, and _softmax() of the ranks at these."""
+        order = np.argsort(own, kind="stable")
+        bounds = np.searchsorted(own[order], np.arange(len(self.sizes) + 1))
+        for c in np.flatnonzero((np.diff(bounds) > 0) & (self.sizes > 1)):
+            at, low, high = order[bounds[c] : bounds[c + 1]], self.edges[c], self.edges[c + 1]
+            yield low, high, at, *_softmax(h.take(at, 0), self.w["inside"][low:high].T, self.w["inside_bias"][low:high], y[at] - low)
+
+    @np.errstate(over="ignore", invalid="ignore", divide="ignore")
     def log_shares(self, x: np.ndarray, z: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """log P(class y | places up to it). x, z: classes of the token before each place."""
-        g = self._shares(self._attend(x, z)[4])
-        return np.log(g[np.arange(len(g)), y.ravel()]).reshape(y.shape)
+        """log P(rank y | places up to it). x, z: rank of the id before each place, and how far into its word that is."""
+        h, y_ = self._attend(x, z)[-1], y.ravel()
+        own = self.own[y_]
+        out = _softmax(h, self.w["out"], self.w["bias"], own)[2]
+        for _, _, at, _, _, found in self._inside(h, y_, own):
+            out[at] += found
+        return out.reshape(y.shape)
+
+    @staticmethod
+    def _product(a: np.ndarray, b: np.ndarray, windows: int) -> np.ndarray:
+        """a.T @ b, window by window."""
+        return (a.reshape(windows, -1, a.shape[1]).transpose(0, 2, 1) @ b.reshape(windows, -1, b.shape[1])).sum(0)
 
     def gradient(self, x: np.ndarray, z: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean of -log P over the real places, by name of the weight."""
-        w, n = self.w, x.shape[1]
-        e, q, a, c, h = self._attend(x, z)
-        g = self._shares(h)
-        g[np.arange(len(g)), y.ravel()] -= 1
-        g *= (real / max(1, real.sum())).astype(np.float32).reshape(-1, 1)
-        two = lambda t: t.reshape(-1, WIDTH)
-        out = {"bias": g.sum(0), "out": two(h).T @ g}
-        dh = (g @ w["out"].T).reshape(h.shape)
-        out["value"] = two(c).T @ two(dh)
-        dc = dh @ w["value"].T
-        de = dh + a.transpose(0, 2, 1) @ dc
-        da = dc @ e.transpose(0, 2, 1)
-        da -= (da * a).sum(2, keepdims=True)
-        da *= a
-        de += da.transpose(0, 2, 1) @ q
-        dq = (da @ e) * np.float32(WIDTH**-0.5)
-        out["match"] = two(e).T @ two(dq)
-        de += dq @ w["match"].T
-        out["place"] = np.zeros_like(w["place"])
-        out["place"][:n] = de.sum(0)
-        for name, index in (("first", x), ("last", z)):
-            order = np.argsort(index, axis=None, kind="stable")
-            keys = index.ravel()[order]
-            heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            out[name] = np.zeros_like(w[name])
-            out[name][keys[heads]] = np.add.reduceat(two(de)[order], heads, axis=0)
+        out = {}
+        for name, (rows, g) in self._slopes(x, z, y, real).items():
+            out[name] = np.zeros_like(self.w[name])
+            out[name][rows] = g
         return out
 
-    def train(self, batches: list[tuple[np.ndarray, ...]], rate: float) -> None:
-        """A step of Adam for each batch."""
+    @np.errstate(over="ignore", invalid="ignore", divide="ignore")
+    def _slopes(self, x: np.ndarray, z: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict[str, tuple]:
+        """gradient() as (rows, their slopes); all other rows have none."""
+        w, (m, n), y_ = self.w, x.shape, y.ravel()
+        depth = WIDTH // HEADS
+        e, q, k, v, a, total, c, joined, h = self._attend(x, z)
+        own = self.own[y_]
+        weight = (real.ravel() / max(1, real.sum())).astype(h.dtype)
+        g, sums, _ = _softmax(h, w["out"], w["bias"], own)
+        g *= (weight / sums)[:, None]
+        g[np.arange(len(g)), own] -= weight
+        top = int(self.edges[own.max() + 1])
+        out = {"bias": g.sum(0), "out": self._product(h, g, m), "inside": np.zeros((top, WIDTH), h.dtype), "inside_bias": np.zeros(top, h.dtype)}
+        dh = g @ w["out"].T
+        for low, high, at, g, sums, _ in self._inside(h, y_, own):
+            g *= (weight[at] / sums)[:, None]
+            g[np.arange(len(at)), y_[at] - low] -= weight[at]
+            out["inside"][low:high] = g.T @ h.take(at, 0)
+            out["inside_bias"][low:high] = g.sum(0)
+            dh[at] += g @ w["inside"][low:high]
+        out["join"] = self._product(joined, dh, m)
+        dc = (dh @ w["join"].T).reshape(m, n, HEADS, depth).transpose(0, 2, 1, 3) / total
+        da = np.concatenate((dc, -np.einsum("whid,whid->whi", dc, c)[..., None]), 3) @ np.ascontiguousarray(v.transpose(0, 1, 3, 2))
+        da *= a
+        d = np.empty((m, n, 3, HEADS, depth), h.dtype)
+        d[:, :, 0] = (da @ k).transpose(0, 2, 1, 3)
+        d[:, :, 1] = (da.transpose(0, 1, 3, 2) @ q).transpose(0, 2, 1, 3)
+        d[:, :, 2] = (a.transpose(0, 1, 3, 2) @ dc).transpose(0, 2, 1, 3)
+        d = d.reshape(-1, 3 * WIDTH)
+        scale = np.float32(depth**-0.5)
+        for name, part in zip(("query", "key", "value"), np.split(self._product(e, d, m), 3, axis=1)):
+            out[name] = part * scale if name == "query" else part
+        de = dh + d @ np.concatenate((w["query"] * scale, w["key"], w["value"]), 1).T
+        out = {name: (slice(len(g)), g) for name, g in (out | {"place": de.reshape(m, n, WIDTH).sum(0)}).items()}
+        return out | {"first": _row_sums(de, x.ravel()), "last": _row_sums(de, z.ravel())}
+
+    def train(self, batches: Iterator[tuple[np.ndarray, ...]], rate: float) -> None:
+        """A step of Adam for each batch. A row that a batch has no slope for stays, and so do its means."""
         mean, square = ({n: np.zeros_like(v) for n, v in self.w.items()} for _ in range(2))
         for step, batch in enumerate(batches, 1):
-            now = rate * min(1.0, step / 30)
-            for n, g in self.gradient(*batch).items():
-                mean[n] += 0.1 * (g - mean[n])
-                square[n] += 0.01 * (g * g - square[n])
-                self.w[n] -= np.float32(now) * (mean[n] / np.float32(1 - 0.9**step)) / (np.sqrt(square[n] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+            now, more = rate * min(1.0, step / 30) / (1 - 0.9**step), (1 - 0.99**step) ** -0.5
+            for n, (rows, g) in self._slopes(*batch).items():
+                m, s = mean[n][rows], square[n][rows]
+                m *= np.float32(0.9)
+                s *= np.float32(0.99)
+                m += g * np.float32(0.1)
+                g *= g
+                g *= np.float32(0.01)
+                s += g
+                mean[n][rows], square[n][rows] = m, s
+                d = np.sqrt(s)
+                d *= np.float32(more)
+                d += np.float32(1e-8)
+                np.divide(m, d, out=d)
+                d *= np.float32(now)
+                self.w[n][rows] -= d
+
+
+AttentionModel.CELLS = AttentionModel.cells(CLASSES)
 
 
 def windows(sizes: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -429,106 +448,189 @@ def _batches(at: np.ndarray, length: np.ndarray, size: int = BATCH) -> Iterator[
 
 
 class _Block:
-    """A block's tokens: classes, and what comes before each."""
+    """A block's texts as ranks of subword ids, and what comes before each."""
 
-    def __init__(self, batch: pa.RecordBatch, k: int, lexicon: Lexicon) -> None:
+    def __init__(self, batch: pa.RecordBatch, k: int, known: Ranks) -> None:
         get = lambda n: batch.column(n)[k].as_py()
         self.number, self.rows = get("block"), np.array(get("rows"), np.int64)
-        self.held, self.sizes = np.array(get("held"), bool), np.array(get("sizes"), np.int64)
-        places = _unpacked(get("places"), "<u4")
-        self.count, self.y, last, self.within = (_unpacked(get(c), kind)[places] for c, kind in _WORD.items())
+        self.held, self.words = np.array(get("held"), bool), np.array(get("sizes"), np.int64)
+        self.places = _unpacked(get("places"), "<u4")
+        self.count, pieces, every = (_unpacked(get(c), kind) for c, kind in _WORD.items())
+        every, head = every.astype(known.kind), np.cumsum(pieces, dtype=np.int64) - pieces
+        self.begin_words = np.cumsum(self.words) - self.words
+        self.sizes = np.add.reduceat(pieces[self.places], self.begin_words, dtype=np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
-        self.x = np.r_[self.y[:1], self.y[:-1]]
-        self.z = np.r_[last[:1], last[:-1]]
-        self.x[self.begin], self.z[self.begin] = lexicon.first[lexicon.end], lexicon.last[lexicon.end]
+        total = int(self.sizes.sum())
+        self.y, self.x = np.empty(total, known.kind), np.empty(total, known.kind)
+        self.z, at = np.empty(total, np.uint8), 0
+        depth = np.empty(total, np.uint8)
+        for low in range(0, len(self.places), SLICE):
+            some = self.places[low : low + SLICE]
+            n = pieces[some].astype(np.int64)
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            to = at + len(inside)
+            self.y[at:to] = every[np.repeat(head[some], n) + inside]
+            depth[at:to] = np.minimum(inside, LAST_CLASSES - 1)
+            at = to
+        self.x[1:], self.z[1:] = self.y[:-1], depth[:-1]
+        self.x[self.begin], self.z[self.begin] = known.end, 0
 
     def train(self, model: AttentionModel, rate: float) -> int:
-        """Steps over the training texts; their number of tokens."""
+        """Steps over the training texts; their number of ids."""
         at, length, _ = windows(self.sizes, WINDOW)
         good = ~self.held[np.searchsorted(self.begin, at, side="right") - 1]
         at, length = at[good], length[good]
         rng = np.random.default_rng(self.number & 0xFFFFFFFF)
         mixed = rng.permutation(len(at))
         at, length = at[mixed], length[mixed]
-        every = list(_batches(at, length, min(BATCH, max(LEAST_BATCH, int(length.sum()) // STEPS))))
-        model.train([(self.x[p], self.z[p], self.y[p], real) for _, p, real in (every[k] for k in rng.permutation(len(every)))], rate)
+        size = min(BATCH, max(LEAST_BATCH, int(length.sum()) // STEPS))
+        model.train(self._mixed(at, length, size, rng), rate)
         return int(length.sum())
 
+    def _mixed(self, at: np.ndarray, length: np.ndarray, size: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, ...]]:
+        """Batches of windows in any order, made one by one."""
+        padded = -(-length // 16) * 16
+        parts = []
+        for n in np.unique(padded):
+            own = np.flatnonzero(padded == n)
+            parts += np.split(own, range(max(1, size // int(n)), len(own), max(1, size // int(n))))
+        for k in rng.permutation(len(parts)):
+            for _, p, real in _batches(at[parts[k]], length[parts[k]], size):
+                yield self.x[p], self.z[p], self.y[p], real
+
     def scores(self, model: AttentionModel) -> np.ndarray:
-        """ln P of each token."""
-        out = np.full(len(self.y), np.nan)
+        """ln P of each id."""
+        out = np.full(len(self.y), np.nan, np.float32)
         at, length, known = windows(self.sizes, STRIDE)
         for some, p, real in _batches(at, length):
             found = model.log_shares(self.x[p], self.z[p], self.y[p])
             new = real & (np.arange(p.shape[1]) >= known[some, None])
             out[p[new]] = found[new]
-        return out + self.within
+        return out
+
 
+_MEAN = "chunk int, value binary, weight double"
 
-def _trainer(flat: np.ndarray, lexicon: Lexicon, rate: float):
+
+def _trainer(flat: np.ndarray, known: Ranks, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = np.zeros(AttentionModel.CELLS), 0
+        live = AttentionModel.live(len(known.counts), known.trained)
+        total, weight = np.zeros(len(live)), 0
         for batch in batches:
             for k in range(batch.num_rows):
-                model = AttentionModel(flat)
-                n = _Block(batch, k, lexicon).train(model, rate)
-                total += n * model.flat().astype(np.float64)
+                model = AttentionModel(flat, len(known.counts))
+                n = _Block(batch, k, known).train(model, rate)
+                total += n * model.flat()[live].astype(np.float64)
                 weight += n
         if weight:
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(np.arange(len(total)), pa.int32()), "value": pa.array(total), "weight": pa.array(np.full(len(total), float(weight)))})
+            parts = [(total[k : k + CELLS_A_ROW] / weight).astype("<f4").tobytes() for k in range(0, len(total), CELLS_A_ROW)]
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(parts)), pa.int32()), "value": pa.array(parts, pa.binary()), "weight": pa.array([float(weight)] * len(parts))})
         tidy()
 
     return run
 
 
-def train(blocks: DataFrame, known: Lexicon) -> np.ndarray:
+def _mean(rows: pa.Table) -> pa.Table:
+    """The average of one chunk's weights."""
+    n = rows.column("weight").to_numpy()
+    total = sum(k * np.frombuffer(v.as_py(), "<f4").astype(np.float64) for k, v in zip(n, rows.column("value")))
+    return pa.table({"chunk": rows.column("chunk")[:1], "value": pa.array([(total / n.sum()).astype("<f4").tobytes()], pa.binary()), "weight": pa.array([n.sum()])})
+
+
+def train(blocks: DataFrame, known: Ranks) -> np.ndarray:
     """The weights after all rounds. Each round's blocks start from the same weights; the next starts from their average."""
-    flat = AttentionModel.start(known.prior)
+    flat = AttentionModel.start(known.counts)
+    live = AttentionModel.live(len(known.counts), known.trained)
     for k in range(ROUNDS):
-        sums = blocks.where(F.col("round") == k).mapInArrow(_trainer(flat, known, RATES[k]), _CELL).groupBy("cell").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).toArrow()
-        if sums.num_rows:
+        means = blocks.where(F.col("round") == k).mapInArrow(_trainer(flat, known, RATES[k]), _MEAN).groupBy("chunk").applyInArrow(_mean, _MEAN).toArrow()
+        if means.num_rows:
             flat = flat.copy()
-            flat[sums.column("cell").to_numpy()] = sums.column("value").to_numpy() / sums.column("weight").to_numpy()
+            flat[live] = np.frombuffer(b"".join(means.sort_by("chunk").column("value").to_pylist()), "<f4")
     return flat
 
 
+# --- counted words ------------------------------------------------------------------------------
+
+@dataclass
+class Lexicon:
+    """A counted model of words, spelled subword by subword, that no score uses any more: P(word | class) was part of the score before the attention model predicted
+    every subword. Arrays by subword id; at most vocabulary x SPELL_CLASSES numbers."""
+
+    vocabulary: int
+    end: int
+    counts: np.ndarray  # tokens that begin with the id
+    kinds: np.ndarray  # different words that do
+    first: np.ndarray  # class of a first subword
+    last: np.ndarray  # class of a last subword
+    before: np.ndarray  # class of a subword as the one before another
+    steps: np.ndarray  # class before * (vocabulary + 1) + id after, ascending
+    times: np.ndarray  # how many different words hold that step
+    after: np.ndarray = field(init=False)  # log share of an id, or a word's end, among all steps
+    totals: np.ndarray = field(init=False)
+    prior: np.ndarray = field(init=False)  # log share of each class
+    inside: np.ndarray = field(init=False)  # log share of a first subword in its class
+
+    def __post_init__(self) -> None:
+        s = self.vocabulary + 1
+        n = np.bincount(self.steps % s, weights=self.times, minlength=s)
+        self.after = np.log((n + 1) / (n.sum() + s))
+        self.totals = np.bincount(self.steps // s, weights=self.times, minlength=SPELL_CLASSES)
+        mass = np.bincount(self.first, weights=self.counts + LEAST, minlength=CLASSES)
+        # A class that no id has never comes: its share is tiny, not zero.
+        self.prior = np.log(np.maximum(mass, 1e-9) / np.maximum(mass, 1e-9).sum()).astype(np.float32)
+        self.inside = np.log((self.counts + LEAST) / mass[self.first])
+
+    def within(self, words: _Flat) -> np.ndarray:
+        """log P(word | class of its first subword)."""
+        owner, before, after = words.steps(self.vocabulary)
+        cls = self.before[before]
+        code = cls * (self.vocabulary + 1) + after
+        at = np.minimum(np.searchsorted(self.steps, code), max(0, len(self.steps) - 1))
+        seen = np.where(self.steps[at] == code, self.times[at], 0) if len(self.steps) else np.zeros(len(code))
+        spelled = np.bincount(owner, weights=np.log((seen + SPREAD * np.exp(self.after[after])) / (self.totals[cls] + SPREAD)), minlength=len(words.sizes))
+        n = self.counts[words.first]
+        with np.errstate(divide="ignore"):
+            known = np.log(np.maximum(words.count - DISCOUNT, 0)) - np.log(np.maximum(n, 1))
+            left = np.where(n > 0, np.log(DISCOUNT * self.kinds[words.first]) - np.log(np.maximum(n, 1)), 0.0)
+        return self.inside[words.first] + np.logaddexp(known, left + spelled)
+
+
 # --- scoring ------------------------------------------------------------------------------------
 
 _PART = "row long, held boolean, n_tokens long, n_known long, base double, score double"
 
 
-def _scorer(flat: np.ndarray, lexicon: Lexicon, n: int, v: int):
+def _scorer(flat: np.ndarray, known: Ranks, n: int, v: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = AttentionModel(flat)
+        model = AttentionModel(flat, len(known.counts))
         for batch in batches:
             for k in range(batch.num_rows):
-                b = _Block(batch, k, lexicon)
-                sums = lambda x: np.add.reduceat(x, b.begin)  # noqa: B023, E731
-                columns = (b.rows, b.held, b.sizes, sums((b.count > 0).astype(np.int64)), sums(np.log10((b.count + 1) / (n + 1 * (v + 1)))), sums(b.scores(model)) / np.log(10))
+                b = _Block(batch, k, known)
+                words = lambda x: np.add.reduceat(x[b.places], b.begin_words)  # noqa: B023, E731
+                columns = (b.rows, b.held, b.words, words((b.count > 0).astype(np.int64)), words(np.log10((b.count + 1) / (n + 1 * (v + 1)))), np.add.reduceat(b.scores(model), b.begin, dtype=np.float64) / np.log(10))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "held", "n_tokens", "n_known", "base", "score"])
         tidy()
 
     return run
 
 
-def _teller(lexicon: Lexicon):
-    """Words to (word, count, first, last, within)."""
+def _teller(known: Ranks):
+    """Words to (word, count, ranks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                flat = _Flat.of(batch)
-                columns = (batch.column("word"), batch.column("count"), pa.array(lexicon.first[flat.first], pa.int16()), pa.array(lexicon.last[flat.last], pa.int16()), pa.array(lexicon.within(flat), pa.float32()))
-                yield pa.RecordBatch.from_arrays(list(columns), names=["word", "count", "first", "last", "within"])
+                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("count"), known.packed(_Flat.of(batch))], names=["word", "count", "ranks"])
 
     return run
 
 
-def _meet(key, blocks: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+def _meet(key, blocks: pd.DataFrame, told: pd.DataFrame, kind: str) -> pd.DataFrame:
     """A block and what its words were told, in the order of the words' numbers."""
     b, t = blocks.iloc[0], told.sort_values("at")
     mix = (int(b["block"]) * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> 32
-    values = (b["block"], b["rows"], b["held"], b["sizes"], b["places"], *(_packed(t[c].to_numpy(kind)) for c, kind in _WORD.items()), mix % ROUNDS)
+    own = {"count": t["count"].to_numpy(), "pieces": t["ranks"].map(len).to_numpy() // np.dtype(kind).itemsize, "ranks": np.frombuffer(b"".join(t["ranks"]), kind)}
+    values = (b["block"], b["rows"], b["held"], b["sizes"], b["places"], *(_packed(own[c].astype(as_)) for c, as_ in _WORD.items()), mix % ROUNDS)
     return pd.DataFrame({c.split()[0]: [v] for c, v in zip(_TOLD.split(", "), values)})
 
 
@@ -563,10 +665,11 @@ def score_texts(docs: DataFrame, *, tokenizer: str, vocabulary: int = 50257, end
     each = blocks.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select("block", "at", F.col("w.words").alias("word"), F.col("w.train").alias("train"))
     words, words_at = _written(each.groupBy("word").agg(F.sum("train").alias("count")).mapInArrow(_encoder(tokenizer, end), "word binary, count long, ids binary"), "lm-words")
     size = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count_if(F.col("count") > 0).alias("v")).first()
-    known = lexicon(words, vocabulary, end)
-    answers = words.mapInArrow(_teller(known), "word binary, count long, first short, last short, within float")
+    known = ranks(words, vocabulary, end)
+    kind = known.kind
+    answers = words.mapInArrow(_teller(known), "word binary, count long, ranks binary")
     told = each.select(F.col("block").alias("own"), "at", "word").join(answers, "word").drop("word")
-    met = blocks.drop("words", "train").groupBy("block").cogroup(told.groupBy("own")).applyInPandas(lambda key, b, t: _meet(key, b, t), _TOLD)
+    met = blocks.drop("words", "train").groupBy("block").cogroup(told.groupBy("own")).applyInPandas(lambda key, b, t: _meet(key, b, t, kind), _TOLD)
     ready, ready_at = _written(met, "lm-told", "round")
     for path in (blocks_at, words_at):
         _discard(spark, path)
