@@ -38,6 +38,8 @@ from .exchange import planes, unplanes
 END_WORD = b"\n"
 #: Tokens of a block, about; a longer text is cut, and its parts are scored one by one.
 BLOCK = 4_000_000
+#: A block's number is its partition's, moved by so many bits, and its own among the partition's.
+PARTITION_BITS = 33
 #: What the model tells apart: subword ids by rank, and how far into its word an id is. (SPELL_CLASSES: of Lexicon alone.)
 CLASSES, OWN_CLASS, LAST_CLASSES, SPELL_CLASSES = 50257, 40, 64, 128
 #: A class of later ranks holds this share of the ranks before it, up to a limit.
@@ -78,9 +80,14 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END_WORD]
 
 
+def round_of(block: int) -> int:
+    """The round that a block is trained in: a partition's blocks, and the nth blocks of all partitions, are dealt out evenly."""
+    return ((block >> PARTITION_BITS) + block % (1 << PARTITION_BITS)) % ROUNDS
+
+
 def _blocks(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
+        first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << PARTITION_BITS
         made, known, rows, held, parts = 0, _Numbers(), [], [], []
 
         def flush() -> pa.RecordBatch:
@@ -234,28 +241,46 @@ def class_edges(vocabulary: int) -> np.ndarray:
     return np.array([*edges, vocabulary])
 
 
-def _softmax(h: np.ndarray, weight: np.ndarray, bias: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the logits h @ weight + bias of each row: their exponents, the exponents' sum, and the log share of the row's target."""
-    for shift in (False, True):
-        g = h @ weight
-        g += bias
-        if shift:
-            g -= g.max(1, keepdims=True)
-        picked = g[np.arange(len(g)), target]
-        np.exp(g, out=g)
-        total = g @ _ONES[: g.shape[1]]
-        picked -= np.log(total)
-        # Else exponents were too large, or all too small.
-        if np.isfinite(picked.sum()):
-            break
-    return g, total, picked
+class _Shares:
+    """Softmaxes of rows that come in groups, each over the logits h @ weight + bias of its group; all exponents lie in one array.
+    groups: (first row, end, weight, bias); target: of each row, in its group."""
+
+    def __init__(self, h: np.ndarray, groups: list[tuple], target: np.ndarray) -> None:
+        self.h, self.groups = h, groups
+        sizes = [(end - low, len(bias)) for low, end, _, bias in groups]
+        ends = np.cumsum([0, *(n * k for n, k in sizes)]).tolist()
+        self.data, self.sums = np.empty(ends[-1], h.dtype), np.empty(len(h), h.dtype)
+        self.parts = [self.data[at : at + n * k].reshape(n, k) for at, (n, k) in zip(ends, sizes)]
+        self.at = np.concatenate([np.arange(at, at + n * k, k) for at, (n, k) in zip(ends, sizes)] or [target]) + target
+        for shift in (False, True):
+            for g, (low, end, weight, bias) in zip(self.parts, groups):
+                np.matmul(h[low:end], weight, out=g)
+                g += bias
+                if shift:
+                    g -= g.max(1, keepdims=True)
+            self.picked = self.data.take(self.at)  # in the end the log share of each row's target
+            np.exp(self.data, out=self.data)
+            for g, (low, end, *_) in zip(self.parts, groups):
+                np.matmul(g, _ONES[: g.shape[1]], out=self.sums[low:end])
+            self.picked -= np.log(self.sums)
+            # Else exponents were too large, or all too small.
+            if np.isfinite(self.picked.sum()):
+                break
+
+    def slopes(self, weight: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+        """For each group: slopes of its logits, its first row and end, if each row's -log share counts by weight. To be called once."""
+        scale = (weight / self.sums)[:, None]
+        for g, (low, end, *_) in zip(self.parts, self.groups):
+            g *= scale[low:end]
+        self.data[self.at] -= weight
+        return [(g, low, end) for g, (low, end, *_) in zip(self.parts, self.groups)]
 
 
 def _row_sums(x: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Values of index, and the sum of x's rows for each."""
     order = np.argsort(index, kind="stable")
     keys = index[order]
-    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    heads = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
     return keys[heads], np.add.reduceat(x.take(order, 0), heads, axis=0)
 
 
@@ -307,6 +332,13 @@ class AttentionModel:
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.w.values()])
 
+    def _wide(self, gap: int = 0) -> np.ndarray:
+        """Weights of queries, keys and values side by side; behind each head's values so many columns of zeros."""
+        depth = WIDTH // HEADS
+        values = np.zeros((WIDTH, HEADS, depth + gap), self.w["value"].dtype)
+        values[..., :depth] = self.w["value"].reshape(WIDTH, HEADS, depth)
+        return np.concatenate((self.w["query"] * np.float32(depth**-0.5), self.w["key"], values.reshape(WIDTH, -1)), 1)
+
     def _attend(self, x: np.ndarray, z: np.ndarray):
         w, (m, n) = self.w, x.shape
         depth = WIDTH // HEADS
@@ -314,48 +346,56 @@ class AttentionModel:
         e += w["last"].take(z, 0)
         e += w["place"][:n]
         e = e.reshape(-1, WIDTH)
-        three = (e @ np.concatenate((w["query"] * np.float32(depth**-0.5), w["key"], w["value"]), 1)).reshape(m, n, 3, HEADS, depth)
-        q, k = (np.ascontiguousarray(three[:, :, i].transpose(0, 2, 1, 3)) for i in (0, 1))
-        v = np.ones((m, HEADS, n, depth + 1), e.dtype)  # the ones add up the shares
-        v[..., :depth] = three[:, :, 2].transpose(0, 2, 1, 3)
-        turned, mask = np.ascontiguousarray(k.transpose(0, 1, 3, 2)), self.mask[:n, :n]
+        # Heads are views of one array, so that nothing is copied.
+        three = (e @ self._wide(1)).reshape(m, n, -1)
+        q, k, v = (three[..., low:high].reshape(m, n, HEADS, -1).transpose(0, 2, 1, 3) for low, high in ((0, WIDTH), (WIDTH, 2 * WIDTH), (2 * WIDTH, None)))
+        v[..., depth] = 1  # these add up the shares
+        c = np.empty((m, n, HEADS, depth + 1), e.dtype)
+        mask = self.mask[:n, :n]
         for shift in (False, True):
-            a = q @ turned
+            a = q @ k.transpose(0, 1, 3, 2)
             if shift:
                 a -= np.where(mask > 0, a, -np.inf).max(3, keepdims=True)
                 np.minimum(a, 0, out=a)
             np.exp(a, out=a)
             a *= mask
-            c = a @ v
+            np.matmul(a, v, out=c.transpose(0, 2, 1, 3))
             total = c[..., depth:]
             if 1e-30 < total.min() and total.max() < 1e30:
                 break
-        c = c[..., :depth] / total
-        joined = c.transpose(0, 2, 1, 3).reshape(-1, WIDTH)
-        return e, q, k, v, a, total, c, joined, e + joined @ w["join"]
-
-    def _inside(self, h: np.ndarray, y: np.ndarray, own: np.ndarray):
-        """For each class of several ranks that y has: its first rank, the end, the places, and _softmax() of the ranks at these."""
-        order = np.argsort(own, kind="stable")
+        joined = (c[..., :depth] / total).reshape(-1, WIDTH)
+        h = joined @ w["join"]
+        h += e
+        return e, q, k, v, a, total, joined, h
+
+    def _inside(self, h: np.ndarray, y: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, list[int], _Shares]:
+        """Places whose class has several ranks, by class; these classes; the shares of the ranks within them."""
+        order = np.argsort(own.astype(np.uint16), kind="stable")
         bounds = np.searchsorted(own[order], np.arange(len(self.sizes) + 1))
-        for c in np.flatnonzero((np.diff(bounds) > 0) & (self.sizes > 1)):
-            at, low, high = order[bounds[c] : bounds[c + 1]], self.edges[c], self.edges[c + 1]
-            yield low, high, at, *_softmax(h.take(at, 0), self.w["inside"][low:high].T, self.w["inside_bias"][low:high], y[at] - low)
+        many = np.flatnonzero((np.diff(bounds) > 0) & (self.sizes > 1)).tolist()
+        at = np.concatenate([order[bounds[c] : bounds[c + 1]] for c in many] or [order[:0]])
+        groups, end = [], 0
+        for c in many:
+            rows = slice(self.edges[c], self.edges[c + 1])
+            low, end = end, end + int(bounds[c + 1] - bounds[c])
+            groups.append((low, end, self.w["inside"][rows].T, self.w["inside_bias"][rows]))
+        return at, many, _Shares(h.take(at, 0), groups, y[at] - self.edges[own[at]])
+
+    def _classes(self, h: np.ndarray, own: np.ndarray) -> _Shares:
+        return _Shares(h, [(0, len(h), self.w["out"], self.w["bias"])], own)
 
     @np.errstate(over="ignore", invalid="ignore", divide="ignore")
-    def log_shares(self, x: np.ndarray, z: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """log P(rank y | places up to it). x, z: rank of the id before each place, and how far into its word that is."""
+    def log_shares(self, x: np.ndarray, z: np.ndarray, y: np.ndarray, asked: np.ndarray | None = None) -> np.ndarray:
+        """log P(rank y | places up to it); asked: of these places alone, in a row. x, z: rank of the id before each place, and how far into its word that is."""
         h, y_ = self._attend(x, z)[-1], y.ravel()
+        if asked is not None:
+            some = np.flatnonzero(asked)
+            h, y_ = h.take(some, 0), y_.take(some)
         own = self.own[y_]
-        out = _softmax(h, self.w["out"], self.w["bias"], own)[2]
-        for _, _, at, _, _, found in self._inside(h, y_, own):
-            out[at] += found
-        return out.reshape(y.shape)
-
-    @staticmethod
-    def _product(a: np.ndarray, b: np.ndarray, windows: int) -> np.ndarray:
-        """a.T @ b, window by window."""
-        return (a.reshape(windows, -1, a.shape[1]).transpose(0, 2, 1) @ b.reshape(windows, -1, b.shape[1])).sum(0)
+        out = self._classes(h, own).picked
+        at, _, found = self._inside(h, y_, own)
+        out[at] += found.picked
+        return out.reshape(y.shape) if asked is None else out
 
     def gradient(self, x: np.ndarray, z: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean of -log P over the real places, by name of the weight."""
@@ -370,54 +410,62 @@ class AttentionModel:
         """gradient() as (rows, their slopes); all other rows have none."""
         w, (m, n), y_ = self.w, x.shape, y.ravel()
         depth = WIDTH // HEADS
-        e, q, k, v, a, total, c, joined, h = self._attend(x, z)
+        e, q, k, v, a, total, joined, h = self._attend(x, z)
         own = self.own[y_]
         weight = (real.ravel() / max(1, real.sum())).astype(h.dtype)
-        g, sums, _ = _softmax(h, w["out"], w["bias"], own)
-        g *= (weight / sums)[:, None]
-        g[np.arange(len(g)), own] -= weight
+        g = self._classes(h, own).slopes(weight)[0][0]
         top = int(self.edges[own.max() + 1])
-        out = {"bias": g.sum(0), "out": self._product(h, g, m), "inside": np.zeros((top, WIDTH), h.dtype), "inside_bias": np.zeros(top, h.dtype)}
+        out = {"bias": np.ones(len(g), g.dtype) @ g, "out": h.T @ g, "inside": np.zeros((top, WIDTH), h.dtype), "inside_bias": np.zeros(top, h.dtype)}
         dh = g @ w["out"].T
-        for low, high, at, g, sums, _ in self._inside(h, y_, own):
-            g *= (weight[at] / sums)[:, None]
-            g[np.arange(len(at)), y_[at] - low] -= weight[at]
-            out["inside"][low:high] = g.T @ h.take(at, 0)
-            out["inside_bias"][low:high] = g.sum(0)
-            dh[at] += g @ w["inside"][low:high]
-        out["join"] = self._product(joined, dh, m)
-        dc = (dh @ w["join"].T).reshape(m, n, HEADS, depth).transpose(0, 2, 1, 3) / total
-        da = np.concatenate((dc, -np.einsum("whid,whid->whi", dc, c)[..., None]), 3) @ np.ascontiguousarray(v.transpose(0, 1, 3, 2))
+        at, many, found = self._inside(h, y_, own)
+        back, one = np.empty_like(found.h), np.ones(len(at), h.dtype)
+        for c, (g, low, end) in zip(many, found.slopes(weight[at])):
+            rows = slice(self.edges[c], self.edges[c + 1])
+            np.matmul(g.T, found.h[low:end], out=out["inside"][rows])
+            np.matmul(one[low:end], g, out=out["inside_bias"][rows])
+            np.matmul(g, w["inside"][rows], out=back[low:end])
+        dh[at] += back
+        out["join"] = joined.T @ dh
+        dc = np.empty((m, n, HEADS, depth + 1), h.dtype)
+        some = dh @ w["join"].T
+        some /= np.repeat(total.reshape(-1, HEADS), depth, 1)
+        dc[..., :depth] = some.reshape(m, n, HEADS, depth)
+        some *= joined
+        dc[..., depth] = (some.reshape(-1, depth) @ np.full(depth, -1, h.dtype)).reshape(m, n, HEADS)
+        dc = dc.transpose(0, 2, 1, 3)
+        da = dc @ v.transpose(0, 1, 3, 2)
         da *= a
         d = np.empty((m, n, 3, HEADS, depth), h.dtype)
-        d[:, :, 0] = (da @ k).transpose(0, 2, 1, 3)
-        d[:, :, 1] = (da.transpose(0, 1, 3, 2) @ q).transpose(0, 2, 1, 3)
-        d[:, :, 2] = (a.transpose(0, 1, 3, 2) @ dc).transpose(0, 2, 1, 3)
+        dq, dk, dv = (d[:, :, i].transpose(0, 2, 1, 3) for i in range(3))
+        np.matmul(da, k, out=dq)
+        np.matmul(da.transpose(0, 1, 3, 2), q, out=dk)
+        np.matmul(a.transpose(0, 1, 3, 2), dc[..., :depth], out=dv)
         d = d.reshape(-1, 3 * WIDTH)
-        scale = np.float32(depth**-0.5)
-        for name, part in zip(("query", "key", "value"), np.split(self._product(e, d, m), 3, axis=1)):
-            out[name] = part * scale if name == "query" else part
-        de = dh + d @ np.concatenate((w["query"] * scale, w["key"], w["value"]), 1).T
+        for name, part in zip(("query", "key", "value"), np.split(e.T @ d, 3, axis=1)):
+            out[name] = part * np.float32(depth**-0.5) if name == "query" else part
+        de = d @ self._wide().T
+        de += dh
         out = {name: (slice(len(g)), g) for name, g in (out | {"place": de.reshape(m, n, WIDTH).sum(0)}).items()}
         return out | {"first": _row_sums(de, x.ravel()), "last": _row_sums(de, z.ravel())}
 
     def train(self, batches: Iterator[tuple[np.ndarray, ...]], rate: float) -> None:
         """A step of Adam for each batch. A row that a batch has no slope for stays, and so do its means."""
+        # Ten times the mean, and a hundred times the mean square: so slopes are added as they are.
         mean, square = ({n: np.zeros_like(v) for n, v in self.w.items()} for _ in range(2))
         for step, batch in enumerate(batches, 1):
-            now, more = rate * min(1.0, step / 30) / (1 - 0.9**step), (1 - 0.99**step) ** -0.5
+            more = (1 - 0.99**step) ** -0.5
+            now = rate * min(1.0, step / 30) / (1 - 0.9**step) / more
             for n, (rows, g) in self._slopes(*batch).items():
                 m, s = mean[n][rows], square[n][rows]
                 m *= np.float32(0.9)
-                s *= np.float32(0.99)
-                m += g * np.float32(0.1)
+                m += g
                 g *= g
-                g *= np.float32(0.01)
+                s *= np.float32(0.99)
                 s += g
-                mean[n][rows], square[n][rows] = m, s
-                d = np.sqrt(s)
-                d *= np.float32(more)
-                d += np.float32(1e-8)
+                if not isinstance(rows, slice):
+                    mean[n][rows], square[n][rows] = m, s
+                d = np.sqrt(s, out=g)
+                d += np.float32(1e-7 / more)
                 np.divide(m, d, out=d)
                 d *= np.float32(now)
                 self.w[n][rows] -= d
@@ -503,9 +551,8 @@ class _Block:
         out = np.full(len(self.y), np.nan, np.float32)
         at, length, known = windows(self.sizes, STRIDE)
         for some, p, real in _batches(at, length):
-            found = model.log_shares(self.x[p], self.z[p], self.y[p])
             new = real & (np.arange(p.shape[1]) >= known[some, None])
-            out[p[new]] = found[new]
+            out[p[new]] = model.log_shares(self.x[p], self.z[p], self.y[p], new)
         return out
 
 
@@ -628,9 +675,8 @@ def _teller(known: Ranks):
 def _meet(key, blocks: pd.DataFrame, told: pd.DataFrame, kind: str) -> pd.DataFrame:
     """A block and what its words were told, in the order of the words' numbers."""
     b, t = blocks.iloc[0], told.sort_values("at")
-    mix = (int(b["block"]) * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> 32
     own = {"count": t["count"].to_numpy(), "pieces": t["ranks"].map(len).to_numpy() // np.dtype(kind).itemsize, "ranks": np.frombuffer(b"".join(t["ranks"]), kind)}
-    values = (b["block"], b["rows"], b["held"], b["sizes"], b["places"], *(_packed(own[c].astype(as_)) for c, as_ in _WORD.items()), mix % ROUNDS)
+    values = (b["block"], b["rows"], b["held"], b["sizes"], b["places"], *(_packed(own[c].astype(as_)) for c, as_ in _WORD.items()), round_of(int(b["block"])))
     return pd.DataFrame({c.split()[0]: [v] for c, v in zip(_TOLD.split(", "), values)})
 
 

@@ -81,3 +81,27 @@ def test_later_subwords_follow_from_words_before(spark):
     out = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer=BYTE_BPE, block=5_000)
     held = out.where("held_out").agg(F.sum("score").alias("s"), F.count("*").alias("n")).first()
     assert held.s / held.n / 40 > -0.2
+
+
+def test_each_id_is_scored_once_as_in_its_own_window(monkeypatch):
+    """Windows overlap, but an id's softmax is found in the first window that holds it alone, and is that window's."""
+    rng, size = np.random.default_rng(5), 700
+    model = lm.AttentionModel(rng.standard_normal(lm.AttentionModel.cells(size)) * 0.3, size)
+    b = lm._Block.__new__(lm._Block)
+    b.sizes = np.array([5, 64, 300, 1, 130])
+    n, b.begin = int(b.sizes.sum()), np.cumsum(b.sizes) - b.sizes
+    b.x, b.z, b.y = rng.integers(0, size, n), rng.integers(0, lm.LAST_CLASSES, n), rng.integers(0, size, n)
+    rows, classes = [], lm.AttentionModel._classes
+    monkeypatch.setattr(lm.AttentionModel, "_classes", lambda self, h, own: rows.append(len(h)) or classes(self, h, own))
+    got = b.scores(model)
+    assert sum(rows) == n
+    for at, length, known in zip(*lm.windows(b.sizes, lm.STRIDE)):
+        own = slice(at, at + length)
+        assert np.allclose(got[own][known:], model.log_shares(b.x[None, own], b.z[None, own], b.y[None, own])[0][known:], atol=1e-4)
+
+
+def test_rounds_get_equal_numbers_of_blocks():
+    """Hashes of the blocks' numbers gave most blocks to two of the rounds."""
+    rounds = [[lm.round_of((p << lm.PARTITION_BITS) + k) for p in range(16)] for k in range(3)]
+    assert all(sorted(r) == sorted([*range(lm.ROUNDS)] * (16 // lm.ROUNDS)) for r in rounds)
+    assert len({r[0] for r in rounds}) == 3
